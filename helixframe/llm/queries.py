@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules, sharding
+from . import exact_dedup, language_id, packing, quality_rules, sentence_pieces, sharding, token_counts, url_filters
 
-QUERIES = {f.__name__: f for f in (quality_rules.op1_quality_rules, sharding.op2_sharding, exact_dedup.op8_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        quality_rules.op1_quality_rules,
+        sharding.op2_sharding,
+        url_filters.op4_url_filters,
+        packing.op5_packing,
+        token_counts.op7_token_counts,
+        exact_dedup.op8_exact_dedup,
+        sentence_pieces.op9_sentence_pieces,
+        language_id.op10_language_id,
+    )
+}
 ORACLE_SQL = {"op1_quality_rules": quality_rules.SQL, "op2_sharding": sharding.SQL, "op8_exact_dedup": exact_dedup.SQL}
