@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import checkpoint  # noqa: F401
+
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
@@ -12,20 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df.checkpoint() into spark.checkpoint.dir, which outlives any executor."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        place = spark.conf.get("spark.checkpoint.dir", None)
-        if not place:
-            import tempfile
-
-            place = tempfile.mkdtemp(prefix="checkpoint-")  # only where no cluster names one
-        context.setCheckpointDir(place)
-    return df.checkpoint(eager=True)
-
-
 def words_of(text: Column) -> Column:
     """The maximal runs of characters other than the six ASCII spaces; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
