@@ -27,7 +27,7 @@ def normalised(text: Column) -> Column:
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: int = 256) -> DataFrame:
-    """One row per row of docs: key, keep_id, group_size, kept, text_sha256, row (tells repeated rows apart)."""
+    """One row per row of docs: key, cp (code points of the text), keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     norm = normalised(F.col(text))
@@ -51,13 +51,22 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: i
     out = near.join(F.broadcast(whole), "text_sha256", "left")
     best = F.coalesce("all_best", "best")
     return out.select(
-        F.col("id").alias(key), best["id"].alias("keep_id"), F.coalesce("all_n", "n").cast("bigint").alias("group_size"),
+        F.col("id").alias(key), "cp", best["id"].alias("keep_id"), F.coalesce("all_n", "n").cast("bigint").alias("group_size"),
         ((F.col("row") == 1) & (F.col("salt") == best["salt"])).alias("kept"), "text_sha256",
     )
 
 
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay, their columns untouched."""
+    stay = groups(docs, key, text).where("kept").select(F.col(key).alias("_id"), F.col("cp").alias("_cp"), F.col("text_sha256").alias("_sha"))
+    own = docs.withColumn("_sha", F.sha2(normalised(F.col(text)).cast("binary"), 256)).withColumn("_cp", F.length(F.coalesce(F.col(text), F.lit(""))))
+    same = own[key].eqNullSafe(stay["_id"])
+    found = own.join(stay, (own["_sha"] == stay["_sha"]) & (own["_cp"] == stay["_cp"]) & same, "left_semi")
+    return found.dropDuplicates([key, "_cp", "_sha"]).select(*docs.columns)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(table(spark, sf_dir, "documents"))
+    return groups(table(spark, sf_dir, "documents")).drop("cp")
 
 
 SQL = rf"""

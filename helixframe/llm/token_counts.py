@@ -10,6 +10,7 @@ Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows are
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-CACHE_WORDS = 300_000
+CACHE_PARTS = 500_000
 BATCH_BYTES = 8 << 20
 
 
@@ -44,9 +45,11 @@ def safe_spaces(tokenizer) -> bool:
     return dropped and kinds <= {"NFC", "Replace", "Lowercase"} and not any(set(t) & set(" \t\n\r\x0b\x0c") for t in special)
 
 
-#: The pre-tokenizer whose tokens can be encoded one by one, and the characters for which lower() is what its normaliser does.
+#: The pre-tokenizer whose tokens can be encoded one by one, and the same for texts of PLAIN bytes (Latin-1, lower case), where
+#: the normaliser does no more than lower() and split().
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN = "\u0100"
+PLAIN_PATTERN = re.compile(r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|'(?:[stmd]|re|ve|ll)|[0-9]|[!-/:-@\[-`{-~\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7]+")
+PLAIN = bytes({*range(9, 14), *range(32, 127), *range(0xA1, 0x100)} - {0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE})
 
 
 def byte_letters() -> list[str]:
@@ -57,54 +60,54 @@ def byte_letters() -> list[str]:
 
 
 class Encoder:
-    """Ids or lengths of texts. value: what is kept of a word's ids.
+    """Ids or lengths of texts. value: what is kept of a part's ids.
 
-    Words seen lately are kept in two generations of bounded size. A new word of plain characters is cut like the
-    pre-tokenizer does and its parts go straight to the model; any other goes through the whole tokenizer.
+    A part is a pre-token of a plain text, which goes straight to the model, or a word of any other, which goes through the
+    whole tokenizer. Parts seen lately are kept in two generations of bounded size.
     """
 
     def __init__(self, path: str, value):
         import json
 
-        import regex
-
         self.tokenizer, self.value = load(path), value
-        self.cache: dict[bytes, object] = {}
-        self.old: dict[bytes, object] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.cache: dict[str | bytes, object] = {}
+        self.old: dict[str | bytes, object] = {}
         self.by_word = safe_spaces(self.tokenizer)
         spec = json.loads(self.tokenizer.to_str())
         first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        self.plain = self.by_word and first.get("pattern") == {"Regex": PATTERN}
-        self.find, self.letters = regex.compile(PATTERN).findall, byte_letters()
-        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec.get("added_tokens", [])) or "(?!)").search
-
-    def ids(self, word: bytes) -> list[int]:
-        text = word.decode()
-        if not self.plain or not (text.isascii() or max(text) < PLAIN) or self.special(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        for part in self.find(text.lower()):
-            got = self.parts.get(part)
-            if got is None:
-                if len(self.parts) >= CACHE_WORDS:
-                    self.parts.clear()
-                known = part if part.isascii() and part.isprintable() else "".join(map(self.letters.__getitem__, part.encode()))
-                got = self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(known)]
-            out += got
-        return out
+        self.by_part = self.by_word and first.get("pattern") == {"Regex": PATTERN}
+        self.letters = byte_letters()
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or "(?!)").search
+
+    def plain(self, text: str) -> bool:
+        try:
+            return self.by_part and not text.encode("latin-1").translate(None, PLAIN) and not self.special(text)
+        except UnicodeEncodeError:
+            return False
+
+    def ids(self, part: str | bytes) -> list[int]:
+        if isinstance(part, bytes):
+            return self.tokenizer.encode(part.decode(), add_special_tokens=False).ids
+        known = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+        return [t.id for t in self.tokenizer.model.tokenize(known)]
+
+    def parts(self, raw: bytes) -> list:
+        text = raw.decode()
+        if self.plain(text):
+            return PLAIN_PATTERN.findall(text.lower())
+        return raw.split() if self.by_word else [raw] * bool(raw)
 
     def of(self, texts: list[bytes]) -> list[list]:
-        """The kept values of each text's words, in order."""
+        """The kept values of each text's parts, in order."""
         out = []
         for text in texts:
-            words = text.split() if self.by_word else [text] * bool(text)
-            found = list(map(self.cache.get, words))
+            parts = self.parts(text)
+            found = list(map(self.cache.get, parts))
             if None in found:
-                if len(self.cache) > CACHE_WORDS:
+                if len(self.cache) > CACHE_PARTS:
                     self.cache, self.old = {}, self.cache
                 for i in [i for i, v in enumerate(found) if v is None]:
-                    w = words[i]
+                    w = parts[i]
                     v = self.cache.get(w)
                     if v is None:
                         v = self.old.get(w)

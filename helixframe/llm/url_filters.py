@@ -79,7 +79,8 @@ class Segmenter:
 
 def tokens(segmenter: Segmenter, host: str, path: str) -> list[str]:
     split = lambda s: [w for part in PARTS.findall(s) for w in (segmenter.words(part) if part.isalpha() else ["0"])]
-    return [f"h:{w}" for w in split(host)] + [f"p:{w}" for w in split(path.lower())]
+    # each once, so that a url that repeats itself weighs no more than another
+    return list(dict.fromkeys([f"h:{w}" for w in split(host)] + [f"p:{w}" for w in split(path.lower())]))
 
 
 class Bayes:
