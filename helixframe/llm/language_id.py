@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .token_counts import byte_batches
 
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
 LETTER = re.compile(r"[^\W\d_]")
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
+BATCH_BYTES = 500_000
 
 
 def ngram_buckets(text: str) -> np.ndarray:
@@ -58,7 +60,8 @@ def train(labelled: DataFrame, key: str, text: str, label: str, sample_rows: int
         for batch in batches:
             for t, name in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
                 s = sums.setdefault(name, np.zeros(BUCKETS + 1, np.int64))
-                s[:BUCKETS] += np.bincount(ngram_buckets(t[:SLICE_CHARS]), minlength=BUCKETS)
+                for part in slices(t):
+                    s[:BUCKETS] += np.bincount(ngram_buckets(part), minlength=BUCKETS)
                 s[BUCKETS] += 1
         for name, s in sums.items():
             at = np.flatnonzero(s)
@@ -94,19 +97,17 @@ def predict(df: DataFrame, names: list[str], matrix: np.ndarray, key: str, text:
     model = df.sparkSession.sparkContext.broadcast(matrix)  # BUCKETS x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                known = [i for i, t in enumerate(texts) if names and LETTER.search(t)]
-                pred, prob = ["und"] * len(texts), [0.0] * len(texts)
-                if known:
-                    s = score([texts[i] for i in known], model.value)
-                    best = s.argmax(1)
-                    p = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
-                    for i, b, x in zip(known, best, p):
-                        pred[i], prob[i] = names[b], float(x)
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(pred, pa.string()), pa.array(prob, pa.float64())], ["key", "lang_pred", "score"])
+        for batch, raw in byte_batches(batches, "text", BATCH_BYTES):
+            texts = [t.decode() for t in raw]
+            known = [i for i, t in enumerate(texts) if names and LETTER.search(t)]
+            pred, prob = ["und"] * len(texts), [0.0] * len(texts)
+            if known:
+                s = score([texts[i] for i in known], model.value)
+                best = s.argmax(1)
+                p = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
+                for i, b, x in zip(known, best, p):
+                    pred[i], prob[i] = names[b], float(x)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(pred, pa.string()), pa.array(prob, pa.float64())], ["key", "lang_pred", "score"])
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("key", key)

@@ -117,14 +117,14 @@ class Encoder:
         return out
 
 
-def byte_batches(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of about BATCH_BYTES of text, with the texts as bytes."""
+def byte_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of about `limit` bytes of text, with the texts as bytes."""
     for batch in batches:
         texts = batch.column(text).cast(pa.large_binary()).to_pylist()
         start = size = 0
         for i, t in enumerate(texts):
             size += len(t or b"")
-            if size >= BATCH_BYTES or i + 1 == len(texts):
+            if size >= limit or i + 1 == len(texts):
                 yield batch.slice(start, i + 1 - start), [x or b"" for x in texts[start : i + 1]]
                 start, size = i + 1, 0
 
