@@ -84,8 +84,9 @@ def measure(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text")
 
 def filter_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The rows of docs that are kept, their columns untouched."""
-    found = measure(docs, rules).where("kept")
-    return found.select(*docs.columns)
+    found = measure(docs, rules)
+    # A filter would be pushed below the columns that it is made of and compute them again for every line; a generator isn't.
+    return found.select(F.inline(F.when(F.col("kept"), F.array(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
