@@ -37,12 +37,26 @@ def neighbours(pattern: Column, k: int, d: int) -> Column:
     return out
 
 
+def _cutter(seq: str):
+    """Cuts letters out of a column by place (from 1). Bytes can be reached without counting characters, which takes a place's
+    time; they are used where a sequence has one byte a letter."""
+    plain = F.octet_length(seq) == F.length(seq)
+    raw = F.col("_raw")
+
+    def windows(starts: Column, make) -> Column:
+        fast = F.transform(starts, lambda i: make(lambda at, n: F.substring(raw, at, F.lit(n)).cast("string"), i))
+        slow = F.transform(starts, lambda i: make(lambda at, n: F.substring(F.col(seq), at, F.lit(n)), i))
+        return F.when(plain, fast).otherwise(slow)
+
+    return windows
+
+
 def kmers(df: DataFrame, k: int, seq: str = "seq", keep: list[str] | None = None) -> DataFrame:
     """One row per occurrence: the columns of keep (default: all but seq), pos and kmer. A narrow explode."""
     keep = [c for c in df.columns if c != seq] if keep is None else keep
     starts = F.sequence(F.lit(1), F.length(seq) - (k - 1))
-    parts = F.when(F.length(seq) >= k, F.transform(starts, lambda i: F.substring(F.col(seq), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    return df.select(*keep, F.posexplode(parts).alias("pos", "kmer"))
+    parts = F.when(F.length(seq) >= k, _cutter(seq)(starts, lambda cut, i: cut(i, k))).otherwise(F.array().cast("array<string>"))
+    return df.withColumn("_raw", F.col(seq).cast("binary")).select(*keep, F.posexplode(parts).alias("pos", "kmer"))
 
 
 def kmer_counts(df: DataFrame, k: int, by: list[str], seq: str = "seq") -> DataFrame:
@@ -130,6 +144,6 @@ def read_pairs(df: DataFrame, k: int, gap: int, seq: str = "seq") -> DataFrame:
     keep = [c for c in df.columns if c != seq]
     span = 2 * k + gap
     starts = F.sequence(F.lit(1), F.length(seq) - (span - 1))
-    pair = lambda i: F.struct(F.substring(F.col(seq), i, F.lit(k)).alias("a"), F.substring(F.col(seq), i + k + gap, F.lit(k)).alias("b"))
-    pairs = F.when(F.length(seq) >= span, F.transform(starts, pair))
-    return df.select(*keep, F.posexplode(pairs).alias("pos", "pair")).select(*keep, "pos", "pair.a", "pair.b")
+    pair = lambda cut, i: F.struct(cut(i, k).alias("a"), cut(i + k + gap, k).alias("b"))
+    pairs = F.when(F.length(seq) >= span, _cutter(seq)(starts, pair))
+    return df.withColumn("_raw", F.col(seq).cast("binary")).select(*keep, F.posexplode(pairs).alias("pos", "pair")).select(*keep, "pos", "pair.a", "pair.b")

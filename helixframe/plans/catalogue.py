@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .registry import ORACLE_SQL, QUERIES  # noqa: F401
+from . import sequence_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(QUERIES.values()))(spark, sf_dir)
+    """Peptide-spectrum search."""
+    return QUERIES["pv6_psm_search"](spark, sf_dir)
+
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
