@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 MARK = "▁"
-CACHE_SEGMENTS = 250_000
+CACHE_SEGMENTS = 400_000
 LONG = 64  # characters from which a segment is encoded on its own, and merged with a heap
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -143,21 +143,31 @@ def merges(model: Pieces, segments: list[str], probed=None) -> list[bytes]:
     score, ids = probed or model.probe(codes_of(segments))
     m, n, most = score.shape
     end = np.tile(np.arange(1, n + 1), (m, 1))  # of the symbol that starts here
+    before = np.tile(np.arange(-1, n - 1), (m, 1))  # the start of the symbol before it
     start = np.ones((m, n), bool)
+    pair = np.full((m, n), -np.inf)  # the score of merging the symbol with the next
+    if n > 1 and most > 1:
+        pair[:, : n - 1] = score[:, : n - 1, 1]
+
+    def scored(rows: np.ndarray, i: np.ndarray, k: np.ndarray) -> None:
+        size = k - i
+        pair[rows, i] = np.where(size <= most, score[rows, i, np.minimum(size, most) - 1], -np.inf)
+
     live = np.arange(m)
-    while n > 1 and len(live):
-        e = end[live]
-        nxt = np.take_along_axis(np.pad(e, ((0, 0), (0, 1)), constant_values=n + 1), np.minimum(e, n), 1)
-        size = nxt - np.arange(n)
-        ok = start[live] & (e < n) & (size <= most)
-        s = np.where(ok, np.take_along_axis(score[live], np.clip(size - 1, 0, most - 1)[:, :, None], 2)[:, :, 0], -np.inf)
-        i = s.argmax(1)
-        r = np.arange(len(live))
-        go = ~np.isneginf(s[r, i])
-        rows, i = live[go], i[go]
-        start[rows, end[rows, i]] = False
-        end[rows, i] = nxt[r[go], i]
-        live = rows
+    while len(live):
+        near = pair[live]
+        i = near.argmax(1)
+        go = near[np.arange(len(live)), i] > -np.inf
+        live, i = live[go], i[go]
+        j = end[live, i]
+        k = end[live, j]
+        end[live, i], start[live, j], pair[live, j], pair[live, i] = k, False, -np.inf, -np.inf
+        on = k < n
+        before[live[on], k[on]] = i[on]
+        scored(live[on], i[on], end[live[on], k[on]])
+        p = before[live, i]
+        on = p >= 0
+        scored(live[on], p[on], k[on])
     return written(model, segments, ids, start, end)
 
 
@@ -225,7 +235,7 @@ class Codec:
             self.cache.update((s, self.old[s]) for s in known)
             self.fill(sorted(new - known))
             found = [list(map(self.cache.__getitem__, x)) if None in f else f for x, f in zip(split, found)]
-        return [(b"".join([x for x, _ in f]), b"".join([y for _, y in f])) for f in found]
+        return [tuple(map(b"".join, zip(*f))) if f else (b"", b"") for f in found]
 
     def decode(self, ids: bytes) -> bytes:
         out = b"".join(map(self.model.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -255,12 +265,13 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> Dat
     """df with the text of its ids (binary as above); bytes that are no UTF-8 become the replacement character."""
     import pandas as pd
 
-    @F.pandas_udf("string")
-    def run(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = Codec(path)
-        for x in s:
+        for x in parts:
             yield x.map(lambda v: None if v is None else codec.decode(v).decode("utf-8", "replace"))
 
+    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    run = F.pandas_udf(run, "string")
     return df.withColumn(out, run(ids))
 
 
