@@ -4,9 +4,10 @@ With J >= t, two sets share a token among the first n - ceil(t n) + 1 of each, u
 orders are used: H1 and H2 order tokens by two hashes, DF by document frequency and then hash.
 
 1. Texts become sets of 64-bit shingle hashes. Equal sets (by a 128-bit digest) are one node from here on.
-2. A node none of whose H1 prefix tokens occurs in another node has no link. Each task sends a token once at most, so a
-   token of very many documents is no hot key; the nodes that remain are marked in a Bloom filter of bounded size.
-3. The remaining nodes' sets are kept in blocks. Document frequencies are counted by token range and sent back to the blocks.
+2. A node can have a link only if ceil(t n) of its tokens occur in another node: otherwise its DF prefix holds nothing but
+   tokens of its own. Tokens meet by range, counts go back. Each part of a task sends a token once, so a token of very many
+   documents is no hot key; the few nodes that remain are marked in a Bloom filter of bounded size.
+3. The remaining nodes' sets are kept in blocks. Document frequencies among them are counted by token range and sent back to the blocks.
 4. A node's DF prefix tokens that occur elsewhere are its postings. Within a token's postings every node is first
    compared with one centre, which joins groups of near copies by links in proportion to their size, not its square.
 5. What the centre did not join is compared directly, unless the triangle inequality of Jaccard distance, through
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ from .exchange import batch, blocks_for, bloom, bloom_bits, in_bloom, mix, range
 SECOND = 0x5851F42D4C957F2D  # salt of H2
 THIRD = 0x14057B7EF767814F  # salt of the hash within DF
 U8 = np.uint64
+NOBODY = 0xFFFF
+PART_TOKENS = 4_000_000
 
 
 def token_sets(texts: list[bytes], n: int = 4) -> list[np.ndarray]:
@@ -83,70 +87,99 @@ def _texts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple
 LONG, BIN = pa.int64(), pa.binary()
 
 
-def describe(rows: DataFrame, percent: int) -> DataFrame:
-    """id, n, d1, d2 and prefix: the first tokens under H1, 8 bytes each."""
+def describe(rows: DataFrame) -> DataFrame:
+    """id, n, d1, d2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in _texts(batches):
             sets = token_sets(texts)
             d = [_digests(s) for s in sets]
-            pre = [raw(s[: prefix_size(len(s), percent)]) if len(s) else b"" for s in sets]
-            yield batch({"id": (b.column("id"), LONG), "n": ([len(s) for s in sets], LONG), "d1": ([x for x, _ in d], LONG), "d2": ([y for _, y in d], LONG), "prefix": (pre, BIN)})
+            yield batch({"id": (b.column("id"), LONG), "n": ([len(s) for s in sets], LONG), "d1": ([x for x, _ in d], LONG), "d2": ([y for _, y in d], LONG)})
 
-    return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, prefix binary")
+    return rows.mapInArrow(run, "id long, n long, d1 long, d2 long")
 
 
-def companions(meta: DataFrame, ranges: int) -> DataFrame:
-    """d1 of the nodes that share an H1 prefix token with another node (and, rarely, of some more)."""
+def companions(rows: DataFrame, ranges: int, percent: int) -> DataFrame:
+    """d1 of the nodes that could have a link: at least ceil(t n) of their tokens occur in another node (and, rarely, some more).
+
+    Nodes are taken in parts of bounded size. A part sends each of its tokens once, with its holder's number there if it has
+    one holder; holders of tokens that several nodes of the part share are known at once. Back come counts by holder."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, tokens, owners = set(), [], []
-        for b in batches:
-            for d, p in zip(b.column("d1").to_pylist(), b.column("prefix").to_pylist()):
-                if p and d not in seen:
+        part, seen, d1s, sets, size = TaskContext.get().partitionId() << 32, set(), [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(x) for x in sets])
+            token = np.concatenate(sets)
+            order = np.argsort(token, kind="stable")
+            token, owner = token[order], owner[order]
+            first = np.concatenate(([True], token[1:] != token[:-1]))
+            shared = ~first
+            shared[:-1] |= ~first[1:]
+            known = np.bincount(owner[shared], minlength=len(sets))
+            need = [len(x) - prefix_size(len(x), percent) + 1 for x in sets]
+            # the part's own table goes to where its counts come back
+            yield batch({"r": ([-1 - part], LONG), "part": ([part], LONG), "tokens": ([raw(np.array(d1s, np.int64))], BIN), "owners": ([raw(np.stack([known, need]).astype(np.int64))], BIN)})
+            # a token with several holders here still tells others that it occurs elsewhere, but needs no answer
+            token, owner, mute = token[first], owner[first], shared[first]
+            owner = np.where(mute, NOBODY, owner).astype(np.uint16)
+            cut = np.searchsorted(range_of(token, ranges), np.arange(ranges + 1))
+            full = [r for r in range(ranges) if cut[r] < cut[r + 1]]
+            # six bytes of a token are enough: what a chance agreement adds is sorted out later
+            six = lambda x: raw(x.view(np.uint8).reshape(-1, 8)[:, 2:])
+            yield batch({"r": (full, LONG), "part": ([part] * len(full), LONG), "tokens": ([six(token[cut[r] : cut[r + 1]]) for r in full], BIN), "owners": ([raw(owner[cut[r] : cut[r + 1]]) for r in full], BIN)})
+
+        for _, texts in _texts(batches):
+            for x in token_sets(texts):
+                d = _digests(x)[0] if len(x) else None
+                if d is not None and d not in seen:
                     seen.add(d)
-                    tokens.append(np.frombuffer(p, U8))
-                    owners.append(d)
-        if not tokens:
-            return
-        owner = np.repeat(np.array(owners, np.int64), [len(t) for t in tokens])
-        token = np.concatenate(tokens)
-        order = np.argsort(token, kind="stable")
-        token, owner = token[order], owner[order]
-        first = np.concatenate(([True], token[1:] != token[:-1]))
-        shared = ~first
-        shared[:-1] |= ~first[1:]
-        here = np.unique(owner[shared])
-        yield batch({"r": ([-1], LONG), "tokens": ([b""], BIN), "owners": ([raw(here)], BIN)})
-        token, owner = token[first], owner[first]
-        cut = np.searchsorted(range_of(token, ranges), np.arange(ranges + 1))
-        full = [r for r in range(ranges) if cut[r] < cut[r + 1]]
-        # six bytes of each are enough: what a chance agreement adds is sorted out later
-        six = lambda a: raw(a.view(np.uint8).reshape(-1, 8)[:, :6])
-        yield batch({"r": (full, LONG), "tokens": ([six(token[cut[r] : cut[r + 1]]) for r in full], BIN), "owners": ([raw(owner[cut[r] : cut[r + 1]]) for r in full], BIN)})
+                    d1s.append(d)
+                    sets.append(x)
+                    size += len(x)
+                    if size >= PART_TOKENS or len(sets) == NOBODY:
+                        yield from flush()
+                        part, seen, d1s, sets, size = part + 1, set(), [], [], 0
+        if sets:
+            yield from flush()
 
     def meet(t: pa.Table) -> pa.Table:
         if t.column("r")[0].as_py() < 0:
-            own = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("owners").to_pylist()])
-            return pa.table({"d1": np.unique(own)})
-        six = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 6) for x in t.column("tokens").to_pylist()])
-        token = np.zeros((len(six), 8), np.uint8)
-        token[:, :6] = six
-        token, owner = token.view(U8)[:, 0], np.concatenate([np.frombuffer(x, np.int64) for x in t.column("owners").to_pylist()])
-        order = np.lexsort((owner, token))
-        token, owner = token[order], owner[order]
-        same = (token[1:] == token[:-1]) & (owner[1:] != owner[:-1])
-        shared = np.zeros(len(token), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        # all owners of a shared token, also where a repeated owner stands between them
-        hot = np.unique(token[shared])
-        return pa.table({"d1": np.unique(owner[np.isin(token, hot)])})
-
-    # local finds get keys of their own, so that they meet nowhere
-    asked = meta.select("d1", "prefix").mapInArrow(ask, "r long, tokens binary, owners binary")
-    asked = asked.withColumn("part", F.when(F.col("r") < 0, -1 - F.pmod(F.xxhash64("owners"), F.lit(ranges))).otherwise(F.col("r")))
-    return asked.groupBy("part").applyInArrow(meet, "d1 long").distinct()
+            return t.select(["part", "tokens", "owners"])
+        six = [np.frombuffer(x, np.uint8).reshape(-1, 6) for x in t.column("tokens").to_pylist()]
+        token = np.zeros((sum(map(len, six)), 8), np.uint8)
+        token[:, 2:] = np.concatenate(six)
+        token = token.view(U8)[:, 0]
+        owner = np.concatenate([np.frombuffer(x, np.uint16) for x in t.column("owners").to_pylist()])
+        row = np.repeat(np.arange(len(six)), [len(x) for x in six])
+        order = np.argsort(token, kind="stable")
+        again = np.zeros(len(token), bool)
+        same = token[order[1:]] == token[order[:-1]]
+        again[order[1:]] |= same
+        again[order[:-1]] |= same
+        again &= owner != NOBODY
+        parts, out = t.column("part").to_pylist(), []
+        for i in range(len(six)):
+            at, n = np.unique(owner[again & (row == i)], return_counts=True)
+            out.append(raw(np.stack([at, n]).astype(np.int64)))
+        return pa.table({"part": pa.array(parts, LONG), "tokens": pa.array([None] * len(parts), BIN), "owners": pa.array(out, BIN)})
+
+    def judge(t: pa.Table) -> pa.Table:
+        d1, count, need = None, 0, 0
+        for tokens, owners in zip(t.column("tokens").to_pylist(), t.column("owners").to_pylist()):
+            if tokens is not None:
+                d1 = np.frombuffer(tokens, np.int64)
+                known, need = np.frombuffer(owners, np.int64).reshape(2, -1)
+        count = np.array(known)
+        for tokens, owners in zip(t.column("tokens").to_pylist(), t.column("owners").to_pylist()):
+            if tokens is None:
+                at, n = np.frombuffer(owners, np.int64).reshape(2, -1)
+                count[at] += n
+        return pa.table({"d1": d1[count >= need]})
+
+    asked = rows.select("text").mapInArrow(ask, "r long, part long, tokens binary, owners binary")
+    counts = asked.groupBy("r").applyInArrow(meet, "part long, tokens binary, owners binary")
+    return counts.groupBy("part").applyInArrow(judge, "d1 long").distinct()
 
 
 def node_sets(rows: DataFrame, ids: DataFrame, blocks: int) -> DataFrame:
@@ -277,10 +310,9 @@ def verify(sets: DataFrame, pairs: DataFrame, blocks: int, percent: int, distanc
 def links(rows: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
     """src, dst of enough links between nodes (by id) to connect whatever is linked."""
     parts = shuffle_partitions(rows.sparkSession)
-    size = meta.agg(F.sum(F.octet_length("prefix")), F.sum(F.col("n"))).first()
-    ranges = max(parts, (size[0] or 0) // (8 << 20))
+    ranges = max(parts, (meta.agg(F.sum("n")).first()[0] or 0) // 4_000_000)
     nodes = meta.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    live = stored(nodes.join(companions(meta, ranges), "d1").select("id", "n"))
+    live = stored(nodes.join(companions(rows, ranges, percent), "d1").select("id", "n"))
     tokens = live.agg(F.sum("n")).first()[0] or 0
     blocks = blocks_for(8 * tokens, parts)
     sets = checkpoint(node_sets(rows, live, blocks))
@@ -317,7 +349,7 @@ def links(rows: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    meta = stored(describe(rows, percent))
+    meta = stored(describe(rows))
     known = meta.where("id IS NOT NULL")
     label = components(links(rows.where("id IS NOT NULL"), known, percent))
     # equal sets are one node, by the smallest id; a document stands for its node, or for itself if empty
