@@ -54,15 +54,15 @@ def matrix(pdf: pd.DataFrame) -> tuple[list[int], np.ndarray]:
 
 def upgma(names: list, d: np.ndarray) -> list[tuple]:
     """(parent, child, child_ord, length). Clusters merge by mean distance, the first smallest in order of creation; new ones are
-    numbered on. Means are updated by size, which equals the mean over all pairs of leaves."""
+    numbered on from the largest name. Means are updated by size, which equals the mean over all pairs of leaves."""
     n = len(names)
     ids, age, size = list(range(n)), {k: 0.0 for k in range(n)}, {k: 1 for k in range(n)}
     label = {k: str(names[k]) for k in range(n)}
     dist = {(a, b): float(d[a, b]) for a in range(n) for b in range(n) if a != b}
-    edges, new = [], n
+    edges, new, number = [], n, max((int(x) for x in names), default=-1) + 1
     while len(ids) > 1:
         a, b = min(((x, y) for k, x in enumerate(ids) for y in ids[k + 1 :]), key=lambda p: (round(dist[p], 9), ids.index(p[0]), ids.index(p[1])))
-        age[new], label[new] = dist[a, b] / 2, str(new)
+        age[new], label[new] = dist[a, b] / 2, str(number + new - n)
         edges += [(label[new], label[c], o, age[new] - age[c]) for o, c in enumerate((a, b))]
         ids = [x for x in ids if x not in (a, b)]
         for x in ids:
