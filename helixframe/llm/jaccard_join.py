@@ -10,8 +10,8 @@ orders are used: H1 and H2 order tokens by two hashes, DF by document frequency
 3. The remaining nodes' sets are kept in blocks. Document frequencies among them are counted by token range and sent back to the blocks.
 4. A node's DF prefix tokens that occur elsewhere are its postings. Within a token's postings every node is first
    compared with one centre, which joins groups of near copies by links in proportion to their size, not its square.
-5. What the centre did not join is compared directly, unless the triangle inequality of Jaccard distance, through
-   the centre, excludes a link. No pair within a component is ever formed.
+5. What the centre did not join is compared directly, unless a bound excludes a link: the tokens of its own, its shared
+   tokens counted by class of hash, or the triangle inequality of Jaccard distance through the centre. No pair within a component is ever formed.
 6. A pair is verified only if it also shares tokens in both prefixes under H1 and H2.
 
 Components come from label propagation with pointer jumping; lineage is cut by checkpoints.
@@ -41,6 +41,7 @@ SECOND = 0x5851F42D4C957F2D  # salt of H2
 THIRD = 0x14057B7EF767814F  # salt of the hash within DF
 U8 = np.uint64
 NOBODY = 0xFFFF
+CLASS_BITS = 6
 PART_TOKENS = 4_000_000
 
 
@@ -209,7 +210,8 @@ def _distinct(nodes: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def postings(sets: DataFrame, ranges: int, percent: int) -> DataFrame:
-    """token, d1, id, n: the DF prefix tokens that more than one node holds."""
+    """token, d1, id, n, s, v: the DF prefix tokens that more than one node holds, their node's size, how many of
+    all its tokens more than one node holds, and these counted by class of hash (null where a count is too large)."""
 
     def ask(t: pa.Table) -> pa.Table:
         tokens, counts = _distinct(_nodes(t))
@@ -234,22 +236,24 @@ def postings(sets: DataFrame, ranges: int, percent: int) -> DataFrame:
         df = np.concatenate([np.frombuffer(x, np.uint16) for x in replies.column("df").to_pylist()] or [np.empty(0, np.uint16)])
         if len(df) != len(tokens):
             raise RuntimeError(f"{len(df)} frequencies for {len(tokens)} tokens")
-        out, owners, sizes = [], [], []
+        out, owners, sizes, classes = [], [], [], []
         for key, s in nodes.items():
             own = df[np.searchsorted(tokens, s)]
             first = np.lexsort((mix(s, THIRD), own))[: prefix_size(len(s), percent)]
             first = first[own[first] > 1]
             if len(first):
                 out.append(s[first])
-                owners.append((*key, len(s)))
+                owners.append((*key, len(s), int((own > 1).sum())))
                 sizes.append(len(first))
-        who = np.repeat(np.array(owners, np.int64).reshape(-1, 3), sizes, axis=0)
+                c = np.bincount((mix(s[own > 1], THIRD) >> U8(64 - CLASS_BITS)).astype(np.int64), minlength=1 << CLASS_BITS)
+                classes += [c.astype(np.int16) if c.max() < 1 << 15 else None] * len(first)
+        who = np.repeat(np.array(owners, np.int64).reshape(-1, 4), sizes, axis=0)
         token = np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
-        return pa.table({"token": token, "d1": np.ascontiguousarray(who[:, 0]), "id": np.ascontiguousarray(who[:, 1]), "n": np.ascontiguousarray(who[:, 2])})
+        return pa.table({"token": token, "d1": np.ascontiguousarray(who[:, 0]), "id": np.ascontiguousarray(who[:, 1]), "n": np.ascontiguousarray(who[:, 2]), "s": np.ascontiguousarray(who[:, 3]), "v": pa.array(classes, pa.list_(pa.int16()))})
 
     asked = sets.groupBy("block").applyInArrow(ask, "r long, block long, tokens binary, counts binary")
     replies = asked.groupBy("r").applyInArrow(add, "block long, r long, df binary")
-    return sets.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(choose, "token long, d1 long, id long, n long")
+    return sets.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(choose, "token long, d1 long, id long, n long, s long, v array<smallint>")
 
 
 PAIR = ["a_d1", "a_id", "b_d1", "b_id"]
@@ -317,11 +321,13 @@ def links(rows: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
     blocks = blocks_for(8 * tokens, parts)
     sets = checkpoint(node_sets(rows, live, blocks))
     post = stored(postings(sets, max(parts, tokens // 1_000_000), percent))
-    node = lambda p: F.struct(*[F.col(f"{p}{c}") for c in ("id", "d1", "n")])
-    centres = post.groupBy("token").agg(F.min(node("")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "c")
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    # the centre of a token's nodes is the one with the fewest tokens of its own, near which a group of edited copies lies
+    node = F.struct((F.col("n") - F.col("s")).alias("own"), "id", "d1", "n", "s")
+    centres = post.groupBy("token").agg(F.min(node).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "c")
+    # Only tokens that more than one node holds can be common, which bounds the similarity from sizes alone.
+    fits = lambda x, y: (100 + percent) * F.least(F.col(f"{x}s"), F.col(f"{y}s")) >= percent * (F.col(f"{x}n") + F.col(f"{y}n"))
     star = post.join(centres, "token").where((F.col("id") != F.col("c.id")) | (F.col("d1") != F.col("c.d1")))
-    star = star.where(fits(F.col("n"), F.col("c.n"))).select(F.col("d1").alias("a_d1"), F.col("id").alias("a_id"), F.col("c.d1").alias("b_d1"), F.col("c.id").alias("b_id")).distinct()
+    star = star.where(fits("", "c.")).select(F.col("d1").alias("a_d1"), F.col("id").alias("a_id"), F.col("c.d1").alias("b_d1"), F.col("c.id").alias("b_id")).distinct()
     star = stored(verify(sets, star, blocks, percent, True))
     joined = star.where("linked").select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
     label = components(joined)
@@ -332,14 +338,17 @@ def links(rows: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
     near = star.select(F.col("a_d1").alias("d1"), F.col("a_id").alias("id"), F.col("b_d1").alias("c_d1"), F.col("b_id").alias("c_id"), "distance")
     own = own.withColumn("c_id", F.col("c.id")).withColumn("c_d1", F.col("c.d1")).join(near, ["d1", "id", "c_d1", "c_id"], "left")
     own = own.withColumn("distance", F.when((F.col("id") == F.col("c_id")) & (F.col("d1") == F.col("c_d1")), F.lit(0.0)).otherwise(F.col("distance")))
-    own = stored(own.select("token", "d1", "id", "n", "component", (F.col("component") == F.col("main")).alias("major"), "distance"))
+    own = stored(own.select("token", "d1", "id", "n", "s", "v", "component", (F.col("component") == F.col("main")).alias("major"), "distance"))
     minor = own.where("NOT major")
     x, y = minor.alias("x"), own.join(minor.select("token").distinct(), "token", "left_semi").alias("y")
     apart = F.abs(F.col("x.distance") - F.col("y.distance")) > (1 - percent / 100 + 1e-9)
+    # tokens of one class can only be common with tokens of that class
+    most = F.aggregate(F.zip_with("x.v", "y.v", lambda a, b: F.least(a, b).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+    enough = (100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n"))
     rest = x.join(
         y,
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & fits(F.col("x.n"), F.col("y.n"))
-        & (F.col("y.major") | (F.col("x.id") < F.col("y.id"))) & ~F.coalesce(apart, F.lit(False)),
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & fits("x.", "y.")
+        & (F.col("y.major") | (F.col("x.id") < F.col("y.id"))) & ~F.coalesce(apart, F.lit(False)) & F.coalesce(enough, F.lit(True)),
     )
     rest = rest.select(*[F.col(f"{s}.{c}").alias(f"{t}_{c}") for s, t in (("x", "a"), ("y", "b")) for c in ("d1", "id")]).distinct()
     more = verify(sets, rest, blocks, percent, False).where("linked").select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
