@@ -117,7 +117,7 @@ def inverse_bwt(last: str) -> str:
     for _ in range(len(last)):
         out.append(last[i])
         i = first[i]
-    return "".join(out)
+    return "".join(out[1:] + out[:1])
 
 
 def occurrence_counts(df: DataFrame, by: list[str], bwt_col: str = "bwt") -> DataFrame:

@@ -50,8 +50,8 @@ def _chromosomes(spark, d):
     return items.where("ordinal % 2 = 0"), items.where("ordinal % 2 = 1")
 
 
-_CHROM = "o AS (SELECT item_id AS c, item_id % 2 AS side, seq, coalesce(sum(length(seq)) OVER (PARTITION BY item_id % 2 ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sh FROM items), ok AS (SELECT c, side, sh, seq, unnest(range(0, length(seq) - 8)) AS pos FROM o), km AS (SELECT c, side, (pos + sh)::BIGINT AS at, substr(seq, pos + 1, 9) AS kmer FROM ok)"
-_CHROM += f", st AS (SELECT c, at, kmer, '+' AS orient FROM km WHERE side = 1 UNION ALL SELECT c, at, {RC.format('kmer')}, '-' FROM km WHERE side = 1 UNION ALL SELECT c, at, reverse(kmer), '-' FROM km WHERE side = 1), cm AS (SELECT a.c AS p_chrom, b.c AS q_chrom, a.at AS i, b.at AS j, b.orient FROM km a JOIN st b USING (kmer) WHERE a.side = 0)"
+_CHROM = "o AS (SELECT item_id AS c, item_id % 2 AS side, seq, coalesce(sum(length(seq)) OVER (PARTITION BY item_id % 2 ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sh FROM items), ok AS (SELECT c, side, sh, seq, unnest(range(0, length(seq) - 8)) AS pos FROM o), km AS (SELECT c, side, (pos + sh)::BIGINT AS place, substr(seq, pos + 1, 9) AS kmer FROM ok)"
+_CHROM += f", st AS (SELECT c, place, kmer, '+' AS orient FROM km WHERE side = 1 UNION ALL SELECT c, place, {RC.format('kmer')}, '-' FROM km WHERE side = 1 UNION ALL SELECT c, place, reverse(kmer), '-' FROM km WHERE side = 1), cm AS (SELECT a.c AS p_chrom, b.c AS q_chrom, a.place AS i, b.place AS j, b.orient FROM km a JOIN st b USING (kmer) WHERE a.side = 0)"
 
 
 @query("gr4_shared_kmers_chromosomes", P.with_("items", more=_CHROM) + "SELECT * FROM cm")

@@ -26,7 +26,7 @@ def multi_fasta(spark: SparkSession, path: str, normalise: bool = False) -> Data
     without one; a header without a body line is dropped, one with a blank body line has an empty sequence. normalise skips
     blank lines, deletes inner spaces and upper-cases."""
     rows = _whole(spark, path).select("file", F.posexplode(_records(F.col("value"))).alias("n", "r"))
-    lines = F.split(F.regexp_replace("r", "\n$", ""), "\n")
+    lines = F.split(F.regexp_replace("r", "\n\\z", ""), "\n")
     body = F.when(F.col("n") == 0, lines).otherwise(F.slice(lines, 2, F.size(lines)))
     rows = rows.withColumn("body", body).where((F.size("body") > 0) & ((F.col("n") > 0) | (F.col("r") != "")))
     clean = F.transform("body", lambda x: F.upper(F.replace(x, F.lit(" "), F.lit(""))) if normalise else F.trim(x))

@@ -1 +1,2 @@
-
+"""Empty on purpose: the operators in scope have no unbounded source. Narrow ones (k-mer explosion, quality rules, token counts) also
+run on a streaming DataFrame as they are."""
