@@ -269,7 +269,7 @@ def multiple(seqs: list[str], mode: str = "pairs", mismatch: float = 1.0, gap: f
 def multiple_alignment(rows: DataFrame, by: list[str], seq: str = "seq", order: str = "ordinal", **options) -> DataFrame:
     """by, aligned (array, in order), score: each group's exact multiple alignment."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         got, score = multiple(pdf.sort_values(order)[seq].tolist(), **options)
         return pd.DataFrame({**{c: [k] for c, k in zip(by, key)}, "aligned": [got], "score": [score]})
 
@@ -296,3 +296,14 @@ def progressive(seqs: list[str], p: Scoring = Scoring()) -> list[str]:
             at += c != "-"
         rows = {x: "".join(r) for x, r in new.items()} | {k: b}
     return [rows[k] for k in range(len(seqs))]
+
+
+def progressive_alignment(rows: DataFrame, by: list[str], order: str = "ordinal", seq: str = "seq", scoring: Scoring = Scoring()) -> DataFrame:
+    """by, order, aligned: each group's sequences, progressively aligned."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        return pd.DataFrame({**{c: [k] * len(pdf) for c, k in zip(by, key)}, order: pdf[order], "aligned": progressive(pdf[seq].tolist(), scoring)})
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*by, order])
+    return rows.groupBy(*by).applyInPandas(run, f"{kinds}, aligned string")

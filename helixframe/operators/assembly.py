@@ -65,7 +65,7 @@ def euler_path(pairs: list[tuple], start) -> list:
 def euler_genome(kmers: DataFrame, by: list[str]) -> DataFrame:
     """The sequence that a group's k-mers spell along an Eulerian path; status tells whether every edge was used."""
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         es = sorted((k[:-1], k[1:]) for k in pdf["kmer"])
         balance: dict = defaultdict(int)
         for a, b in es:
@@ -83,7 +83,7 @@ def euler_genome(kmers: DataFrame, by: list[str]) -> DataFrame:
 def paired_genome(pairs: DataFrame, by: list[str], k: int, gap: int) -> DataFrame:
     """The sequence that read pairs spell; status says whether its two halves agree."""
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         es = sorted(((a[:-1], b[:-1]), (a[1:], b[1:])) for a, b in zip(pdf["a"], pdf["b"]))
         balance: dict = defaultdict(int)
         for a, b in es:
@@ -132,7 +132,7 @@ def _cycles(step: DataFrame, by: list[str], per_node: bool) -> DataFrame:
     """Edges that lie on no path from a head are isolated cycles."""
     kinds = ", ".join(f"{c} {step.schema[c].dataType.simpleString()}" for c in by)
 
-    def spell(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def spell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         nxt = dict(zip(pdf["src"], pdf["dst"]))
         left, out = set(nxt), []
         for s in sorted(nxt):

@@ -264,3 +264,25 @@ def model_rows(spark, m: Model) -> tuple[DataFrame, DataFrame]:
         spark.createDataFrame([(i, j, float(m.transition[i, j])) for i in n for j in n], "`from` int, `to` int, p double"),
         spark.createDataFrame([(i, c, float(m.emission[i, k])) for i in n for k, c in enumerate(m.alphabet)], "state int, sym string, p double"),
     )
+
+
+def full_transition(compact: np.ndarray) -> np.ndarray:
+    """The n x n matrix of a compact one, whose three columns are where a state may go (the last three rows: first and last column)."""
+    size = len(compact)
+    out = np.zeros((size, size))
+    for i in range(size - 1):
+        to = allowed(i, size)
+        out[i, to] = compact[i, [0, 2] if len(to) == 2 else [0, 1, 2]]
+    return out
+
+
+def expected(seqs: DataFrame, m: Model, key: str, seq: str = "seq") -> DataFrame:
+    """key, src, dst, n: expected transitions of each sequence."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: expected_counts(x, m)[0].ravel())
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    n = len(m.states)
+    cells = seqs.select(key, F.posexplode(F.pandas_udf(run, "array<double>")(seq)).alias("i", "n"))
+    return cells.select(key, (F.col("i") / n).cast("int").alias("src"), (F.col("i") % n).alias("dst"), "n")

@@ -163,3 +163,13 @@ def search(df: DataFrame, k: int, by: list[str], method: str = "greedy", order:
     run.__annotations__ = {"s": pd.Series, "r": pd.Series, "return": pd.DataFrame}
     made = F.pandas_udf(run, "struct<score:int,at:int,motifs:array<string>>")("_s", "_run")
     return rows.select(*by, made.alias("m")).groupBy(*by).agg(F.min("m").alias("m")).select(*by, "m.score", "m.motifs")
+
+
+def profile_random(df: DataFrame, profile_rows: DataFrame, k: int, by: list[str], seed: int, seq: str = "seq") -> DataFrame:
+    """by, kmer, pos: one k-mer of each sequence, drawn with the profile's probabilities (by an exponential clock a k-mer, so that
+    the draw is a minimum and needs no running sum)."""
+    p = profile_rows.groupBy().agg(F.array_sort(F.collect_list(F.struct("pos", "a", "c", "g", "t"))).alias("_p"))
+    scored = kmers(df, k, seq, by).crossJoin(F.broadcast(p)).withColumn("_s", probability(F.col("kmer"), F.col("_p")))  # one row of k places
+    u = (F.pmod(F.xxhash64(F.lit(seed), *by, "pos"), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
+    clock = F.when(F.col("_s") > 0, -F.ln(u) / F.col("_s")).otherwise(float("inf"))
+    return scored.groupBy(*by).agg(F.min(F.struct(clock.alias("c"), "pos", "kmer")).alias("b")).select(*by, "b.kmer", "b.pos")

@@ -113,7 +113,7 @@ def trees(dist: DataFrame, by: list[str], method: str = "upgma") -> DataFrame:
     """by, parent, child, child_ord, length: a tree for each group's distances (i, j, d)."""
     build = {"upgma": upgma, "neighbor_joining": neighbor_joining}[method]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(*key, *e) for e in build(*matrix(pdf))])
 
     kinds = ", ".join(f"{c} {dist.schema[c].dataType.simpleString()}" for c in by)
@@ -121,7 +121,7 @@ def trees(dist: DataFrame, by: list[str], method: str = "upgma") -> DataFrame:
 
 
 def newicks(tree_rows: DataFrame, by: list[str], decimals: int = 2) -> DataFrame:
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(*key, newick(list(pdf[["parent", "child", "child_ord", "length"]].itertuples(index=False, name=None)), decimals))])
 
     kinds = ", ".join(f"{c} {tree_rows.schema[c].dataType.simpleString()}" for c in by)
@@ -203,7 +203,7 @@ def parsimony_trees(rows: DataFrame, by: list[str], seeds: int = 1, order: str =
     """by, seed, score, newick: a search from each of several random trees; the searches run in parallel."""
     many = rows.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         names = [str(x) for x in pdf[order]]
         score, tree, root = parsimony_search(names, dict(zip(names, pdf[seq])), int(key[-1]))
@@ -212,3 +212,43 @@ def parsimony_trees(rows: DataFrame, by: list[str], seeds: int = 1, order: str =
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
     return many.groupBy(*by, "seed").applyInPandas(run, f"{kinds}{', ' if by else ''}seed int, score int, newick string")
+
+
+def small_parsimony(tree_rows: DataFrame, rows: DataFrame, by: list[str], order: str = "ordinal", seq: str = "seq") -> DataFrame:
+    """by, node, label, score: sequences for all nodes of given trees (parent, child, child_ord; leaves named by order)."""
+
+    def run(key: tuple, edges: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
+        tree: dict[str, list[str]] = {}
+        for p, c in edges.sort_values(["parent", "child_ord"])[["parent", "child"]].itertuples(index=False, name=None):
+            tree.setdefault(p, []).append(c)
+        root = next(iter(set(tree) - set(edges["child"])))
+        score, labels = parsimony(tree, root, {str(n): s for n, s in zip(leaves[order], leaves[seq])})
+        return pd.DataFrame([(*key, n, x, score) for n, x in labels.items()])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
+    return tree_rows.groupBy(*by).cogroup(rows.groupBy(*by)).applyInPandas(run, f"{kinds}, node string, label string, score int")
+
+
+def tree_variants(tree_rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, variant, parent, child, child_ord: the NNI neighbours of each tree."""
+
+    def run(key: tuple, edges: pd.DataFrame) -> pd.DataFrame:
+        tree: dict[str, list[str]] = {}
+        for p, c in edges.sort_values(["parent", "child_ord"])[["parent", "child"]].itertuples(index=False, name=None):
+            tree.setdefault(p, []).append(c)
+        rows = [(*key, v, p, c, o) for v, t in enumerate(nni(tree)) for p, cs in t.items() for o, c in enumerate(cs)]
+        return pd.DataFrame(rows, columns=[*by, "variant", "parent", "child", "child_ord"])
+
+    kinds = ", ".join(f"{c} {tree_rows.schema[c].dataType.simpleString()}" for c in by)
+    return tree_rows.groupBy(*by).applyInPandas(run, f"{kinds}, variant int, parent string, child string, child_ord int")
+
+
+def random_trees(rows: DataFrame, by: list[str], seed: int, order: str = "ordinal") -> DataFrame:
+    """by, parent, child, child_ord."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        tree, _ = random_tree([str(x) for x in sorted(pdf[order])], seed)
+        return pd.DataFrame([(*key, p, c, o) for p, cs in tree.items() for o, c in enumerate(cs)], columns=[*by, "parent", "child", "child_ord"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
+    return rows.groupBy(*by).applyInPandas(run, f"{kinds}, parent string, child string, child_ord int")

@@ -217,18 +217,26 @@ def two_break_scenario(p: list[list[int]], q: list[list[int]]) -> list[list[list
         steps.append(now)
 
 
+def _scenario_text(blocks) -> list[str]:
+    """blocks: (genome, chrom, ord, block) in order."""
+    genomes: dict[str, dict[int, list[int]]] = {"P": {}, "Q": {}}
+    for x in blocks:
+        genomes[x["genome"]].setdefault(x["chrom"], []).append(int(x["block"]))
+    p, q = (list(g.values()) for g in genomes.values())
+    if sorted(abs(b) for c in p for b in c) != sorted(abs(b) for c in q for b in c):
+        raise ValueError("the genomes have different blocks")
+    return [format_genome(s) for s in two_break_scenario(p, q)]
+
+
 def two_break_scenarios(genomes: DataFrame, by: list[str]) -> DataFrame:
-    """by, step, genome (text): one row a state."""
+    """by, step, genome (text): one row a state. A group's blocks are gathered into a row, so many groups share a batch."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        get = lambda g: [x.sort_values("ord")["block"].tolist() for _, x in pdf[pdf["genome"] == g].groupby("chrom")]
-        p, q = get("P"), get("Q")
-        if sorted(abs(b) for c in p for b in c) != sorted(abs(b) for c in q for b in c):
-            raise ValueError(f"{key}: the genomes have different blocks")
-        return pd.DataFrame([(*key, i, format_genome(s)) for i, s in enumerate(two_break_scenario(p, q))])
+    def run(b: pd.Series) -> pd.Series:
+        return b.map(_scenario_text)
 
-    kinds = ", ".join(f"{c} {genomes.schema[c].dataType.simpleString()}" for c in by)
-    return genomes.groupBy(*by).applyInPandas(run, f"{kinds}, step int, genome string")
+    run.__annotations__ = {"b": pd.Series, "return": pd.Series}
+    rows = genomes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("genome", "chrom", "ord", "block"))).alias("_b"))
+    return rows.select(*by, F.posexplode(F.pandas_udf(run, "array<string>")("_b")).alias("step", "genome"))
 
 
 def format_genome(genome: list[list[int]]) -> str:
@@ -237,3 +245,16 @@ def format_genome(genome: list[list[int]]) -> str:
 
 def format_permutation(perm: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(perm, lambda x: F.concat(F.when(x > 0, "+").otherwise(""), x.cast("string"))), " "), F.lit("]"))
+
+
+def missing_edges(genomes: DataFrame, by: list[str]) -> DataFrame:
+    """by, a, b: of Q's edges (smaller node first) that P lacks, the smallest. It lies on a cycle of more than two nodes; groups
+    without one are sorted."""
+    e = colored_edges(genomes, [*by, "genome"]).select(*by, "genome", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    q, p = e.where("genome = 'Q'").drop("genome"), e.where("genome = 'P'").drop("genome")
+    return q.join(p, [*by, "a", "b"], "left_anti").groupBy(*by).agg(F.min(F.struct("a", "b")).alias("e")).select(*by, "e.a", "e.b")
+
+
+def first_two_breaks(genomes: DataFrame, by: list[str]) -> DataFrame:
+    """by, genome: P after the one 2-break that makes its first missing edge."""
+    return two_break_scenarios(genomes, by).where("step = 1").select(*by, "genome")

@@ -221,7 +221,7 @@ def leaderboard(spectrum: list[int], top: int = 25, tolerance: int = 5, shift: i
 def sequence_spectra(spectra: DataFrame, spec: str = "spec_id", mass: str = "mass", method: str = "branch_and_bound", **options) -> DataFrame:
     """spec, pep, score: one peptide for each cyclic spectrum (decimasses, one row a mass)."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         s = pdf[mass].astype(int).tolist()
         pep, score = (branch_and_bound(s, **options), None) if method == "branch_and_bound" else leaderboard(s, **options)
         return pd.DataFrame({spec: [key[0]], "pep": [pep], "score": pd.array([score], "Int32")})

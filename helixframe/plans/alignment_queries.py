@@ -313,3 +313,42 @@ def hm13(spark, d):
 @query("hm14_most_divergent")
 def hm14(spark, d):
     return H.most_divergent(P.items(spark, d), MODEL, 2, order="item_id")
+
+
+def equal_lengths(spark, d):
+    """region, ordinal, seq: a region's sequences cut to its shortest, as an alignment without gaps."""
+    n = P.nations(spark, d)
+    size = n.groupBy("region").agg(F.min(F.length("seq")).alias("m"))
+    return n.join(size, "region").select("region", F.col("id").alias("ordinal"), F.left("seq", F.col("m")).alias("seq"))
+
+
+@query("ph9_small_parsimony")
+def ph9(spark, d):
+    rows = equal_lengths(spark, d)
+    return T.small_parsimony(T.trees(T.distances(rows, ["region"]), ["region"]), rows, ["region"])
+
+
+@query("ph10_random_trees")
+def ph10(spark, d):
+    return T.random_trees(equal_lengths(spark, d), ["region"], seed=4)
+
+
+@query("ph13_nni_variants")
+def ph13(spark, d):
+    return T.tree_variants(T.trees(region_distances(spark, d), ["region"]), ["region"])
+
+
+@query("cl4_format")
+def cl4(spark, d):
+    return C.format_clusters(C.nearest(P.points(spark, d), first_points(spark, d, 3)))
+
+
+@query("hm10_expected_transitions")
+def hm10(spark, d):
+    e = H.expected(P.items(spark, d), MODEL, "item_id")
+    return e.select("item_id", "src", "dst", F.round("n", 6).alias("n"))
+
+
+@query("io10_progressive_alignment")
+def io10(spark, d):
+    return A.progressive_alignment(P.nations(spark, d), ["region"], order="id")

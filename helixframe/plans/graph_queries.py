@@ -171,3 +171,13 @@ def gr21_steps(spark, d):
 @query("gr22_format", P.with_("blocks") + "SELECT o, '[' || array_to_string([CASE WHEN x > 0 THEN '+' ELSE '' END || x FOR x IN perm], ' ') || ']' AS text FROM perms")
 def gr22(spark, d):
     return P.permutations(spark, d).select("o", R.format_permutation(F.col("perm")).alias("text"))
+
+
+@query("gr19_first_two_break")
+def gr19(spark, d):
+    return R.first_two_breaks(P.order_blocks(spark, d), ["o"])
+
+
+@query("gr20_missing_edge", P.with_("blocks", more=_CE + ", ne AS (SELECT o, genome, least(a, b)::INT AS a, greatest(a, b)::INT AS b FROM ce)") + "SELECT o, a, b FROM (SELECT o, a, b, row_number() OVER (PARTITION BY o ORDER BY a, b) AS r FROM ne q WHERE genome = 'Q' AND NOT EXISTS (SELECT 1 FROM ne p WHERE p.genome = 'P' AND p.o = q.o AND p.a = q.a AND p.b = q.b)) WHERE r = 1")
+def gr20(spark, d):
+    return R.missing_edges(P.order_blocks(spark, d), ["o"]).select("o", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))

@@ -288,3 +288,8 @@ def ms7(spark, d):
 @query("ms9_gibbs_motifs")
 def ms9(spark, d):
     return motifs.search(_groups(spark, d), 12, ["g"], "gibbs", seeds=4)
+
+
+@query("ms8_profile_random")
+def ms8(spark, d):
+    return motifs.profile_random(P.items(spark, d), motifs.profile(region_motifs(spark, d), []), 8, ["item_id"], seed=2)
