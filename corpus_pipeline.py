@@ -50,16 +50,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated passages; a character of which a part goes, goes."""
-    found = suffix_dedup.dedup(docs.drop("n_chars")).select(*[c for c in docs.columns if c not in ("text", "n_chars")], "kept")
-    shape, columns = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes), list(docs.columns)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [k.decode("utf-8", "ignore") for k in b.column("kept").to_pylist()]
-            made = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
-            yield pa.RecordBatch.from_pydict({c: made[c] if c in made else b.column(c) for c in columns})
-
-    return found.mapInArrow(decode, shape)
+    found = suffix_dedup.dedup(docs, keep="string").withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long"))
+    return found.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,8 @@ from .common import shuffle_partitions, table
 from .exchange import batch, blocks_for, bloom, bloom_bits, in_bloom, mix, range_of, raw
 
 GRAM = 64
-PIECE = 2 << 20  # bytes that are hashed at once
+PIECE = 1 << 20  # bytes that are hashed at once
+BLOCK = 8 << 20  # bytes of text in a block
 U8 = np.uint64
 MULT = 0x9E3779B97F4A7C15 | 1
 LONG, BIN = pa.int64(), pa.binary()
@@ -101,7 +102,8 @@ def anchors(texts: list[bytes], length: int, gram: int = GRAM) -> tuple[np.ndarr
             last = np.append(new[1:], len(a)) - 1
             p = a[new]
             back = p - start
-            out.append((np.full(len(p), i), back + base, back - new, back - last, h[p]))
+            # smallest hashes are all small: mixed again, so that ranges of them hold alike many
+            out.append((np.full(len(p), i), back + base, back - new, back - last, mix(h[p], MULT)))
     if not out:
         return tuple(np.empty(0, np.int64) for _ in range(4)) + (np.empty(0, U8),)
     return tuple(np.concatenate(c) for c in zip(*out))
@@ -125,7 +127,7 @@ def repeated_anchors(rows: DataFrame, ranges: int, blocks: int, length: int) ->
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, grams = [], []
-        for b in batches:
+        for b in _slices(batches):
             texts = [t or b"" for t in b.column("text").cast(pa.large_binary()).to_pylist()]
             key = b.column("key").to_numpy()
             text, place, far, near, h = anchors(texts, length)
@@ -449,8 +451,9 @@ def _cut(text: bytes, starts: list[tuple[int, int]], length: int) -> tuple[bytes
     return b"".join(kept), removed, runs
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, keep_text: bool = True) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, kept_sha256 and, if keep_text, kept (binary) in place of the text."""
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, keep: str | None = "binary") -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept in place of the text: its bytes (binary), a string without
+    the characters of which a byte is gone (string), or nothing (None)."""
     if length <= GRAM or length - GRAM > 255 or length > 255:
         raise ValueError(f"length must be in {GRAM + 1}..255")
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -458,7 +461,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     parts = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.xxhash64(F.col(key)).alias("key"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in extra]).alias("other"))
     total = docs.select(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    blocks = blocks_for(total, parts)
+    blocks = blocks_for(total, parts, BLOCK)
     ranges = max(parts, total // (32 << 20))
     hits = stored(repeated_anchors(rows, ranges, blocks, length))
     owners = hits.mapInArrow(_owners, "key long")
@@ -470,19 +473,21 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     shape = f"key long, text {text_kind}, other {other.simpleString()}"
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             yield b.filter(pa.array(in_bloom(known.value, b.column("bits")))).select(["key", "text", "other"])
 
-    made = "other " + other.simpleString() + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    made = f"other {other.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {keep or 'binary'}"
+    form = {"binary": lambda k: k, "string": lambda k: k.decode("utf-8", "ignore"), None: lambda k: None}[keep]
+    kind = pa.string() if keep == "string" else BIN
 
     def result(other: pa.Array, found: list[tuple[int, bytes, int, int]]) -> dict:
         return {
             "other": other, "n_bytes": pa.array([n for n, *_ in found], LONG), "n_removed": pa.array([x for _, _, x, _ in found], LONG), "n_spans": pa.array([x for *_, x in found], LONG),
-            "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for _, k, *_ in found], pa.string()), "kept": pa.array([k if keep_text else None for _, k, *_ in found], BIN),
+            "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for _, k, *_ in found], pa.string()), "kept": pa.array([form(k) for _, k, *_ in found], kind),
         }
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             b = b.filter(pa.array(~in_bloom(known.value, b.column("bits"))))
             texts = [t or b"" for t in b.column("text").cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_pydict(result(b.column("other"), [(len(t), t, 0, 0) for t in texts]))
@@ -501,7 +506,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     found = stored(repeats(live.select("block", "key", "text"), hits, ranges, length))
     done = live.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, made)
     out = marked.mapInArrow(final, made).union(done)
-    return out.select(*[F.col("other")[c].alias(c) for c in extra], *results[: 5 if keep_text else 4])
+    return out.select(*[F.col("other")[c].alias(c) for c in extra], *results[: 5 if keep else 4])
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -512,4 +523,4 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=None)
