@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..operators.lineage import checkpoint, stored
-from .common import shuffle_partitions, table
+from .common import shuffle_partitions, table, trim
 from .exchange import batch, blocks_for, bloom, bloom_bits, in_bloom, mix, range_of, raw
 
 SECOND = 0x5851F42D4C957F2D  # salt of H2
@@ -42,7 +42,7 @@ THIRD = 0x14057B7EF767814F  # salt of the hash within DF
 U8 = np.uint64
 NOBODY = 0xFFFF
 CLASS_BITS = 6
-PART_TOKENS = 4_000_000
+PART_TOKENS = 2_000_000
 
 
 def token_sets(texts: list[bytes], n: int = 4) -> list[np.ndarray]:
@@ -143,6 +143,8 @@ def companions(rows: DataFrame, ranges: int, percent: int) -> DataFrame:
                         part, seen, d1s, sets, size = part + 1, set(), [], [], 0
         if sets:
             yield from flush()
+        del sets, d1s, seen
+        trim()
 
     def meet(t: pa.Table) -> pa.Table:
         if t.column("r")[0].as_py() < 0:
@@ -163,6 +165,8 @@ def companions(rows: DataFrame, ranges: int, percent: int) -> DataFrame:
         for i in range(len(six)):
             at, n = np.unique(owner[again & (row == i)], return_counts=True)
             out.append(raw(np.stack([at, n]).astype(np.int64)))
+        del six, token, owner, row, order, again, same
+        trim()
         return pa.table({"part": pa.array(parts, LONG), "tokens": pa.array([None] * len(parts), BIN), "owners": pa.array(out, BIN)})
 
     def judge(t: pa.Table) -> pa.Table:

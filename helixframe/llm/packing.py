@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, table, trim
 from .token_counts import Encoder, byte_batches
 
 WINDOW = 2048
@@ -47,6 +47,8 @@ def encode(rows: DataFrame, path: str, kind: str) -> DataFrame:
         for batch, texts in byte_batches(batches, "text"):
             ids = pa.array([b"".join(x) + end for x in encoder.of(texts)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("key"), ids], ["key", "ids"])
+        del encoder
+        trim()
 
     return rows.mapInArrow(run, f"key {kind}, ids binary")
 

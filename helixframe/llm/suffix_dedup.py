@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import stored
-from .common import shuffle_partitions, table
+from .common import shuffle_partitions, table, trim
 from .exchange import batch, blocks_for, bloom, bloom_bits, in_bloom, mix, range_of, raw
 
 GRAM = 64
@@ -150,6 +150,9 @@ def repeated_anchors(rows: DataFrame, ranges: int, blocks: int, length: int) ->
         full = [r for r in range(ranges) if cut[r] < cut[r + 1]]
         part = lambda x: ([raw(x[cut[r] : cut[r + 1]]) for r in full], BIN)
         yield batch({"r": (full, LONG), "grams": part(h), "hits": part(hits), "known": part(known)})
+        del found, grams, hits, h, known
+        _powers.clear()
+        trim()
 
     def meet(t: pa.Table) -> pa.Table:
         r = t.column("r")[0].as_py()
@@ -405,6 +408,8 @@ def repeats(texts: DataFrame, hits: DataFrame, ranges: int, length: int, gram: i
             out_data.append(Run.pack(run))
         n = len(out_r)
         d = np.array(done, np.int64).reshape(-1, 3)
+        del by, done, data
+        trim()
         return pa.table({"r": pa.array([*out_r, -1 - block], LONG), "block": pa.array([block] * (n + 1), LONG), "data": pa.array([*out_data, raw(d)], BIN)})
 
     def merge(t: pa.Table) -> pa.Table:
@@ -429,6 +434,8 @@ def repeats(texts: DataFrame, hits: DataFrame, ranges: int, length: int, gram: i
             members.append((text, record))
             lcps.append(known)
         flush()
+        del packed
+        trim()
         return pa.table({"block": pa.array(list(out), LONG), "data": pa.array([raw(np.array(x, np.int64)) for x in out.values()], BIN)})
 
     runs = texts.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(sort, "r long, block long, data binary")

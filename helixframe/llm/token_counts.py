@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-CACHE_PARTS = 500_000
+CACHE_PARTS = 350_000
 BATCH_BYTES = 8 << 20
 
 
