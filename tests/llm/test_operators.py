@@ -297,7 +297,7 @@ def test_language_id(spark):
 
 def test_pipeline_against_brute_force(spark, docs, folder):
     d = docs
-    stay = {r["doc_id"] for r in quality_rules.measure(d).where("kept").collect()}
+    stay = {r["doc_id"] for r in quality_rules.measure(d).select("doc_id", "kept").collect() if r["kept"]}
     one = corpus_pipeline.quality(spark, d, folder[0])
     assert one.columns == d.columns and {r["doc_id"] for r in one.collect()} == stay
     rows = [r for r in corpus() if r[0] in stay]
