@@ -28,7 +28,6 @@ from .token_counts import Encoder, byte_batches
 WINDOW = 2048
 END = 1
 SHARD_DOCS, SHARD_TOKENS = 2048, 6_000_000
-QUERY_TERMS = 64  # of a seed, those that weigh most
 K1, B = 1.2, 0.75
 
 
@@ -98,12 +97,7 @@ class Index:
         self.doc, self.weight = doc[order], weight[order]
         self.start = np.searchsorted(token[order], np.arange((1 << 16) + 1))
         self.n = len(docs)
-        at = np.cumsum([0, *(len(t) for t, _ in found)])
-        self.query = []
-        for i, (t, _) in enumerate(found):
-            w = weight[at[i] : at[i + 1]]
-            top = np.argpartition(-w, QUERY_TERMS - 1)[:QUERY_TERMS] if len(w) > QUERY_TERMS else slice(None)
-            self.query.append(t[top])
+        self.query = [t for t, _ in found]
 
     def scores(self, i: int) -> np.ndarray:
         """Of each document of the shard as a neighbour of document i."""

@@ -251,6 +251,19 @@ def test_bm25_against_the_formula():
         assert np.allclose(index.scores(i), want, rtol=1e-4)
 
 
+def test_bm25_scores_every_token_of_long_documents():
+    r = np.random.default_rng(2)
+    docs = [r.integers(0, 900, n).astype("<u2") for n in (40, 300, 700, 1500)]
+    idf = r.random(1 << 16).astype(np.float32)
+    index = packing.Index(docs, idf, 600.0)
+    for i in range(len(docs)):
+        want = []
+        for d in docs:
+            norm = packing.K1 * (1 - packing.B + packing.B * len(d) / 600)
+            want.append(sum(idf[t] * (d == t).sum() * (packing.K1 + 1) / ((d == t).sum() + norm) for t in set(docs[i].tolist())))
+        assert np.allclose(index.scores(i), want, rtol=1e-4)
+
+
 def test_sentence_pieces(docs):
     import sentencepiece
 
