@@ -1,13 +1,17 @@
 """Packing by lexical retrieval.
 
-Texts are encoded once, to two bytes a token, and checkpointed. A first pass over them counts, for each token of the
-vocabulary (a fixed number of counters), the documents that hold it, over the whole corpus. The second packs partition by partition, in shards of bounded size: a shard's documents get a BM25
-inverted index over their tokens; a seed document opens a window, the best-scored unused neighbours fill it greedily, the
-last of them is cut where the window ends, and its rest opens the next one. Documents longer than a window give whole windows
-first. What is left at the end of a partition goes into sequences of power-of-two lengths, so nothing is padded.
-
-Sequence ids are (partition, running number), which a retried task repeats. Defined cases: null and empty texts are the end token alone; repeated rows
-are separate documents; an empty table gives no rows; ties in score go to the earlier document; only the key and the text are read.
+Texts are encoded once, to two bytes a token, and stored. Document frequencies are counted over the whole corpus, and a BM25
+inverted index over all documents is kept in shards of bounded size. Chains of windows grow side by side, a number of them that
+goes by the tokens of the corpus: a seed document opens a window, its best-scored unused neighbours fill it greedily, the last of them
+is cut where the window ends, and its rest opens the next one. In each round the seeds of all chains are put to every shard, over the
+documents that are unused, the shards' lists are merged, and the chains take from them in order; a chain whose list ends before its window is full asks again.
+So each neighbour taken is the best of the whole corpus that no chain before has taken, and shards bound memory only. Documents longer than a window give whole
+windows first. The open windows of all chains are joined, and what is left of that goes into sequences of power-of-two lengths, so nothing is padded.
+
+Work grows with documents times windows. The driver keeps some 30 bytes a document, and executors get one bit of each.
+
+Defined cases: null and empty texts are the end token alone; repeated rows are separate documents; an empty table gives no rows; ties in
+score go to the earlier document (scores are sums of whole numbers, so they are exact); only the key and the text are read.
 """
 
 from __future__ import annotations
@@ -22,12 +26,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table, trim
+from ..operators.lineage import stored
+from .common import table, trim
 from .token_counts import Encoder, byte_batches
 
 WINDOW = 2048
 END = 1
-SHARD_DOCS, SHARD_TOKENS = 2048, 6_000_000
+SHARD_DOCS, SHARD_TOKENS = 1 << 14, 6_000_000  # of the index, in one task
+CHAINS, ROUNDS = 8192, 16  # chains at most; windows a chain, below that
+NEIGHBOURS, LISTED = 16, 1 << 21  # listed for a seed at first, and for all seeds of a round at most
+BLOCK, POSTINGS = 16, 1 << 21  # seeds scored at once, and their postings, about
+DENSE, DENSE_BYTES = 10, 64 << 20  # tokens in a DENSEth of a shard's documents are rows of a matrix
+UNIT = float(1 << 24)  # weights are whole multiples of 1 / UNIT
+POS = 33  # bits of a row's number within its partition
 K1, B = 1.2, 0.75
 
 
@@ -36,20 +47,22 @@ def _packed(ids: list[int]) -> bytes:
 
 
 def encode(rows: DataFrame, path: str, kind: str) -> DataFrame:
-    """key and token ids, the end token included, two bytes an id (ids are below 65,536)."""
+    """key, id (partition and number within it) and token ids, the end token included, two bytes an id (ids are below 65,536)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, _packed)
         if encoder.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids don't fit two bytes")
         end = _packed([END])
+        at = TaskContext.get().partitionId() << POS
         for batch, texts in byte_batches(batches, "text"):
             ids = pa.array([b"".join(x) + end for x in encoder.of(texts)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), ids], ["key", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.arange(at, at + len(ids))), ids], ["key", "id", "ids"])
+            at += len(ids)
         del encoder
         trim()
 
-    return rows.mapInArrow(run, f"key {kind}, ids binary")
+    return rows.mapInArrow(run, f"key {kind}, id long, ids binary")
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -83,138 +96,277 @@ def corpus_statistics(rows: DataFrame) -> tuple[np.ndarray, int, int]:
     return df[:-2], int(df[-2]), int(df[-1])
 
 
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all spans, one span after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+class Postings:
+    """BM25 over one shard: documents are n_terms distinct tokens each, one after the other, with their counts."""
+
+    def __init__(self, token: np.ndarray, tf: np.ndarray, n_terms: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float):
+        self.n = n = len(length)
+        doc = np.repeat(np.arange(n, dtype=np.int32), n_terms)
+        norm = (K1 * (1 - B + B * length.astype(np.float32) / np.float32(mean))).astype(np.float32)
+        tf = tf.astype(np.float32)
+        weight = np.rint((idf[token] * tf * np.float32(K1 + 1) / (tf + norm[doc])).astype(np.float64) * UNIT)
+        order = np.argsort(token, kind="stable")
+        self.doc, self.weight = doc[order], weight[order]
+        self.df = np.bincount(token, minlength=1 << 16)
+        self.start = np.cumsum(self.df) - self.df
+        often = np.argsort(-self.df, kind="stable")[: DENSE_BYTES // (8 * max(1, n))]
+        often = often[self.df[often] * DENSE >= max(n, 1)] if n >= 64 else often[:0]
+        self.row = np.full(1 << 16, -1)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n))
+        for i, t in enumerate(often.tolist()):
+            s = slice(self.start[t], self.start[t] + self.df[t])
+            self.dense[i, self.doc[s]] = self.weight[s]
+
+    def some(self, queries: list[np.ndarray]) -> np.ndarray:
+        query = np.repeat(np.arange(len(queries)), [len(q) for q in queries])
+        token = np.concatenate(queries)
+        row = self.row[token]
+        pick = np.zeros((len(queries), len(self.dense)))
+        pick[query[row >= 0], row[row >= 0]] = 1
+        query, token = query[row < 0], token[row < 0]
+        size = self.df[token]
+        at = spans(self.start[token], size)
+        cell = np.repeat(query * self.n, size) + self.doc[at]
+        return np.bincount(cell, self.weight[at], len(queries) * self.n).reshape(len(queries), self.n) + pick @ self.dense
+
+    def scores(self, queries: list[np.ndarray]) -> Iterator[np.ndarray]:
+        """Of all documents, times UNIT; some queries at a time, in order."""
+        at = 0
+        while at < len(queries):
+            stop, size = at, 0
+            while stop < min(len(queries), at + BLOCK) and (stop == at or size < POSTINGS):
+                q = queries[stop]
+                size += int(self.df[q[self.row[q] < 0]].sum())
+                stop += 1
+            yield self.some(queries[at:stop])
+            at = stop
+
+    def best(self, queries: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and numbers of the k best documents of each query, the earlier first of equals, in no order otherwise."""
+        k, bits = min(k, self.n), max(1, (self.n - 1).bit_length())
+        last = (1 << bits) - 1
+        found = []
+        for s in self.scores(queries):
+            x = (s.astype(np.int64) << bits) | (last - np.arange(self.n))
+            found.append(np.partition(x, self.n - k, axis=1)[:, self.n - k :] if k < self.n else x)
+        x = np.concatenate(found)
+        return x >> bits, last - (x & last)
+
+
 class Index:
-    """BM25 over one shard."""
+    """BM25 over a list of documents."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         found = [terms(x) for x in docs]
-        doc = np.repeat(np.arange(len(docs), dtype=np.int32), [len(t) for t, _ in found])
-        token = np.concatenate([t for t, _ in found])
-        tf = np.concatenate([c for _, c in found]).astype(np.float32)
-        norm = (K1 * (1 - B + B * np.array([len(x) for x in docs], np.float32) / mean)).astype(np.float32)
-        weight = idf[token] * tf * (K1 + 1) / (tf + norm[doc])
-        order = np.argsort(token, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.start = np.searchsorted(token[order], np.arange((1 << 16) + 1))
-        self.n = len(docs)
         self.query = [t for t, _ in found]
+        counts = np.concatenate([c for _, c in found])
+        self.postings = Postings(np.concatenate(self.query), counts, np.array([len(t) for t in self.query]), np.array([len(x) for x in docs]), idf, mean)
 
     def scores(self, i: int) -> np.ndarray:
-        """Of each document of the shard as a neighbour of document i."""
-        spans = [slice(self.start[t], self.start[t + 1]) for t in self.query[i].tolist()]
-        docs = np.concatenate([self.doc[s] for s in spans])
-        return np.bincount(docs, np.concatenate([self.weight[s] for s in spans]), self.n)
-
-
-class Packer:
-    """Turns documents into pieces (key, start, length, crc32, tokens of the document, sequence, offset)."""
-
-    def __init__(self, first: int, idf: np.ndarray, mean: float):
-        self.sequence, self.offset, self.idf, self.mean = first, 0, idf, mean
-        self.open: list[tuple] = []  # pieces of the window that isn't full
-
-    def put(self, key, ids: np.ndarray, start: int, stop: int) -> Iterator[tuple]:
-        """Ids start to stop go to the open window and further ones."""
-        while start < stop:
-            n = min(stop - start, WINDOW - self.offset)
-            self.open.append((key, start, ids[start : start + n], len(ids), self.offset))
-            self.offset += n
-            start += n
-            if self.offset == WINDOW:
-                yield from self.close()
-
-    def close(self) -> Iterator[tuple]:
-        for key, start, ids, total, offset in self.open:
-            yield key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, self.sequence, offset
-        self.sequence, self.offset, self.open = self.sequence + 1, 0, []
-
-    def finish(self) -> Iterator[tuple]:
-        """The open window, as sequences of power-of-two lengths."""
-        rest, room = self.open, 0
-        self.open, left = [], self.offset
-        self.offset = 0
-        for key, start, ids, total, _ in rest:
-            at = 0
-            while at < len(ids):
-                if not room:
-                    room = 1 << (left.bit_length() - 1)
-                n = min(room, len(ids) - at)
-                self.open.append((key, start + at, ids[at : at + n], total, self.offset))
-                self.offset, at, room, left = self.offset + n, at + n, room - n, left - n
-                if not room:
-                    yield from self.close()
-
-    def shard(self, keys: list, docs: list[np.ndarray]) -> Iterator[tuple]:
-        index = Index(docs, self.idf, self.mean)
-        unused = np.ones(len(docs), bool)
-        seed, next_seed = -1, 0
-        while True:
-            if seed < 0:  # a window's end fell between documents
-                while next_seed < len(docs) and not unused[next_seed]:
-                    next_seed += 1
-                if next_seed == len(docs):
-                    return
-                seed = next_seed
-                unused[seed] = False
-                yield from self.put(keys[seed], docs[seed], 0, len(docs[seed]))
-            window = self.sequence
-            s = np.where(unused, index.scores(seed), -1.0)
-            room = WINDOW - self.offset
-            k = min(len(s), 32)
-            last = -1
-            while self.sequence == window and unused.any():
-                best = np.argpartition(-s, k - 1)[:k] if k < len(s) else np.arange(len(s))
-                best = best[np.lexsort((best, -s[best]))]
-                for i in best[s[best] >= 0].tolist():
+        """Of each document as a neighbour of document i."""
+        return next(self.postings.scores([self.query[i]]))[0] / UNIT
+
+
+def shards(rows: DataFrame, base: np.ndarray, shard_docs: int) -> DataFrame:
+    """One row a shard: numbers of its documents in the corpus, their lengths, distinct tokens and counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, docs, size = [], [], 0
+
+        def shard() -> pa.RecordBatch:
+            order = np.argsort(np.array(numbers), kind="stable")
+            found = [terms(docs[i]) for i in order.tolist()]
+            columns = [np.array(numbers, np.int64)[order], np.array([len(x) for x in docs], np.int32)[order], np.array([len(t) for t, _ in found], np.int32)]
+            columns += [np.concatenate([t for t, _ in found]).astype("<u2"), np.concatenate([c for _, c in found]).astype(np.int32)]
+            return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["number", "length", "n_terms", "token", "tf"])
+
+        for batch, ids in unpacked(batches):
+            for i, x in zip(batch.column("id").to_pylist(), ids):
+                numbers.append(int(base[i >> POS]) + (i & ((1 << POS) - 1)))
+                docs.append(x)
+                size += len(x)
+                if len(docs) >= shard_docs or size >= SHARD_TOKENS:
+                    yield shard()
+                    numbers, docs, size = [], [], 0
+        if docs:
+            yield shard()
+        trim()
+
+    return rows.mapInArrow(run, "number binary, length binary, n_terms binary, token binary, tf binary")
+
+
+TYPES = {"number": np.int64, "length": np.int32, "n_terms": np.int32, "token": "<u2", "tf": np.int32}
+
+
+def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {n: np.frombuffer(b.column(n)[i].as_py(), TYPES[n]) for n in b.schema.names}
+
+
+def seed_terms(index: DataFrame, wanted: list[int]) -> dict[int, tuple[int, np.ndarray]]:
+    """Length and distinct tokens of documents, at most one a chain."""
+    known = index.sparkSession.sparkContext.broadcast(np.array(sorted(wanted), np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in shard_rows(batches):
+            at = np.flatnonzero(np.isin(s["number"], known.value))
+            stop = np.cumsum(s["n_terms"])
+            token = [s["token"][stop[i] - s["n_terms"][i] : stop[i]].tobytes() for i in at.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(s["number"][at]), pa.array(s["length"][at]), pa.array(token, pa.binary())], ["number", "length", "token"])
+
+    found = index.select("number", "length", "n_terms", "token").mapInArrow(run, "number long, length int, token binary").toArrow()
+    known.unpersist()
+    return {i: (n, np.frombuffer(t, "<u2")) for i, n, t in zip(*(found.column(c).to_pylist() for c in ("number", "length", "token")))}
+
+
+def neighbours(index: DataFrame, model, unused: np.ndarray, queries: list[np.ndarray], k: int) -> Iterator[tuple[list[int], list[int]]]:
+    """Of each query the k best unused documents of the whole corpus, best first, and their lengths."""
+    group = 256
+    sent = index.sparkSession.sparkContext.broadcast((np.packbits(unused), queries))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, mean = model.value
+        bits, asked = sent.value
+        free = np.unpackbits(bits).astype(bool)
+        for s in shard_rows(batches):
+            stay = free[s["number"]]
+            if not stay.any():
+                continue
+            each = np.repeat(stay, s["n_terms"])
+            number, length = s["number"][stay], s["length"][stay]
+            postings = Postings(s["token"][each], s["tf"][each], s["n_terms"][stay], length, idf, mean)
+            for g in range(0, len(asked), group):
+                score, at = postings.best(asked[g : g + group], k)
+                columns = [score.astype(np.int64), number[at], length[at]]
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), *(pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in columns)], ["block", "score", "number", "length"])
+        trim()
+
+    def merge(table: pa.Table) -> pa.Table:
+        g = table.column("block")[0].as_py()
+        n = min(group, len(sent.value[1]) - g)
+        score, number, length = (np.concatenate([np.frombuffer(x, t).reshape(n, -1) for x in table.column(c).to_pylist()], axis=1) for c, t in (("score", np.int64), ("number", np.int64), ("length", np.int32)))
+        order = np.lexsort((number, -score))[:, :k]
+        columns = [np.take_along_axis(x, order, 1) for x in (number, length)]
+        return pa.table([pa.array([g], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], ["block", "number", "length"])
+
+    found = index.mapInArrow(run, "block long, score binary, number binary, length binary").groupBy("block").applyInArrow(merge, "block long, number binary, length binary").toArrow().sort_by("block")
+    sent.unpersist()
+    for g, number, length in zip(*(found.column(c).to_pylist() for c in ("block", "number", "length"))):
+        n = min(group, len(queries) - g)
+        yield from zip(np.frombuffer(number, np.int64).reshape(n, -1).tolist(), np.frombuffer(length, np.int32).reshape(n, -1).tolist())
+
+
+def chained(index: DataFrame, model, n_docs: int, n_chains: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chain of each document, its offset there, and the length of each chain."""
+    chain, offset, end = np.full(n_docs, -1, np.int32), np.zeros(n_docs, np.int64), np.zeros(n_chains, np.int64)
+    unused, left, following, k = np.ones(n_docs, bool), n_docs, 0, NEIGHBOURS
+    seed, query, goal = [-1] * n_chains, {}, [0] * n_chains
+
+    def put(c: int, i: int, length: int) -> None:
+        chain[i], offset[i] = c, end[c]
+        end[c] += length
+
+    while left:
+        new = []
+        for c in range(n_chains):
+            if seed[c] < 0 and left:  # a window's end fell between documents
+                while not unused[following]:
+                    following += 1
+                seed[c] = following
+                unused[following] = False
+                left -= 1
+                new.append(c)
+        query = {i: query[i] for i in seed if i in query}
+        query |= seed_terms(index, [i for i in seed if i >= 0 and i not in query])
+        for c in new:
+            put(c, seed[c], query[seed[c]][0])
+            goal[c] = (int(end[c]) // WINDOW + 1) * WINDOW
+        if not left:
+            break
+        asking = [c for c in range(n_chains) if seed[c] >= 0]
+        k, closed = min(k, max(NEIGHBOURS, LISTED // len(asking))), 0
+        for c, (numbers, lengths) in zip(asking, neighbours(index, model, unused, [query[seed[c]][1] for c in asking], k)):
+            for i, length in zip(numbers, lengths):
+                if unused[i]:
                     unused[i] = False
-                    s[i] = -1.0
-                    yield from self.put(keys[i], docs[i], 0, len(docs[i]))
-                    last = i
-                    if self.sequence != window:
+                    left -= 1
+                    put(c, i, length)
+                    if end[c] >= goal[c]:
+                        seed[c] = i if end[c] % WINDOW else -1
+                        goal[c] = (int(end[c]) // WINDOW + 1) * WINDOW
+                        closed += 1
                         break
-            seed = last if self.sequence != window and self.offset and room else -1
-            if not unused.any():
-                return
+        k = 2 * k if 2 * closed < len(asking) else k  # many seeds want the same documents, or small ones
+    return chain, offset, end
+
+
+class Layout:
+    """Where the tokens of chains go: whole windows, then the chains' ends one after the other."""
+
+    def __init__(self, end: np.ndarray):
+        self.whole = end // WINDOW * WINDOW
+        self.first = np.cumsum(self.whole // WINDOW) - self.whole // WINDOW
+        tail = end - self.whole
+        self.tail = np.cumsum(tail) - tail
+        self.windows, self.rest = int(self.whole.sum()) // WINDOW, int(tail.sum())
+
+    def at(self, c: int, offset: int) -> tuple[int, int, int]:
+        """Sequence, offset in it and its length."""
+        if offset < self.whole[c]:
+            return int(self.first[c]) + offset // WINDOW, offset % WINDOW, WINDOW
+        t = int(self.tail[c]) + offset - int(self.whole[c])
+        full = self.rest // WINDOW
+        if t < full * WINDOW:
+            return self.windows + t // WINDOW, t % WINDOW, WINDOW
+        t, left, sequence = t - full * WINDOW, self.rest - full * WINDOW, self.windows + full
+        while True:
+            n = 1 << (left.bit_length() - 1)
+            if t < n:
+                return sequence, t, n
+            t, left, sequence = t - n, left - n, sequence + 1
 
 
-def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", n_chains: int | None = None, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
-    rows = checkpoint(encode(df.select(F.col(key).alias("key"), F.col(text).alias("text")), path, kind))
+    rows = stored(encode(df.select(F.col(key).alias("key"), F.col(text).alias("text")), path, kind))
+    names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     df_counts, n_docs, n_tokens = corpus_statistics(rows)
+    parts = {r["part"]: r["n"] for r in rows.groupBy(F.shiftright("id", POS).alias("part")).agg(F.count("*").alias("n")).collect()}
+    counts = np.array([parts.get(i, 0) for i in range(max(parts, default=-1) + 1)], np.int64)
+    base = np.cumsum(counts) - counts
     idf = np.log(1 + (n_docs - df_counts + 0.5) / (df_counts + 0.5)).astype(np.float32)
-    model = df.sparkSession.sparkContext.broadcast((idf, n_tokens / max(1, n_docs)))  # one number a token of the vocabulary
-    names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    model = spark.sparkContext.broadcast((idf, n_tokens / max(1, n_docs)))  # one number a token of the vocabulary
+    n_chains = n_chains or min(CHAINS, -(-n_tokens // (WINDOW * ROUNDS)))
+    chain, offset, end = chained(stored(shards(rows, base, shard_docs)), model, n_docs, n_chains)
+    layout = spark.sparkContext.broadcast(Layout(end))  # of CHAINS chains at most
+    ids = np.repeat(np.arange(len(counts)) << POS, counts) + np.arange(n_docs) - np.repeat(base, counts)
+    placed = spark.createDataFrame(pa.table([pa.array(ids, pa.int64()), pa.array(chain, pa.int32()), pa.array(offset, pa.int64())], ["id", "chain", "at"]), "id long, chain int, at long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(TaskContext.get().partitionId() << 36, *model.value)
-        keys, docs, size, out = [], [], 0, []
-
-        kind_of_key = None
-
-        def flush(pieces: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*pieces))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], kind_of_key), *(pa.array(c, pa.int64()) for c in cols[1:])], names)
-
+        place = layout.value
         for batch, ids in unpacked(batches):
-            kind_of_key = batch.column("key").type
-            for a, b in zip(batch.column("key").to_pylist(), ids):
-                keys.append(a)
-                docs.append(b)
-                size += len(b)
-                if len(docs) == SHARD_DOCS or size >= SHARD_TOKENS:
-                    out += packer.shard(keys, docs)
-                    keys, docs, size = [], [], 0
-            if len(out) > 10_000:
-                yield flush(out)
-                out = []
-        if docs:
-            out += packer.shard(keys, docs)
-        out += packer.finish()
-        if out:
-            yield flush(out)
-
-    found = rows.mapInArrow(run, f"key {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
+            out, row = [], []
+            for i, (x, c, at) in enumerate(zip(ids, batch.column("chain").to_pylist(), batch.column("at").to_pylist())):
+                start = 0
+                while start < len(x):
+                    sequence, o, room = place.at(c, at + start)
+                    n = min(room - o, len(x) - start)
+                    row.append(i)
+                    out.append((start, n, zlib.crc32(x[start : start + n].astype("<u4").tobytes()), len(x), sequence, o))
+                    start += n
+            columns = zip(*out) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in columns)], names)
+
+    found = rows.join(placed, "id").select("key", "ids", "chain", "at").mapInArrow(run, f"key {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
     return found.withColumnRenamed("key", key)
 
 

@@ -238,6 +238,58 @@ def test_packing(docs):
     check_packing(packing.pack(docs, P.path("word_bpe_49k.json")).collect(), library_ids())
 
 
+@pytest.mark.parametrize("parts, n_chains, shard_docs", [(1, 1, 7), (5, 3, 4), (8, 2, 1000)])
+def test_packing_takes_the_best_of_the_whole_corpus(spark, parts, n_chains, shard_docs):
+    """Each neighbour is the best-scored document that was free, in whatever partition or shard it lies."""
+    r = random.Random(4)
+    topics = [["".join(r.choice("aeioustrnlm") for _ in range(6)) for _ in range(120)] for _ in range(8)]
+    # documents of one topic are as far apart as can be
+    rows = [(i, " ".join(r.choice(topics[i % 8] if r.random() < 0.8 else topics[r.randrange(8)]) for _ in range(r.randrange(90, 260)))) for i in range(96)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    got = packing.pack(df, P.path("word_bpe_49k.json"), n_chains=n_chains, shard_docs=shard_docs).collect()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids = [np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u2") for _, x in rows]
+    check_packing(got, {i: x[:-1].tolist() for i, x in enumerate(ids)})
+    df_counts = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=1 << 16)
+    idf = np.log(1 + (len(ids) - df_counts + 0.5) / (df_counts + 0.5)).astype(np.float32)
+    index = packing.Index(ids, idf, sum(map(len, ids)) / len(ids))
+    # plain greedy over all documents, chains in turn
+    free = list(range(len(ids)))
+    state = [None] * n_chains
+    size, order = [0] * n_chains, [[] for _ in range(n_chains)]
+    while free:
+        for c in range(n_chains):
+            if state[c] is None and free:
+                state[c] = free.pop(0)
+                order[c].append(state[c])
+                size[c] += len(ids[state[c]])
+        for c in range(n_chains):
+            if state[c] is None:
+                continue
+            goal, s = (size[c] // 2048 + 1) * 2048, index.scores(state[c])
+            while free and size[c] < goal:
+                last = max(free, key=lambda i: (s[i], -i))
+                free.remove(last)
+                order[c].append(last)
+                size[c] += len(ids[last])
+            if size[c] >= goal:
+                state[c] = last if size[c] % 2048 else None
+    want = set()
+    for o in order:
+        at = 0
+        for a, b in zip(o, o[1:]):
+            at += len(ids[a])
+            if at % 2048 and at < sum(len(ids[i]) for i in o) // 2048 * 2048:
+                want.add((a, b))  # b begins in the window where a ends
+    by_sequence = {}
+    for x in got:
+        by_sequence.setdefault(x["sequence_id"], []).append((x["offset"], x["doc_id"]))
+    beside = {(a[1], b[1]) for p in by_sequence.values() for a, b in zip(sorted(p), sorted(p)[1:])}
+    assert want and want <= beside
+
+
 def test_bm25_against_the_formula():
     r = np.random.default_rng(1)
     docs = [r.integers(0, 40, r.integers(3, 30)).astype("<u2") for _ in range(12)]
