@@ -2,28 +2,30 @@
 
 Rules are SQL expressions. For the urls that no rule fits, host labels and path tokens are split into words by a unigram
 Viterbi (word counts come from the titles of all pages, the vocabulary is bounded by `vocabulary`), and multinomial
-naive Bayes scores the words. It is fitted on a bounded sample of urls (`sample_rows`) labelled by seed words in
-their segmented hosts: a url is a bad example if its host holds one. The tables that executors get are of bounded size.
+naive Bayes scores the words. It is fitted on all urls, labelled by seed words in their segmented hosts: a url is a bad example if
+its host holds one. Tokens are counted by class over the whole table. The tables that executors get are of bounded size: the weights of the most
+frequent tokens (`model_tokens`) are sent to them, those of all others joined. Weights are whole multiples of 2^-40, so sums are exact.
 
 Defined cases: a null url, and one without ://, has an empty host and path and is allowed; of rules of equal
-length the first listed wins; repeated rows are each returned; with no sample, everything is allowed; only key, url and html are read.
+length the first listed wins; repeated rows are each returned; with no bad example in the whole table, everything is allowed; only key, url and html are read.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import stored
 from .common import table
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 SEEDS = frozenset({"spam", "casino", "viagra", "porn", "xxx", "phish", "phishing", "malware", "warez", "pills", "scam"})
+UNIT = float(1 << 40)  # of the weights of tokens
 PARTS = re.compile(r"[a-z]+|[0-9]+|[^\W\d_a-z]+")
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -83,56 +85,72 @@ def tokens(segmenter: Segmenter, host: str, path: str) -> list[str]:
     return list(dict.fromkeys([f"h:{w}" for w in split(host)] + [f"p:{w}" for w in split(path.lower())]))
 
 
-class Bayes:
-    """Multinomial naive Bayes of bad against good."""
-
-    def __init__(self, examples: list[tuple[list[str], bool]]):
-        self.n = Counter(bad for _, bad in examples)
-        seen = {b: Counter(t for ts, bad in examples if bad is b for t in ts) for b in (True, False)}
-        size = len(seen[True].keys() | seen[False].keys()) + 1
-        total = {b: sum(c.values()) + size for b, c in seen.items()}
-        self.ratio = {t: math.log((seen[True][t] + 1) / total[True]) - math.log((seen[False][t] + 1) / total[False]) for t in seen[True] | seen[False]}
-        self.other = math.log(total[False] / total[True])
-        self.prior = math.log((self.n[True] + 1) / (self.n[False] + 1)) if self.n[True] else -math.inf
-
-
-def bad(ratio: dict[str, float], other: float, prior: float, ts: list[str]) -> bool:
-    return prior + sum(ratio.get(t, other) for t in ts) > 0
-
-
-def fit(pages: DataFrame, vocabulary: int = 20_000, sample_rows: int = 20_000) -> tuple[Segmenter, Bayes]:
+def vocabulary_of(pages: DataFrame, vocabulary: int) -> dict[str, int]:
     title = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), "(?s)<title>(.*?)</title>", 1))
     words = pages.select(F.explode(F.regexp_extract_all(title, F.lit("([a-z]+)"))).alias("w")).groupBy("w").count()
     counts = {r["w"]: r["count"] for r in words.orderBy(F.col("count").desc(), "w").limit(vocabulary).collect()}
     for s in SEEDS:
         counts[s] = counts.get(s, 0) + 1
-    segmenter = Segmenter(counts)
-    share = sample_rows / max(1, pages.count())
-    draw = F.crc32(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary"))
-    sample = pages.where(draw < F.lit(min(1.0, share) * 2.0**32)).select("host", "path").where("host <> ''").collect()
-    examples = [(ts, any(t[2:] in SEEDS for t in ts if t[0] == "h")) for ts in (tokens(segmenter, r["host"], r["path"]) for r in sample)]
-    return segmenter, Bayes(examples)
+    return counts
 
 
-def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES, **sizes) -> DataFrame:
-    """key, host, path, rule and verdict of each row."""
-    host, path = host_and_path(F.col(url))
-    rows = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"), F.col(html).alias("html"))
-    words, bayes = fit(rows, **sizes)
-    model = pages.sparkSession.sparkContext.broadcast((words.counts, bayes.ratio, bayes.other, bayes.prior))  # bounded by vocabulary and sample_rows
+def examples(pages: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """host, path, rows, tokens and label of each distinct url."""
+    sent = pages.sparkSession.sparkContext.broadcast(counts)  # bounded by vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, *classifier = model.value
-        segmenter = Segmenter(counts)
+        segmenter = Segmenter(sent.value)
         for b in batches:
-            h, p, v = b.column("host").to_pylist(), b.column("path").to_pylist(), b.column("verdict").to_pylist()
-            v = [w or ("block" if x and bad(*classifier, tokens(segmenter, x, y)) else "allow") for x, y, w in zip(h, p, v)]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("host"), b.column("path"), b.column("rule"), pa.array(v, pa.string())], ["key", "host", "path", "rule", "verdict"])
+            found = [tokens(segmenter, h, p) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist())]
+            bad = [any(t[2:] in SEEDS for t in ts if t[0] == "h") for ts in found]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("path"), b.column("n"), pa.array(found, pa.list_(pa.string())), pa.array(bad, pa.bool_())], ["host", "path", "n", "tokens", "bad"])
+
+    urls = pages.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))
+    return stored(urls.mapInArrow(run, "host string, path string, n long, tokens array<string>, bad boolean"))
+
+
+def blocked(urls: DataFrame, model_tokens: int) -> DataFrame | None:
+    """host and path of the urls that multinomial naive Bayes, fitted on all of them, finds bad; None if no example is bad."""
+    labels = {r["bad"]: r["n"] for r in urls.groupBy("bad").agg(F.sum("n").alias("n")).collect()}
+    if not labels.get(True):
+        return None
+    of = lambda bad: F.sum(F.when(F.col("bad") == F.lit(bad), F.col("n")).otherwise(0))
+    seen = stored(urls.select(F.explode("tokens").alias("token"), "n", "bad").groupBy("token").agg(of(True).alias("n_bad"), of(False).alias("n_good")))
+    size, *total = seen.agg(F.count("*"), F.coalesce(F.sum("n_bad"), F.lit(0)), F.coalesce(F.sum("n_good"), F.lit(0))).first()
+    total_bad, total_good = (t + size + 1 for t in total)
+    prior = round(UNIT * math.log((labels[True] + 1) / (labels.get(False, 0) + 1)))
+    ratio = F.log((F.col("n_bad") + 1) / F.lit(float(total_bad))) - F.log((F.col("n_good") + 1) / F.lit(float(total_good)))
+    weights = seen.select("token", F.round(ratio * UNIT).cast("long").alias("weight"), (F.col("n_bad") + F.col("n_good")).alias("n"))
+    often = {r["token"]: r["weight"] for r in weights.orderBy(F.col("n").desc(), "token").limit(model_tokens).collect()}
+    sent = urls.sparkSession.sparkContext.broadcast(often)  # bounded by model_tokens
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for b in batches:
+            found = b.column("tokens").to_pylist()
+            part = [prior + sum(known.get(t, 0) for t in ts) for ts in found]
+            rest = [[t for t in ts if t not in known] for ts in found]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("path"), pa.array(part, pa.int64()), pa.array(rest, pa.list_(pa.string()))], ["host", "path", "score", "rest"])
+
+    scored = urls.select("host", "path", "tokens").mapInArrow(run, "host string, path string, score long, rest array<string>")
+    if size > len(often):
+        each = scored.select("host", "path", "score", F.explode_outer("rest").alias("token"))
+        whole, some = each.where("token IS NULL").select("host", "path", "score"), each.where("token IS NOT NULL")
+        some = some.join(weights.select("token", "weight"), "token").groupBy("host", "path").agg((F.first("score") + F.sum("weight")).alias("score"))
+        scored = whole.unionByName(some)
+    return scored.where("score > 0").select("host", "path")
+
+
+def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES, vocabulary: int = 20_000, model_tokens: int = 20_000) -> DataFrame:
+    """key, host, path, rule and verdict of each row."""
+    host, path = host_and_path(F.col(url))
+    rows = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"), F.col(html).alias("html"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     found = rows.select("key", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
-    kind = pages.schema[key].dataType.simpleString()
-    return found.mapInArrow(run, f"key {kind}, host string, path string, rule string, verdict string").withColumnRenamed("key", key)
+    gone = blocked(examples(rows, vocabulary_of(rows, vocabulary)), model_tokens)
+    if gone is not None:
+        found = found.join(gone.withColumn("gone", F.lit("block")), ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", "gone"))
+    return found.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,6 +185,31 @@ def test_url_rules(spark, folder):
     assert got[13]["verdict"] == "block" and got[0]["verdict"] == "allow"
 
 
+def test_url_model_is_fitted_on_all_urls(spark):
+    """More urls than a sample of 20,000 would hold; no bad one, and not all tokens, would be in it."""
+    import math
+    from collections import Counter
+
+    n, r = 26_000, random.Random(8)
+    out = [i for i in range(n) if zlib.crc32(str(i).encode()) >= 20_000 / n * 2**32]
+    bad = set(out[:40])
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    url = lambda i: f"http://casino.{r.choice(['win', 'bet'])}.test/play/{r.choice(words)}" if i in bad else f"http://{r.choice(words)}.farm.test/{r.choice(words)}"
+    rows = [(i, url(i), "<title>" + " ".join([*words, "casino win bet test play farm"]) + "</title>" if i < 3 else None) for i in range(n)]
+    clean = out[100]
+    rows[clean] = (clean, "http://uniqueone.farm.test/uniquetwo", None)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {x["page_id"]: x["verdict"] for x in url_filters.judge(df, model_tokens=50).collect()}
+    segmenter = url_filters.Segmenter({w: 3 for w in [*words, "win", "bet", "test", "play", "farm"]} | {w: 1 for w in url_filters.SEEDS} | {"casino": 4})
+    ts = {i: url_filters.tokens(segmenter, *u[7:].replace("/", " /", 1).split(" ")) for i, u, _ in rows}
+    seen = {b: Counter(t for i in ts for t in ts[i] if (i in bad) == b) for b in (True, False)}
+    size = len(seen[True] | seen[False]) + 1
+    weight = lambda t: math.log((seen[True][t] + 1) / (seen[True].total() + size) / (seen[False][t] + 1) * (seen[False].total() + size))
+    prior = math.log((len(bad) + 1) / (n - len(bad) + 1))
+    assert got == {i: "block" if prior + sum(map(weight, ts[i])) > 0 else "allow" for i in ts}
+    assert {i for i in got if got[i] == "block"} == bad
+
+
 def test_segmenter_against_all_splits():
     import itertools
 
