@@ -1,7 +1,8 @@
 """URL filters: host and path rules, then naive Bayes over segmented names.
 
 Rules are SQL expressions. For the urls that no rule fits, host labels and path tokens are split into words by a unigram
-Viterbi (word counts come from the titles of all pages, the vocabulary is bounded by `vocabulary`), and multinomial
+Viterbi (word counts come from the titles of all pages; all words count that occur in a url, of which the `vocabulary` that most urls
+hold are sent to executors and the others joined to the urls that hold them), and multinomial
 naive Bayes scores the words. It is fitted on all urls, labelled by seed words in their segmented hosts: a url is a bad example if
 its host holds one. Tokens are counted by class over the whole table. The tables that executors get are of bounded size: the weights of the most
 frequent tokens (`model_tokens`) are sent to them, those of all others joined. Weights are whole multiples of 2^-40, so sums are exact.
@@ -14,8 +15,10 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,8 @@ from .common import table
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 SEEDS = frozenset({"spam", "casino", "viagra", "porn", "xxx", "phish", "phishing", "malware", "warez", "pills", "scam"})
 UNIT = float(1 << 40)  # of the weights of tokens
+LONGEST = 24  # letters of a word that is looked up
+FILTER_BITS = 26  # 8 MB
 PARTS = re.compile(r"[a-z]+|[0-9]+|[^\W\d_a-z]+")
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -49,11 +54,22 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 class Segmenter:
     """Splits a concatenated name into the most probable words."""
 
-    def __init__(self, counts: dict[str, int], longest: int = 24):
+    def __init__(self, counts: dict[str, int], longest: int = LONGEST, total: int | None = None):
+        """total: of a vocabulary of which counts are a part, the sum of its counts and its words, and one."""
         self.counts = counts
-        total = sum(counts.values()) + len(counts) + 1
-        self.logp = {w: math.log((n + 1) / total) for w, n in counts.items()}
-        self.unseen, self.longest, self.cache = math.log(1 / total), longest, {}
+        self.total = total or sum(counts.values()) + len(counts) + 1
+        self.logp = {w: self.of(n) for w, n in counts.items()}
+        self.unseen, self.longest, self.cache = math.log(1 / self.total), longest, {}
+        self.more: dict[str, float] = {}
+
+    def of(self, n: int) -> float:
+        return math.log((n + 1) / self.total)
+
+    def with_words(self, counts: dict[str, int]) -> None:
+        """From now on these words are known too, in place of those of the last call."""
+        if counts or self.more:
+            self.more = {w: self.of(n) for w, n in counts.items()}
+            self.cache.clear()
 
     def words(self, name: str) -> list[str]:
         """Unknown stretches cost `unseen` and as much again for each character; ties go to the longer last word."""
@@ -64,6 +80,8 @@ class Segmenter:
             top, at = -math.inf, j - 1
             for i in range(max(0, j - self.longest), j):
                 lp = self.logp.get(name[i:j])
+                if lp is None and self.more:
+                    lp = self.more.get(name[i:j])
                 s = best[i] + (lp if lp is not None else self.unseen * (1 + j - i))
                 if s > top:
                     top, at = s, i
@@ -85,28 +103,80 @@ def tokens(segmenter: Segmenter, host: str, path: str) -> list[str]:
     return list(dict.fromkeys([f"h:{w}" for w in split(host)] + [f"p:{w}" for w in split(path.lower())]))
 
 
-def vocabulary_of(pages: DataFrame, vocabulary: int) -> dict[str, int]:
+def title_words(pages: DataFrame) -> DataFrame:
+    """w and n of all words of titles and of the seeds, which count once more."""
     title = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), "(?s)<title>(.*?)</title>", 1))
-    words = pages.select(F.explode(F.regexp_extract_all(title, F.lit("([a-z]+)"))).alias("w")).groupBy("w").count()
-    counts = {r["w"]: r["count"] for r in words.orderBy(F.col("count").desc(), "w").limit(vocabulary).collect()}
-    for s in SEEDS:
-        counts[s] = counts.get(s, 0) + 1
-    return counts
+    words = pages.select(F.explode(F.regexp_extract_all(title, F.lit("([a-z]+)"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    seeds = pages.sparkSession.createDataFrame([(w, 1) for w in sorted(SEEDS)], "w string, n long")
+    return stored(words.unionByName(seeds).groupBy("w").agg(F.sum("n").alias("n")))
+
+
+def word_filter(words: DataFrame) -> bytes:
+    """A bit for the crc32 of each word, in 8 MB."""
+    bit = (F.crc32(F.col("w").cast("binary")) % F.lit(1 << FILTER_BITS)).alias("bit")
+    found = words.select(bit).select(F.shiftright("bit", 6).alias("at"), F.expr("shiftleft(1L, CAST(bit % 64 AS INT))").alias("word")).groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    out = np.zeros(1 << FILTER_BITS - 6, "<i8")
+    out[found.column("at").to_numpy()] = found.column("word").to_numpy()
+    return out.tobytes()
+
+
+def stretches(urls: DataFrame, words: DataFrame, known: dict[str, int]) -> DataFrame:
+    """host, path and w for each stretch of a name of a url that can be one of the words and is not known."""
+    sent = urls.sparkSession.sparkContext.broadcast((word_filter(words), known))  # of bounded size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, skip = sent.value
+        cache: dict[str, list[str]] = {}
+
+        def of(name: str) -> list[str]:
+            if name not in cache:
+                if len(cache) > 50_000:
+                    cache.clear()
+                found = {name[i:j] for i in range(len(name)) for j in range(i + 1, min(len(name), i + LONGEST) + 1)} - skip.keys()
+                at = ((w, zlib.crc32(w.encode()) & (1 << FILTER_BITS) - 1) for w in found)
+                cache[name] = [w for w, k in at if bits[k >> 3] >> (k & 7) & 1]
+            return cache[name]
+
+        for b in batches:
+            rows, found = [], []
+            for i, (h, p) in enumerate(zip(b.column("host").to_pylist(), b.column("path").to_pylist())):
+                ws = {w for part in PARTS.findall(h) + PARTS.findall(p.lower()) if "a" <= part[0] <= "z" for w in of(part)}
+                rows += [i] * len(ws)
+                found += ws
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("host").take(at), b.column("path").take(at), pa.array(found, pa.string())], ["host", "path", "w"])
+
+    return urls.select("host", "path").mapInArrow(run, "host string, path string, w string")
 
 
-def examples(pages: DataFrame, counts: dict[str, int]) -> DataFrame:
+def examples(pages: DataFrame, vocabulary: int) -> DataFrame:
     """host, path, rows, tokens and label of each distinct url."""
-    sent = pages.sparkSession.sparkContext.broadcast(counts)  # bounded by vocabulary
+    words = title_words(pages)
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)) + F.count("*") + 1).first()[0]
+    urls = stored(pages.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("n")))
+    uses = stretches(urls, words, {}).groupBy("w").agg(F.count("*").alias("uses"))
+    used = stored(uses.join(words, "w"))
+    often = used.orderBy(F.col("uses").desc(), "w").limit(vocabulary).collect()
+    sent = pages.sparkSession.sparkContext.broadcast({r["w"]: r["n"] for r in often})  # bounded by vocabulary
+    urls = urls.withColumn("more", F.lit(None).cast("map<string,bigint>"))
+    if used.count() > len(often):
+        last = often[-1] if often else None
+        rest = used.where((F.col("uses") < last["uses"]) | ((F.col("uses") == last["uses"]) & (F.col("w") > last["w"]))) if last else used
+        more = stretches(urls, rest, sent.value).join(rest.select("w", F.col("n").alias("m")), "w")
+        more = more.groupBy("host", "path").agg(F.map_from_entries(F.collect_list(F.struct("w", "m"))).alias("more"))
+        urls = urls.drop("more").join(more, ["host", "path"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(sent.value)
+        segmenter = Segmenter(sent.value, total=total)
         for b in batches:
-            found = [tokens(segmenter, h, p) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist())]
+            found = []
+            for h, p, m in zip(*(b.column(c).to_pylist() for c in ("host", "path", "more"))):
+                segmenter.with_words(dict(m or ()))
+                found.append(tokens(segmenter, h, p))
             bad = [any(t[2:] in SEEDS for t in ts if t[0] == "h") for ts in found]
             yield pa.RecordBatch.from_arrays([b.column("host"), b.column("path"), b.column("n"), pa.array(found, pa.list_(pa.string())), pa.array(bad, pa.bool_())], ["host", "path", "n", "tokens", "bad"])
 
-    urls = pages.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))
-    return stored(urls.mapInArrow(run, "host string, path string, n long, tokens array<string>, bad boolean"))
+    return stored(urls.select("host", "path", "n", "more").mapInArrow(run, "host string, path string, n long, tokens array<string>, bad boolean"))
 
 
 def blocked(urls: DataFrame, model_tokens: int) -> DataFrame | None:
@@ -147,7 +217,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     rows = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"), F.col(html).alias("html"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     found = rows.select("key", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
-    gone = blocked(examples(rows, vocabulary_of(rows, vocabulary)), model_tokens)
+    gone = blocked(examples(rows, vocabulary), model_tokens)
     if gone is not None:
         found = found.join(gone.withColumn("gone", F.lit("block")), ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", "gone"))
     return found.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))

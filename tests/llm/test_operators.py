@@ -210,6 +210,29 @@ def test_url_model_is_fitted_on_all_urls(spark):
     assert {i for i in got if got[i] == "block"} == bad
 
 
+def test_url_words_are_not_cut_by_the_vocabulary(spark):
+    """Words that are rare in titles, among them one that holds a seed, split names whatever the bound of what executors get."""
+    from collections import Counter
+
+    r = random.Random(9)
+    words = ["".join(r.choice("aeioustrnlm") for _ in range(r.randrange(3, 9))) for _ in range(60)]
+    titles = [" ".join([*(["test"] * 9), *words[:3] * 5, *words, "scamper scampers scampering"])] + ["test"] * 5
+    hosts = ["scamper.scampers.scampering.test", "casino.test", *("".join(r.sample(words, 2)) + ".test" for _ in range(60))]
+    rows = [(i, f"http://{h}/{''.join(r.sample(words, 3))}", f"<title>{titles[i] if i < len(titles) else ''}</title>") for i, h in enumerate(hosts)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    counts = Counter(w for t in titles for w in t.split()) + Counter(url_filters.SEEDS)
+    segmenter = url_filters.Segmenter(dict(counts))
+    verdicts = [{x["page_id"]: x["verdict"] for x in url_filters.judge(df, vocabulary=n).collect()} for n in (4, 20_000)]
+    assert verdicts[0] == verdicts[1] and verdicts[0][0] == "allow"
+    from pyspark.sql import functions as F
+
+    host, path = url_filters.host_and_path(F.col("url"))
+    pages = df.select(host.alias("host"), path.alias("path"), "html")
+    for n in (0, 4, 20_000):
+        got = {(x["host"], x["path"]): x["tokens"] for x in url_filters.examples(pages, n).collect()}
+        assert got == {(h, p): url_filters.tokens(segmenter, h, p) for h, p in got} and len(got) == len(rows)
+
+
 def test_segmenter_against_all_splits():
     import itertools
 
