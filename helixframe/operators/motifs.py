@@ -132,9 +132,9 @@ def search(df: DataFrame, k: int, by: list[str], method: str = "greedy", order:
     """by, score, motifs: the best motif set of each group of sequences.
 
     greedy tries every k-mer of the first sequence; those starts are dealt into rows. randomized and gibbs run once per seed. The best
-    score wins, then the first start or seed."""
+    score wins, then the first start or seed. Sequences that are null or shorter than k are left out; a group of no others has no row."""
     groups = df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, seq))), lambda x: x[seq]).alias("_s"))
-    groups = groups.where(F.forall("_s", lambda x: F.length(x) >= k))
+    groups = groups.withColumn("_s", F.filter("_s", lambda x: F.length(x) >= k)).where(F.size("_s") > 0)
     if method == "greedy":
         runs = F.sequence(F.lit(0), F.length(F.element_at("_s", 1)) - k, F.lit(32))
     else:

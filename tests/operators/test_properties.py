@@ -5,6 +5,7 @@ import random
 from math import comb
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from helixframe.operators import align, assembly, hmm, kmers, motifs, patterns, phylo, rearrange, spectra
@@ -258,3 +259,12 @@ def test_fasta_sources(spark, tmp_path):
     (tmp_path / "r.txt").write_text("ACG TTT\n\nGGG  AAA ")
     assert sorted(x["read"] for x in fasta.reads(spark, str(tmp_path / "r.txt")).collect()) == ["AAA", "ACG", "GGG", "TTT"]
     assert spark.range(1).select(fasta.parse_spectrum(F.lit(" 1.5 2 ")).alias("s")).first()["s"] == [1.5, 2.0]
+
+
+@pytest.mark.parametrize("method", ["greedy", "randomized", "gibbs"])
+def test_motif_search_leaves_out_only_short_sequences(spark, method):
+    rows = [(1, i, s) for i, s in enumerate(["AC", "GGCGTTCAGGCA", None, "AAGAATCAGTCA", "CAAGGAGTTCGC", "CACGTCAATCAC"])] + [(2, 0, "AC"), (2, 1, None)]
+    short = spark.createDataFrame(rows, "g int, ordinal int, seq string")
+    long = short.where("length(seq) >= 3 and g = 1")
+    got, want = ([tuple(r) for r in motifs.search(x, 3, ["g"], method).collect()] for x in (short, long))
+    assert got == want and len(got) == 1 and len(got[0][2]) == 4
