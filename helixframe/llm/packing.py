@@ -17,7 +17,6 @@ score go to the earlier document (scores are sums of whole numbers, so they are
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,21 +41,17 @@ POS = 33  # bits of a row's number within its partition
 K1, B = 1.2, 0.75
 
 
-def _packed(ids: list[int]) -> bytes:
-    return array("H", ids).tobytes()
-
-
 def encode(rows: DataFrame, path: str, kind: str) -> DataFrame:
     """key, id (partition and number within it) and token ids, the end token included, two bytes an id (ids are below 65,536)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, _packed)
+        encoder = Encoder(path)
         if encoder.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids don't fit two bytes")
-        end = _packed([END])
+        end = np.array([END], "<u2").tobytes()
         at = TaskContext.get().partitionId() << POS
         for batch, texts in byte_batches(batches, "text"):
-            ids = pa.array([b"".join(x) + end for x in encoder.of(texts)], pa.binary())
+            ids = pa.array([x.astype("<u2").tobytes() + end for x in encoder.ids(texts)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.arange(at, at + len(ids))), ids], ["key", "id", "ids"])
             at += len(ids)
         del encoder
