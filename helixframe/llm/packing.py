@@ -1,17 +1,21 @@
 """Packing by lexical retrieval.
 
-Texts are encoded once, to two bytes a token, and stored. Document frequencies are counted over the whole corpus, and a BM25
-inverted index over all documents is kept in shards of bounded size. Chains of windows grow side by side, a number of them that
-goes by the tokens of the corpus: a seed document opens a window, its best-scored unused neighbours fill it greedily, the last of them
-is cut where the window ends, and its rest opens the next one. In each round the seeds of all chains are put to every shard, over the
-documents that are unused, the shards' lists are merged, and the chains take from them in order; a chain whose list ends before its window is full asks again.
-So each neighbour taken is the best of the whole corpus that no chain before has taken, and shards bound memory only. Documents longer than a window give whole
-windows first. The open windows of all chains are joined, and what is left of that goes into sequences of power-of-two lengths, so nothing is padded.
-
-Work grows with documents times windows. The driver keeps some 30 bytes a document, and executors get one bit of each.
-
-Defined cases: null and empty texts are the end token alone; repeated rows are separate documents; an empty table gives no rows; ties in
-score go to the earlier document (scores are sums of whole numbers, so they are exact); only the key and the text are read.
+1. Texts are encoded once, to two bytes a token, and stored. Document frequencies are counted over the whole corpus.
+2. A document's whole windows are sequences of their own. What is left of it, its end, is a document of the index.
+3. Ends are dealt into shards by their words. An end's BM25 weights are projected to a few dimensions. A tree that halves a bounded sample
+   (`SAMPLE` ends a leaf, `LEAVES` leaves at most) along principal axes, each leaf cut into `BINS` along its own, orders the corpus into
+   cells of like words. The ends of every cell are counted exactly; a shard is a run of cells of about `shard_docs` ends, and a cell that holds
+   more (copies of one text, say) is split by a hash of the row into as many shards as it takes.
+4. A shard holds a BM25 inverted index over its ends, weighted by the corpus's frequencies. A seed opens a window, its best-scored unused
+   neighbours fill it greedily, the last of them is cut where the window ends, and its rest is the next seed. The last window's
+   tokens go into sequences of power-of-two lengths, so nothing is padded.
+
+A neighbour is the best unused one of its shard, not of the corpus (the README has measured figures). In return work is in proportion to the
+corpus and nothing that grows with it reaches the driver: it gets document frequencies, the sample and a counter for each cell.
+
+Defined cases: null and empty texts are the end token alone; repeated rows are separate documents; an empty table gives no rows; a document of any
+length is cut into windows row by row; ties in score go to the earlier row (scores are sums of whole numbers, so they are exact); only the key
+and the text are read.
 """
 
 from __future__ import annotations
@@ -27,18 +31,20 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import stored
 from .common import table, trim
+from .exchange import mix
 from .token_counts import Encoder, byte_batches
 
 WINDOW = 2048
 END = 1
-SHARD_DOCS, SHARD_TOKENS = 1 << 14, 6_000_000  # of the index, in one task
-CHAINS, ROUNDS = 8192, 16  # chains at most; windows a chain, below that
-NEIGHBOURS, LISTED = 16, 1 << 21  # listed for a seed at first, and for all seeds of a round at most
-BLOCK, POSTINGS = 16, 1 << 21  # seeds scored at once, and their postings, about
-DENSE, DENSE_BYTES = 10, 64 << 20  # tokens in a DENSEth of a shard's documents are rows of a matrix
-UNIT = float(1 << 24)  # weights are whole multiples of 1 / UNIT
+SHARD_DOCS = 2048  # ends in a shard, about
+LEAVES, SAMPLE, BINS = 4096, 32, 64  # leaves of the tree at most, sampled ends for each, cells in each
+DIMENSIONS = 64
+DENSE_SHARE, DENSE_BYTES = 32, 32 << 20  # tokens in a DENSE_SHAREth of a shard's ends are rows of a matrix
+UNIT = 1 << 14  # weights are whole multiples of 1 / UNIT; 2048 of them fit 31 bits
 POS = 33  # bits of a row's number within its partition
+WHOLE = 1 << 62  # numbers of sequences from here on are documents' own windows
 K1, B = 1.2, 0.75
+U8 = np.uint64
 
 
 def encode(rows: DataFrame, path: str, kind: str) -> DataFrame:
@@ -60,35 +66,120 @@ def encode(rows: DataFrame, path: str, kind: str) -> DataFrame:
     return rows.mapInArrow(run, f"key {kind}, id long, ids binary")
 
 
-def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for batch in batches:
-        yield batch, [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
+def unpacked(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            batch = whole.slice(at, rows)
+            yield batch, [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
 
 
-def terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct tokens and their counts."""
-    s = np.sort(ids, kind="stable")
-    at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    return s[at], np.diff(np.append(at, len(s)))
+def terms(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document number, distinct token and its count, by document and token."""
+    size = np.array([len(x) for x in docs])
+    key = np.sort((np.repeat(np.arange(len(docs), dtype=np.uint32), size) << np.uint32(16)) | np.concatenate(docs).astype(np.uint32), kind="stable")
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return (key[at] >> np.uint32(16)).astype(np.int64), (key[at] & np.uint32(0xFFFF)).astype(np.int64), np.diff(np.append(at, len(key)))
 
 
-def corpus_statistics(rows: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Document frequency by token, documents, tokens. Two further counters carry the totals."""
+def corpus_statistics(rows: DataFrame) -> tuple[np.ndarray, int, int, int]:
+    """Document frequency by token, documents, tokens and ends. Three further counters carry the totals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros((1 << 16) + 2, np.int64)
+        df = np.zeros((1 << 16) + 3, np.int64)
         for _, ids in unpacked(batches):
-            for x in ids:
-                df[terms(x)[0]] += 1
-                df[-1] += len(x)
-            df[-2] += len(ids)
+            df[: 1 << 16] += np.bincount(terms(ids)[1], minlength=1 << 16)
+            size = np.array([len(x) for x in ids])
+            df[-3:] += (len(ids), size.sum(), (size % WINDOW > 0).sum())
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["token", "n"])
 
     found = rows.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros((1 << 16) + 2, np.int64)
+    df = np.zeros((1 << 16) + 3, np.int64)
     df[found.column("token").to_numpy()] = found.column("n").to_numpy()
-    return df[:-2], int(df[-2]), int(df[-1])
+    return df[:-3], *map(int, df[-3:])
+
+
+class Model:
+    """BM25 weights, and the projection of a document's weights."""
+
+    def __init__(self, df: np.ndarray, n_docs: int, mean: float):
+        self.idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
+        self.mean = mean
+        self._axes: np.ndarray | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_axes": None}
+
+    def weights(self, doc: np.ndarray, token: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        norm = K1 * (1 - B + B * length / self.mean)
+        return self.idf[token] * tf * (K1 + 1) / (tf + norm[doc])
+
+    def vectors(self, docs: list[np.ndarray]) -> np.ndarray:
+        """One row of unit length a document."""
+        if self._axes is None:
+            bits = mix(np.arange(1, (1 << 16) + 1, dtype=U8))
+            self._axes = (((bits[:, None] >> np.arange(DIMENSIONS, dtype=U8)) & U8(1)).astype(np.float32) * 2 - 1).astype(np.float32)
+        doc, token, tf = terms(docs)
+        w = self.weights(doc, token, tf, np.array([len(x) for x in docs])).astype(np.float32)
+        at = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+        v = np.add.reduceat(w[:, None] * self._axes[token], at, axis=0)
+        return v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9)
+
+
+class Tree:
+    """Halves a sample along the principal axis of each node; places any vector in a cell."""
+
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.depth = leaves.bit_length() - 1
+        self.axis, self.cut = np.zeros((leaves, DIMENSIONS), np.float32), np.zeros(leaves, np.float32)  # node k's children are 2k and 2k + 1
+        self.last, self.edges = np.zeros((leaves, DIMENSIONS), np.float32), np.zeros((leaves, BINS - 1), np.float32)
+        part = [sample]
+        for level in range(self.depth):
+            below = []
+            for k, x in enumerate(part, 1 << level):
+                axis, along = self.principal(x)
+                self.axis[k], self.cut[k] = axis, np.median(along) if len(x) else 0
+                right = along > self.cut[k]
+                below += [x[~right], x[right]]
+            part = below
+        for k, x in enumerate(part):
+            self.last[k], along = self.principal(x)
+            if len(x):
+                self.edges[k] = np.quantile(along, np.arange(1, BINS) / BINS)
+
+    @staticmethod
+    def principal(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        axis = np.linalg.eigh(np.cov(x.T.astype(np.float64)))[1][:, -1].astype(np.float32) if len(x) > 1 else np.ones(DIMENSIONS, np.float32)
+        axis = axis * np.sign(axis[np.abs(axis).argmax()])
+        return axis, x @ axis
+
+    def cells(self, v: np.ndarray) -> np.ndarray:
+        node = np.ones(len(v), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + ((v * self.axis[node]).sum(1) > self.cut[node])
+        leaf = node - (1 << self.depth)
+        return leaf * BINS + ((v * self.last[leaf]).sum(1)[:, None] > self.edges[leaf]).sum(1)
+
+
+class Shards:
+    """First shard of each cell, and the number of shards that it is split into (1 for a cell that shares its shard)."""
+
+    def __init__(self, counts: np.ndarray, shard_docs: int):
+        self.first, self.parts = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
+        shard, held = 0, 0
+        for i in np.flatnonzero(counts).tolist():
+            n = int(counts[i])
+            if held and held + n > shard_docs:
+                shard, held = shard + 1, 0
+            self.first[i] = shard
+            held += n
+            if n > shard_docs:
+                self.parts[i] = -(-n // shard_docs)
+                shard, held = shard + int(self.parts[i]), 0
+        self.n = shard + (held > 0)
+
+    def of(self, cells: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return self.first[cells] + (mix(ids.astype(U8)) % self.parts[cells].astype(U8)).astype(np.int64)
 
 
 def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -96,273 +187,168 @@ def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
-class Postings:
-    """BM25 over one shard: documents are n_terms distinct tokens each, one after the other, with their counts."""
-
-    def __init__(self, token: np.ndarray, tf: np.ndarray, n_terms: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float):
-        self.n = n = len(length)
-        doc = np.repeat(np.arange(n, dtype=np.int32), n_terms)
-        norm = (K1 * (1 - B + B * length.astype(np.float32) / np.float32(mean))).astype(np.float32)
-        tf = tf.astype(np.float32)
-        weight = np.rint((idf[token] * tf * np.float32(K1 + 1) / (tf + norm[doc])).astype(np.float64) * UNIT)
+class Index:
+    """A BM25 inverted index over some documents. Tokens of one document only, which no other is found by, are left out."""
+
+    def __init__(self, docs: list[np.ndarray], model: Model):
+        self.n = n = len(docs)
+        doc, token, tf = terms(docs)
+        weight = np.rint(model.weights(doc, token, tf, np.array([len(x) for x in docs])).astype(np.float64) * UNIT).astype(np.int32)
+        df = np.bincount(token, minlength=1 << 16)
+        stop = np.cumsum(np.bincount(doc, minlength=n))
+        self.query = [token[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist())]
+        often = np.argsort(-df, kind="stable")[: DENSE_BYTES // (4 * max(1, n))]
+        often = often[df[often] * DENSE_SHARE >= max(n, 64)]
+        self.row = np.full(1 << 16, -1)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n), np.int32)
+        on = self.row[token] >= 0
+        self.dense[self.row[token[on]], doc[on]] = weight[on]
+        on = ~on & (df[token] > 1)
+        doc, token, weight = doc[on], token[on], weight[on]
         order = np.argsort(token, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
-        self.df = np.bincount(token, minlength=1 << 16)
+        self.df = np.where((df > 1) & (self.row < 0), df, 0)
         self.start = np.cumsum(self.df) - self.df
-        often = np.argsort(-self.df, kind="stable")[: DENSE_BYTES // (8 * max(1, n))]
-        often = often[self.df[often] * DENSE >= max(n, 1)] if n >= 64 else often[:0]
-        self.row = np.full(1 << 16, -1)
-        self.row[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), n))
-        for i, t in enumerate(often.tolist()):
-            s = slice(self.start[t], self.start[t] + self.df[t])
-            self.dense[i, self.doc[s]] = self.weight[s]
-
-    def some(self, queries: list[np.ndarray]) -> np.ndarray:
-        query = np.repeat(np.arange(len(queries)), [len(q) for q in queries])
-        token = np.concatenate(queries)
-        row = self.row[token]
-        pick = np.zeros((len(queries), len(self.dense)))
-        pick[query[row >= 0], row[row >= 0]] = 1
-        query, token = query[row < 0], token[row < 0]
-        size = self.df[token]
-        at = spans(self.start[token], size)
-        cell = np.repeat(query * self.n, size) + self.doc[at]
-        return np.bincount(cell, self.weight[at], len(queries) * self.n).reshape(len(queries), self.n) + pick @ self.dense
-
-    def scores(self, queries: list[np.ndarray]) -> Iterator[np.ndarray]:
-        """Of all documents, times UNIT; some queries at a time, in order."""
-        at = 0
-        while at < len(queries):
-            stop, size = at, 0
-            while stop < min(len(queries), at + BLOCK) and (stop == at or size < POSTINGS):
-                q = queries[stop]
-                size += int(self.df[q[self.row[q] < 0]].sum())
-                stop += 1
-            yield self.some(queries[at:stop])
-            at = stop
-
-    def best(self, queries: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and numbers of the k best documents of each query, the earlier first of equals, in no order otherwise."""
-        k, bits = min(k, self.n), max(1, (self.n - 1).bit_length())
-        last = (1 << bits) - 1
-        found = []
-        for s in self.scores(queries):
-            x = (s.astype(np.int64) << bits) | (last - np.arange(self.n))
-            found.append(np.partition(x, self.n - k, axis=1)[:, self.n - k :] if k < self.n else x)
-        x = np.concatenate(found)
-        return x >> bits, last - (x & last)
-
-
-class Index:
-    """BM25 over a list of documents."""
-
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        found = [terms(x) for x in docs]
-        self.query = [t for t, _ in found]
-        counts = np.concatenate([c for _, c in found])
-        self.postings = Postings(np.concatenate(self.query), counts, np.array([len(t) for t in self.query]), np.array([len(x) for x in docs]), idf, mean)
+        self.own = model
 
     def scores(self, i: int) -> np.ndarray:
-        """Of each document as a neighbour of document i."""
-        return next(self.postings.scores([self.query[i]]))[0] / UNIT
-
-
-def shards(rows: DataFrame, base: np.ndarray, shard_docs: int) -> DataFrame:
-    """One row a shard: numbers of its documents in the corpus, their lengths, distinct tokens and counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, docs, size = [], [], 0
-
-        def shard() -> pa.RecordBatch:
-            order = np.argsort(np.array(numbers), kind="stable")
-            found = [terms(docs[i]) for i in order.tolist()]
-            columns = [np.array(numbers, np.int64)[order], np.array([len(x) for x in docs], np.int32)[order], np.array([len(t) for t, _ in found], np.int32)]
-            columns += [np.concatenate([t for t, _ in found]).astype("<u2"), np.concatenate([c for _, c in found]).astype(np.int32)]
-            return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["number", "length", "n_terms", "token", "tf"])
+        """Of each document as a neighbour of document i, times UNIT; of i itself without the tokens that no other has."""
+        q = self.query[i]
+        row = self.row[q]
+        out = self.dense[row[row >= 0]].sum(0, dtype=np.int32).astype(np.int64)
+        rare = q[row < 0]
+        at = spans(self.start[rare], self.df[rare])
+        return out + np.bincount(self.doc[at], self.weight[at], self.n).astype(np.int64) if len(at) else out
+
+
+def chained(docs: list[np.ndarray], model: Model) -> list[int]:
+    """The order in which documents fill windows."""
+    index, size = Index(docs, model), [len(x) for x in docs]
+    unused, order, end, seed, following = np.ones(len(docs), bool), [], 0, -1, 0
+
+    def put(i: int) -> None:
+        nonlocal end
+        unused[i] = False
+        order.append(i)
+        end += size[i]
+
+    while len(order) < len(docs):
+        if seed < 0:  # a window's end fell between documents
+            while not unused[following]:
+                following += 1
+            seed = following
+            put(seed)
+        goal = (end // WINDOW + 1) * WINDOW
+        score = np.where(unused, index.scores(seed), -1)
+        while end < goal and len(order) < len(docs):
+            i = int(score.argmax())
+            put(i)
+            score[i] = -1
+        seed = order[-1] if end % WINDOW else -1
+    return order
+
+
+def sequences(end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the sequences of a stream of tokens: whole windows, then powers of two."""
+    rest = end % WINDOW
+    size = [WINDOW] * (end // WINDOW) + [1 << b for b in range(WINDOW.bit_length() - 1, -1, -1) if rest >> b & 1]
+    return np.cumsum([0, *size[:-1]]), np.array(size)
+
+
+NAMES = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def pieces(docs: list[np.ndarray], order: list[int]) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(document, start in it, length, crc32 of the ids, sequence, offset) for documents that fill sequences in this order."""
+    start, _ = sequences(sum(len(docs[i]) for i in order))
+    at = k = 0
+    for i in order:
+        done = 0
+        while done < len(docs[i]):
+            stop = int(start[k + 1]) if k + 1 < len(start) else 1 << 62
+            n = min(stop - at, len(docs[i]) - done)
+            yield i, done, n, zlib.crc32(docs[i][done : done + n].astype("<u4").tobytes()), k, at - int(start[k])
+            done, at = done + n, at + n
+            k += at == stop
+
+
+def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    spark = df.sparkSession
+    kind = df.schema[key].dataType.simpleString()
+    rows = stored(encode(df.select(F.col(key).alias("key"), F.col(text).alias("text")), path, kind))
+    df_counts, n_docs, n_tokens, n_ends = corpus_statistics(rows)
+    model = spark.sparkContext.broadcast(Model(df_counts, n_docs, n_tokens / max(1, n_docs)))  # one number a token of the vocabulary
+    leaves = min(LEAVES, 1 << max(0, (4 * n_ends // shard_docs).bit_length() - 1))
+    tail = lambda x: x[len(x) // WINDOW * WINDOW :]
 
+    def ends(batches: Iterator[pa.RecordBatch], keep=lambda ids: np.ones(len(ids), bool)) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray]]:
+        """Rows with an end, and the ends; ids are the rows' numbers."""
         for batch, ids in unpacked(batches):
-            for i, x in zip(batch.column("id").to_pylist(), ids):
-                numbers.append(int(base[i >> POS]) + (i & ((1 << POS) - 1)))
-                docs.append(x)
-                size += len(x)
-                if len(docs) >= shard_docs or size >= SHARD_TOKENS:
-                    yield shard()
-                    numbers, docs, size = [], [], 0
-        if docs:
-            yield shard()
+            on = np.array([len(x) % WINDOW > 0 for x in ids], bool) & keep(batch.column("id").to_numpy())
+            if on.any():
+                yield batch.filter(pa.array(on)), [tail(x) for x, y in zip(ids, on.tolist()) if y], batch.column("id").to_numpy()[on]
+
+    share = min(1.0, leaves * SAMPLE / max(1, n_ends))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, docs, ids in ends(batches, lambda ids: mix(ids.astype(U8), 1) <= U8(int(share * (2**64 - 2**12)))):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([v.tobytes() for v in model.value.vectors(docs)], pa.binary())], ["id", "v"])
+
+    drawn = rows.mapInArrow(draw, "id long, v binary").orderBy("id").limit(2 * leaves * SAMPLE).toArrow()  # a bound on the draw's chance excess
+    tree = Tree(np.frombuffer(b"".join(drawn.column("v").to_pylist()), np.float32).reshape(-1, DIMENSIONS), leaves)
+    placed = spark.sparkContext.broadcast(tree)  # of LEAVES leaves at most
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(leaves * BINS, np.int64)
+        for _, docs, _ in ends(batches):
+            n += np.bincount(placed.value.cells(model.value.vectors(docs)), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
+
+    counted = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(leaves * BINS, np.int64)
+    counts[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    shards = spark.sparkContext.broadcast(Shards(counts, shard_docs))  # two numbers a cell
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, docs, ids in ends(batches):
+            shard = shards.value.of(placed.value.cells(model.value.vectors(docs)), ids)
+            whole = [len(x) // 2 for x in batch.column("ids").to_pylist()]
+            columns = [pa.array(shard), batch.column("key"), pa.array(ids), pa.array(whole, pa.int64()), pa.array([x.tobytes() for x in docs], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "key", "id", "total", "ids"])
         trim()
 
-    return rows.mapInArrow(run, "number binary, length binary, n_terms binary, token binary, tf binary")
-
-
-TYPES = {"number": np.int64, "length": np.int32, "n_terms": np.int32, "token": "<u2", "tf": np.int32}
-
-
-def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    for b in batches:
-        for i in range(b.num_rows):
-            yield {n: np.frombuffer(b.column(n)[i].as_py(), TYPES[n]) for n in b.schema.names}
-
-
-def seed_terms(index: DataFrame, wanted: list[int]) -> dict[int, tuple[int, np.ndarray]]:
-    """Length and distinct tokens of documents, at most one a chain."""
-    known = index.sparkSession.sparkContext.broadcast(np.array(sorted(wanted), np.int64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in shard_rows(batches):
-            at = np.flatnonzero(np.isin(s["number"], known.value))
-            stop = np.cumsum(s["n_terms"])
-            token = [s["token"][stop[i] - s["n_terms"][i] : stop[i]].tobytes() for i in at.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(s["number"][at]), pa.array(s["length"][at]), pa.array(token, pa.binary())], ["number", "length", "token"])
-
-    found = index.select("number", "length", "n_terms", "token").mapInArrow(run, "number long, length int, token binary").toArrow()
-    known.unpersist()
-    return {i: (n, np.frombuffer(t, "<u2")) for i, n, t in zip(*(found.column(c).to_pylist() for c in ("number", "length", "token")))}
-
-
-def neighbours(index: DataFrame, model, unused: np.ndarray, queries: list[np.ndarray], k: int) -> Iterator[tuple[list[int], list[int]]]:
-    """Of each query the k best unused documents of the whole corpus, best first, and their lengths."""
-    group = 256
-    sent = index.sparkSession.sparkContext.broadcast((np.packbits(unused), queries))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, mean = model.value
-        bits, asked = sent.value
-        free = np.unpackbits(bits).astype(bool)
-        for s in shard_rows(batches):
-            stay = free[s["number"]]
-            if not stay.any():
-                continue
-            each = np.repeat(stay, s["n_terms"])
-            number, length = s["number"][stay], s["length"][stay]
-            postings = Postings(s["token"][each], s["tf"][each], s["n_terms"][stay], length, idf, mean)
-            for g in range(0, len(asked), group):
-                score, at = postings.best(asked[g : g + group], k)
-                columns = [score.astype(np.int64), number[at], length[at]]
-                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), *(pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in columns)], ["block", "score", "number", "length"])
+    def fill(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id").combine_chunks()
+        docs = [np.frombuffer(x, "<u2") for x in t.column("ids").to_pylist()]
+        found = np.array(list(pieces(docs, chained(docs, model.value))), np.int64)
+        total = t.column("total").to_numpy()[found[:, 0]]
+        before = total // WINDOW * WINDOW
+        sequence = (t.column("shard")[0].as_py() << 32) + found[:, 4]
+        columns = [before + found[:, 1], found[:, 2], found[:, 3], total, sequence, found[:, 5]]
+        out = pa.table([t.column("key").take(pa.array(found[:, 0])), *map(pa.array, columns)], NAMES)
+        del docs, t
         trim()
+        return out
 
-    def merge(table: pa.Table) -> pa.Table:
-        g = table.column("block")[0].as_py()
-        n = min(group, len(sent.value[1]) - g)
-        score, number, length = (np.concatenate([np.frombuffer(x, t).reshape(n, -1) for x in table.column(c).to_pylist()], axis=1) for c, t in (("score", np.int64), ("number", np.int64), ("length", np.int32)))
-        order = np.lexsort((number, -score))[:, :k]
-        columns = [np.take_along_axis(x, order, 1) for x in (number, length)]
-        return pa.table([pa.array([g], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], ["block", "number", "length"])
-
-    found = index.mapInArrow(run, "block long, score binary, number binary, length binary").groupBy("block").applyInArrow(merge, "block long, number binary, length binary").toArrow().sort_by("block")
-    sent.unpersist()
-    for g, number, length in zip(*(found.column(c).to_pylist() for c in ("block", "number", "length"))):
-        n = min(group, len(queries) - g)
-        yield from zip(np.frombuffer(number, np.int64).reshape(n, -1).tolist(), np.frombuffer(length, np.int32).reshape(n, -1).tolist())
-
-
-def chained(index: DataFrame, model, n_docs: int, n_chains: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chain of each document, its offset there, and the length of each chain."""
-    chain, offset, end = np.full(n_docs, -1, np.int32), np.zeros(n_docs, np.int64), np.zeros(n_chains, np.int64)
-    unused, left, following, k = np.ones(n_docs, bool), n_docs, 0, NEIGHBOURS
-    seed, query, goal = [-1] * n_chains, {}, [0] * n_chains
-
-    def put(c: int, i: int, length: int) -> None:
-        chain[i], offset[i] = c, end[c]
-        end[c] += length
-
-    while left:
-        new = []
-        for c in range(n_chains):
-            if seed[c] < 0 and left:  # a window's end fell between documents
-                while not unused[following]:
-                    following += 1
-                seed[c] = following
-                unused[following] = False
-                left -= 1
-                new.append(c)
-        query = {i: query[i] for i in seed if i in query}
-        query |= seed_terms(index, [i for i in seed if i >= 0 and i not in query])
-        for c in new:
-            put(c, seed[c], query[seed[c]][0])
-            goal[c] = (int(end[c]) // WINDOW + 1) * WINDOW
-        if not left:
-            break
-        asking = [c for c in range(n_chains) if seed[c] >= 0]
-        k, closed = min(k, max(NEIGHBOURS, LISTED // len(asking))), 0
-        for c, (numbers, lengths) in zip(asking, neighbours(index, model, unused, [query[seed[c]][1] for c in asking], k)):
-            for i, length in zip(numbers, lengths):
-                if unused[i]:
-                    unused[i] = False
-                    left -= 1
-                    put(c, i, length)
-                    if end[c] >= goal[c]:
-                        seed[c] = i if end[c] % WINDOW else -1
-                        goal[c] = (int(end[c]) // WINDOW + 1) * WINDOW
-                        closed += 1
-                        break
-        k = 2 * k if 2 * closed < len(asking) else k  # many seeds want the same documents, or small ones
-    return chain, offset, end
-
-
-class Layout:
-    """Where the tokens of chains go: whole windows, then the chains' ends one after the other."""
-
-    def __init__(self, end: np.ndarray):
-        self.whole = end // WINDOW * WINDOW
-        self.first = np.cumsum(self.whole // WINDOW) - self.whole // WINDOW
-        tail = end - self.whole
-        self.tail = np.cumsum(tail) - tail
-        self.windows, self.rest = int(self.whole.sum()) // WINDOW, int(tail.sum())
-
-    def at(self, c: int, offset: int) -> tuple[int, int, int]:
-        """Sequence, offset in it and its length."""
-        if offset < self.whole[c]:
-            return int(self.first[c]) + offset // WINDOW, offset % WINDOW, WINDOW
-        t = int(self.tail[c]) + offset - int(self.whole[c])
-        full = self.rest // WINDOW
-        if t < full * WINDOW:
-            return self.windows + t // WINDOW, t % WINDOW, WINDOW
-        t, left, sequence = t - full * WINDOW, self.rest - full * WINDOW, self.windows + full
-        while True:
-            n = 1 << (left.bit_length() - 1)
-            if t < n:
-                return sequence, t, n
-            t, left, sequence = t - n, left - n, sequence + 1
-
-
-def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", n_chains: int | None = None, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    spark = df.sparkSession
-    kind = df.schema[key].dataType.simpleString()
-    rows = stored(encode(df.select(F.col(key).alias("key"), F.col(text).alias("text")), path, kind))
-    names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    df_counts, n_docs, n_tokens = corpus_statistics(rows)
-    parts = {r["part"]: r["n"] for r in rows.groupBy(F.shiftright("id", POS).alias("part")).agg(F.count("*").alias("n")).collect()}
-    counts = np.array([parts.get(i, 0) for i in range(max(parts, default=-1) + 1)], np.int64)
-    base = np.cumsum(counts) - counts
-    idf = np.log(1 + (n_docs - df_counts + 0.5) / (df_counts + 0.5)).astype(np.float32)
-    model = spark.sparkContext.broadcast((idf, n_tokens / max(1, n_docs)))  # one number a token of the vocabulary
-    n_chains = n_chains or min(CHAINS, -(-n_tokens // (WINDOW * ROUNDS)))
-    chain, offset, end = chained(stored(shards(rows, base, shard_docs)), model, n_docs, n_chains)
-    layout = spark.sparkContext.broadcast(Layout(end))  # of CHAINS chains at most
-    ids = np.repeat(np.arange(len(counts)) << POS, counts) + np.arange(n_docs) - np.repeat(base, counts)
-    placed = spark.createDataFrame(pa.table([pa.array(ids, pa.int64()), pa.array(chain, pa.int32()), pa.array(offset, pa.int64())], ["id", "chain", "at"]), "id long, chain int, at long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = layout.value
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of documents of a window and more."""
+        sequence = WHOLE + (TaskContext.get().partitionId() << POS)
         for batch, ids in unpacked(batches):
-            out, row = [], []
-            for i, (x, c, at) in enumerate(zip(ids, batch.column("chain").to_pylist(), batch.column("at").to_pylist())):
-                start = 0
-                while start < len(x):
-                    sequence, o, room = place.at(c, at + start)
-                    n = min(room - o, len(x) - start)
+            row, out = [], []
+            for i, x in enumerate(ids):
+                for at in range(0, len(x) // WINDOW * WINDOW, WINDOW):
                     row.append(i)
-                    out.append((start, n, zlib.crc32(x[start : start + n].astype("<u4").tobytes()), len(x), sequence, o))
-                    start += n
-            columns = zip(*out) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in columns)], names)
-
-    found = rows.join(placed, "id").select("key", "ids", "chain", "at").mapInArrow(run, f"key {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
-    return found.withColumnRenamed("key", key)
+                    out.append((at, WINDOW, zlib.crc32(x[at : at + WINDOW].astype("<u4").tobytes()), len(x), sequence, 0))
+                    sequence += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in zip(*out))], NAMES)
+
+    shape = f"key {kind}, " + ", ".join(f"{n} long" for n in NAMES[1:])
+    dealt = rows.mapInArrow(deal, f"shard long, key {kind}, id long, total long, ids binary")
+    return dealt.groupBy("shard").applyInArrow(fill, shape).unionAll(rows.mapInArrow(windows, shape)).withColumnRenamed("key", key)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -188,7 +189,6 @@ def test_url_rules(spark, folder):
 def test_url_model_is_fitted_on_all_urls(spark):
     """More urls than a sample of 20,000 would hold; no bad one, and not all tokens, would be in it."""
     import math
-    from collections import Counter
 
     n, r = 26_000, random.Random(8)
     out = [i for i in range(n) if zlib.crc32(str(i).encode()) >= 20_000 / n * 2**32]
@@ -212,8 +212,6 @@ def test_url_model_is_fitted_on_all_urls(spark):
 
 def test_url_words_are_not_cut_by_the_vocabulary(spark):
     """Words that are rare in titles, among them one that holds a seed, split names whatever the bound of what executors get."""
-    from collections import Counter
-
     r = random.Random(9)
     words = ["".join(r.choice("aeioustrnlm") for _ in range(r.randrange(3, 9))) for _ in range(60)]
     titles = [" ".join([*(["test"] * 9), *words[:3] * 5, *words, "scamper scampers scampering"])] + ["test"] * 5
@@ -262,17 +260,21 @@ def test_token_counts(spark, docs):
     assert all(r["n_tokens"] == len(whole.encode(texts[r["doc_id"]], add_special_tokens=False).ids) for r in got)
 
 
-def check_packing(rows, ids):
+def check_packing(rows, ids, times=None):
+    """ids by document; times: how many rows each document has, if not one."""
     by_doc, by_sequence = {}, {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)
         by_sequence.setdefault(r["sequence_id"], []).append(r)
     for i, pieces in by_doc.items():
         full = [*ids[i], 1]
-        assert sum(p["length"] for p in pieces) % len(full) == 0  # repeated rows
+        covered = np.zeros(len(full), int)
         for p in pieces:
             part = full[p["start"] : p["start"] + p["length"]]
+            covered[p["start"] : p["start"] + p["length"]] += 1
+            assert len(part) == p["length"] > 0
             assert p["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes()) and p["doc_tokens"] == len(full)
+        assert (covered == (times[i] if times else 1)).all()
     assert by_doc.keys() == ids.keys()
     for pieces in by_sequence.values():
         at = 0
@@ -283,85 +285,109 @@ def check_packing(rows, ids):
 
 
 def test_packing(docs):
-    check_packing(packing.pack(docs, P.path("word_bpe_49k.json")).collect(), library_ids())
+    check_packing(packing.pack(docs, P.path("word_bpe_49k.json")).collect(), library_ids(), Counter(r[0] for r in corpus()))
 
 
-@pytest.mark.parametrize("parts, n_chains, shard_docs", [(1, 1, 7), (5, 3, 4), (8, 2, 1000)])
-def test_packing_takes_the_best_of_the_whole_corpus(spark, parts, n_chains, shard_docs):
-    """Each neighbour is the best-scored document that was free, in whatever partition or shard it lies."""
-    r = random.Random(4)
-    topics = [["".join(r.choice("aeioustrnlm") for _ in range(6)) for _ in range(120)] for _ in range(8)]
-    # documents of one topic are as far apart as can be
-    rows = [(i, " ".join(r.choice(topics[i % 8] if r.random() < 0.8 else topics[r.randrange(8)]) for _ in range(r.randrange(90, 260)))) for i in range(96)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    got = packing.pack(df, P.path("word_bpe_49k.json"), n_chains=n_chains, shard_docs=shard_docs).collect()
+def topical(n=96, topics=8, seed=4):
+    """Documents of one topic are as far apart as can be."""
+    r = random.Random(seed)
+    words = [["".join(r.choice("aeioustrnlm") for _ in range(6)) for _ in range(120)] for _ in range(topics)]
+    return [(i, " ".join(r.choice(words[i % topics] if r.random() < 0.8 else words[r.randrange(topics)]) for _ in range(r.randrange(90, 260)))) for i in range(n)]
+
+
+def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    ids = [np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u2") for _, x in rows]
+    return lambda x: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u2")
+
+
+def model_of(ids):
+    df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=1 << 16)
+    return packing.Model(df, len(ids), sum(map(len, ids)) / len(ids))
+
+
+def bm25(model, seed, doc):
+    """The plain sum over the distinct tokens of the seed."""
+    n, norm = Counter(doc.tolist()), packing.K1 * (1 - packing.B + packing.B * len(doc) / model.mean)
+    return sum(model.idf[t] * n[t] * (packing.K1 + 1) / (n[t] + norm) for t in set(seed.tolist()) if t in n)
+
+
+def streams(rows):
+    """Documents of each shard in the order in which their pieces fill it."""
+    out = {}
+    for x in sorted(rows, key=lambda x: (x["sequence_id"], x["offset"])):
+        if x["sequence_id"] < packing.WHOLE:
+            order = out.setdefault(x["sequence_id"] >> 32, [])
+            if not order or order[-1] != x["doc_id"]:
+                order.append(x["doc_id"])
+    return out
+
+
+@pytest.mark.parametrize("parts, shard_docs", [(1, 1000), (3, 1000), (4, 30), (2, 7)])
+def test_packing_takes_the_best_unused_of_a_shard(spark, parts, shard_docs):
+    """A window holds its seed and, in order, the documents of the shard that plain BM25 finds best among those unused."""
+    rows = topical()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    got = packing.pack(df, P.path("word_bpe_49k.json"), shard_docs=shard_docs).collect()
+    ids = list(map(library(), (x for _, x in rows)))
     check_packing(got, {i: x[:-1].tolist() for i, x in enumerate(ids)})
-    df_counts = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=1 << 16)
-    idf = np.log(1 + (len(ids) - df_counts + 0.5) / (df_counts + 0.5)).astype(np.float32)
-    index = packing.Index(ids, idf, sum(map(len, ids)) / len(ids))
-    # plain greedy over all documents, chains in turn
-    free = list(range(len(ids)))
-    state = [None] * n_chains
-    size, order = [0] * n_chains, [[] for _ in range(n_chains)]
-    while free:
-        for c in range(n_chains):
-            if state[c] is None and free:
-                state[c] = free.pop(0)
-                order[c].append(state[c])
-                size[c] += len(ids[state[c]])
-        for c in range(n_chains):
-            if state[c] is None:
-                continue
-            goal, s = (size[c] // 2048 + 1) * 2048, index.scores(state[c])
-            while free and size[c] < goal:
-                last = max(free, key=lambda i: (s[i], -i))
-                free.remove(last)
-                order[c].append(last)
-                size[c] += len(ids[last])
-            if size[c] >= goal:
-                state[c] = last if size[c] % 2048 else None
-    want = set()
-    for o in order:
-        at = 0
-        for a, b in zip(o, o[1:]):
-            at += len(ids[a])
-            if at % 2048 and at < sum(len(ids[i]) for i in o) // 2048 * 2048:
-                want.add((a, b))  # b begins in the window where a ends
-    by_sequence = {}
-    for x in got:
-        by_sequence.setdefault(x["sequence_id"], []).append((x["offset"], x["doc_id"]))
-    beside = {(a[1], b[1]) for p in by_sequence.values() for a, b in zip(sorted(p), sorted(p)[1:])}
-    assert want and want <= beside
-
-
-def test_bm25_against_the_formula():
+    model, shards = model_of(ids), streams(got)
+    assert sorted(i for o in shards.values() for i in o) == list(range(len(ids)))
+    assert len(shards) == 1 if shard_docs == 1000 else len(shards) > len(ids) // (2 * shard_docs)
+    for order in shards.values():
+        free, end, seed = set(order), 0, None
+        for i in order:
+            if seed is None:
+                assert i == min(free)
+                seed, goal = i, (end + len(ids[i])) // 2048 * 2048 + 2048
+            else:
+                best = max(bm25(model, ids[seed], ids[j]) for j in free)
+                assert bm25(model, ids[seed], ids[i]) >= best - 0.02  # weights are rounded
+            free.remove(i)
+            end += len(ids[i])
+            if end >= goal:
+                seed, goal = (i, end // 2048 * 2048 + 2048) if end % 2048 else (None, None)
+
+
+def test_shards_are_dealt_by_words(spark):
+    """Neighbours within shards score far above neighbours by place, although a shard holds a sixth of the corpus."""
+    rows = topical(480, 6, 11)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = packing.pack(df, P.path("word_bpe_49k.json"), shard_docs=80).collect()
+    shards = streams(got)
+    same = [sum(i % 6 == j % 6 for i in o for j in o) / len(o) ** 2 for o in shards.values()]
+    assert len(shards) >= 6 and sum(s * len(o) for s, o in zip(same, shards.values())) / len(rows) > 0.6
+
+
+def test_shards_of_copies_are_bounded(spark):
+    """Copies, of which no words tell one from another, are split."""
+    df = spark.createDataFrame([(i, "the same few words" if i % 3 else f"another text {i}") for i in range(900)], "doc_id long, text string").repartition(4)
+    got = packing.pack(df, P.path("word_bpe_49k.json"), shard_docs=50).collect()
+    assert max(map(len, streams(got).values())) < 120
+    ids = library()
+    check_packing(got, {i: ids("the same few words" if i % 3 else f"another text {i}")[:-1].tolist() for i in range(900)})
+
+
+def test_long_documents_are_whole_windows_and_an_end(spark):
+    text = " ".join(f"w{i * i % 997}" for i in range(9000))
+    rows = [(1, text), (2, text[:20000]), (3, ""), (4, None), (5, "x" * 70_000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), P.path("word_bpe_49k.json")).collect()
+    ids = library()
+    check_packing(got, {i: ids(t)[:-1].tolist() for i, t in rows})
+
+
+@pytest.mark.parametrize("tokens, sizes", [(40, range(3, 30, 2)), (900, (40, 300, 700, 1500)), (30, [20] * 100)])
+def test_bm25_against_the_formula(tokens, sizes):
     r = np.random.default_rng(1)
-    docs = [r.integers(0, 40, r.integers(3, 30)).astype("<u2") for _ in range(12)]
-    idf = r.random(1 << 16).astype(np.float32)
-    index = packing.Index(docs, idf, 15.0)
-    for i in (0, 5):
-        want = []
-        for d in docs:
-            norm = packing.K1 * (1 - packing.B + packing.B * len(d) / 15)
-            want.append(sum(idf[t] * (d == t).sum() * (packing.K1 + 1) / ((d == t).sum() + norm) for t in set(docs[i].tolist()) if (d == t).any()))
-        assert np.allclose(index.scores(i), want, rtol=1e-4)
-
-
-def test_bm25_scores_every_token_of_long_documents():
-    r = np.random.default_rng(2)
-    docs = [r.integers(0, 900, n).astype("<u2") for n in (40, 300, 700, 1500)]
-    idf = r.random(1 << 16).astype(np.float32)
-    index = packing.Index(docs, idf, 600.0)
-    for i in range(len(docs)):
-        want = []
-        for d in docs:
-            norm = packing.K1 * (1 - packing.B + packing.B * len(d) / 600)
-            want.append(sum(idf[t] * (d == t).sum() * (packing.K1 + 1) / ((d == t).sum() + norm) for t in set(docs[i].tolist())))
-        assert np.allclose(index.scores(i), want, rtol=1e-4)
+    docs = [r.integers(0, tokens, n).astype("<u2") for n in sizes]
+    model = model_of(docs)
+    model.idf = r.random(1 << 16).astype(np.float32)
+    index = packing.Index(docs, model)
+    for i in range(0, len(docs), 3):
+        want = np.array([bm25(model, docs[i], d) for d in docs])
+        others = np.arange(len(docs)) != i
+        assert np.allclose(index.scores(i)[others] / packing.UNIT, want[others], rtol=1e-4)
 
 
 def test_sentence_pieces(docs):
