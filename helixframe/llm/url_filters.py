@@ -2,13 +2,19 @@
 
 Rules are SQL expressions. For the urls that no rule fits, host labels and path tokens are split into words by a unigram
 Viterbi (word counts come from the titles of all pages; all words count that occur in a url, of which the `vocabulary` that most urls
-hold are sent to executors and the others joined to the urls that hold them), and multinomial
-naive Bayes scores the words. It is fitted on all urls, labelled by seed words in their segmented hosts: a url is a bad example if
-its host holds one. Tokens are counted by class over the whole table. The tables that executors get are of bounded size: the weights of the most
-frequent tokens (`model_tokens`) are sent to them, those of all others joined. Weights are whole multiples of 2^-40, so sums are exact.
+hold are sent to executors and the others joined to the urls that hold them), and multinomial naive Bayes scores the words and the
+shape of the host (its labels' kinds: letters as a, digits as 0, `a.a-a` say).
+
+Urls have no labels. A host that holds a seed word is a bad example, and blocked; every other url is unlabelled, not good. The model is
+fitted by expectation maximisation: unlabelled urls count in both classes by their probability, which starts at 0 and comes from the
+model of the round before, until none changes by a hundredth (`ROUNDS` at most). Seed words made the labels and are no features, so what the
+model blocks it blocks for other words and shapes that go with them. It is fitted on all urls: those of equal features are one row with a count.
+The tables that executors get are of bounded size: the weights of the most frequent tokens (`model_tokens`) are sent to them, those of all others joined.
+Weights are whole multiples of 2^-40 and probabilities of 2^-20, so sums are exact.
 
 Defined cases: a null url, and one without ://, has an empty host and path and is allowed; of rules of equal
-length the first listed wins; repeated rows are each returned; with no bad example in the whole table, everything is allowed; only key, url and html are read.
+length the first listed wins; repeated rows are each returned; with no bad example in the whole table, everything is allowed; an empty table gives
+no rows; a path of any length is read whole; only key, url and html are read.
 """
 
 from __future__ import annotations
@@ -31,7 +37,10 @@ SEEDS = frozenset({"spam", "casino", "viagra", "porn", "xxx", "phish", "phishing
 UNIT = float(1 << 40)  # of the weights of tokens
 LONGEST = 24  # letters of a word that is looked up
 FILTER_BITS = 26  # 8 MB
+SHARE = 1 << 20  # probabilities are whole multiples of 1 / SHARE
+ROUNDS = 30
 PARTS = re.compile(r"[a-z]+|[0-9]+|[^\W\d_a-z]+")
+SHAPE = re.compile(r"[^\W\d_]+|\d+")
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -99,8 +108,9 @@ class Segmenter:
 
 def tokens(segmenter: Segmenter, host: str, path: str) -> list[str]:
     split = lambda s: [w for part in PARTS.findall(s) for w in (segmenter.words(part) if part.isalpha() else ["0"])]
+    shape = ".".join(sorted({SHAPE.sub(lambda m: "a" if m[0].isalpha() else "0", label) for label in host.split(".")}))
     # each once, so that a url that repeats itself weighs no more than another
-    return list(dict.fromkeys([f"h:{w}" for w in split(host)] + [f"p:{w}" for w in split(path.lower())]))
+    return list(dict.fromkeys([f"h:{w}" for w in split(host)] + [f"p:{w}" for w in split(path.lower())] + [f"s:{shape}"]))
 
 
 def title_words(pages: DataFrame) -> DataFrame:
@@ -179,20 +189,25 @@ def examples(pages: DataFrame, vocabulary: int) -> DataFrame:
     return stored(urls.select("host", "path", "n", "more").mapInArrow(run, "host string, path string, n long, tokens array<string>, bad boolean"))
 
 
-def blocked(urls: DataFrame, model_tokens: int) -> DataFrame | None:
-    """host and path of the urls that multinomial naive Bayes, fitted on all of them, finds bad; None if no example is bad."""
-    labels = {r["bad"]: r["n"] for r in urls.groupBy("bad").agg(F.sum("n").alias("n")).collect()}
-    if not labels.get(True):
-        return None
-    of = lambda bad: F.sum(F.when(F.col("bad") == F.lit(bad), F.col("n")).otherwise(0))
-    seen = stored(urls.select(F.explode("tokens").alias("token"), "n", "bad").groupBy("token").agg(of(True).alias("n_bad"), of(False).alias("n_good")))
-    size, *total = seen.agg(F.count("*"), F.coalesce(F.sum("n_bad"), F.lit(0)), F.coalesce(F.sum("n_good"), F.lit(0))).first()
-    total_bad, total_good = (t + size + 1 for t in total)
-    prior = round(UNIT * math.log((labels[True] + 1) / (labels.get(False, 0) + 1)))
-    ratio = F.log((F.col("n_bad") + 1) / F.lit(float(total_bad))) - F.log((F.col("n_good") + 1) / F.lit(float(total_good)))
-    weights = seen.select("token", F.round(ratio * UNIT).cast("long").alias("weight"), (F.col("n_bad") + F.col("n_good")).alias("n"))
+def weigh(rows: DataFrame, size: int) -> tuple[DataFrame, int, int]:
+    """token, weight and n of rows (tokens, n, share: of SHARE, how bad, was: in the round before); the prior's weight; the largest change.
+
+    size: the number of distinct tokens."""
+    part = lambda share, n=1: F.coalesce(F.sum(F.col("n") * n * share), F.lit(0))
+    bad, good = F.col("share"), SHARE - F.col("share")
+    *labels, all_bad, all_good, moved = rows.agg(part(bad), part(good), part(bad, F.size("tokens")), part(good, F.size("tokens")), F.max(F.abs(F.col("share") - F.col("was")))).first()
+    total_bad, total_good = (t / SHARE + size + 1 for t in (all_bad, all_good))
+    seen = rows.select(F.explode("tokens").alias("token"), "n", "share").groupBy("token").agg(part(bad).alias("bad"), part(good).alias("good"))
+    ratio = F.log((F.col("bad") / SHARE + 1) / F.lit(total_bad)) - F.log((F.col("good") / SHARE + 1) / F.lit(total_good))
+    prior = round(UNIT * math.log((labels[0] / SHARE + 1) / (labels[1] / SHARE + 1)))
+    return seen.select("token", F.round(ratio * UNIT).cast("long").alias("weight"), (F.col("bad") + F.col("good")).alias("n")), prior, moved
+
+
+def scored(rows: DataFrame, key: list[str], weights: DataFrame, prior: int, size: int, model_tokens: int) -> DataFrame:
+    """key and score (times UNIT) of rows (key, tokens)."""
+    weights = stored(weights) if size > model_tokens else weights
     often = {r["token"]: r["weight"] for r in weights.orderBy(F.col("n").desc(), "token").limit(model_tokens).collect()}
-    sent = urls.sparkSession.sparkContext.broadcast(often)  # bounded by model_tokens
+    sent = rows.sparkSession.sparkContext.broadcast(often)  # bounded by model_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
@@ -200,15 +215,45 @@ def blocked(urls: DataFrame, model_tokens: int) -> DataFrame | None:
             found = b.column("tokens").to_pylist()
             part = [prior + sum(known.get(t, 0) for t in ts) for ts in found]
             rest = [[t for t in ts if t not in known] for ts in found]
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("path"), pa.array(part, pa.int64()), pa.array(rest, pa.list_(pa.string()))], ["host", "path", "score", "rest"])
-
-    scored = urls.select("host", "path", "tokens").mapInArrow(run, "host string, path string, score long, rest array<string>")
-    if size > len(often):
-        each = scored.select("host", "path", "score", F.explode_outer("rest").alias("token"))
-        whole, some = each.where("token IS NULL").select("host", "path", "score"), each.where("token IS NOT NULL")
-        some = some.join(weights.select("token", "weight"), "token").groupBy("host", "path").agg((F.first("score") + F.sum("weight")).alias("score"))
-        scored = whole.unionByName(some)
-    return scored.where("score > 0").select("host", "path")
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in key), pa.array(part, pa.int64()), pa.array(rest, pa.list_(pa.string()))], [*key, "score", "rest"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in key)
+    out = rows.select(*dict.fromkeys([*key, "tokens"])).mapInArrow(run, f"{kinds}, score long, rest array<string>")
+    if size <= model_tokens:
+        return out.select(*key, "score")
+    each = out.select(*key, "score", F.explode_outer("rest").alias("token"))
+    whole, some = each.where("token IS NULL").select(*key, "score"), each.where("token IS NOT NULL")
+    some = some.join(weights.select("token", "weight"), "token").groupBy(*key).agg((F.first("score") + F.sum("weight")).alias("score"))
+    return whole.unionByName(some)
+
+
+def features(tokens: Column) -> Column:
+    return F.filter(tokens, lambda t: ~F.substring(t, 3, 1 << 20).isin(*SEEDS))
+
+
+def fitted(urls: DataFrame, model_tokens: int, rounds: int = ROUNDS) -> tuple[DataFrame, int, int] | None:
+    """Weights, prior and number of tokens; None if no url is a bad example."""
+    bags = stored(urls.groupBy(F.array_sort(features(F.col("tokens"))).alias("tokens"), "bad").agg(F.sum("n").alias("n")))
+    if bags.where("bad").isEmpty():
+        return None
+    size = bags.select(F.explode("tokens")).distinct().count()
+    rows = bags.withColumns({"share": F.when(F.col("bad"), F.lit(SHARE)).otherwise(0).cast("long"), "was": F.lit(-SHARE).cast("long")})
+    for k in range(rounds + 1):
+        weights, prior, moved = weigh(rows, size)
+        if moved < SHARE // 100 or k == rounds:
+            return weights, prior, size
+        found = scored(rows.select("tokens", "bad", "n", F.col("share").alias("was")), ["tokens", "bad", "n", "was"], weights, prior, size, model_tokens)
+        new = F.when(F.col("bad"), F.lit(SHARE)).otherwise(F.round(SHARE / (1 + F.exp(-F.col("score") / UNIT))))
+        rows = stored(found.withColumn("share", new.cast("long")).drop("score"))
+
+
+def blocked(urls: DataFrame, model_tokens: int) -> DataFrame | None:
+    """host and path of the urls that are bad examples or that the model finds bad; None if no example is bad."""
+    model = fitted(urls, model_tokens)
+    if model is None:
+        return None
+    rows = urls.select("host", "path", "bad", features(F.col("tokens")).alias("tokens"))
+    return scored(rows, ["host", "path", "bad"], *model, model_tokens).where("bad OR score > 0").select("host", "path")
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES, vocabulary: int = 20_000, model_tokens: int = 20_000) -> DataFrame:

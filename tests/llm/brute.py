@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 from collections import Counter
 
@@ -63,3 +64,26 @@ def suffix(texts, length=200):
         runs = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out.append((len(t), sum(gone), runs, bytes(c for c, g in zip(t, gone) if not g)))
     return out
+
+
+def url_verdicts(tokens, seeds, rounds=30):
+    """tokens by id -> verdict by id: naive Bayes by expectation maximisation from the examples that hold a seed in the host."""
+    bad = {i for i, ts in tokens.items() if any(t[:2] == "h:" and t[2:] in seeds for t in ts)}
+    own = {i: [t for t in ts if t[2:] not in seeds] for i, ts in tokens.items()}
+    share, score = {i: float(i in bad) for i in own}, dict.fromkeys(own, 0.0)
+    for last in range(rounds + 1):
+        seen = ({}, {})
+        for i, ts in own.items():
+            for t in ts:
+                for side, x in enumerate((share[i], 1 - share[i])):
+                    seen[side][t] = seen[side].get(t, 0) + x
+        size = len(seen[0]) + 1
+        total = [sum(x.values()) + size for x in seen]
+        weight = {t: math.log((seen[0][t] + 1) / total[0]) - math.log((seen[1][t] + 1) / total[1]) for t in seen[0]}
+        prior = math.log((sum(share.values()) + 1) / (len(own) - sum(share.values()) + 1))
+        score = {i: prior + sum(weight[t] for t in ts) for i, ts in own.items()}
+        new = {i: 1.0 if i in bad else 1 / (1 + math.exp(-s)) for i, s in score.items()}
+        moved, share = max(abs(new[i] - share[i]) for i in new), new if last < rounds else share
+        if moved < 0.01:
+            break
+    return {i: "block" if i in bad or score[i] > 0 else "allow" for i in own}
