@@ -36,7 +36,7 @@ from .token_counts import Encoder, byte_batches
 
 WINDOW = 2048
 END = 1
-SHARD_DOCS = 2048  # ends in a shard, about
+SHARD_DOCS = 1024  # ends in a shard, about
 LEAVES, SAMPLE, BINS = 4096, 32, 64  # leaves of the tree at most, sampled ends for each, cells in each
 DIMENSIONS = 64
 DENSE_SHARE, DENSE_BYTES = 32, 32 << 20  # tokens in a DENSE_SHAREth of a shard's ends are rows of a matrix
@@ -63,10 +63,10 @@ def encode(rows: DataFrame, path: str, kind: str) -> DataFrame:
         del encoder
         trim()
 
-    return rows.mapInArrow(run, f"key {kind}, id long, ids binary")
+    return rows.mapInArrow(run, f"key {kind}, id long, ids binary").withColumn("total", (F.octet_length("ids") / 2).cast("long"))
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def unpacked(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for whole in batches:
         for at in range(0, whole.num_rows, rows):
             batch = whole.slice(at, rows)
@@ -118,12 +118,15 @@ class Model:
         """One row of unit length a document."""
         if self._axes is None:
             bits = mix(np.arange(1, (1 << 16) + 1, dtype=U8))
-            self._axes = (((bits[:, None] >> np.arange(DIMENSIONS, dtype=U8)) & U8(1)).astype(np.float32) * 2 - 1).astype(np.float32)
-        doc, token, tf = terms(docs)
-        w = self.weights(doc, token, tf, np.array([len(x) for x in docs])).astype(np.float32)
-        at = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-        v = np.add.reduceat(w[:, None] * self._axes[token], at, axis=0)
-        return v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9)
+            self._axes = ((bits[:, None] >> np.arange(DIMENSIONS, dtype=U8)) & U8(1)).astype(np.float32) * 2 - 1
+        out = np.empty((len(docs), DIMENSIONS), np.float32)
+        for i in range(0, len(docs), 64):  # so many at once as stay in a processor's cache
+            some = docs[i : i + 64]
+            doc, token, tf = terms(some)
+            w = self.weights(doc, token, tf, np.array([len(x) for x in some])).astype(np.float32)
+            at = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+            out[i : i + 64] = np.add.reduceat(w[:, None] * self._axes[token], at, axis=0)
+        return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-9)
 
 
 class Tree:
@@ -161,25 +164,20 @@ class Tree:
         return leaf * BINS + ((v * self.last[leaf]).sum(1)[:, None] > self.edges[leaf]).sum(1)
 
 
-class Shards:
+def shards_of(counts: np.ndarray, shard_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """First shard of each cell, and the number of shards that it is split into (1 for a cell that shares its shard)."""
-
-    def __init__(self, counts: np.ndarray, shard_docs: int):
-        self.first, self.parts = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
-        shard, held = 0, 0
-        for i in np.flatnonzero(counts).tolist():
-            n = int(counts[i])
-            if held and held + n > shard_docs:
-                shard, held = shard + 1, 0
-            self.first[i] = shard
-            held += n
-            if n > shard_docs:
-                self.parts[i] = -(-n // shard_docs)
-                shard, held = shard + int(self.parts[i]), 0
-        self.n = shard + (held > 0)
-
-    def of(self, cells: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        return self.first[cells] + (mix(ids.astype(U8)) % self.parts[cells].astype(U8)).astype(np.int64)
+    first, parts = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
+    shard, held = 0, 0
+    for i in np.flatnonzero(counts).tolist():
+        n = int(counts[i])
+        if held and held + n > shard_docs:
+            shard, held = shard + 1, 0
+        first[i] = shard
+        held += n
+        if n > shard_docs:
+            parts[i] = -(-n // shard_docs)
+            shard, held = shard + int(parts[i]), 0
+    return first, parts
 
 
 def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -278,47 +276,40 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", shar
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
     rows = stored(encode(df.select(F.col(key).alias("key"), F.col(text).alias("text")), path, kind))
-    df_counts, n_docs, n_tokens, n_ends = corpus_statistics(rows)
+    df_counts, n_docs, n_tokens, n_ends = corpus_statistics(rows.select("ids"))
     model = spark.sparkContext.broadcast(Model(df_counts, n_docs, n_tokens / max(1, n_docs)))  # one number a token of the vocabulary
     leaves = min(LEAVES, 1 << max(0, (4 * n_ends // shard_docs).bit_length() - 1))
-    tail = lambda x: x[len(x) // WINDOW * WINDOW :]
 
-    def ends(batches: Iterator[pa.RecordBatch], keep=lambda ids: np.ones(len(ids), bool)) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray]]:
-        """Rows with an end, and the ends; ids are the rows' numbers."""
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+        """Rows with an end, and the ends."""
         for batch, ids in unpacked(batches):
-            on = np.array([len(x) % WINDOW > 0 for x in ids], bool) & keep(batch.column("id").to_numpy())
-            if on.any():
-                yield batch.filter(pa.array(on)), [tail(x) for x, y in zip(ids, on.tolist()) if y], batch.column("id").to_numpy()[on]
-
-    share = min(1.0, leaves * SAMPLE / max(1, n_ends))
+            yield batch, [x[len(x) // WINDOW * WINDOW :] for x in ids]
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, docs, ids in ends(batches, lambda ids: mix(ids.astype(U8), 1) <= U8(int(share * (2**64 - 2**12)))):
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([v.tobytes() for v in model.value.vectors(docs)], pa.binary())], ["id", "v"])
+        for batch, docs in ends(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([v.tobytes() for v in model.value.vectors(docs)], pa.binary())], ["id", "v"])
 
-    drawn = rows.mapInArrow(draw, "id long, v binary").orderBy("id").limit(2 * leaves * SAMPLE).toArrow()  # a bound on the draw's chance excess
+    share = min(1.0, leaves * SAMPLE / max(1, n_ends))
+    with_end = rows.where(F.col("total") % WINDOW > 0)
+    chance = with_end.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    drawn = chance.select("id", "ids").mapInArrow(draw, "id long, v binary").orderBy("id").limit(2 * leaves * SAMPLE).toArrow()  # a bound on the draw's chance excess
     tree = Tree(np.frombuffer(b"".join(drawn.column("v").to_pylist()), np.float32).reshape(-1, DIMENSIONS), leaves)
     placed = spark.sparkContext.broadcast(tree)  # of LEAVES leaves at most
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(leaves * BINS, np.int64)
-        for _, docs, _ in ends(batches):
-            n += np.bincount(placed.value.cells(model.value.vectors(docs)), minlength=len(n))
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, docs in ends(batches):
+            cell = placed.value.cells(model.value.vectors(docs))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), *(batch.column(c) for c in ("key", "id", "total")), pa.array([x.tobytes() for x in docs], pa.binary())], ["cell", "key", "id", "total", "ids"])
+        trim()
 
-    counted = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = stored(with_end.mapInArrow(place, f"cell long, key {kind}, id long, total long, ids binary"))
+    counted = cells.groupBy("cell").count().toArrow()
     counts = np.zeros(leaves * BINS, np.int64)
-    counts[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
-    shards = spark.sparkContext.broadcast(Shards(counts, shard_docs))  # two numbers a cell
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, docs, ids in ends(batches):
-            shard = shards.value.of(placed.value.cells(model.value.vectors(docs)), ids)
-            whole = [len(x) // 2 for x in batch.column("ids").to_pylist()]
-            columns = [pa.array(shard), batch.column("key"), pa.array(ids), pa.array(whole, pa.int64()), pa.array([x.tobytes() for x in docs], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "key", "id", "total", "ids"])
-        trim()
+    counts[counted.column("cell").to_numpy()] = counted.column("count").to_numpy()
+    first, parts = shards_of(counts, shard_docs)
+    known = pa.table([pa.array(np.arange(len(first))), pa.array(first), pa.array(parts)], ["cell", "first", "parts"])
+    shard = F.col("first") + F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts"))
+    dealt = cells.join(F.broadcast(spark.createDataFrame(known)), "cell").select(shard.alias("shard"), "key", "id", "total", "ids")  # LEAVES * BINS rows at most
 
     def fill(t: pa.Table) -> pa.Table:
         t = t.sort_by("id").combine_chunks()
@@ -347,8 +338,8 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", shar
                 yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in zip(*out))], NAMES)
 
     shape = f"key {kind}, " + ", ".join(f"{n} long" for n in NAMES[1:])
-    dealt = rows.mapInArrow(deal, f"shard long, key {kind}, id long, total long, ids binary")
-    return dealt.groupBy("shard").applyInArrow(fill, shape).unionAll(rows.mapInArrow(windows, shape)).withColumnRenamed("key", key)
+    long = rows.where(F.col("total") >= WINDOW).select("key", "ids")
+    return dealt.groupBy("shard").applyInArrow(fill, shape).unionAll(long.mapInArrow(windows, shape)).withColumnRenamed("key", key)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
