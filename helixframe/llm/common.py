@@ -27,7 +27,20 @@ def trim() -> None:
     """Hands freed memory of this Python worker, which lives on for further tasks, back to the system."""
     import ctypes
 
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
+
+
+def lean(run):
+    """run (an Arrow function over batches), and trim() when it has let go of everything."""
+
+    def trimmed(batches):
+        yield from run(batches)
+        trim()
+
+    return trimmed

@@ -11,7 +11,11 @@ the number of such texts by 8 x partitions.
 
 Defined cases: a null text equals an empty one, and a text of only white space too; of equal candidates the smallest id
 stays (null ids last); repeated rows are counted and returned one by one, and of rows alike in id and length exactly
-one is kept; an empty table gives no rows. Further columns of the input are not read.
+one is kept; an empty table gives no rows; a text of any length is sorted and compared whole. Further columns of the input are kept as they are
+by `keep_first`, whatever their names, and not read otherwise.
+
+Splitters are drawn on (the first 32 characters, a hash of the whole, salt), so order across partitions is by these; order within one
+is by the normalised text.
 """
 
 from __future__ import annotations
@@ -58,11 +62,11 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: i
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, their columns untouched."""
-    stay = groups(docs, key, text).where("kept").select(F.col(key).alias("_id"), F.col("cp").alias("_cp"), F.col("text_sha256").alias("_sha"))
-    own = docs.withColumn("_sha", F.sha2(normalised(F.col(text)).cast("binary"), 256)).withColumn("_cp", F.length(F.coalesce(F.col(text), F.lit(""))))
-    same = own[key].eqNullSafe(stay["_id"])
-    found = own.join(stay, (own["_sha"] == stay["_sha"]) & (own["_cp"] == stay["_cp"]) & same, "left_semi")
-    return found.dropDuplicates([key, "_cp", "_sha"]).select(*docs.columns)
+    stay = groups(docs, key, text).where("kept").select(F.col(key).alias("id"), F.col("cp").alias("cp1"), F.col("text_sha256").alias("sha1"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    own = docs.select(whole, F.col(key).alias("key"), F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("sha"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("cp"))
+    found = own.join(stay, (F.col("sha") == F.col("sha1")) & (F.col("cp") == F.col("cp1")) & F.col("key").eqNullSafe(F.col("id")), "left_semi")
+    return found.dropDuplicates(["key", "cp", "sha"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,20 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+MULT = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """MULT**j and MULT**-j modulo 2**64, for j below n."""
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        up, down = np.full(size, MULT, np.uint64), np.full(size, pow(MULT, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _powers[:] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _powers[0][:n], _powers[1][:n]
+
+
 def range_of(tokens: np.ndarray, n: int) -> np.ndarray:
     """Which of n equal ranges of the 64-bit numbers each is in."""
     return ((tokens >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)

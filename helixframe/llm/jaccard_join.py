@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..operators.lineage import checkpoint, stored
-from .common import shuffle_partitions, table, trim
-from .exchange import batch, blocks_for, bloom, bloom_bits, in_bloom, mix, range_of, raw
+from .common import lean, shuffle_partitions, table, trim
+from .exchange import batch, blocks_for, bloom, bloom_bits, in_bloom, mix, powers, range_of, raw
 
 SECOND = 0x5851F42D4C957F2D  # salt of H2
 THIRD = 0x14057B7EF767814F  # salt of the hash within DF
@@ -43,29 +43,60 @@ U8 = np.uint64
 NOBODY = 0xFFFF
 CLASS_BITS = 6
 PART_TOKENS = 2_000_000
+LETTERS = mix(np.arange(1, 257, dtype=U8))
 
 
-def token_sets(texts: list[bytes], n: int = 4) -> list[np.ndarray]:
-    """Each text's distinct shingle hashes, ascending (which is H1)."""
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+PIECE, LONG_WORD = 1 << 18, 64  # bytes hashed at once; bytes from which a word is hashed on its own
+
+
+def word_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the words, A-Z lower-cased."""
     import xxhash
 
-    digest = xxhash.xxh3_64_intdigest
-    words = [t.lower().split() for t in texts]  # bytes: A-Z only, and the six ASCII spaces
-    sizes = np.array([len(w) for w in words])
-    h = np.fromiter((digest(w) for ws in words for w in ws), U8, int(sizes.sum()))
-    empty = np.empty(0, U8)
+    starts, hashes, at = [], [], 0
+    while at < len(blob):
+        stop = min(len(blob), at + PIECE)
+        if stop < len(blob):  # a piece ends after white space
+            near = max(blob.rfind(s, at, stop) for s in (b" ", b"\n")) + 1
+            stop = near or min((x for s in (b" ", b"\n") if (x := blob.find(s, stop)) >= 0), default=len(blob) - 1) + 1
+        piece = blob[at:stop].lower()
+        data = np.frombuffer(piece, np.uint8)
+        space = np.concatenate(([True], SPACE[data], [True]))
+        start = np.flatnonzero(space[:-1] & ~space[1:])
+        end = np.flatnonzero(~space[:-1] & space[1:])
+        up, down = powers(len(data))
+        sums = np.concatenate((np.zeros(1, U8), np.cumsum(LETTERS[data] * up)))
+        h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U8))
+        for i in np.flatnonzero(end - start >= LONG_WORD).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(piece[start[i] : end[i]])
+        starts.append(start + at)
+        hashes.append(h)
+        at = stop
+    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.empty(0, np.int64), np.empty(0, U8))
+
+
+def token_sets(texts: list[bytes], n: int = 4) -> list[np.ndarray]:
+    """Each text's distinct hashes of shingles of n words, ascending (which is H1)."""
+    start, h = word_hashes(b"\n".join(texts))
+    last = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
+    sizes = np.diff(last, prepend=0)
     if len(h) >= n:
         x = np.zeros(len(h) - n + 1, U8)
         for k in range(n):
             x = mix(x * U8(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
-    ends = np.cumsum(sizes)
     out = []
-    for i, (size, end) in enumerate(zip(sizes.tolist(), ends.tolist())):
+    for size, end in zip(sizes.tolist(), last.tolist()):
         if size >= n:
             s = np.sort(x[end - size : end - n + 1])
             out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
+        elif size:  # the whole sequence is one shingle, unlike any of n words
+            whole = np.zeros(1, U8)
+            for k in range(size):
+                whole = mix(whole * U8(0x9E3779B97F4A7C15) + h[end - size + k])
+            out.append(mix(whole + U8(size)))
         else:
-            out.append(np.array([digest(b" ".join(words[i]), seed=size)], U8) if size else empty)
+            out.append(np.empty(0, U8))
     return out
 
 
@@ -88,19 +119,19 @@ def _texts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple
 LONG, BIN = pa.int64(), pa.binary()
 
 
-def describe(rows: DataFrame) -> DataFrame:
+def describe(rows: DataFrame, n: int) -> DataFrame:
     """id, n, d1, d2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in _texts(batches):
-            sets = token_sets(texts)
+            sets = token_sets(texts, n)
             d = [_digests(s) for s in sets]
             yield batch({"id": (b.column("id"), LONG), "n": ([len(s) for s in sets], LONG), "d1": ([x for x, _ in d], LONG), "d2": ([y for _, y in d], LONG)})
 
-    return rows.mapInArrow(run, "id long, n long, d1 long, d2 long")
+    return rows.mapInArrow(lean(run), "id long, n long, d1 long, d2 long")
 
 
-def companions(rows: DataFrame, ranges: int, percent: int) -> DataFrame:
+def companions(rows: DataFrame, ranges: int, percent: int, n: int) -> DataFrame:
     """d1 of the nodes that could have a link: at least ceil(t n) of their tokens occur in another node (and, rarely, some more).
 
     Nodes are taken in parts of bounded size. A part sends each of its tokens once, with its holder's number there if it has
@@ -131,7 +162,7 @@ def companions(rows: DataFrame, ranges: int, percent: int) -> DataFrame:
             yield batch({"r": (full, LONG), "part": ([part] * len(full), LONG), "tokens": ([six(token[cut[r] : cut[r + 1]]) for r in full], BIN), "owners": ([raw(owner[cut[r] : cut[r + 1]]) for r in full], BIN)})
 
         for _, texts in _texts(batches):
-            for x in token_sets(texts):
+            for x in token_sets(texts, n):
                 d = _digests(x)[0] if len(x) else None
                 if d is not None and d not in seen:
                     seen.add(d)
@@ -143,8 +174,6 @@ def companions(rows: DataFrame, ranges: int, percent: int) -> DataFrame:
                         part, seen, d1s, sets, size = part + 1, set(), [], [], 0
         if sets:
             yield from flush()
-        del sets, d1s, seen
-        trim()
 
     def meet(t: pa.Table) -> pa.Table:
         if t.column("r")[0].as_py() < 0:
@@ -182,12 +211,12 @@ def companions(rows: DataFrame, ranges: int, percent: int) -> DataFrame:
                 count[at] += n
         return pa.table({"d1": d1[count >= need]})
 
-    asked = rows.select("text").mapInArrow(ask, "r long, part long, tokens binary, owners binary")
+    asked = rows.select("text").mapInArrow(lean(ask), "r long, part long, tokens binary, owners binary")
     counts = asked.groupBy("r").applyInArrow(meet, "part long, tokens binary, owners binary")
     return counts.groupBy("part").applyInArrow(judge, "d1 long").distinct()
 
 
-def node_sets(rows: DataFrame, ids: DataFrame, blocks: int) -> DataFrame:
+def node_sets(rows: DataFrame, ids: DataFrame, blocks: int, n: int) -> DataFrame:
     """block, d1, id, tokens of the nodes whose id is among ids (a few others may slip in), each block in one partition."""
     words, size = bloom(ids, "id")
     known = rows.sparkSession.sparkContext.broadcast(words)  # BLOOM_BITS at most
@@ -196,12 +225,12 @@ def node_sets(rows: DataFrame, ids: DataFrame, blocks: int) -> DataFrame:
         for whole in batches:
             keep = whole.filter(pa.array(in_bloom(known.value, whole.column("bits"))))
             for b, texts in _texts([keep]):
-                at = [(i, s) for i, s in zip(b.column("id").to_pylist(), token_sets(texts)) if len(s)]
+                at = [(i, s) for i, s in zip(b.column("id").to_pylist(), token_sets(texts, n)) if len(s)]
                 d = [_digests(s)[0] for _, s in at]
                 yield batch({"block": ([x % blocks for x in d], LONG), "d1": (d, LONG), "id": ([i for i, _ in at], LONG), "tokens": ([raw(s) for _, s in at], BIN)})
 
     marked = rows.withColumn("bits", bloom_bits(F.col("id"), size))
-    return marked.mapInArrow(run, "block long, d1 long, id long, tokens binary").repartition(blocks, "block")
+    return marked.mapInArrow(lean(run), "block long, d1 long, id long, tokens binary").repartition(blocks, "block")
 
 
 def _nodes(t: pa.Table) -> dict[tuple[int, int], np.ndarray]:
@@ -315,15 +344,15 @@ def verify(sets: DataFrame, pairs: DataFrame, blocks: int, percent: int, distanc
     return sets.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(compare, ", ".join(f"{c} long" for c in PAIR) + ", distance double, linked boolean")
 
 
-def links(rows: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
+def links(rows: DataFrame, meta: DataFrame, percent: int, n: int) -> DataFrame:
     """src, dst of enough links between nodes (by id) to connect whatever is linked."""
     parts = shuffle_partitions(rows.sparkSession)
     ranges = max(parts, (meta.agg(F.sum("n")).first()[0] or 0) // 4_000_000)
     nodes = meta.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    live = stored(nodes.join(companions(rows, ranges, percent), "d1").select("id", "n"))
+    live = stored(nodes.join(companions(rows, ranges, percent, n), "d1").select("id", "n"))
     tokens = live.agg(F.sum("n")).first()[0] or 0
     blocks = blocks_for(8 * tokens, parts)
-    sets = checkpoint(node_sets(rows, live, blocks))
+    sets = checkpoint(node_sets(rows, live, blocks, n))
     post = stored(postings(sets, max(parts, tokens // 1_000_000), percent))
     # the centre of a token's nodes is the one with the fewest tokens of its own, near which a group of edited copies lies
     node = F.struct((F.col("n") - F.col("s")).alias("own"), "id", "d1", "n", "s")
@@ -359,12 +388,12 @@ def links(rows: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
     return stored(joined.union(more))
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """One row per row of docs: key, n_shingles, component_id."""
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, n: int = 4) -> DataFrame:
+    """One row per row of docs: key, n_shingles (of n words), component_id."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    meta = stored(describe(rows))
+    meta = stored(describe(rows, n))
     known = meta.where("id IS NOT NULL")
-    label = components(links(rows.where("id IS NOT NULL"), known, percent))
+    label = components(links(rows.where("id IS NOT NULL"), known, percent, n))
     # equal sets are one node, by the smallest id; a document stands for its node, or for itself if empty
     rep = known.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     edges = known.where("n > 0").join(rep, ["d1", "d2"]).select("id", "rep").where("id <> rep")

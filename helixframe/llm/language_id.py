@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 from .token_counts import byte_batches
 
 BUCKETS = 1 << 16
@@ -67,7 +67,7 @@ def train(labelled: DataFrame, key: str, text: str, label: str, sample_rows: int
             at = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(s[at])], ["label", "bucket", "n"])
 
-    counts = rows.mapInArrow(tally, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = rows.mapInArrow(lean(tally), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(counts.column("label").to_pylist()))
     table_ = np.zeros((BUCKETS + 1, len(names)))
     if names:
@@ -110,7 +110,7 @@ def predict(df: DataFrame, names: list[str], matrix: np.ndarray, key: str, text:
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(pred, pa.string()), pa.array(prob, pa.float64())], ["key", "lang_pred", "score"])
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("key", key)
+    return rows.mapInArrow(lean(run), f"key {df.schema[key].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("key", key)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import stored
-from .common import table, trim
+from .common import lean, table, trim
 from .exchange import mix
 from .token_counts import Encoder, byte_batches
 
@@ -60,10 +60,8 @@ def encode(rows: DataFrame, path: str, kind: str) -> DataFrame:
             ids = pa.array([x.astype("<u2").tobytes() + end for x in encoder.ids(texts)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.arange(at, at + len(ids))), ids], ["key", "id", "ids"])
             at += len(ids)
-        del encoder
-        trim()
 
-    return rows.mapInArrow(run, f"key {kind}, id long, ids binary").withColumn("total", (F.octet_length("ids") / 2).cast("long"))
+    return rows.mapInArrow(lean(run), f"key {kind}, id long, ids binary").withColumn("total", (F.octet_length("ids") / 2).cast("long"))
 
 
 def unpacked(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -93,7 +91,7 @@ def corpus_statistics(rows: DataFrame) -> tuple[np.ndarray, int, int, int]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["token", "n"])
 
-    found = rows.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.mapInArrow(lean(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros((1 << 16) + 3, np.int64)
     df[found.column("token").to_numpy()] = found.column("n").to_numpy()
     return df[:-3], *map(int, df[-3:])
@@ -292,7 +290,7 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", shar
     share = min(1.0, leaves * SAMPLE / max(1, n_ends))
     with_end = rows.where(F.col("total") % WINDOW > 0)
     chance = with_end.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
-    drawn = chance.select("id", "ids").mapInArrow(draw, "id long, v binary").orderBy("id").limit(2 * leaves * SAMPLE).toArrow()  # a bound on the draw's chance excess
+    drawn = chance.select("id", "ids").mapInArrow(lean(draw), "id long, v binary").orderBy("id").limit(2 * leaves * SAMPLE).toArrow()  # a bound on the draw's chance excess
     tree = Tree(np.frombuffer(b"".join(drawn.column("v").to_pylist()), np.float32).reshape(-1, DIMENSIONS), leaves)
     placed = spark.sparkContext.broadcast(tree)  # of LEAVES leaves at most
 
@@ -300,9 +298,8 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", shar
         for batch, docs in ends(batches):
             cell = placed.value.cells(model.value.vectors(docs))
             yield pa.RecordBatch.from_arrays([pa.array(cell), *(batch.column(c) for c in ("key", "id", "total")), pa.array([x.tobytes() for x in docs], pa.binary())], ["cell", "key", "id", "total", "ids"])
-        trim()
 
-    cells = stored(with_end.mapInArrow(place, f"cell long, key {kind}, id long, total long, ids binary"))
+    cells = stored(with_end.mapInArrow(lean(place), f"cell long, key {kind}, id long, total long, ids binary"))
     counted = cells.groupBy("cell").count().toArrow()
     counts = np.zeros(leaves * BINS, np.int64)
     counts[counted.column("cell").to_numpy()] = counted.column("count").to_numpy()
@@ -339,7 +336,7 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", shar
 
     shape = f"key {kind}, " + ", ".join(f"{n} long" for n in NAMES[1:])
     long = rows.where(F.col("total") >= WINDOW).select("key", "ids")
-    return dealt.groupBy("shard").applyInArrow(fill, shape).unionAll(long.mapInArrow(windows, shape)).withColumnRenamed("key", key)
+    return dealt.groupBy("shard").applyInArrow(fill, shape).unionAll(long.mapInArrow(lean(windows), shape)).withColumnRenamed("key", key)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,12 @@
 Every step is a Spark SQL expression over one row, so the plan is a scan and a projection: no shuffle,
 no Python, and a document is never gathered with another one.
 
-Defined cases: a null text counts as an empty one (no words, base_failed); a text of blank lines likewise;
-repeated rows are judged alike and each returned; a column of the input named like a result is replaced.
+`measure` ends in a generator of one row, through which Spark pushes no filter: a filter on its results would otherwise compute the
+arrays that they are made of again for every word.
+
+Defined cases: a null text counts as an empty one (no words, base_failed), its clean text is null; a text of blank lines likewise;
+repeated rows are judged alike and each returned; an empty table gives no rows; a text of any length is judged whole; a column of the input
+named like a result is replaced.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, table, words_of
 
 SYMBOLS = "[#*$%&|<>]"
+END_MARKS = "[.?!:;\"'»”…。！？؟।]"
 BOILERPLATE = (
     "licensed under|all rights reserved|copyright|spdx-license|terms of (use|service)|privacy policy|"
     "cookie|subscribe|sign in|log in|click here|read more|javascript|lorem ipsum"
@@ -40,7 +45,7 @@ class LineRules:
 def _line_fails(line: Column, r: LineRules) -> Column:
     n = F.length(line)
     return (
-        ((n >= r.min_unpunctuated) & ~line.rlike("[.?!:;\"'»”]"))
+        ((n >= r.min_unpunctuated) & ~line.rlike(END_MARKS))
         | (n - F.length(F.replace(line, F.lit("!!"), F.lit("!"))) > n * F.lit(r.max_bang_share))
         | (n - F.length(F.replace(line, F.lit("|"), F.lit(""))) >= r.min_separators)
         | (n - F.length(F.regexp_replace(line, SYMBOLS, "")) > n * F.lit(r.max_symbol_share))
@@ -53,8 +58,10 @@ def measure(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text")
     """docs with counts, verdicts and clean_text (the lines that pass), one row in, one row out."""
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.withColumn("_words", words_of(t)).withColumn("_lines", F.split(t, "\n"))
-    d = d.withColumn("_full", F.filter("_lines", lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-    d = d.withColumn("_bad", F.filter("_full", lambda x: _line_fails(x, rules)))
+    d = d.withColumn("_fails", F.transform("_lines", lambda x: F.when(x.rlike("[^\\x20\\x09-\\x0D]"), _line_fails(x, rules))))  # null: blank
+    d = d.withColumn("_full", F.filter("_lines", lambda x, i: F.get("_fails", i).isNotNull()))
+    d = d.withColumn("_bad", F.filter("_lines", lambda x, i: F.coalesce(F.get("_fails", i), F.lit(False))))
+    d = d.withColumn("_good", F.filter("_lines", lambda x, i: ~F.coalesce(F.get("_fails", i), F.lit(False))))
     d = d.withColumn("_hash", F.transform("_words", lambda w: F.xxhash64(w)))
     window = lambda i: F.xxhash64(*[F.get(F.col("_hash"), i + k) for k in range(8)])
     n = F.size("_hash")
@@ -74,24 +81,28 @@ def measure(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text")
             "n_repeat_words": F.coalesce(total(gaps), F.lit(0)).cast("bigint"),
             "line_chars": total(F.transform("_full", F.length)),
             "lost_chars": total(F.transform("_bad", F.length)),
-            "clean_text": F.array_join(F.filter("_lines", lambda x: ~F.array_contains("_bad", x)), "\n"),
+            "clean_text": F.when(F.col(text).isNotNull(), F.array_join("_good", "\n")),
         }
     )
     d = d.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= F.col("line_chars") * F.lit(rules.max_lost_share)))
-    return d.drop("_words", "_lines", "_full", "_bad", "_hash", "_win", "_sorted", "_twice")
+    d = d.drop("_words", "_lines", "_fails", "_full", "_bad", "_good", "_hash", "_win", "_sorted", "_twice")
+    return d.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in d.columns]))))
 
 
-def filter_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """The rows of docs that are kept, their columns untouched."""
-    found = measure(docs, rules)
-    # A filter would be pushed below the columns that it is made of and compute them again for every line; a generator isn't.
-    return found.select(F.inline(F.when(F.col("kept"), F.array(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))))
+def filter_documents(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """The rows of docs that are kept, their texts without the lines that fail; n_chars, if there, is the new length."""
+    new = {text: F.col("clean_text")}
+    if n_chars in docs.columns:
+        new[n_chars] = F.length("clean_text").cast(docs.schema[n_chars].dataType)
+    rows = docs.select(F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    found = measure(rows, rules).where("kept")
+    return found.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars", F.coalesce(F.length("clean_text"), F.lit(0)).cast("bigint").alias("clean_chars")
     )
 
 
@@ -108,16 +119,16 @@ n AS (SELECT k, sum(least(8, coalesce(q - p, 8)))::BIGINT AS rep FROM (SELECT k,
 l AS (SELECT k, unnest(full_lines) AS x FROM e),
 m AS (SELECT k, x, length(x) AS n, n - length(regexp_replace(x, '{SYMBOLS}', '', 'g')) AS sy,
   n - length(replace(x, '!!', '!')) AS bangs, n - length(replace(x, '|', '')) AS bars FROM l),
-f AS (SELECT k, sum(n)::BIGINT AS line_chars, coalesce(sum(n) FILTER (WHERE sy > n * {_R.max_symbol_share}::DOUBLE OR bangs > n * {_R.max_bang_share}::DOUBLE
+f AS (SELECT k, sum(n)::BIGINT AS line_chars, coalesce(sum(n) FILTER (WHERE bad), 0)::BIGINT AS lost, count(*) FILTER (WHERE bad) AS lost_lines FROM (SELECT *, (sy > n * {_R.max_symbol_share}::DOUBLE OR bangs > n * {_R.max_bang_share}::DOUBLE
   OR bars >= {_R.min_separators} OR (n >= {_R.min_capital_line} AND upper(x) = x AND lower(x) <> x)
-  OR (n >= {_R.min_unpunctuated} AND NOT regexp_matches(x, '[.?!:;"''»”]'))
-  OR (n <= {_R.max_boilerplate_line} AND regexp_matches(lower(x), '{BOILERPLATE}'))), 0)::BIGINT AS lost FROM m GROUP BY k)
+  OR (n >= {_R.min_unpunctuated} AND NOT regexp_matches(x, '{END_MARKS.replace("'", "''")}'))
+  OR (n <= {_R.max_boilerplate_line} AND regexp_matches(lower(x), '{BOILERPLATE}'))) AS bad FROM m) GROUP BY k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND lost_chars <= line_chars * {_R.max_lost_share}::DOUBLE AS kept, lost_chars
+  NOT base_failed AND lost_chars <= line_chars * {_R.max_lost_share}::DOUBLE AS kept, lost_chars, greatest(0, length(text) - lost_chars - lost_lines)::BIGINT AS clean_chars
 FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM (
   SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
     len(regexp_extract_all(text, '{SYMBOLS}'))::BIGINT AS n_symbols,
     (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_dup_lines, coalesce(rep, 0)::BIGINT AS n_repeat_words,
-    coalesce(line_chars, 0) AS line_chars, coalesce(lost, 0)::BIGINT AS lost_chars
+    coalesce(line_chars, 0) AS line_chars, coalesce(lost, 0)::BIGINT AS lost_chars, coalesce(lost_lines, 0) AS lost_lines, text
   FROM e LEFT JOIN n USING (k) LEFT JOIN f USING (k)))
 """

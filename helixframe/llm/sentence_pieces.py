@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 MARK = "▁"
 CACHE_SEGMENTS = 400_000
@@ -258,7 +258,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = df.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, n_bytes long, ids binary, viterbi_ids binary, decoded binary, viterbi_decoded binary").withColumnRenamed("key", key)
+    return rows.mapInArrow(lean(run), f"key {kind}, n_bytes long, ids binary, viterbi_ids binary, decoded binary, viterbi_decoded binary").withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -295,7 +295,7 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = df.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, n_bytes long, n_pieces long, ids_crc32 long, n_viterbi long, viterbi_crc32 long, round_trip boolean").withColumnRenamed("key", key)
+    return rows.mapInArrow(lean(run), f"key {kind}, n_bytes long, n_pieces long, ids_crc32 long, n_viterbi long, viterbi_crc32 long, round_trip boolean").withColumnRenamed("key", key)
 
 
 def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

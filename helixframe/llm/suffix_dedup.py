@@ -35,34 +35,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import stored
-from .common import shuffle_partitions, table, trim
-from .exchange import batch, blocks_for, bloom, bloom_bits, in_bloom, mix, range_of, raw
+from .common import lean, shuffle_partitions, table, trim
+from .exchange import batch, blocks_for, bloom, bloom_bits, in_bloom, mix, powers, range_of, raw
 
 GRAM = 64
 PIECE = 1 << 20  # bytes that are hashed at once
 BLOCK = 8 << 20  # bytes of text in a block
+PART_ANCHORS = 500_000  # that a task sorts at once
 U8 = np.uint64
-MULT = 0x9E3779B97F4A7C15 | 1
+THIRD = 0x14057B7EF767814F
 LONG, BIN = pa.int64(), pa.binary()
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """MULT**j and MULT**-j modulo 2**64."""
-    if n not in _powers:
-        _powers.clear()
-        up, down = np.full(n, MULT, U8), np.full(n, pow(MULT, -1, 1 << 64), U8)
-        up[0] = down[0] = 1
-        _powers[n] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers[n]
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """The hash of the gram that starts at each byte."""
-    size = 1 << max(16, (len(data)).bit_length())
-    up, down = powers(size)
+    up, down = powers(len(data))
     letters = mix(np.arange(1, 257, dtype=U8))
-    sums = np.concatenate((np.zeros(1, U8), np.cumsum(letters[data] * up[: len(data)])))
+    sums = np.concatenate((np.zeros(1, U8), np.cumsum(letters[data] * up)))
     return mix((sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1])
 
 
@@ -103,7 +92,7 @@ def anchors(texts: list[bytes], length: int, gram: int = GRAM) -> tuple[np.ndarr
             p = a[new]
             back = p - start
             # smallest hashes are all small: mixed again, so that ranges of them hold alike many
-            out.append((np.full(len(p), i), back + base, back - new, back - last, mix(h[p], MULT)))
+            out.append((np.full(len(p), i), back + base, back - new, back - last, mix(h[p], THIRD)))
     if not out:
         return tuple(np.empty(0, np.int64) for _ in range(4)) + (np.empty(0, U8),)
     return tuple(np.concatenate(c) for c in zip(*out))
@@ -125,19 +114,7 @@ def repeated_anchors(rows: DataFrame, ranges: int, blocks: int, length: int) ->
         for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
             yield int(block[x]), raw(hits[x:y])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, grams = [], []
-        for b in _slices(batches):
-            texts = [t or b"" for t in b.column("text").cast(pa.large_binary()).to_pylist()]
-            key = b.column("key").to_numpy()
-            text, place, far, near, h = anchors(texts, length)
-            hit = np.empty(len(text), HIT)
-            hit["key"], hit["place"], hit["far"], hit["near"] = key[text], place, far, near
-            found.append(hit)
-            grams.append(h)
-        if not found:
-            return
-        hits, h = np.concatenate(found), np.concatenate(grams)
+    def part(hits: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(h, kind="stable")
         hits, h = hits[order], h[order]
         first = np.concatenate(([True], h[1:] != h[:-1]))[: len(h)]
@@ -148,11 +125,26 @@ def repeated_anchors(rows: DataFrame, ranges: int, blocks: int, length: int) ->
         hits, known, h = hits[first], again[first], h[first]
         cut = np.searchsorted(range_of(h, ranges), np.arange(ranges + 1))
         full = [r for r in range(ranges) if cut[r] < cut[r + 1]]
-        part = lambda x: ([raw(x[cut[r] : cut[r + 1]]) for r in full], BIN)
-        yield batch({"r": (full, LONG), "grams": part(h), "hits": part(hits), "known": part(known)})
-        del found, grams, hits, h, known
-        _powers.clear()
-        trim()
+        column = lambda x: ([raw(x[cut[r] : cut[r + 1]]) for r in full], BIN)
+        yield batch({"r": (full, LONG), "grams": column(h), "hits": column(hits), "known": column(known)})
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Anchors in parts of bounded size."""
+        found, grams, size = [], [], 0
+        for b in _slices(batches):
+            texts = [t or b"" for t in b.column("text").cast(pa.large_binary()).to_pylist()]
+            key = b.column("key").to_numpy()
+            text, place, far, near, h = anchors(texts, length)
+            hit = np.empty(len(text), HIT)
+            hit["key"], hit["place"], hit["far"], hit["near"] = key[text], place, far, near
+            found.append(hit)
+            grams.append(h)
+            size += len(h)
+            if size >= PART_ANCHORS:
+                yield from part(np.concatenate(found), np.concatenate(grams))
+                found, grams, size = [], [], 0
+        if size:
+            yield from part(np.concatenate(found), np.concatenate(grams))
 
     def meet(t: pa.Table) -> pa.Table:
         r = t.column("r")[0].as_py()
@@ -170,7 +162,7 @@ def repeated_anchors(rows: DataFrame, ranges: int, blocks: int, length: int) ->
         parts = list(by_block(hits[again & ~known]))
         return pa.table({"block": pa.array([b for b, _ in parts], LONG), "hits": pa.array([x for _, x in parts], BIN)})
 
-    asked = rows.select("key", "text").mapInArrow(ask, "r long, grams binary, hits binary, known binary")
+    asked = rows.select("key", "text").mapInArrow(lean(ask), "r long, grams binary, hits binary, known binary")
     return asked.groupBy("r").applyInArrow(meet, "block long, hits binary")
 
 
@@ -471,7 +463,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     blocks = blocks_for(total, parts, BLOCK)
     ranges = max(parts, total // (32 << 20))
     hits = stored(repeated_anchors(rows, ranges, blocks, length))
-    owners = hits.mapInArrow(_owners, "key long")
+    owners = hits.mapInArrow(lean(_owners), "key long")
     words, size = bloom(owners.distinct(), "key")
     known = docs.sparkSession.sparkContext.broadcast(words)  # of bounded size
     marked = rows.withColumn("bits", bloom_bits(F.col("key"), size))
@@ -509,10 +501,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
         return pa.table(result(t.column("other"), [(len(x), *_cut(x, spans_of.get(i, []), length)) for i, x in enumerate(texts)]))
 
     block = lambda d: d.withColumn("block", F.pmod("key", F.lit(blocks)))
-    live = block(marked.mapInArrow(pick, shape)).repartition(blocks, "block")
+    live = block(marked.mapInArrow(lean(pick), shape)).repartition(blocks, "block")
     found = stored(repeats(live.select("block", "key", "text"), hits, ranges, length))
     done = live.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, made)
-    out = marked.mapInArrow(final, made).union(done)
+    out = marked.mapInArrow(lean(final), made).union(done)
     return out.select(*[F.col("other")[c].alias(c) for c in extra], *results[: 5 if keep else 4])
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, trim
+from .common import lean, table
 
 CACHE_WORDS = 300_000  # kept by a worker; then it starts afresh
 BATCH_BYTES = 1 << 20
@@ -322,11 +322,9 @@ def count(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") ->
         encoder = Encoder(path)
         for batch, texts in byte_batches(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(map(len, texts), pa.int64()), pa.array(encoder.lengths(texts), pa.int64())], ["key", "n_bytes", "n_tokens"])
-        del encoder
-        trim()
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    found = rows.mapInArrow(run, f"key {kind.simpleString()}, n_bytes long, n_tokens long")
+    found = rows.mapInArrow(lean(run), f"key {kind.simpleString()}, n_bytes long, n_tokens long")
     return found.withColumnRenamed("key", key)
 
 

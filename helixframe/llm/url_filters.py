@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import stored
-from .common import table
+from .common import lean, table
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 SEEDS = frozenset({"spam", "casino", "viagra", "porn", "xxx", "phish", "phishing", "malware", "warez", "pills", "scam"})
@@ -156,7 +156,7 @@ def stretches(urls: DataFrame, words: DataFrame, known: dict[str, int]) -> DataF
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("host").take(at), b.column("path").take(at), pa.array(found, pa.string())], ["host", "path", "w"])
 
-    return urls.select("host", "path").mapInArrow(run, "host string, path string, w string")
+    return urls.select("host", "path").mapInArrow(lean(run), "host string, path string, w string")
 
 
 def examples(pages: DataFrame, vocabulary: int) -> DataFrame:
@@ -186,7 +186,7 @@ def examples(pages: DataFrame, vocabulary: int) -> DataFrame:
             bad = [any(t[2:] in SEEDS for t in ts if t[0] == "h") for ts in found]
             yield pa.RecordBatch.from_arrays([b.column("host"), b.column("path"), b.column("n"), pa.array(found, pa.list_(pa.string())), pa.array(bad, pa.bool_())], ["host", "path", "n", "tokens", "bad"])
 
-    return stored(urls.select("host", "path", "n", "more").mapInArrow(run, "host string, path string, n long, tokens array<string>, bad boolean"))
+    return stored(urls.select("host", "path", "n", "more").mapInArrow(lean(run), "host string, path string, n long, tokens array<string>, bad boolean"))
 
 
 def weigh(rows: DataFrame, size: int) -> tuple[DataFrame, int, int]:
@@ -218,7 +218,7 @@ def scored(rows: DataFrame, key: list[str], weights: DataFrame, prior: int, size
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in key), pa.array(part, pa.int64()), pa.array(rest, pa.list_(pa.string()))], [*key, "score", "rest"])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in key)
-    out = rows.select(*dict.fromkeys([*key, "tokens"])).mapInArrow(run, f"{kinds}, score long, rest array<string>")
+    out = rows.select(*dict.fromkeys([*key, "tokens"])).mapInArrow(lean(run), f"{kinds}, score long, rest array<string>")
     if size <= model_tokens:
         return out.select(*key, "score")
     each = out.select(*key, "score", F.explode_outer("rest").alias("token"))

@@ -22,6 +22,22 @@ def quality(text):
     return len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
 
 
+BAD_LINE = [
+    lambda x: len(x) >= 80 and not re.search("[.?!:;\"'»”…。！？؟।]", x),
+    lambda x: len(x) - len(x.replace("!!", "!")) > 0.03 * len(x),
+    lambda x: x.count("|") >= 3,
+    lambda x: len(re.findall(r"[#*$%&|<>]", x)) > 0.05 * len(x),
+    lambda x: len(x) >= 20 and x.upper() == x and x.lower() != x,
+    lambda x: len(x) <= 200 and any(p in x.lower() for p in ("privacy policy", "cookie", "all rights reserved", "click here", "subscribe")),
+]
+
+
+def clean(text):
+    """The text without failing lines (of the phrases only some), and the characters lost."""
+    bad = [bool(words(x)) and any(f(x) for f in BAD_LINE) for x in text.split("\n")]
+    return "\n".join(x for x, b in zip(text.split("\n"), bad) if not b), sum(len(x) for x, b in zip(text.split("\n"), bad) if b)
+
+
 def exact(rows):
     """(doc_id, text) rows -> sorted (doc_id, keep_id, group_size, sha)."""
     groups = {}
@@ -35,9 +51,9 @@ def shingles(text, n=4):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def jaccard(rows, percent=85):
+def jaccard(rows, percent=85, n=4):
     """(doc_id, text) rows -> sorted (doc_id, n_shingles, component_id)."""
-    sets = [(i, shingles(t)) for i, t in rows]
+    sets = [(i, shingles(t, n)) for i, t in rows]
     top = {i: i for i, _ in rows}
 
     def find(x):

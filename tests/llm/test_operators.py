@@ -82,6 +82,18 @@ def test_quality(docs):
         n, chars, symbols, dup, rep = brute.quality(r["text"])
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dup, rep)
         assert r["base_failed"] == (n < 20 or 100 * rep > 30 * n) and not (r["kept"] and r["base_failed"])
+        assert (r["clean_text"], r["lost_chars"]) == (brute.clean(r["text"]) if r["text"] is not None else (None, 0))
+
+
+def test_quality_removes_lines_and_can_be_filtered(spark):
+    good = "\n".join(f"Line {i} tells of a river, a hill and {i * 7} small houses." for i in range(6))
+    rows = [(1, f"Home | News | Sport | About\n{good}\n\nAll rights reserved\nBUY NOW BUY NOW BUY NOW", 9), (2, good, 9), (3, "Home | News | Sport | About\n" * 9 + "one good line.", 9), (4, None, None), (5, "汉字" * 60 + "。" + " w" * 30, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r for r in quality_rules.measure(df).where("kept").collect()}
+    assert got.keys() == {1, 2} or got.keys() == {1, 2, 5}
+    assert got[1]["clean_text"] == f"{good}\n" and got[2]["clean_text"] == good
+    kept = {r["doc_id"]: r for r in quality_rules.filter_documents(df).collect()}
+    assert kept.keys() == got.keys() and kept[1]["text"] == f"{good}\n" and kept[1]["n_chars"] == len(good) + 1
 
 
 def test_sharding_law_and_slots(spark, folder):
@@ -445,18 +457,49 @@ def test_language_id(spark):
     assert all(0 <= x["score"] <= 1 for x in got.values())
 
 
+def odd(spark):
+    """Documents with columns of clashing names, ids that repeat or are null, and null texts."""
+    from pyspark.sql import functions as F
+
+    rows = [(i % 40 if i % 9 else None, None if i % 11 == 0 else t, "en", "s", len(t or "")) for i, (_, t, *_) in enumerate(corpus())]
+    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("own") for c in CLASH}).repartition(3)
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark):
+    docs = odd(spark).cache()
+    n = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), None).count() == 0, name
+        found = stage(spark, docs, None)
+        n[name] = found.count()
+        if name != "packing":
+            assert found.columns == docs.columns, name
+            assert all(r[c] == "own" for r in found.select(*CLASH).collect() for c in CLASH), name
+    assert n["suffix_dedup"] == docs.count() and 0 < n["quality_rules"] < docs.count()
+    left = corpus_pipeline.passages(spark, docs, None)
+    assert left.where("text IS NULL").count() == docs.where("text IS NULL").count()
+    assert n["exact_dedup"] == len({"".join((r["text"] or "").split()) for r in docs.collect()})
+
+
+def test_pipeline_run_on_odd_and_empty_tables(spark, folder):
+    full, empty = folder
+    assert corpus_pipeline.run(spark, empty).count() == 0
+    assert corpus_pipeline.run(spark, full).count() > 0
+
+
 def test_pipeline_against_brute_force(spark, docs, folder):
     d = docs
     stay = {r["doc_id"] for r in quality_rules.measure(d).select("doc_id", "kept").collect() if r["kept"]}
     one = corpus_pipeline.quality(spark, d, folder[0])
-    assert one.columns == d.columns and {r["doc_id"] for r in one.collect()} == stay
-    rows = [r for r in corpus() if r[0] in stay]
-    kept = {w[1] for w in brute.exact([r[:2] for r in rows])}
+    assert one.dtypes == d.dtypes
+    rows = [(i, brute.clean(t)[0]) for i, t, *_ in corpus() if i in stay]
+    assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in one.collect()) == sorted((i, t, len(t)) for i, t in rows)
+    kept = {w[1] for w in brute.exact(rows)}
     two = corpus_pipeline.copies(spark, one, folder[0])
     assert sorted(r["doc_id"] for r in two.collect()) == sorted(kept) and two.columns == d.columns
-    texts = {r[0]: r[1] for r in rows}
+    texts = dict(rows)
     rows = [(i, texts[i]) for i in sorted(kept)]
-    kept = {c for *_, c in brute.jaccard(rows)}
+    kept = {c for *_, c in brute.jaccard(rows, 80, 5)}
     three = corpus_pipeline.near_copies(spark, two, folder[0])
     assert sorted(r["doc_id"] for r in three.collect()) == sorted(kept) and three.columns == d.columns
     rows = [(i, t) for i, t in rows if i in kept]
