@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared folder and rereads it
 as the next one's docs. All but the last return the columns of documents.
+
+Defined cases, by stage: an empty table gives an empty one in each. Null texts: rejected by the first stage; on its own the second counts
+them as empty texts, the third keeps them (they link with nothing), the fourth keeps them null, the fifth packs the end token
+alone. Repeated rows and ties: the second stage keeps one row of rows alike in everything; the third keeps of a component the rows that
+have its smallest id, and rows without an id; texts of rows that share an id are judged one by one only by the other stages. Further columns, of whatever
+names, go through the first four stages as they are (n_chars follows the text). Texts of any length are processed whole.
 """
 
 from __future__ import annotations
@@ -13,13 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import exact_dedup, jaccard_join, packing, quality_rules, suffix_dedup
-from helixframe.llm.common import table
+from helixframe.llm.common import lean, table
 from helixframe.llm.exchange import bloom, bloom_bits, in_bloom
 from helixframe.operators.lineage import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, as they are."""
+    """Documents that the rules keep, without the lines that fail."""
     return quality_rules.filter_documents(docs)
 
 
@@ -29,29 +35,34 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents, the one with the smallest id."""
-    found = stored(jaccard_join.join(docs))
+    """Of each component of linked documents (sets of five words, similarity of 0.8 or more), the one with the smallest id."""
+    found = stored(jaccard_join.join(docs, n=5, percent=80))
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     words, size = bloom(gone, "doc_id")
     known = spark.sparkContext.broadcast(words)  # of bounded size
-    marked = docs.withColumn("_bits", bloom_bits(F.col("doc_id"), size))
-    shape = docs.schema
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), bloom_bits(F.col("doc_id"), size).alias("bits"))
+    shape = marked.select("row", "doc_id").schema
 
     def part(inside: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array(in_bloom(known.value, b.column("_bits")) == inside)).select(b.schema.names[:-1])
+                yield b.filter(pa.array(in_bloom(known.value, b.column("bits")) == inside)).select(["row", "doc_id"])
 
-        return marked.mapInArrow(run, shape)
+        return marked.mapInArrow(lean(run), shape)
 
     # only documents in the filter, hardly more than those that go, are joined
-    return part(False).union(part(True).join(gone, "doc_id", "left_anti").select(*docs.columns))
+    stay = part(False).union(part(True).join(gone, "doc_id", "left_anti").select("row", "doc_id"))
+    return stay.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated passages; a character of which a part goes, goes."""
-    found = suffix_dedup.dedup(docs, keep="string").withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long"))
-    return found.select(*docs.columns)
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    rows = docs.select("doc_id", "text", F.struct(others.alias("own"), F.col("text").isNull().alias("none")).alias("row"))
+    found = suffix_dedup.dedup(rows, keep="string")
+    kept = F.when(~F.col("row.none"), F.col("kept"))
+    new = {"text": kept, "n_chars": F.length(kept).cast("long")}
+    return found.select(*[new[c].alias(c) if c in new else F.col("row")["own"][c].alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
