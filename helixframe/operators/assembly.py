@@ -12,9 +12,9 @@ from .lineage import checkpoint
 
 
 def path_to_genome(nodes: Column) -> Column:
-    """The first node and the last letter of each later one."""
+    """The first node and the last letter of each later one; empty for no nodes."""
     later = F.slice(nodes, 2, F.greatest(F.size(nodes) - 1, F.lit(0)))
-    return F.concat(F.element_at(nodes, 1), F.array_join(F.transform(later, lambda x: F.right(x, F.lit(1))), ""))
+    return F.concat(F.coalesce(F.get(nodes, F.lit(0)), F.lit("")), F.array_join(F.transform(later, lambda x: F.right(x, F.lit(1))), ""))
 
 
 def parse_pairs(text: Column) -> Column:
@@ -34,9 +34,12 @@ def paired_edges(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"src": cut(F.left), "dst": cut(F.right)})
 
 
-def degrees(edge_rows: DataFrame, by: list[str]) -> DataFrame:
-    """Each node's out- and in-degree, from one pass over both ends."""
-    ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))))
+def degrees(edge_rows: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    """Each node's out- and in-degree, from one pass over both ends. weight: a column that counts equal edges."""
+    n = F.col(weight) if weight else F.lit(1)
+    none = F.lit(0).cast("long")
+    n = n.cast("long")
+    ends = F.explode(F.array(F.struct(F.col("src").alias("node"), n.alias("o"), none.alias("i")), F.struct(F.col("dst").alias("node"), none.alias("o"), n.alias("i"))))
     return edge_rows.select(*by, ends.alias("e")).groupBy(*by, "e.node").agg(F.sum("e.o").alias("out_degree"), F.sum("e.i").alias("in_degree"))
 
 

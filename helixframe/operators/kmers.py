@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BASES = "ACGT"
+CODE = np.full(256, 4, np.uint8)
+CODE[list(b"ACGT")] = range(4)
 
 
 def letters(seq: Column) -> Column:
@@ -64,29 +72,98 @@ def kmer_counts(df: DataFrame, k: int, by: list[str], seq: str = "seq") -> DataF
     return kmers(df, k, seq, by).groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
 
 
+def window_numbers(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window of k codes its number in base 4, and whether all its codes are below 4."""
+    n = len(codes) - k + 1
+    number, odd = np.zeros(n, np.int64), np.concatenate(([0], np.cumsum(codes > 3)))
+    for j in range(k):
+        number = (number << 2) | codes[j : j + n]
+    return number, odd[k:] == odd[:-k]
+
+
+def kmer_totals(df: DataFrame, k: int, seq: str = "seq", chunk: int = 1 << 20) -> DataFrame:
+    """kmer, n over the whole table, for k of at most 31.
+
+    A task counts its k-mers as base-4 numbers (windows with other letters as text) and sends each once a batch, so what is shuffled is
+    distinct k-mers. Sequences are joined, and cut into overlapping chunks, so one of any length takes bounded memory."""
+
+    def numbers(data: bytes) -> Iterator[np.ndarray]:
+        for at in range(0, max(1, len(data) - k + 1), chunk):
+            codes = CODE[np.frombuffer(data[at : at + chunk + k - 1], np.uint8)]
+            if len(codes) >= k:
+                number, whole = window_numbers(codes, k)
+                yield number[whole]
+
+    def spelled(number: np.ndarray) -> pa.Array:
+        text = np.frombuffer(BASES.encode(), np.uint8)[(number[:, None] >> np.arange(2 * (k - 1), -1, -2)) & 3]
+        return pa.Array.from_buffers(pa.string(), len(number), [None, pa.py_buffer(np.arange(0, k * len(number) + 1, k, dtype=np.int32).tobytes()), pa.py_buffer(text.tobytes())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = np.zeros(4**k, np.int64) if k <= 11 else None
+        for b in batches:
+            texts = [t or "" for t in b.column("seq").to_pylist()]
+            odd = Counter(t[i : i + k] for t in texts if t.strip(BASES) for i in range(len(t) - k + 1) if t[i : i + k].strip(BASES))
+            if odd:
+                yield pa.RecordBatch.from_arrays([pa.array(odd.keys(), pa.string()), pa.array(odd.values(), pa.int64())], ["kmer", "n"])
+            # other letters, of whatever width, are all one mark; a mark also parts the sequences
+            found = list(numbers("\n".join(texts).encode("ascii", "replace")))
+            if dense is not None:
+                for x in found:
+                    dense += np.bincount(x, minlength=4**k)
+            elif found:
+                at, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([spelled(at), pa.array(n)], ["kmer", "n"])
+        if dense is not None:
+            at = np.flatnonzero(dense)
+            for i in range(0, len(at), 100_000):
+                yield pa.RecordBatch.from_arrays([spelled(at[i : i + 100_000]), pa.array(dense[at[i : i + 100_000]])], ["kmer", "n"])
+
+    if not 0 < k < 32:
+        raise ValueError("k must be in 1..31")
+    return df.select(F.col(seq).alias("seq")).mapInArrow(run, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
+
+
+def _skew_minimum(text: str | None, chunk: int = 1 << 20) -> int:
+    low, at, before = None, -1, 0
+    data = (text or "").encode("ascii", "replace")
+    for i in range(0, len(data), chunk):
+        x = np.frombuffer(data[i : i + chunk], np.uint8)
+        run = before + np.cumsum((x == 71).astype(np.int8) - (x == 67), dtype=np.int64)
+        j = int(run.argmin())
+        if low is None or run[j] < low:
+            low, at = int(run[j]), i + j
+        before = int(run[-1])
+    return at
+
+
 def skew_minimum(seq: Column) -> Column:
-    """The first place where G minus C, running, is smallest; -1 for an empty sequence. One pass, no shuffle."""
-    step = F.transform(letters(seq), lambda c: F.when(c == "G", 1).when(c == "C", -1).otherwise(0))
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("s"), F.lit(0).alias("low"), F.lit(-1).alias("at"))
+    """The first place where G minus C, running, is smallest; -1 for an empty or null sequence. An Arrow function: a running sum in
+    SQL is a fold, interpreted letter by letter."""
 
-    def add(a: Column, x: Column) -> Column:
-        s = a["s"] + x
-        better = (a["at"] < 0) | (s < a["low"])
-        return F.struct((a["i"] + 1).alias("i"), s.alias("s"), F.when(better, s).otherwise(a["low"]).alias("low"), F.when(better, a["i"]).otherwise(a["at"]).alias("at"))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(_skew_minimum, na_action=None).astype("int32")
 
-    return F.aggregate(step, zero, add, lambda a: a["at"])
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "int")(seq)
 
 
 def skew_minimum_chunked(df: DataFrame, by: list[str], chunk: str = "chunk", seq: str = "seq") -> DataFrame:
     """The same for a sequence that is dealt into rows (chunk numbers from 0): sums of chunks, their running sum, minima within."""
-    step = F.transform(letters(F.col(seq)), lambda c: F.when(c == "G", 1).when(c == "C", -1).otherwise(0))
-    fold = F.aggregate(step, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    c = df.withColumn("_run", F.slice(fold, 2, F.length(seq))).withColumn("_sum", F.coalesce(F.element_at("_run", -1), F.lit(0)))
+
+    def run(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in s:
+            x = np.frombuffer((t or "").encode("ascii", "replace"), np.uint8)
+            steps = np.cumsum((x == 71).astype(np.int8) - (x == 67), dtype=np.int64)
+            out.append((len(x), int(steps[-1]), int(steps.min()), int(steps.argmin())) if len(x) else (0, 0, None, None))
+        return pd.DataFrame(out, columns=["n", "total", "low", "at"]).astype("Int64")
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.DataFrame}
+    c = df.select(*by, chunk, F.pandas_udf(run, "struct<n:long,total:long,low:long,at:long>")(seq).alias("_s")).select(*by, chunk, "_s.*")
     w = Window.partitionBy(*by).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumns({"_before": F.coalesce(F.sum("_sum").over(w), F.lit(0)), "_at": F.coalesce(F.sum(F.length(seq)).over(w), F.lit(0))})
-    c = c.withColumn("_low", F.array_min("_run")).where(F.col("_low").isNotNull())
-    c = c.withColumn("_pos", F.col("_at") + F.array_position("_run", F.col("_low")) - 1)
-    return c.groupBy(*by).agg(F.min_by("_pos", F.struct(F.col("_low") + F.col("_before"), "_pos")).alias("skew_pos"))
+    c = c.withColumns({"before": F.coalesce(F.sum("total").over(w), F.lit(0)), "first": F.coalesce(F.sum("n").over(w), F.lit(0))}).where("low IS NOT NULL")
+    place = F.col("first") + F.col("at")
+    return c.groupBy(*by).agg(F.min_by(place, F.struct(F.col("low") + F.col("before"), place)).alias("skew_pos"))
 
 
 def mismatch_totals(df: DataFrame, k: int, d: int, by: list[str], seq: str = "seq") -> DataFrame:
@@ -105,14 +182,20 @@ def frequent_kmers(df: DataFrame, k: int, d: int, by: list[str], seq: str = "seq
     if dedupe:
         shape = totals.schema
 
+        def near(u: str, left: int) -> set[str]:
+            found = {u}
+            for _ in range(left):
+                found |= {x[:i] + b + x[i + 1 :] for x in found for i in range(k) for b in BASES}
+            return found
+
         def choose(pdf):
             table = str.maketrans("ACGT", "TGCA")
             pdf = pdf.sort_values("first_pos")
-            kept, seen = [], []
+            kept, covered = [], set()  # by the k-mers that were scored
             for i, u in enumerate(pdf["kmer"]):
-                r = u[::-1].translate(table)
-                if not any(sum(a != b for a, b in zip(s, u)) <= d or sum(a != b for a, b in zip(s, r)) <= d for s in seen):
-                    seen.append(u)
+                if u not in covered:
+                    around = near(u, d)
+                    covered |= around | {x[::-1].translate(table) for x in around}
                     kept.append(i)
             return pdf.iloc[kept]
 

@@ -53,9 +53,14 @@ def most_probable(df: DataFrame, profile_rows: DataFrame, k: int, by: list[str],
     return best.select(*by, "b.kmer", (-F.col("b._q")).alias("pos"))
 
 
+def hashed(text: Column) -> Column:
+    """A number below 16 ** 13 from a text."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 def random_kmers(df: DataFrame, k: int, seed: int, seq: str = "seq") -> DataFrame:
     """df with a k-mer from a uniform place, drawn by a hash of the sequence and the seed."""
-    place = F.pmod(F.xxhash64(F.lit(seed), seq), F.length(seq) - (k - 1))
+    place = hashed(F.concat(F.lit(f"{seed}:"), F.col(seq))) % (F.length(seq) - (k - 1))
     return df.withColumn("motif", F.when(F.length(seq) >= k, F.substring(F.col(seq), place.cast("int") + 1, F.lit(k))))
 
 
@@ -170,6 +175,6 @@ def profile_random(df: DataFrame, profile_rows: DataFrame, k: int, by: list[str]
     the draw is a minimum and needs no running sum)."""
     p = profile_rows.groupBy().agg(F.array_sort(F.collect_list(F.struct("pos", "a", "c", "g", "t"))).alias("_p"))
     scored = kmers(df, k, seq, by).crossJoin(F.broadcast(p)).withColumn("_s", probability(F.col("kmer"), F.col("_p")))  # one row of k places
-    u = (F.pmod(F.xxhash64(F.lit(seed), *by, "pos"), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
+    u = (hashed(F.concat_ws(":", F.lit(str(seed)), *by, "pos")).cast("double") + 0.5) / F.lit(float(16**13))
     clock = F.when(F.col("_s") > 0, -F.ln(u) / F.col("_s")).otherwise(float("inf"))
     return scored.groupBy(*by).agg(F.min(F.struct(clock.alias("c"), "pos", "kmer")).alias("b")).select(*by, "b.kmer", "b.pos")

@@ -6,8 +6,11 @@ texts; `suffix_array_distributed` does the same with DataFrames for a text too l
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,16 +129,73 @@ def occurrence_counts(df: DataFrame, by: list[str], bwt_col: str = "bwt") -> Dat
     return cells.withColumn("occ", F.count(F.lit(1)).over(Window.partitionBy(*by, "ch").orderBy("rank")))
 
 
-def exact_matches(texts: DataFrame, patterns: DataFrame, lengths: list[int], by: list[str], base: int = 0, pattern: str = "pattern", keep_zero: bool = False) -> DataFrame:
-    """by, pattern, pos of every occurrence. Texts offer their k-mers of each pattern length; patterns are joined once, whatever their
-    number. With keep_zero, patterns without a hit keep a row of null place."""
+PATTERNS = 100_000  # patterns that are sent to executors; more are joined
+
+
+def _places(text: str, known: dict[int, tuple[np.ndarray, list[str]]]) -> Iterator[tuple[str, int]]:
+    """(pattern, place) for every occurrence; known: by length the sorted hashes of patterns, and these in that order."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for n, (hashes, patterns) in known.items():
+        if len(codes) < n:
+            continue
+        h = _rolling(codes, n)
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        for i in np.flatnonzero(hashes[at] == h).tolist():
+            k = int(at[i])
+            while k < len(hashes) and hashes[k] == h[i]:  # hashes only choose what is compared
+                if text.startswith(patterns[k], i):
+                    yield patterns[k], i
+                k += 1
+
+
+def _rolling(codes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each window of n codes."""
+    h = np.zeros(len(codes) - n + 1, np.uint64)
+    for j in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + len(h)].astype(np.uint64) + np.uint64(1)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def exact_matches(texts: DataFrame, patterns: DataFrame, lengths: list[int], by: list[str], base: int = 0, pattern: str = "pattern", keep_zero: bool = False, seq: str = "seq") -> DataFrame:
+    """by, pattern, pos of every occurrence of the patterns of the given lengths. With keep_zero, patterns without a hit keep a row of null place.
+
+    Up to PATTERNS patterns are sent to the executors, which look up hashes of all windows of a text at once; of more, texts offer
+    their k-mers of each length and patterns are joined once. Either way only hits are shuffled with keep_zero, not windows."""
     p = patterns.select(pattern).distinct()
-    grams = None
-    for n in sorted(set(lengths)):
-        k = kmers(texts, n, keep=by)
-        grams = k if grams is None else grams.union(k)
-    hits = grams.withColumnRenamed("kmer", pattern).join(p, pattern, "right" if keep_zero else "inner")
-    return hits.select(*by, pattern, (F.col("pos") + base).alias("pos"))
+    own = [r[0] for r in p.where(F.length(pattern).isin(*lengths)).limit(PATTERNS + 1).collect()]
+    kinds = "".join(f"`{c}` {texts.schema[c].dataType.simpleString()}, " for c in by)
+    if len(own) <= PATTERNS:
+        known = {}
+        for n in sorted({len(x) for x in own if x}):
+            same = [x for x in own if len(x) == n]
+            hashes = np.concatenate([_rolling(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32), n) for x in same])
+            order = np.argsort(hashes, kind="stable")
+            known[n] = hashes[order], [same[i] for i in order.tolist()]
+        sent = texts.sparkSession.sparkContext.broadcast(known)  # of PATTERNS patterns at most
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                row, found, place = [], [], []
+                for i, t in enumerate(b.column(len(by)).to_pylist()):
+                    for x, at in _places(t or "", sent.value):
+                        row.append(i)
+                        found.append(x)
+                        place.append(at + base)
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(len(by))), pa.array(found, pa.string()), pa.array(place, pa.int32())], [*by, pattern, "pos"])
+
+        hits = texts.select(*by, seq).mapInArrow(run, f"{kinds}`{pattern}` string, pos int")
+    else:
+        grams = None
+        for n in sorted(set(lengths)):
+            k = kmers(texts, n, seq, by)
+            grams = k if grams is None else grams.union(k)
+        hits = grams.withColumnRenamed("kmer", pattern).join(p, pattern).select(*by, pattern, (F.col("pos") + base).alias("pos"))
+    if not keep_zero:
+        return hits
+    none = p.join(hits.select(pattern).distinct(), pattern, "left_anti")
+    return hits.unionByName(none.select(pattern), allowMissingColumns=True).select(*by, pattern, "pos")
 
 
 def suffix_array_find(text: str, order: np.ndarray, pattern: str) -> list[int]:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,8 +77,11 @@ def signed_permutation(blocks: DataFrame, by: list[str] = (), p: str = "i", q: s
 def permutations_by_chromosome(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(chrom, ord, block) of both genomes, from blocks with p_chrom, q_chrom: numbered through along p."""
     mean = blocks.groupBy("p_chrom", "q_chrom", "block").agg(F.avg("i").alias("p_at"), F.avg("j").alias("q_at"), F.sum(F.when(F.col("orient") == "+", 1).otherwise(-1)).alias("votes"))
-    # one row a block: few enough for one ordering
-    ids = mean.withColumn("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("p_chrom", "p_at", "block")))
+    # numbered within chromosomes, and on from the chromosomes before, of which there are few
+    own = mean.withColumn("_n", F.row_number().over(Window.partitionBy("p_chrom").orderBy("p_at", "block")))
+    size = mean.groupBy("p_chrom").agg(F.count(F.lit(1)).alias("_s"))
+    before = size.select("p_chrom", F.coalesce(F.sum("_s").over(Window.orderBy("p_chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    ids = own.join(before, "p_chrom").withColumn("id", (F.col("_n") + F.col("_before")).cast("int"))
     on = lambda chrom, at: F.row_number().over(Window.partitionBy(chrom).orderBy(at, "block"))
     sign = F.when(F.col("votes") >= 0, 1).otherwise(-1)
     return (
@@ -161,8 +168,73 @@ def two_break_edges(edge_rows: DataFrame, i0: int, i1: int, j0: int, j1: int) ->
     return rest.select("a", "b").union(new)
 
 
+def small_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes, and the smallest node that each is joined with, of many small graphs at once."""
+    nodes, place = np.unique(np.concatenate((a.ravel(), b.ravel())), return_inverse=True)
+    x, y = np.split(place, 2)
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        np.minimum.at(new, y, label[x])
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _gathered(genomes: DataFrame, by: list[str]) -> DataFrame:
+    """One row a group: its blocks in order. One shuffle, and none where genomes are dealt by the group already."""
+    block = F.struct("genome", F.col("chrom").cast("long").alias("chrom"), F.col("ord").cast("long").alias("ord"), F.col("block").cast("long").alias("block"))
+    return genomes.groupBy(*by).agg(F.array_sort(F.collect_list(block)).alias("_b"))
+
+
+def _circle_edges(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of a batch of groups: row, genome, block and the edge (a, b) from each block to the next on its circle."""
+    size = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    genome, chrom, block = flat.field("genome").to_numpy(zero_copy_only=False), flat.field("chrom").to_numpy(), flat.field("block").to_numpy()
+    row = np.repeat(np.arange(len(size)), size)
+    q = genome == "Q"
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (q[1:] != q[:-1]) | (chrom[1:] != chrom[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
+    last = np.append(new[1:], True) if len(row) else new
+    follow = np.where(last, first, np.arange(1, len(row) + 1))
+    come, leave = np.where(block > 0, 2 * block - 1, -2 * block), np.where(block > 0, 2 * block, -2 * block - 1)
+    return row, q, block, leave, come[follow] if len(row) else come
+
+
+def _grouped(genomes: DataFrame, by: list[str], shape: str, solve) -> DataFrame:
+    """by and the columns of shape; solve takes a batch's column of blocks and gives group numbers and columns."""
+    names = [c.split()[0] for c in shape.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, *columns = solve(b.column("_b"))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in by), *map(pa.array, columns)], [*by, *names])
+
+    kinds = "".join(f"`{c}` {genomes.schema[c].dataType.simpleString()}, " for c in by)
+    return _gathered(genomes, by).mapInArrow(run, kinds + shape)
+
+
 def two_break_distance(genomes: DataFrame, by: list[str]) -> DataFrame:
-    """by, distance: blocks less cycles. genomes: by, genome (P or Q), chrom, ord, block, the same blocks in both."""
+    """by, distance: blocks less cycles. genomes: by, genome (P or Q), chrom, ord, block, the same blocks in both.
+
+    A group is one row, and the cycles of many groups are found at once; `two_break_distance_large` is for groups beyond a row."""
+
+    def solve(column: pa.Array) -> tuple:
+        row, q, block, a, b = _circle_edges(column)
+        width = 2 * int(np.abs(block).max(initial=0)) + 2
+        _, label = small_components(row * width + a, row * width + b)
+        cycles = np.bincount(np.unique(label) // width, minlength=len(column))
+        return np.arange(len(column)), np.bincount(row[~q], minlength=len(column)) - cycles
+
+    return _grouped(genomes, by, "distance long", solve)
+
+
+def two_break_distance_large(genomes: DataFrame, by: list[str]) -> DataFrame:
+    """The same by label propagation over all groups, for groups that are too large for one row."""
     e = colored_edges(genomes, [*by, "genome"])
     node = lambda c: F.struct(*by, F.col(c).alias("n"))
     cycles = components(e.select(node("a").alias("src"), node("b").alias("dst"))).groupBy(*[F.col(f"component.{b}").alias(b) for b in by]).agg(F.countDistinct("component").alias("cycles"))
@@ -170,6 +242,18 @@ def two_break_distance(genomes: DataFrame, by: list[str]) -> DataFrame:
     return n.join(cycles, by).select(*by, (F.col("blocks") - F.col("cycles")).alias("distance"))
 
 
+def node_groups(genomes: DataFrame, by: list[str]) -> DataFrame:
+    """by, node, component (its smallest node): what the edges between blocks and those within blocks join, which is a genome's chromosomes."""
+
+    def solve(column: pa.Array) -> tuple:
+        row, _, block, a, b = _circle_edges(column)
+        width, x = 2 * int(np.abs(block).max(initial=0)) + 2, np.abs(block)
+        node, label = small_components(row * width + np.concatenate((a, 2 * x - 1)).reshape(2, -1), row * width + np.concatenate((b, 2 * x)).reshape(2, -1)) if len(row) else (row, row)
+        return node // width, node % width, label % width
+
+    return _grouped(genomes, by, "node long, component long", solve)
+
+
 def _edges(genome: list[list[int]]) -> list[tuple[int, int]]:
     out = []
     for c in genome:
@@ -248,13 +332,42 @@ def format_permutation(perm: Column) -> Column:
 
 
 def missing_edges(genomes: DataFrame, by: list[str]) -> DataFrame:
-    """by, a, b: of Q's edges (smaller node first) that P lacks, the smallest. It lies on a cycle of more than two nodes; groups
-    without one are sorted."""
-    e = colored_edges(genomes, [*by, "genome"]).select(*by, "genome", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    q, p = e.where("genome = 'Q'").drop("genome"), e.where("genome = 'P'").drop("genome")
-    return q.join(p, [*by, "a", "b"], "left_anti").groupBy(*by).agg(F.min(F.struct("a", "b")).alias("e")).select(*by, "e.a", "e.b")
+    """by, a, b, a_red, b_red: of Q's edges (smaller node first) that P lacks, the smallest, and the other ends of P's edges at a and b,
+    which a 2-break takes away to make it. It lies on a cycle of more than two nodes; groups without one are sorted."""
+
+    def solve(column: pa.Array) -> tuple:
+        row, q, block, a, b = _circle_edges(column)
+        width = 2 * int(np.abs(block).max(initial=0)) + 2
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        edge = (row * width + low) * width + high
+        own = np.sort(edge[q])
+        own = own[~np.isin(own, edge[~q])]
+        own = own[np.unique(own // width**2, return_index=True)[1]]
+        ends, other = np.concatenate((row, row))[np.tile(~q, 2)] * width + np.concatenate((a, b))[np.tile(~q, 2)], np.concatenate((b, a))[np.tile(~q, 2)]
+        order = np.argsort(ends)
+        partner = lambda node: other[order[np.searchsorted(ends, node, sorter=order)]] if len(own) else node
+        group, x, y = own // width**2, own // width % width, own % width
+        return group, x, y, partner(group * width + x), partner(group * width + y)
+
+    return _grouped(genomes, by, "a long, b long, a_red long, b_red long", solve)
+
+
+def genome_edges(text: str) -> list[tuple[int, int]]:
+    """The edges between blocks of a genome as format_genome() writes it, smaller node first, sorted."""
+    genome = [[int(x) for x in c.split()] for c in text.strip("[]").split("][")]
+    return sorted((min(e), max(e)) for e in _edges(genome))
 
 
 def first_two_breaks(genomes: DataFrame, by: list[str]) -> DataFrame:
     """by, genome: P after the one 2-break that makes its first missing edge."""
     return two_break_scenarios(genomes, by).where("step = 1").select(*by, "genome")
+
+
+def with_edges(rows: DataFrame, genome: str = "genome") -> DataFrame:
+    """rows, one for each edge (a, b) of the genome text."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [{"a": a, "b": b} for a, b in genome_edges(t)])
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return rows.select("*", F.inline(F.pandas_udf(run, "array<struct<a:int,b:int>>")(genome)))

@@ -59,7 +59,7 @@ def cyclic_spectrum(df: DataFrame, pep: str = "pep", masses: dict[str, int] = DE
     d = d.withColumn("_m", F.array_sort(F.concat(F.array(F.lit(0)), _differences(F.col("_p")), rest)))
     if drop_share:
         keep = F.size("_m") - F.bround(F.size("_m") * F.lit(drop_share)).cast("int")
-        draw = F.transform("_m", lambda x, i: F.struct(F.xxhash64(F.lit(seed), F.col(pep), i).alias("h"), x.alias("x")))
+        draw = F.transform("_m", lambda x, i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(pep), i).cast("binary")).alias("h"), x.alias("x")))
         d = d.withColumn("_m", F.array_sort(F.transform(F.slice(F.array_sort(draw), 1, keep), lambda s: s["x"])))
     return d.withColumn("mass", F.explode("_m")).drop("_p", "_m")
 
@@ -84,10 +84,16 @@ def match_scores(spectra: DataFrame, peptides: DataFrame, spec: str = "spec_id",
 
 
 def best_matches(spectra: DataFrame, peptides: DataFrame, order: DataFrame, threshold: int, spec: str = "spec_id", pep: str = "pep") -> DataFrame:
-    """Each spectrum's best peptide, ties to the earliest; none above the threshold gives a null peptide and score 0."""
+    """Each spectrum's best peptide, ties to the earliest; none above the threshold gives a null peptide and score 0.
+
+    Below a threshold of 0 a score of 0 can win: a spectrum that shares no mass with any peptide gets the earliest of all."""
     scored = match_scores(spectra, peptides, spec, pep).where(F.col("score") > threshold).join(order, pep)
     best = scored.groupBy(spec).agg(F.max(F.struct(F.col("score"), (-F.col("ordinal")).alias("o"), F.col(pep))).alias("b"))
-    return spectra.select(spec).distinct().join(best, spec, "left").select(spec, F.col(f"b.{pep}").alias(pep), F.coalesce("b.score", F.lit(0)).alias("score"))
+    found = spectra.select(spec).distinct().join(best, spec, "left").select(spec, F.col(f"b.{pep}").alias(pep), F.coalesce("b.score", F.lit(0)).alias("score"))
+    if threshold >= 0:
+        return found
+    earliest = order.agg(F.min(F.struct("ordinal", pep))[pep].alias("_first"))  # one row
+    return found.crossJoin(F.broadcast(earliest)).withColumn(pep, F.coalesce(pep, "_first")).drop("_first")
 
 
 def consistent(peptides: DataFrame, spectrum: DataFrame, pep: str = "pep", masses: dict[str, int] = DECI) -> DataFrame:

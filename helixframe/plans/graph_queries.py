@@ -99,7 +99,16 @@ def gr9(spark, d):
     return R.signed_permutation(_blocks(spark, d, 3), ["g"])
 
 
-@query("gr10_permutations_by_chromosome")
+_COMP10 = _CHROM.replace("length(seq) - 8)", "length(seq) - 7)").replace("pos + 1, 9)", "pos + 1, 8)") + """, dm AS (SELECT DISTINCT p_chrom AS p, q_chrom AS q, i, j, orient FROM cm),
+ed AS (SELECT a.p, a.q, a.i AS ai, a.j AS aj, a.orient AS ao, b.i AS bi, b.j AS bj, b.orient AS bo FROM dm a JOIN dm b ON a.p = b.p AND a.q = b.q AND abs(a.i - b.i) <= 12 AND abs(a.j - b.j) <= 12 AND (a.i, a.j, a.orient) <> (b.i, b.j, b.orient)),
+rc AS (SELECT DISTINCT p, q, ai AS i, aj AS j, ao AS o, ai AS ri, aj AS rj, ao AS ro FROM ed UNION SELECT ed.p, ed.q, bi, bj, bo, ri, rj, ro FROM rc JOIN ed ON ed.p = rc.p AND ed.q = rc.q AND ai = i AND aj = j AND ao = o),
+cp AS (SELECT p, q, i, j, o, min((ri, rj, ro)) AS c FROM rc GROUP BY p, q, i, j, o),
+mb AS (SELECT p, q, c, avg(i) AS x, avg(j) AS y, sum(CASE o WHEN '+' THEN 1 ELSE -1 END) AS s FROM cp GROUP BY p, q, c HAVING count(*) >= 3),
+nb AS (SELECT *, row_number() OVER (ORDER BY p, x, q, c) AS id FROM mb)"""
+
+
+@query("gr10_permutations_by_chromosome", P.with_("items", more=_COMP10) + """SELECT 'P' AS genome, p AS chrom, (row_number() OVER (PARTITION BY p ORDER BY x, q, c))::INT AS ord, id::INT AS block FROM nb
+UNION ALL SELECT 'Q', q, (row_number() OVER (PARTITION BY q ORDER BY y, p, c))::INT, (CASE WHEN s >= 0 THEN id ELSE -id END)::INT FROM nb""")
 def gr10(spark, d):
     m = R.shared_kmers_chromosomes(*_chromosomes(spark, d), 8)
     p, q = R.permutations_by_chromosome(R.synteny_blocks(m, 12, 3, ["p_chrom", "q_chrom"]))
@@ -117,7 +126,11 @@ def gr12(spark, d):
     return P.permutations(spark, d).select("o", F.array_join(R.reversal(F.col("perm"), (n / 3).cast("int"), (n / 2).cast("int")).cast("array<string>"), " ").alias("perm"))
 
 
-@query("gr13_breakpoint_sort")
+_GAIN = "(p[i + 1] - p[i] <> 1)::INT + (p[j + 2] - p[j + 1] <> 1)::INT - (-p[j + 1] - p[i] <> 1)::INT - (p[j + 2] + p[i + 1] <> 1)::INT"
+
+
+@query("gr13_breakpoint_sort", P.with_("blocks", more=f"""z AS (SELECT o, [0] || perm || [len(perm) + 1] AS p, 0 AS n, true AS go FROM perms UNION ALL
+SELECT o, CASE WHEN c IS NULL THEN p ELSE p[:c.i] || [-x FOR x IN list_reverse(p[c.i + 1:c.j + 1])] || p[c.j + 2:] END, n + (c IS NOT NULL)::INT, c IS NOT NULL FROM (SELECT o, p, n, list_sort(list_filter(flatten([[{{'g': -({_GAIN}), 'i': i, 'j': j}} FOR j IN range(i, len(p) - 1)] FOR i IN range(1, len(p) - 1)]), lambda x: x.g < 0))[1] AS c FROM z WHERE go))""") + "SELECT o, max(n)::INT AS n_reversals FROM z GROUP BY o")
 def gr13(spark, d):
     return R.breakpoint_sort(P.permutations(spark, d)).select("o", "n_reversals")
 
@@ -149,13 +162,16 @@ _GRAPH = _CE + """, bi AS (SELECT o, a, b FROM ce UNION ALL SELECT o, b, a FROM
 lb AS (SELECT o, n, min(r) AS c FROM rr GROUP BY o, n)"""
 
 
-@query("gr18_node_groups", P.with_("blocks", more=_GRAPH) + "SELECT o, n::INT AS node, c::INT AS component FROM lb")
-def gr18(spark, d):
-    from ..operators.components import components
+_TWO = """tb AS (SELECT o, CASE WHEN block > 0 THEN 2 * block - 1 ELSE -2 * block END AS i, CASE WHEN block > 0 THEN 2 * block ELSE -2 * block - 1 END AS a, ord, abs(block) AS x FROM blocks WHERE genome = 'Q'),
+te AS (SELECT o, a, coalesce(lead(i) OVER w, first_value(i) OVER w) AS b FROM tb WINDOW w AS (PARTITION BY o, ord % 2 ORDER BY ord) UNION ALL SELECT o, 2 * x - 1, 2 * x FROM tb),
+ti AS (SELECT o, a, b FROM te UNION ALL SELECT o, b, a FROM te),
+tr AS (SELECT DISTINCT o, a AS n, a AS r FROM ti UNION SELECT tr.o, b, r FROM tr JOIN ti ON ti.o = tr.o AND ti.a = tr.n)"""
 
-    e = R.colored_edges(P.order_blocks(spark, d), ["o", "genome"])
-    node = lambda c: F.struct("o", F.col(c).alias("n"))
-    return components(e.select(node("a").alias("src"), node("b").alias("dst"))).select("node.o", F.col("node.n").cast("int").alias("node"), F.col("component.n").cast("int").alias("component"))
+
+@query("gr18_node_groups", P.with_("blocks", more=_TWO) + "SELECT o, n AS node, min(r) AS component FROM tr GROUP BY o, n")
+def gr18(spark, d):
+    """Q's blocks dealt to two chromosomes, whose nodes are two groups."""
+    return R.node_groups(P.order_blocks(spark, d).where("genome = 'Q'").withColumn("chrom", F.col("ord") % 2), ["o"])
 
 
 @query("gr21_two_break_distance", P.with_("blocks", more=_GRAPH) + "SELECT o, (count(*) // 2 - count(DISTINCT c))::BIGINT AS distance FROM lb GROUP BY o")
@@ -163,9 +179,15 @@ def gr21(spark, d):
     return R.two_break_distance(P.order_blocks(spark, d), ["o"])
 
 
-@query("gr21_two_break_scenarios")
+@query("gr21_two_break_scenarios", P.with_("blocks", more=_GRAPH) + """SELECT q.o, (len(q.c) - coalesce(l.c, 0))::INT AS steps, q.e AS last_edges FROM
+(SELECT o, list(least(a, b)) AS c, string_agg(least(a, b) || '-' || greatest(a, b), ' ' ORDER BY least(a, b), greatest(a, b)) AS e FROM ce WHERE genome = 'Q' GROUP BY o) q
+LEFT JOIN (SELECT o, count(DISTINCT c) AS c FROM lb GROUP BY o) l USING (o)""")
 def gr21_steps(spark, d):
-    return R.two_break_scenarios(P.order_blocks(spark, d), ["o"])
+    """A shortest scenario has as many steps as the distance, and ends with Q's edges."""
+    steps = R.two_break_scenarios(P.order_blocks(spark, d), ["o"])
+    last = steps.groupBy("o").agg(F.max(F.struct("step", "genome")).alias("x")).select("o", F.col("x.step").alias("steps"), F.col("x.genome").alias("genome"))
+    edge = F.transform(F.array_sort(F.collect_list(F.struct("a", "b"))), lambda x: F.concat_ws("-", x["a"], x["b"]))
+    return R.with_edges(last).groupBy("o", "steps").agg(F.array_join(edge, " ").alias("last_edges"))
 
 
 @query("gr22_format", P.with_("blocks") + "SELECT o, '[' || array_to_string([CASE WHEN x > 0 THEN '+' ELSE '' END || x FOR x IN perm], ' ') || ']' AS text FROM perms")
@@ -173,11 +195,18 @@ def gr22(spark, d):
     return P.permutations(spark, d).select("o", R.format_permutation(F.col("perm")).alias("text"))
 
 
-@query("gr19_first_two_break")
+_RED = _CE + """, ne AS (SELECT o, genome, least(a, b) AS a, greatest(a, b) AS b FROM ce), p2 AS (SELECT o, a, b FROM ce WHERE genome = 'P' UNION ALL SELECT o, b, a FROM ce WHERE genome = 'P'),
+me AS (SELECT o, a, b FROM (SELECT o, a, b, row_number() OVER (PARTITION BY o ORDER BY a, b) AS r FROM ne q WHERE genome = 'Q' AND NOT EXISTS (SELECT 1 FROM ne p WHERE p.genome = 'P' AND p.o = q.o AND p.a = q.a AND p.b = q.b)) WHERE r = 1),
+rd AS (SELECT me.o, me.a, me.b, x.b AS a_red, y.b AS b_red FROM me JOIN p2 x ON x.o = me.o AND x.a = me.a JOIN p2 y ON y.o = me.o AND y.a = me.b)"""
+
+
+@query("gr19_first_two_break", P.with_("blocks", more=_RED) + """SELECT o, a::INT AS a, b::INT AS b FROM rd UNION ALL SELECT o, least(a_red, b_red)::INT, greatest(a_red, b_red)::INT FROM rd
+UNION ALL SELECT o, ne.a::INT, ne.b::INT FROM ne JOIN rd USING (o) WHERE genome = 'P' AND (ne.a, ne.b) NOT IN ((least(rd.a, a_red), greatest(rd.a, a_red)), (least(rd.b, b_red), greatest(rd.b, b_red)))""")
 def gr19(spark, d):
-    return R.first_two_breaks(P.order_blocks(spark, d), ["o"])
+    """The edges of P after its first 2-break."""
+    return R.with_edges(R.first_two_breaks(P.order_blocks(spark, d), ["o"])).select("o", "a", "b")
 
 
-@query("gr20_missing_edge", P.with_("blocks", more=_CE + ", ne AS (SELECT o, genome, least(a, b)::INT AS a, greatest(a, b)::INT AS b FROM ce)") + "SELECT o, a, b FROM (SELECT o, a, b, row_number() OVER (PARTITION BY o ORDER BY a, b) AS r FROM ne q WHERE genome = 'Q' AND NOT EXISTS (SELECT 1 FROM ne p WHERE p.genome = 'P' AND p.o = q.o AND p.a = q.a AND p.b = q.b)) WHERE r = 1")
+@query("gr20_missing_edge", P.with_("blocks", more=_RED) + "SELECT * FROM rd")
 def gr20(spark, d):
-    return R.missing_edges(P.order_blocks(spark, d), ["o"]).select("o", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
+    return R.missing_edges(P.order_blocks(spark, d), ["o"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import projections as P
 from ..operators import assembly, kmers, motifs, patterns
+from ..operators.pairs import all_pairs
 from .registry import query
 
 RC = "translate(reverse({}), 'ACGT', 'TGCA')"
@@ -25,7 +26,7 @@ list_sum([CASE WHEN a.seq[x] <> b.seq[x] THEN 1 ELSE 0 END FOR x IN range(1, lea
 def of2(spark, d):
     a = P.items(spark, d)
     b = a.select(F.col("item_id").alias("j"), F.col("seq").alias("w"))
-    return a.join(b, F.col("item_id") < F.col("j")).select(F.col("item_id").alias("i"), "j", kmers.hamming(F.col("seq"), F.col("w")).alias("d"))
+    return all_pairs(a, b, "item_id", "j").where("item_id < j").select(F.col("item_id").alias("i"), "j", kmers.hamming(F.col("seq"), F.col("w")).alias("d"))
 
 
 @query("of3_neighbours", P.with_("nations", more="b AS (SELECT unnest(['A','C','G','T']) AS c), n AS (SELECT id, seq, unnest(range(1, length(seq) + 1)) AS i FROM nations)") + "SELECT DISTINCT id, left(seq, i - 1) || c || substr(seq, i + 1) AS neighbour FROM n, b")
@@ -37,7 +38,7 @@ def of3(spark, d):
 
 @query("of4_kmer_count", P.with_("dna", more=kmer_cte("k", "dna", "doc_id", 9)) + "SELECT kmer, count(*) AS n FROM kk GROUP BY kmer")
 def of4(spark, d):
-    return kmers.kmers(P.documents(spark, d), 9, keep=[]).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    return kmers.kmer_totals(P.documents(spark, d), 9)
 
 
 @query("of5_gc_skew", P.with_("dna", more="""c AS (SELECT doc_id, unnest(range(0, length(seq))) AS pos, unnest(string_split(seq, '')) AS ch FROM dna WHERE seq <> ''),
@@ -64,16 +65,26 @@ def of6_all(spark, d):
     return kmers.frequent_kmers(P.items(spark, d), 7, 1, ["item_id"], dedupe=False)
 
 
-@query("of6_frequent_kmers")
+@query("of6_frequent_kmers", P.with_("items", more=_TOTALS + """, fp AS (SELECT item_id, kmer, min(pos) AS p FROM kk GROUP BY ALL), nl AS (SELECT item_id, u, list(y) AS ys FROM al GROUP BY ALL),
+od AS (SELECT f.item_id, f.kmer, ys, row_number() OVER (PARTITION BY f.item_id ORDER BY p) AS r FROM fp f JOIN nl ON nl.item_id = f.item_id AND nl.u = f.kmer),
+gd AS (SELECT DISTINCT item_id, 0::BIGINT AS r, []::VARCHAR[] AS cov, NULL::VARCHAR AS pick FROM od UNION ALL
+SELECT gd.item_id, od.r, CASE WHEN list_contains(cov, kmer) THEN cov ELSE cov || ys END, CASE WHEN list_contains(cov, kmer) THEN NULL ELSE kmer END FROM gd JOIN od ON od.item_id = gd.item_id AND od.r = gd.r + 1)""") + """SELECT item_id, kmer, total FROM
+(SELECT t.item_id, t.kmer, total, rank() OVER (PARTITION BY t.item_id ORDER BY total DESC) AS q FROM gd JOIN tot t ON t.item_id = gd.item_id AND t.kmer = pick) WHERE q = 1""")
 def of6(spark, d):
     return kmers.frequent_kmers(P.items(spark, d), 7, 1, ["item_id"])
 
 
-@query("of7_origin_windows", P.with_("dna", more="""p AS (SELECT doc_id, seq, length(seq) // 3 AS p, length(seq) AS n FROM dna)""") + """SELECT doc_id, 'before' AS window, greatest(p - 500, 0)::INT AS start, substr(seq, (greatest(p - 500, 0) + 1)::BIGINT, (p - greatest(p - 500, 0))::BIGINT) AS part FROM p
+_SKEW = """c AS (SELECT doc_id, unnest(range(0, length(seq))) AS pos, unnest(string_split(seq, '')) AS ch FROM dna WHERE seq <> ''),
+s AS (SELECT doc_id, pos, sum(CASE ch WHEN 'G' THEN 1 WHEN 'C' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS s FROM c),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY s, pos) AS r FROM s)"""
+
+
+@query("of7_origin_windows", P.with_("dna", more=_SKEW + """, p AS (SELECT doc_id, seq, pos AS p, length(seq) AS n FROM dna JOIN r USING (doc_id) WHERE r = 1)""") + """SELECT doc_id, 'before' AS window, greatest(p - 500, 0)::INT AS start, substr(seq, (greatest(p - 500, 0) + 1)::BIGINT, (p - greatest(p - 500, 0))::BIGINT) AS part FROM p
 UNION ALL SELECT doc_id, 'around', greatest(p - 250, 0)::INT, substr(seq, (greatest(p - 250, 0) + 1)::BIGINT, (least(p + 250, n) - greatest(p - 250, 0))::BIGINT) FROM p
 UNION ALL SELECT doc_id, 'after', p::INT, substr(seq, (p + 1)::BIGINT, (least(p + 500, n) - p)::BIGINT) FROM p""")
 def of7(spark, d):
-    docs = P.documents(spark, d).withColumn("skew_pos", (F.length("seq") / 3).cast("int"))
+    """Three windows around the skew's minimum, as frequent k-mers are sought in."""
+    docs = P.documents(spark, d).where("seq <> ''").withColumn("skew_pos", kmers.skew_minimum(F.col("seq")))
     return kmers.origin_windows(docs, 500).select("doc_id", "window", "start", "part")
 
 
@@ -97,12 +108,14 @@ def gs3(spark, d):
 @query("gs4_degrees", P.with_("dna", more=kmer_cte("k", "dna", "doc_id", 10) + ", e AS (SELECT left(kmer, 9) AS src, right(kmer, 9) AS dst FROM kk)") + """SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM
 (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY node""")
 def gs4(spark, d):
-    return assembly.degrees(assembly.edges(kmers.kmers(P.documents(spark, d), 10, keep=[])), [])
+    return assembly.degrees(assembly.edges(kmers.kmer_totals(P.documents(spark, d), 10)), [], "n")
 
 
-@query("gs5_euler_genome")
+@query("gs5_euler_genome", P.with_("items", more=kmer_cte("k", "items", "item_id", 12)) + "SELECT item_id, kmer FROM kk")
 def gs5(spark, d):
-    return assembly.euler_genome(kmers.kmers(P.items(spark, d), 12), ["item_id"])
+    """The genome that an Eulerian path spells has each k-mer as often as the reads."""
+    found = assembly.euler_genome(kmers.kmers(P.items(spark, d), 12), ["item_id"]).where("status = 'complete'")
+    return kmers.kmers(found, 12, "genome", ["item_id"]).select("item_id", "kmer")
 
 
 _PAIRS = "p AS (SELECT item_id, seq, unnest(range(0, length(seq) - 39)) AS pos FROM items), q AS (SELECT item_id, substr(seq, pos + 1, 10) AS a, substr(seq, pos + 31, 10) AS b FROM p)"
@@ -115,19 +128,28 @@ def gs6(spark, d):
     return g.select("item_id", F.col("node.a").alias("node_a"), F.col("node.b").alias("node_b"), "out_degree", "in_degree")
 
 
-@query("gs7_start_node", P.with_("items", more=kmer_cte("k", "items", "item_id", 10) + """, e AS (SELECT item_id, left(kmer, 9) AS src, right(kmer, 9) AS dst FROM kk),
-g AS (SELECT item_id, node, sum(o) AS o, sum(i) AS i FROM (SELECT item_id, src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT item_id, dst, 0, 1 FROM e) GROUP BY ALL)""") + """SELECT item_id, node AS start FROM
-(SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY (o - i <> 1), node) AS r FROM g WHERE o > 0) WHERE r = 1""")
+@query("gs7_start_node", P.with_("items", more=_PAIRS + """, g AS (SELECT item_id, x, y, sum(o) AS o, sum(i) AS i FROM
+(SELECT item_id, left(a, 9) AS x, left(b, 9) AS y, 1 AS o, 0 AS i FROM q UNION ALL SELECT item_id, right(a, 9), right(b, 9), 0, 1 FROM q) GROUP BY ALL)""") + """SELECT item_id, x AS start_a, y AS start_b FROM
+(SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY (o - i <> 1), x, y) AS r FROM g WHERE o > 0) WHERE r = 1""")
 def gs7(spark, d):
-    return assembly.start_node(assembly.degrees(assembly.edges(kmers.kmers(P.items(spark, d), 10)), ["item_id"]), ["item_id"])
+    g = assembly.degrees(assembly.paired_edges(kmers.read_pairs(P.items(spark, d), 10, 20)), ["item_id"])
+    return assembly.start_node(g, ["item_id"]).select("item_id", F.col("start.a").alias("start_a"), F.col("start.b").alias("start_b"))
 
 
-@query("gs8_paired_genome")
+@query("gs8_paired_genome", P.with_("items", more=_PAIRS) + "SELECT item_id, a, b FROM q")
 def gs8(spark, d):
-    return assembly.paired_genome(kmers.read_pairs(P.items(spark, d), 10, 20), ["item_id"], 10, 20)
-
-
-@query("gs9_contigs")
+    """The genome that a paired Eulerian path spells has each read pair as often as the reads."""
+    found = assembly.paired_genome(kmers.read_pairs(P.items(spark, d), 10, 20), ["item_id"], 10, 20).where("status = 'complete'")
+    return kmers.read_pairs(found.select("item_id", F.col("genome").alias("seq")), 10, 20).select("item_id", "a", "b")
+
+
+@query("gs9_contigs", P.with_("items", more=kmer_cte("k", "items", "item_id", 8) + """, e AS (SELECT item_id AS g, left(kmer, 7) AS src, right(kmer, 7) AS dst FROM kk),
+dg AS (SELECT g, node, sum(o) AS o, sum(i) AS i FROM (SELECT g, src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT g, dst, 0, 1 FROM e) GROUP BY ALL), inn AS (SELECT g, node FROM dg WHERE o = 1 AND i = 1),
+w AS (SELECT e.g, e.dst, e.src || right(e.dst, 1) AS contig, 1 AS n FROM e ANTI JOIN inn ON inn.g = e.g AND inn.node = e.src UNION ALL
+SELECT w.g, e.dst, contig || right(e.dst, 1), n + 1 FROM w JOIN inn ON inn.g = w.g AND inn.node = w.dst JOIN e ON e.g = w.g AND e.src = w.dst),
+y AS (SELECT e.g, e.src AS s, e.dst, e.src || right(e.dst, 1) AS contig, 1 AS n FROM e JOIN inn ON inn.g = e.g AND inn.node = e.src UNION ALL
+SELECT y.g, s, e.dst, contig || right(e.dst, 1), n + 1 FROM y JOIN inn ON inn.g = y.g AND inn.node = y.dst JOIN e ON e.g = y.g AND e.src = y.dst WHERE y.dst > s)""") + """SELECT g AS item_id, contig, n AS n_edges FROM w ANTI JOIN inn ON inn.g = w.g AND inn.node = w.dst
+UNION ALL SELECT g, contig, n FROM y WHERE dst = s""")
 def gs9(spark, d):
     return assembly.contigs(kmers.kmers(P.items(spark, d), 8), ["item_id"]).select("item_id", "contig", "n_edges")
 
@@ -199,7 +221,8 @@ def pm9(spark, d):
     return patterns.repeats(P.items(spark, d)).select("item_id", F.length("repeat").alias("n"))
 
 
-@query("pm9_longest_repeat")
+@query("pm9_longest_repeat", P.with_("items", more=_LCP.replace("::INT AS n FROM l", "::INT AS n, suffix FROM l") + """, b AS (SELECT DISTINCT item_id, left(suffix, n) AS s, n, rank() OVER (PARTITION BY item_id ORDER BY n DESC) AS r FROM x WHERE n > 0),
+o AS (SELECT b.item_id, s, row_number() OVER (PARTITION BY b.item_id ORDER BY [strpos(seq, left(s, k)) FOR k IN range(1, n + 1)]) AS q FROM b JOIN items USING (item_id) WHERE r = 1)""") + "SELECT item_id, coalesce(s, '') AS repeat FROM items LEFT JOIN (SELECT * FROM o WHERE q = 1) USING (item_id)")
 def pm9_text(spark, d):
     return patterns.repeats(P.items(spark, d)).select("item_id", "repeat")
 
@@ -230,7 +253,11 @@ def pm13(spark, d):
     return patterns.shared_substrings(nation_pairs(spark, d)).select("id", "id2", "unshared")
 
 
-@query("pm14_shared_substrings")
+@query("pm14_shared_substrings", P.with_("nations", more=PAIRS + """, s AS (SELECT id, id2, w, v, unnest(range(1, length(v) + 1)) AS i FROM pairs), t AS (SELECT id, id2, w, v, i, unnest(range(1, length(v) - i + 2)) AS n FROM s),
+x AS (SELECT id, id2, v, w, i, n, substr(v, i, n) AS x, contains(w, substr(v, i, n)) AS common FROM t),
+m AS (SELECT DISTINCT id, id2, v, x, n, rank() OVER (PARTITION BY id, id2 ORDER BY n DESC) AS r FROM x WHERE common),
+sh AS (SELECT id, id2, x, row_number() OVER (PARTITION BY id, id2 ORDER BY [strpos(v, left(x, k)) FOR k IN range(1, n + 1)]) AS q FROM m WHERE r = 1),
+u AS (SELECT id, id2, x, row_number() OVER (PARTITION BY id, id2 ORDER BY n, i) AS q FROM x WHERE NOT common)""") + """SELECT p.id, p.id2, coalesce(sh.x, '') AS shared, u.x AS unshared FROM pairs p LEFT JOIN sh ON sh.id = p.id AND sh.id2 = p.id2 AND sh.q = 1 LEFT JOIN u ON u.id = p.id AND u.id2 = p.id2 AND u.q = 1""")
 def pm14(spark, d):
     return patterns.shared_substrings(nation_pairs(spark, d)).select("id", "id2", "shared", "unshared")
 
@@ -266,7 +293,7 @@ def ms4(spark, d):
     return motifs.most_probable(P.items(spark, d), motifs.profile(region_motifs(spark, d), []), 8, ["item_id"])
 
 
-@query("ms5_random_kmer")
+@query("ms5_random_kmer", P.with_("dna") + "SELECT doc_id, CASE WHEN length(seq) >= 15 THEN substr(seq, (('0x' || substr(md5('1:' || seq), 1, 13))::BIGINT % (length(seq) - 14) + 1)::BIGINT, 15) END AS motif FROM dna")
 def ms5(spark, d):
     return motifs.random_kmers(P.documents(spark, d), 15, seed=1).select("doc_id", "motif")
 
@@ -290,6 +317,7 @@ def ms9(spark, d):
     return motifs.search(_groups(spark, d), 12, ["g"], "gibbs", seeds=4)
 
 
-@query("ms8_profile_random")
+@query("ms8_profile_random", P.with_("nations", "items", more=_PROFILE + ", " + kmer_cte("k", "items", "item_id", 8) + """,
+s AS (SELECT item_id, pos, kmer, list_reduce([1.0::DOUBLE] || [p[x][strpos('ACGT', kmer[x])] FOR x IN range(1, 9)], lambda a, b: a * b) AS s, (('0x' || substr(md5('2:' || item_id || ':' || pos), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM kk, pl)""") + "SELECT item_id, kmer, pos::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY -ln(u) / s, pos) AS r FROM s) WHERE r = 1")
 def ms8(spark, d):
     return motifs.profile_random(P.items(spark, d), motifs.profile(region_motifs(spark, d), []), 8, ["item_id"], seed=2)

@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import projections as P
 from ..operators import spectra as S
+from ..operators.pairs import all_pairs
 from .registry import query
 
-_DECI = "mass AS (SELECT unnest([" + ", ".join(f"'{a}'" for a in S.DECI) + "]) AS aa, unnest([" + ", ".join(map(str, S.DECI.values())) + "]) AS m, unnest(range(0, 22)) AS o)"
-_INT = _DECI.replace(", ".join(map(str, S.DECI.values())), ", ".join(map(str, S.DALTON.values())))
+#: Residues and their decimasses, written out apart from the operators' own table.
+_DECI = """mass AS (SELECT unnest(['G', 'A', 'S', 'P', 'V', 'T', 'C', 'I', 'L', 'N', 'D', 'K', 'Q', 'E', 'M', 'O', 'H', 'F', 'R', 'Y', 'U', 'W']) AS aa,
+unnest([570, 710, 870, 970, 990, 1011, 1030, 1131, 1131, 1141, 1151, 1281, 1281, 1291, 1312, 1322, 1371, 1472, 1562, 1632, 1681, 1862]) AS m, unnest(range(0, 22)) AS o)"""
+_INT = """mass AS (SELECT unnest(['G', 'A', 'S', 'P', 'V', 'T', 'C', 'I', 'L', 'N', 'D', 'K', 'Q', 'E', 'M', 'O', 'H', 'F', 'R', 'Y', 'U', 'W']) AS aa,
+unnest([57, 71, 87, 97, 99, 101, 103, 113, 113, 114, 115, 128, 128, 129, 131, 132, 137, 147, 156, 163, 168, 186]) AS m, unnest(range(0, 22)) AS o)"""
 
 
 def lin(source: str, key: str) -> str:
@@ -32,7 +36,8 @@ def ps2(spark, d):
     return S.cyclic_spectrum(P.peptides(spark, d)).select("ordinal", "mass")
 
 
-@query("ps2_cyclic_spectrum_with_error")
+@query("ps2_cyclic_spectrum_with_error", P.with_("peptides", more=", ".join([_DECI, lin("peptides", "ordinal"), _CYC, """ix AS (SELECT ordinal, mass, row_number() OVER (PARTITION BY ordinal ORDER BY mass) - 1 AS i, count(*) OVER (PARTITION BY ordinal) AS n FROM cyc),
+dr AS (SELECT ordinal, mass, n, row_number() OVER (PARTITION BY ordinal ORDER BY md5('5:' || pep || ':' || i)) AS r FROM ix JOIN peptides USING (ordinal))"""])) + "SELECT ordinal, mass FROM dr WHERE r <= n - round_even(n * 0.1::DOUBLE, 0)")
 def ps2_error(spark, d):
     return S.cyclic_spectrum(P.peptides(spark, d), drop_share=0.1, seed=5).select("ordinal", "mass")
 
@@ -53,24 +58,37 @@ def ps5(spark, d):
     return grown.select("ordinal", "pep", F.element_at("path", -1).alias("last"))
 
 
-@query("ps6_tolerant_score")
-def ps6(spark, d):
+_LISTS = ", ".join([_DECI, lin("peptides", "ordinal"), lin("segments", "spec_id").replace("lin AS", "slin AS").replace("pl AS", "spl AS").replace("FROM pl ", "FROM spl ").replace("pm AS", "spm AS").replace("FROM pm a JOIN pm b", "FROM spm a JOIN spm b"),
+"""la AS (SELECT ordinal, list(mass ORDER BY mass) AS a FROM (SELECT ordinal, mass FROM lin UNION ALL SELECT ordinal, 0 FROM peptides) GROUP BY ordinal), lb AS (SELECT spec_id, list(mass ORDER BY mass) AS b FROM (SELECT spec_id, mass FROM slin UNION ALL SELECT spec_id, 0 FROM segments) GROUP BY spec_id),
+tw AS (SELECT ordinal, spec_id, a, b, 1 AS i, 1 AS j, 0 AS n FROM la, lb UNION ALL SELECT ordinal, spec_id, a, b, i + (a[i] - b[j] <= 5)::INT, j + (b[j] - a[i] <= 5)::INT, n + (abs(a[i] - b[j]) <= 5)::INT FROM tw WHERE i <= len(a) AND j <= len(b)),
+ts AS (SELECT ordinal, spec_id, max(n) AS score FROM tw GROUP BY ALL)"""])
+
+
+def tolerant_scores(spark, d):
     lists = S.linear_spectrum(P.peptides(spark, d), masses=S.DECI).groupBy("ordinal").agg(F.array_sort(F.collect_list("mass")).alias("a"))
     spec = S.linear_spectrum(P.segments(spark, d), masses=S.DECI).groupBy("spec_id").agg(F.array_sort(F.collect_list("mass")).alias("b"))
-    return lists.crossJoin(F.broadcast(spec)).select("ordinal", "spec_id", S.tolerant_score(F.col("a"), F.col("b"), 5).alias("score"))
+    return all_pairs(lists, spec, "ordinal", "spec_id").select("ordinal", "spec_id", S.tolerant_score(F.col("a"), F.col("b"), 5).alias("score"))
+
+
+@query("ps6_tolerant_score", P.with_("peptides", "segments", more=_LISTS) + "SELECT ordinal, spec_id, score FROM ts")
+def ps6(spark, d):
+    return tolerant_scores(spark, d)
 
 
 @query("ps7_consistent", P.with_("peptides", "segments", more=", ".join([_DECI, "p AS (SELECT DISTINCT pep AS k, pep FROM peptides)", lin("p", "k"), """own AS (SELECT k, mass, count(*) AS need FROM (SELECT k, mass FROM lin UNION ALL SELECT k, 0 FROM p) GROUP BY ALL),
-spec AS (SELECT mass, sum(need)::BIGINT AS n FROM own GROUP BY mass HAVING sum(need) >= 4)"""])) + "SELECT k AS pep FROM p WHERE NOT EXISTS (SELECT 1 FROM own LEFT JOIN spec USING (mass) WHERE own.k = p.k AND (n IS NULL OR need > n))")
+spec AS (SELECT mass, sum(need)::BIGINT AS n FROM own WHERE length(k) <= 12 GROUP BY mass)"""])) + "SELECT k AS pep FROM p WHERE NOT EXISTS (SELECT 1 FROM own LEFT JOIN spec USING (mass) WHERE own.k = p.k AND (n IS NULL OR need > n))")
 def ps7(spark, d):
+    """Peptides whose masses all occur in the joint spectrum of those of up to 12 residues: these, and whichever longer ones it explains."""
     pep = P.peptides(spark, d).select("pep").distinct()
-    spec = S.linear_spectrum(pep, masses=S.DECI).groupBy("mass").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    spec = S.linear_spectrum(pep.where("length(pep) <= 12"), masses=S.DECI).groupBy("mass").agg(F.count(F.lit(1)).alias("n"))
     return S.consistent(pep, spec)
 
 
-@query("ps8_branch_and_bound")
+@query("ps8_branch_and_bound", P.with_("segments", more=", ".join([_DECI, lin("segments", "spec_id"), _CYC.replace("ordinal", "spec_id").replace("FROM peptides", "FROM segments")])) + "SELECT spec_id, mass FROM cyc")
 def ps8(spark, d):
-    return S.sequence_spectra(S.cyclic_spectrum(P.segments(spark, d))).select("spec_id", "pep")
+    """The peptide found has the spectrum it was found from."""
+    found = S.sequence_spectra(S.cyclic_spectrum(P.segments(spark, d))).select("spec_id", "pep")
+    return S.cyclic_spectrum(found).select("spec_id", "mass")
 
 
 _SEG = ", ".join([_DECI, lin("segments", "spec_id"), "spec AS (SELECT spec_id, mass FROM lin UNION ALL SELECT spec_id, 0 FROM segments)"])
@@ -99,9 +117,9 @@ sc AS (SELECT spec_id, k AS pep, sum(least(pv.c, sv.c))::BIGINT AS score FROM pv
 best AS (SELECT spec_id, pep, score FROM (SELECT sc.*, row_number() OVER (PARTITION BY spec_id ORDER BY score DESC, ordinal) AS r FROM sc JOIN p ON p.k = sc.pep WHERE score > 3) WHERE r = 1)"""])
 
 
-@query("ps11_trim", P.with_("peptides", "segments", more=_PV) + "SELECT spec_id, pep, score FROM (SELECT *, rank() OVER (PARTITION BY spec_id ORDER BY score DESC) AS r FROM sc) WHERE r <= 5")
+@query("ps11_trim", P.with_("peptides", "segments", more=_LISTS) + "SELECT spec_id, ordinal, score FROM (SELECT *, rank() OVER (PARTITION BY spec_id ORDER BY score DESC) AS r FROM ts) WHERE r <= 5")
 def ps11(spark, d):
-    return S.trim(pv_scores(spark, d), 5, by=["spec_id"])
+    return S.trim(tolerant_scores(spark, d), 5, by=["spec_id"])
 
 
 @query("ps12_leaderboard")
@@ -147,11 +165,9 @@ def pv6(spark, d):
     return S.best_matches(*pv_tables(spark, d), 3)
 
 
-@query("pv5_best_peptide", P.with_("peptides", "segments", more=_PV.replace("score > 3", "score > 0")) + "SELECT spec_id, best.pep, coalesce(score, 0)::BIGINT AS score FROM segments LEFT JOIN best USING (spec_id)")
+@query("pv5_best_peptide", P.with_("peptides", "segments", more=_PV.replace("score > 3", "score > -1")) + "SELECT spec_id, coalesce(best.pep, (SELECT pep FROM peptides ORDER BY ordinal LIMIT 1)) AS pep, coalesce(score, 0)::BIGINT AS score FROM segments LEFT JOIN best USING (spec_id)")
 def pv5(spark, d):
-    return S.best_matches(*pv_tables(spark, d), 0)
-
-
+    return S.best_matches(*pv_tables(spark, d), -1)
 
 
 @query("pv7_significance")
