@@ -74,7 +74,7 @@ def unpacked(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tup
 def terms(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document number, distinct token and its count, by document and token."""
     size = np.array([len(x) for x in docs])
-    key = np.sort((np.repeat(np.arange(len(docs), dtype=np.uint32), size) << np.uint32(16)) | np.concatenate(docs).astype(np.uint32), kind="stable")
+    key = np.sort((np.repeat(np.arange(len(docs), dtype=np.uint32), size) << np.uint32(16)) | np.concatenate(docs).astype(np.uint32))
     at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     return (key[at] >> np.uint32(16)).astype(np.int64), (key[at] & np.uint32(0xFFFF)).astype(np.int64), np.diff(np.append(at, len(key)))
 
@@ -118,12 +118,11 @@ class Model:
             bits = mix(np.arange(1, (1 << 16) + 1, dtype=U8))
             self._axes = ((bits[:, None] >> np.arange(DIMENSIONS, dtype=U8)) & U8(1)).astype(np.float32) * 2 - 1
         out = np.empty((len(docs), DIMENSIONS), np.float32)
-        for i in range(0, len(docs), 64):  # so many at once as stay in a processor's cache
-            some = docs[i : i + 64]
-            doc, token, tf = terms(some)
-            w = self.weights(doc, token, tf, np.array([len(x) for x in some])).astype(np.float32)
-            at = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-            out[i : i + 64] = np.add.reduceat(w[:, None] * self._axes[token], at, axis=0)
+        doc, token, tf = terms(docs)
+        w = self.weights(doc, token, tf, np.array([len(x) for x in docs])).astype(np.float32)
+        stop = np.cumsum(np.bincount(doc, minlength=len(docs))).tolist()
+        for i, (a, b) in enumerate(zip([0, *stop[:-1]], stop)):
+            out[i] = w[a:b] @ self._axes[token[a:b]]
         return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-9)
 
 
@@ -202,7 +201,7 @@ class Index:
         self.dense[self.row[token[on]], doc[on]] = weight[on]
         on = ~on & (df[token] > 1)
         doc, token, weight = doc[on], token[on], weight[on]
-        order = np.argsort(token, kind="stable")
+        order = np.argsort(token.astype(np.uint16), kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.df = np.where((df > 1) & (self.row < 0), df, 0)
         self.start = np.cumsum(self.df) - self.df
