@@ -143,7 +143,7 @@ def companions(rows: DataFrame, ranges: int, percent: int, n: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(x) for x in sets])
             token = np.concatenate(sets)
-            order = np.argsort(token, kind="stable")
+            order = np.argsort(token)
             token, owner = token[order], owner[order]
             first = np.concatenate(([True], token[1:] != token[:-1]))
             shared = ~first
@@ -184,7 +184,7 @@ def companions(rows: DataFrame, ranges: int, percent: int, n: int) -> DataFrame:
         token = token.view(U8)[:, 0]
         owner = np.concatenate([np.frombuffer(x, np.uint16) for x in t.column("owners").to_pylist()])
         row = np.repeat(np.arange(len(six)), [len(x) for x in six])
-        order = np.argsort(token, kind="stable")
+        order = np.argsort(token)
         again = np.zeros(len(token), bool)
         same = token[order[1:]] == token[order[:-1]]
         again[order[1:]] |= same
@@ -318,7 +318,7 @@ def verify(sets: DataFrame, pairs: DataFrame, blocks: int, percent: int, distanc
             return second[id(s)]
 
         def common(x: np.ndarray, y: np.ndarray) -> int:
-            z = np.sort(np.concatenate((x, y)), kind="stable")
+            z = np.sort(np.concatenate((x, y)))
             return int((z[1:] == z[:-1]).sum())
 
         distance, linked = [], []

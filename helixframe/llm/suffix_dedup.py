@@ -115,7 +115,7 @@ def repeated_anchors(rows: DataFrame, ranges: int, blocks: int, length: int) ->
             yield int(block[x]), raw(hits[x:y])
 
     def part(hits: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         hits, h = hits[order], h[order]
         first = np.concatenate(([True], h[1:] != h[:-1]))[: len(h)]
         again = ~first
@@ -153,7 +153,7 @@ def repeated_anchors(rows: DataFrame, ranges: int, blocks: int, length: int) ->
         h = np.concatenate([np.frombuffer(x, U8) for x in t.column("grams").to_pylist()])
         hits = np.concatenate([np.frombuffer(x, HIT) for x in t.column("hits").to_pylist()])
         known = np.concatenate([np.frombuffer(x, bool) for x in t.column("known").to_pylist()])
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         h, hits, known = h[order], hits[order], known[order]
         again = np.zeros(len(h), bool)
         same = h[1:] == h[:-1]
