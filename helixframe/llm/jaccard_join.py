@@ -12,7 +12,10 @@ orders are used: H1 and H2 order tokens by two hashes, DF by document frequency
    compared with one centre, which joins groups of near copies by links in proportion to their size, not its square.
 5. What the centre did not join is compared directly, unless a bound excludes a link: the tokens of its own, its shared
    tokens counted by class of hash, or the triangle inequality of Jaccard distance through the centre. No pair within a component is ever formed.
-6. A pair is verified only if it also shares tokens in both prefixes under H1 and H2.
+6. Candidate pairs so far are pairs of ids, from the DF order. The prefixes under H1 and H2 meet next, without the sets; only pairs that share a
+   token under all three orders are verified, and only their sets travel.
+
+Tokens that very many nodes hold are spread over SPREAD tasks wherever nodes meet by token.
 
 Components come from label propagation with pointer jumping; lineage is cut by checkpoints.
 
@@ -43,6 +46,7 @@ U8 = np.uint64
 NOBODY = 0xFFFF
 CLASS_BITS = 6
 PART_TOKENS = 2_000_000
+SPREAD = 16  # tasks that the nodes of one token are dealt to
 LETTERS = mix(np.arange(1, 257, dtype=U8))
 
 
@@ -292,56 +296,85 @@ def postings(sets: DataFrame, ranges: int, percent: int) -> DataFrame:
 PAIR = ["a_d1", "a_id", "b_d1", "b_id"]
 
 
-def verify(sets: DataFrame, pairs: DataFrame, blocks: int, percent: int, distances: bool) -> DataFrame:
-    """The pairs with their distance (null where a filter excluded them, unless distances) and linked.
+def _meet(sets: DataFrame, pairs: DataFrame, blocks: int, make, test, shape: str) -> DataFrame:
+    """test(a's tokens, what make gave of b's tokens) for each pair (a_d1, a_id, b_d1, b_id), as further columns.
 
-    b's tokens travel to a's block, once however many pairs need them there.
-    """
+    What make gives travels to a's block, once however many pairs need it there."""
     pairs = pairs.select(*PAIR, F.pmod("a_d1", F.lit(blocks)).alias("block"))
     wanted = pairs.select(F.pmod("b_d1", F.lit(blocks)).alias("home"), "b_d1", "b_id", "block").distinct()
+    names = [c.split()[0] for c in shape.split(",")]
 
     def send(t: pa.Table, asked: pa.Table) -> pa.Table:
-        own = dict(zip(zip(t.column("d1").to_pylist(), t.column("id").to_pylist()), t.column("tokens").to_pylist()))
-        keys = zip(asked.column("b_d1").to_pylist(), asked.column("b_id").to_pylist())
-        return pa.table({"block": asked.column("block"), "b_d1": asked.column("b_d1"), "b_id": asked.column("b_id"), "tokens": pa.array([own.get(k) for k in keys], BIN)})
+        own, made = _nodes(t), {}
+        keys = list(zip(asked.column("b_d1").to_pylist(), asked.column("b_id").to_pylist()))
+        for k in keys:
+            if k not in made and k in own:
+                made[k] = raw(make(own[k]))
+        return pa.table({"block": asked.column("block"), "b_d1": asked.column("b_d1"), "b_id": asked.column("b_id"), "tokens": pa.array([made.get(k) for k in keys], BIN)})
 
     def compare(t: pa.Table, rows: pa.Table) -> pa.Table:
         nodes = _nodes(t)
         come = rows.filter(rows.column("tokens").is_valid())
         others = {(d, i): np.frombuffer(x, U8) for d, i, x in zip(come.column("b_d1").to_pylist(), come.column("b_id").to_pylist(), come.column("tokens").to_pylist())}
         rows = rows.filter(rows.column("a_id").is_valid())
-        second: dict[int, np.ndarray] = {}
-
-        def prefix2(s: np.ndarray) -> np.ndarray:
-            if id(s) not in second:
-                second[id(s)] = np.sort(mix(s, SECOND))[: prefix_size(len(s), percent)]
-            return second[id(s)]
-
-        def common(x: np.ndarray, y: np.ndarray) -> int:
-            z = np.sort(np.concatenate((x, y)))
-            return int((z[1:] == z[:-1]).sum())
-
-        distance, linked = [], []
-        keys = list(zip(*(rows.column(c).to_pylist() for c in PAIR)))
-        for ad, ai, bd, bi in keys:
-            x, y = nodes[ad, ai], others[bd, bi]
-            may = 100 * min(len(x), len(y)) >= percent * max(len(x), len(y))
-            may = may and common(x[: prefix_size(len(x), percent)], y[: prefix_size(len(y), percent)]) > 0
-            may = may and common(prefix2(x), prefix2(y)) > 0
-            if may or distances:
-                both = common(x, y)
-                union = len(x) + len(y) - both
-                distance.append(1 - both / union)
-                linked.append(may and 100 * both >= percent * union)
-            else:
-                distance.append(None)
-                linked.append(False)
-        return pa.table({**{c: rows.column(c) for c in PAIR}, "distance": pa.array(distance, pa.float64()), "linked": pa.array(linked, pa.bool_())})
-
-    shape = "block long, b_d1 long, b_id long, tokens binary"
-    sent = sets.groupBy("block").cogroup(wanted.withColumn("at", F.col("home")).groupBy("at")).applyInArrow(send, shape)
+        found = [test(nodes[ad, ai], others[bd, bi]) for ad, ai, bd, bi in zip(*(rows.column(c).to_pylist() for c in PAIR))]
+        return pa.table({**{c: rows.column(c) for c in PAIR}, **{n: pa.array([f[k] for f in found], KINDS[n]) for k, n in enumerate(names)}})
+
+    sent = sets.groupBy("block").cogroup(wanted.withColumn("at", F.col("home")).groupBy("at")).applyInArrow(send, "block long, b_d1 long, b_id long, tokens binary")
     both = pairs.withColumn("tokens", F.lit(None).cast("binary")).unionByName(sent, allowMissingColumns=True)
-    return sets.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(compare, ", ".join(f"{c} long" for c in PAIR) + ", distance double, linked boolean")
+    return sets.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(compare, ", ".join(f"{c} long" for c in PAIR) + ", " + shape)
+
+
+KINDS = {"h1": pa.bool_(), "h2": pa.bool_(), "distance": pa.float64(), "linked": pa.bool_()}
+
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many numbers two arrays of distinct ones share."""
+    z = np.sort(np.concatenate((x, y)))
+    return int((z[1:] == z[:-1]).sum())
+
+
+def order_prefixes(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefixes of a set under H1 and H2."""
+    p = prefix_size(len(s), percent)
+    return s[:p], np.sort(mix(s, SECOND))[:p]
+
+
+def agreeing(sets: DataFrame, pairs: DataFrame, blocks: int, percent: int) -> DataFrame:
+    """Pairs with h1 and h2: whether they share a token in their prefixes under each order. A set's two prefixes travel, not the set."""
+
+    def make(s: np.ndarray) -> np.ndarray:
+        return np.concatenate(order_prefixes(s, percent))
+
+    def test(x: np.ndarray, both: np.ndarray) -> tuple[bool, bool]:
+        (x1, x2), (y1, y2) = order_prefixes(x, percent), np.split(both, 2)
+        return common(x1, y1) > 0, common(x2, y2) > 0
+
+    return _meet(sets, pairs, blocks, make, test, "h1 boolean, h2 boolean")
+
+
+def verify(sets: DataFrame, pairs: DataFrame, blocks: int, percent: int) -> DataFrame:
+    """Pairs with their distance and linked, from the whole sets."""
+
+    def test(x: np.ndarray, y: np.ndarray) -> tuple[float, bool]:
+        both = common(x, y)
+        union = len(x) + len(y) - both
+        return 1 - both / union, 100 * both >= percent * union
+
+    return _meet(sets, pairs, blocks, lambda s: s, test, "distance double, linked boolean")
+
+
+def intersected(sets: DataFrame, pairs: DataFrame, blocks: int, percent: int) -> DataFrame:
+    """The pairs that all orders make candidates, with distance and linked."""
+    pairs = stored(agreeing(sets, pairs, blocks, percent)).where("h1 AND h2").select(*PAIR)
+    return stored(verify(sets, pairs, blocks, percent))
+
+
+def by_token(many: DataFrame, one: DataFrame, how: str = "inner") -> DataFrame:
+    """many (with id) and one, which has few rows a token, joined on token. The rows of a token are dealt to SPREAD tasks."""
+    left = many.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int"))
+    right = one.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return left.join(right, ["token", "_part"], how).drop("_part")
 
 
 def links(rows: DataFrame, meta: DataFrame, percent: int, n: int) -> DataFrame:
@@ -359,32 +392,33 @@ def links(rows: DataFrame, meta: DataFrame, percent: int, n: int) -> DataFrame:
     centres = post.groupBy("token").agg(F.min(node).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "c")
     # Only tokens that more than one node holds can be common, which bounds the similarity from sizes alone.
     fits = lambda x, y: (100 + percent) * F.least(F.col(f"{x}s"), F.col(f"{y}s")) >= percent * (F.col(f"{x}n") + F.col(f"{y}n"))
-    star = post.join(centres, "token").where((F.col("id") != F.col("c.id")) | (F.col("d1") != F.col("c.d1")))
+    star = by_token(post, centres).where((F.col("id") != F.col("c.id")) | (F.col("d1") != F.col("c.d1")))
     star = star.where(fits("", "c.")).select(F.col("d1").alias("a_d1"), F.col("id").alias("a_id"), F.col("c.d1").alias("b_d1"), F.col("c.id").alias("b_id")).distinct()
-    star = stored(verify(sets, star, blocks, percent, True))
+    star = intersected(sets, star, blocks, percent)
     joined = star.where("linked").select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
     label = components(joined)
     # what remains: nodes of a token that aren't in its centre's component, against all of the token
     named = post.join(label, post["id"] == label["node"], "left").withColumn("component", F.coalesce("component", "id")).drop("node")
     own = centres.join(label, F.col("c.id") == label["node"], "left").select("token", "c", F.coalesce("component", F.col("c.id")).alias("main"))
-    own = named.join(own, "token")
+    own = by_token(named, own)
     near = star.select(F.col("a_d1").alias("d1"), F.col("a_id").alias("id"), F.col("b_d1").alias("c_d1"), F.col("b_id").alias("c_id"), "distance")
     own = own.withColumn("c_id", F.col("c.id")).withColumn("c_d1", F.col("c.d1")).join(near, ["d1", "id", "c_d1", "c_id"], "left")
     own = own.withColumn("distance", F.when((F.col("id") == F.col("c_id")) & (F.col("d1") == F.col("c_d1")), F.lit(0.0)).otherwise(F.col("distance")))
     own = stored(own.select("token", "d1", "id", "n", "s", "v", "component", (F.col("component") == F.col("main")).alias("major"), "distance"))
     minor = own.where("NOT major")
-    x, y = minor.alias("x"), own.join(minor.select("token").distinct(), "token", "left_semi").alias("y")
+    x = minor.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).alias("x")
+    y = by_token(own, minor.select("token").distinct(), "left_semi").withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")).alias("y")
     apart = F.abs(F.col("x.distance") - F.col("y.distance")) > (1 - percent / 100 + 1e-9)
     # tokens of one class can only be common with tokens of that class
     most = F.aggregate(F.zip_with("x.v", "y.v", lambda a, b: F.least(a, b).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
     enough = (100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n"))
     rest = x.join(
         y,
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & fits("x.", "y.")
+        (F.col("x.token") == F.col("y.token")) & (F.col("x._part") == F.col("y._part")) & (F.col("x.component") != F.col("y.component")) & fits("x.", "y.")
         & (F.col("y.major") | (F.col("x.id") < F.col("y.id"))) & ~F.coalesce(apart, F.lit(False)) & F.coalesce(enough, F.lit(True)),
     )
     rest = rest.select(*[F.col(f"{s}.{c}").alias(f"{t}_{c}") for s, t in (("x", "a"), ("y", "b")) for c in ("d1", "id")]).distinct()
-    more = verify(sets, rest, blocks, percent, False).where("linked").select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
+    more = intersected(sets, rest, blocks, percent).where("linked").select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
     return stored(joined.union(more))
 
 
