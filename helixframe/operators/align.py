@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kmers import letters
+
 ALIGNED = "struct<a:string,b:string,score:double>"
 NEG = -1e18
 
@@ -52,6 +54,49 @@ def parse_matrix(text: str) -> dict[str, float]:
     return {r[0] + c: float(x) for r in rows[1:] for c, x in zip(rows[0], r[1:])}
 
 
+#: The PAM250 matrix of Dayhoff and others (1978), its lower half in the usual order of residues.
+PAM250_ROWS = """
+A  2
+R -2  6
+N  0  0  2
+D  0 -1  2  4
+C -2 -4 -4 -5 12
+Q  0  1  1  2 -5  4
+E  0 -1  1  3 -5  2  4
+G  1 -3  0  1 -3 -1  0  5
+H -1  2  2  1 -3  3  1 -2  6
+I -1 -2 -2 -2 -2 -2 -2 -3 -2  5
+L -2 -3 -3 -4 -6 -2 -3 -4 -2  2  6
+K -1  3  1  0 -5  1  0 -2  0 -2 -3  5
+M -1  0 -2 -3 -5 -1 -2 -3 -2  2  4  0  6
+F -3 -4 -3 -6 -4 -5 -5 -5 -2  1  2 -5  0  9
+P  1  0  0 -1 -3  0 -1  0  0 -2 -3 -1 -2 -5  6
+S  1  0  1  0  0 -1  0  1 -1 -1 -3  0 -2 -3  1  2
+T  1 -1  0  0 -2 -1  0  0 -1  0 -2  0 -1 -3  0  1  3
+W -6  2 -4 -7 -8 -5 -7 -7 -3 -5 -2 -3 -4  0 -6 -2 -5 17
+Y -3 -4 -2 -4  0 -4 -4 -5  0 -1 -1 -4 -2  7 -5 -3 -3  0 10
+V  0 -2 -2 -2 -2 -2 -2 -1 -2  4  2 -2  2 -1 -1 -1  0 -6 -2  4
+"""
+
+
+def parse_half(text: str) -> dict[str, float]:
+    """A symmetric matrix from its lower half: a letter and its scores with the letters so far, a line. Two letters in either order -> score."""
+    rows = [line.split() for line in text.splitlines() if line.strip()]
+    letters = [r[0] for r in rows]
+    return {k: float(x) for r in rows for c, x in zip(letters, r[1:]) for k in (r[0] + c, c + r[0])}
+
+
+PAM250 = parse_half(PAM250_ROWS)
+
+
+def recounted(a: Column, b: Column, match: float = 1.0, mismatch: float = 1.0, open_: float = 1.0, extend: float = 1.0) -> Column:
+    """The score of two aligned texts, column by column; a run of gaps on one side costs open and then extend a letter."""
+    cell = lambda x, y: F.when(x == "-", "v").when(y == "-", "w").when(x == y, "=").otherwise("x")
+    kinds = F.zip_with(letters(a), letters(b), cell)
+    cost = F.transform(kinds, lambda k, i: F.when(k == "=", match).when(k == "x", -mismatch).when(k == F.get(kinds, i - 1), -extend).otherwise(-open_))
+    return F.aggregate(cost, F.lit(0.0), lambda s, x: s + x)
+
+
 def _run(t: np.ndarray, g: float, slope: np.ndarray) -> np.ndarray:
     """The best of a place and of any before it, each step costing g."""
     return np.maximum.accumulate(t + slope) - slope if g else np.maximum.accumulate(t)

@@ -5,6 +5,10 @@ training run as Arrow functions, one row a sequence, with the model in the closu
 counts with a groupBy, so a round is one distributed pass.
 
 Layout: state 0 is S, 1 is I0, and level L has M = 3L - 1, D = 3L, I = 3L + 1; E is last.
+
+Defined cases: a null sequence has a null likelihood and path and counts for nothing; an empty one has the log-likelihood 0, an empty path
+and no counts; a letter outside the alphabet is emitted by every state with the floor's probability (in a profile, like any emission that was
+never seen) and counts as no symbol.
 """
 
 from __future__ import annotations
@@ -27,6 +31,17 @@ class Model:
     alphabet: str
 
 
+def coded(x: str, m: Model) -> np.ndarray:
+    """Places in the alphabet; the place after its last for other letters."""
+    at = {c: i for i, c in enumerate(m.alphabet)}
+    return np.array([at.get(c, len(at)) for c in x], int)
+
+
+def logs(m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of transitions and emissions, the latter with a column for other letters."""
+    return np.log(m.transition + FLOOR), np.log(np.column_stack((m.emission, np.zeros(len(m.emission)))) + FLOOR)
+
+
 def alphabet_of(seq: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(seq, ""), lambda c: c != "")))
 
@@ -41,23 +56,57 @@ def state_names(levels: int) -> list[str]:
     return ["S", "I0", *(f"{k}{i}" for i in range(1, levels + 1) for k in "MDI"), "E"]
 
 
-def profile_counts(rows: DataFrame, by: list[str], theta: float, order: str = "ordinal", seq: str = "seq") -> DataFrame:
-    """by, src, dst, n: transitions counted along the rows of an alignment, S and E included.
+def profile_states(rows: DataFrame, by: list[str], theta: float, order: str = "ordinal", seq: str = "seq") -> DataFrame:
+    """by, order, col, ch, state, _end: the states along the rows of an alignment, and E's number.
 
     A column is kept if fewer than theta of its places are gaps; a kept column is a level."""
     cells = rows.select(*by, order, F.posexplode(F.filter(F.split(seq, ""), lambda c: c != "")).alias("col", "ch"))
     keep = cells.groupBy(*by, "col").agg((F.sum((F.col("ch") == "-").cast("int")) < F.count(F.lit(1)) * F.lit(theta)).alias("keep"))
     level = keep.withColumn("level", F.sum(F.col("keep").cast("int")).over(Window.partitionBy(*by).orderBy("col")))
-    at = cells.join(level, [*by, "col"])
+    last = level.groupBy(*by).agg((3 * F.max("level") + 2).alias("_end"))
+    at = cells.join(level, [*by, "col"]).join(last, by)
     state = F.when(F.col("keep"), F.when(F.col("ch") == "-", 3 * F.col("level")).otherwise(3 * F.col("level") - 1)).when(F.col("ch") != "-", F.when(F.col("level") == 0, 1).otherwise(3 * F.col("level") + 1))
-    path = at.withColumn("state", state).where("state IS NOT NULL")
+    return at.withColumn("state", state).where("state IS NOT NULL").select(*by, order, "col", "ch", "state", "_end")
+
+
+def profile_counts(rows: DataFrame, by: list[str], theta: float, order: str = "ordinal", seq: str = "seq") -> DataFrame:
+    """by, src, dst, n: transitions counted along the rows of an alignment, S and E included."""
+    path = profile_states(rows, by, theta, order, seq)
     w = Window.partitionBy(*by, order).orderBy("col")
-    steps = path.select(*by, order, "state", F.lag("state", 1, 0).over(w).alias("before"), F.lead("state").over(w).alias("after"))
-    last = level.groupBy(*by).agg((3 * F.max("level") + 2).alias("_end"))
-    ends = steps.where("after IS NULL").join(last, by).select(*by, F.col("state").alias("src"), F.col("_end").alias("dst"))
+    steps = path.select(*by, order, "state", "_end", F.lag("state", 1, 0).over(w).alias("before"), F.lead("state").over(w).alias("after"))
+    ends = steps.where("after IS NULL").select(*by, F.col("state").alias("src"), F.col("_end").alias("dst"))
     return steps.select(*by, F.col("before").alias("src"), F.col("state").alias("dst")).union(ends).groupBy(*by, "src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
+def profile_model(rows: DataFrame, by: list[str], theta: float = 0.5, pseudocount: float = 0.01, alphabet: str = "ACGT", order: str = "ordinal", seq: str = "seq") -> DataFrame:
+    """by, kind (T or E), src, to, p: the models of many alignments at once, in the terms of build_profile(), unrounded. to: a state, or a
+    letter's place in the alphabet. Cells of probability 0 that the layout doesn't allow are left out."""
+    counts = profile_counts(rows, by, theta, order, seq)
+    end = counts.groupBy(*by).agg(F.max("dst").alias("_end"))
+    state = end.select(*by, "_end", F.explode(F.sequence(F.lit(0), F.col("_end") - 1)).alias("src"))
+    first = F.col("src") + F.when(F.col("src") == 0, 1).otherwise(F.element_at(F.array(F.lit(1), F.lit(0), F.lit(2)), (F.col("src") % 3 + 1).cast("int")))
+    to = F.when(first + 2 <= F.col("_end"), F.sequence(first, first + 2)).otherwise(F.array(F.col("_end") - 1, F.col("_end")))
+    allowed_ = state.select(*by, "src", F.explode(to).alias("to"))
+    letter = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(alphabet) - 1).cast("long"))).alias("to")
+    emitting = state.where("src % 3 <> 0").select(*by, "src", letter)
+    seen = emissions(rows, by, theta, alphabet, order, seq)
+
+    def shares(found: DataFrame, more: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*by, "src")
+        plain = found.select(*by, "src", "to", (F.col("n") / F.sum("n").over(w)).alias("p")).unionByName(more.withColumn("p", F.lit(pseudocount)))
+        cells = plain.groupBy(*by, "src", "to").agg(F.sum("p").alias("p"))
+        return cells.withColumn("p", F.col("p") / F.sum("p").over(w))
+
+    t = shares(counts.withColumnRenamed("dst", "to"), allowed_).withColumn("kind", F.lit("T"))
+    return t.unionByName(shares(seen, emitting).withColumn("kind", F.lit("E"))).select(*by, "kind", "src", "to", "p")
+
+
+def emissions(rows: DataFrame, by: list[str], theta: float, alphabet: str, order: str = "ordinal", seq: str = "seq") -> DataFrame:
+    """by, src, to, n: how often the state emits the letter at that place of the alphabet."""
+    path = profile_states(rows, by, theta, order, seq).where("ch <> '-'")
+    return path.select(*by, F.col("state").alias("src"), (F.expr(f"instr('{alphabet}', ch)") - 1).cast("long").alias("to")).where("to >= 0").groupBy(*by, "src", "to").agg(F.count(F.lit(1)).alias("n"))
+
+
 def build_profile(alignment: list[str], theta: float = 0.5, pseudocount: float = 0.01, alphabet: str = "ACGT", decimals: int | None = 3) -> Model:
     """The model of an alignment: shares of transitions and emissions, the pseudocount added to what the layout allows, and shares again."""
     n, width = len(alignment), len(alignment[0])
@@ -101,12 +150,14 @@ def allowed(i: int, size: int) -> list[int]:
 
 def forward(x: str, m: Model) -> float:
     """Log-likelihood with a uniform start, every state emitting, and floors."""
-    logt, loge = np.log(m.transition + FLOOR), np.log(m.emission + FLOOR)
-    a = loge[:, m.alphabet.index(x[0])] - np.log(len(m.states))
-    for c in x[1:]:
+    if not x:
+        return 0.0
+    (logt, loge), o = logs(m), coded(x, m)
+    a = loge[:, o[0]] - np.log(len(m.states))
+    for c in o[1:]:
         v = a[:, None] + logt
         top = v.max(0)
-        a = loge[:, m.alphabet.index(c)] + top + np.log(np.exp(v - top).sum(0))
+        a = loge[:, c] + top + np.log(np.exp(v - top).sum(0))
     return float(a.max() + np.log(np.exp(a - a.max()).sum()))
 
 
@@ -115,6 +166,8 @@ def profile_path(x: str, m: Model) -> tuple[list[str], float]:
     size, n = len(m.states), len(x)
     levels = (size - 3) // 3
     log = lambda p: np.log(p) if p > 0 else -1e9
+    seen = np.column_stack((m.emission, np.zeros(size)))
+    o = coded(x, m)
     best = {(0, 0): 0.0}
     back: dict[tuple[int, int], tuple[int, int]] = {}
 
@@ -135,11 +188,11 @@ def profile_path(x: str, m: Model) -> tuple[list[str], float]:
             if level:
                 before = [3 * level - 2, 3 * level - 4 if level > 1 else 0, 3 * level - 3] if level > 1 else [1, 0]
                 if i:
-                    offer(mat, i, [(s, i - 1) for s in before], log(m.emission[mat, m.alphabet.index(x[i - 1])]))
+                    offer(mat, i, [(s, i - 1) for s in before], log(seen[mat, o[i - 1]]))
                 offer(dele, i, [(s, i) for s in before], 0.0)
             if i:
                 own = [ins, mat, dele] if level else [1, 0]
-                offer(ins, i, [(s, i - 1) for s in own], log(m.emission[ins, m.alphabet.index(x[i - 1])]))
+                offer(ins, i, [(s, i - 1) for s in own], log(seen[ins, o[i - 1]]))
     end = size - 1
     offer(end, n, [(s, n) for s in ([3 * levels + 1, 3 * levels - 1, 3 * levels] if levels else [1, 0])], 0.0)
     path, at = [], back.get((end, n))
@@ -149,9 +202,11 @@ def profile_path(x: str, m: Model) -> tuple[list[str], float]:
     return path[::-1], float(best.get((end, n), -np.inf))
 
 
-def viterbi(x: str, logt: np.ndarray, loge: np.ndarray, alphabet: str) -> np.ndarray:
+def viterbi(x: str, m: Model) -> np.ndarray:
     """The most probable states with a uniform start; ties to the first state."""
-    o = [alphabet.index(c) for c in x]
+    if not x:
+        return np.empty(0, int)
+    (logt, loge), o = logs(m), coded(x, m)
     v, back = loge[:, o[0]] - np.log(len(logt)), []
     for c in o[1:]:
         s = v[:, None] + logt
@@ -165,9 +220,10 @@ def viterbi(x: str, logt: np.ndarray, loge: np.ndarray, alphabet: str) -> np.nda
 
 def expected_counts(x: str, m: Model) -> tuple[np.ndarray, np.ndarray]:
     """Baum-Welch's sums over one sequence: transitions and emissions."""
-    logt, loge = np.log(m.transition + FLOOR), np.log(m.emission + FLOOR)
-    o = [m.alphabet.index(c) for c in x]
+    (logt, loge), o = logs(m), coded(x, m)
     n, size = len(o), len(m.states)
+    if not n:
+        return np.zeros_like(logt), np.zeros_like(m.emission)
     lse = lambda v, axis: v.max(axis) + np.log(np.exp(v - v.max(axis, keepdims=True)).sum(axis))
     a, b = np.zeros((n, size)), np.zeros((n, size))
     a[0] = loge[:, o[0]] - np.log(size)
@@ -184,16 +240,16 @@ def expected_counts(x: str, m: Model) -> tuple[np.ndarray, np.ndarray]:
         T += xi / xi.sum()
     for t in range(n):
         E[:, o[t]] += gamma[t]
-    return T, E
+    return T, E[:, :-1]
 
 
 def path_counts(x: str, m: Model) -> tuple[np.ndarray, np.ndarray]:
     """The same from the one best path."""
-    path = viterbi(x, np.log(m.transition + FLOOR), np.log(m.emission + FLOOR), m.alphabet)
-    T, E = np.zeros_like(m.transition), np.zeros_like(m.emission)
+    path = viterbi(x, m)
+    T, E = np.zeros_like(m.transition), np.zeros((len(m.states), len(m.alphabet) + 1))
     np.add.at(T, (path[:-1], path[1:]), 1)
-    np.add.at(E, (path, [m.alphabet.index(c) for c in x]), 1)
-    return T, E
+    np.add.at(E, (path, coded(x, m)), 1)
+    return T, E[:, :-1]
 
 
 def _maximised(T: np.ndarray, E: np.ndarray, m: Model) -> Model:
@@ -214,7 +270,7 @@ def train(seqs: DataFrame, m: Model, iterations: int = 5, hard: bool = False, se
         now = m
 
         def run(s: pd.Series) -> pd.Series:
-            return s.map(lambda x: np.concatenate([c.ravel() for c in count(x, now)]))
+            return s.map(lambda x: np.concatenate([c.ravel() for c in count(x or "", now)]))
 
         run.__annotations__ = {"s": pd.Series, "return": pd.Series}
         cells = seqs.select(F.posexplode(F.pandas_udf(run, "array<double>")(seq)).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
@@ -227,7 +283,7 @@ def train(seqs: DataFrame, m: Model, iterations: int = 5, hard: bool = False, se
 
 def likelihoods(seqs: DataFrame, m: Model, seq: str = "seq") -> DataFrame:
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: forward(x, m))
+        return s.map(lambda x: None if x is None else forward(x, m))
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
     return seqs.withColumn("log_likelihood", F.pandas_udf(run, "double")(seq))
@@ -238,9 +294,8 @@ def decode(seqs: DataFrame, m: Model, kind: str = "profile", seq: str = "seq") -
 
     def run(s: pd.Series) -> pd.Series:
         if kind == "profile":
-            return s.map(lambda x: " ".join(profile_path(x, m)[0]))
-        logt, loge = np.log(m.transition + FLOOR), np.log(m.emission + FLOOR)
-        return s.map(lambda x: " ".join(m.states[i] for i in viterbi(x, logt, loge, m.alphabet)))
+            return s.map(lambda x: None if x is None else " ".join(profile_path(x, m)[0]))
+        return s.map(lambda x: None if x is None else " ".join(m.states[i] for i in viterbi(x, m)))
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
     return seqs.withColumn("path", F.pandas_udf(run, "string")(seq))
@@ -250,11 +305,11 @@ def most_divergent(seqs: DataFrame, m: Model, iterations: int = 5, order: str =
     """The sequence whose own trained model gives it the least likelihood, ties to the first. One row a sequence, all in parallel."""
 
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: forward(x, train_one(x, m, iterations)))
+        return s.map(lambda x: None if x is None else forward(x, train_one(x, m, iterations)))
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
     scored = seqs.withColumn("_p", F.pandas_udf(run, "double")(seq))
-    return scored.agg(F.min(F.struct("_p", order)).alias("m")).select(F.col(f"m.{order}").alias(order), F.col("m._p").alias("log_likelihood"))
+    return scored.where("_p IS NOT NULL").agg(F.min(F.struct("_p", order)).alias("m")).select(F.col(f"m.{order}").alias(order), F.col("m._p").alias("log_likelihood"))
 
 
 def model_rows(spark, m: Model) -> tuple[DataFrame, DataFrame]:
@@ -280,7 +335,7 @@ def expected(seqs: DataFrame, m: Model, key: str, seq: str = "seq") -> DataFrame
     """key, src, dst, n: expected transitions of each sequence."""
 
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: expected_counts(x, m)[0].ravel())
+        return s.map(lambda x: expected_counts(x or "", m)[0].ravel())
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
     n = len(m.states)

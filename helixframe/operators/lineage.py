@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of this machine's where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, as in tests, a new one of this machine if the session is local, else an error."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         place = tempfile.mkdtemp(prefix="checkpoint-")
@@ -18,6 +20,11 @@ def shared_folder(spark: SparkSession) -> str:
     return place
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -27,6 +34,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """df as written to the shared folder and read again: smaller than a checkpoint, but how it was partitioned is lost."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

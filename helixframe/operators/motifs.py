@@ -68,11 +68,13 @@ def random_kmers(df: DataFrame, k: int, seed: int, seq: str = "seq") -> DataFram
 
 
 def _codes(s: str) -> np.ndarray:
-    return np.array([BASES.index(c) for c in s], np.int8)
+    return np.array([BASES.find(c) for c in s], np.int8)
 
 
 def _windows(seqs: list[str], k: int) -> list[np.ndarray]:
-    return [np.lib.stride_tricks.sliding_window_view(_codes(s), k) for s in seqs]
+    """Each sequence's k-mers over ACGT; a sequence without any is left out."""
+    all_ = (np.lib.stride_tricks.sliding_window_view(_codes(s), k) for s in seqs)
+    return [x for w in all_ if len(x := w[(w >= 0).all(1)])]
 
 
 def _profile(motifs: np.ndarray) -> np.ndarray:
@@ -137,7 +139,8 @@ def search(df: DataFrame, k: int, by: list[str], method: str = "greedy", order:
     """by, score, motifs: the best motif set of each group of sequences.
 
     greedy tries every k-mer of the first sequence; those starts are dealt into rows. randomized and gibbs run once per seed. The best
-    score wins, then the first start or seed. Sequences that are null or shorter than k are left out; a group of no others has no row."""
+    score wins, then the first start or seed. k-mers with other letters than ACGT are never taken; sequences that are null or have no k-mer
+    are left out, and a group of no others has no row."""
     groups = df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, seq))), lambda x: x[seq]).alias("_s"))
     groups = groups.withColumn("_s", F.filter("_s", lambda x: F.length(x) >= k)).where(F.size("_s") > 0)
     if method == "greedy":
@@ -153,6 +156,9 @@ def search(df: DataFrame, k: int, by: list[str], method: str = "greedy", order:
             if key not in made:
                 made = {key: _windows(list(seqs), k)}
             w = made[key]
+            if not w or (method == "greedy" and first >= len(w[0])):
+                out.append((None, None, None))
+                continue
             if method == "greedy":
                 tries = [(*greedy_from(w, i), i) for i in range(first, min(first + 32, len(w[0])))]
                 if first == 0:  # the first k-mers are the set to beat
@@ -163,11 +169,11 @@ def search(df: DataFrame, k: int, by: list[str], method: str = "greedy", order:
                 score_, motifs = (randomized if method == "randomized" else gibbs)(w, int(first), **options)
                 at = int(first)
             out.append((score_, at, _text(motifs)))
-        return pd.DataFrame(out, columns=["score", "at", "motifs"])
+        return pd.DataFrame(out, columns=["score", "at", "motifs"]).astype({"score": "Int64", "at": "Int64"})
 
     run.__annotations__ = {"s": pd.Series, "r": pd.Series, "return": pd.DataFrame}
     made = F.pandas_udf(run, "struct<score:int,at:int,motifs:array<string>>")("_s", "_run")
-    return rows.select(*by, made.alias("m")).groupBy(*by).agg(F.min("m").alias("m")).select(*by, "m.score", "m.motifs")
+    return rows.select(*by, made.alias("m")).where("m.score IS NOT NULL").groupBy(*by).agg(F.min("m").alias("m")).select(*by, "m.score", "m.motifs")
 
 
 def profile_random(df: DataFrame, profile_rows: DataFrame, k: int, by: list[str], seed: int, seq: str = "seq") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kmers import hamming, letters
+from .pairs import all_pairs
 
 EDGES = "parent string, child string, child_ord int, length double"
 
@@ -38,7 +39,7 @@ def distances(rows: DataFrame, by: list[str], order: str = "ordinal", seq: str =
     """by, i, j, d for i < j within a group."""
     a = rows.select(*by, F.col(order).alias("i"), F.col(seq).alias("_v"))
     b = rows.select(*by, F.col(order).alias("j"), F.col(seq).alias("_w"))
-    pairs = a.join(b, by) if by else a.crossJoin(b)
+    pairs = a.join(b, by) if by else all_pairs(a, b, "i", "j")
     d = hamming(F.col("_v"), F.col("_w")).cast("double") if kind == "hamming" else kimura(F.col("_v"), F.col("_w"))
     return pairs.where("i < j").select(*by, "i", "j", d.alias("d"))
 
@@ -185,13 +186,13 @@ def nni(tree: dict[str, list[str]]) -> list[dict[str, list[str]]]:
     return out
 
 
-def parsimony_search(names: list[str], seqs: dict[str, str], seed: int) -> tuple[int, dict[str, list[str]], str]:
+def parsimony_search(names: list[str], seqs: dict[str, str], seed: int, alphabet: str = "ACGT") -> tuple[int, dict[str, list[str]], str]:
     """From a random tree, the first better NNI variant, until none is."""
     tree, root = random_tree(names, seed)
-    best = parsimony(tree, root, seqs)[0]
+    best = parsimony(tree, root, seqs, alphabet)[0]
     while True:
         for t in nni(tree):
-            s = parsimony(t, root, seqs)[0]
+            s = parsimony(t, root, seqs, alphabet)[0]
             if s < best:
                 best, tree = s, t
                 break
@@ -199,14 +200,14 @@ def parsimony_search(names: list[str], seqs: dict[str, str], seed: int) -> tuple
             return best, tree, root
 
 
-def parsimony_trees(rows: DataFrame, by: list[str], seeds: int = 1, order: str = "ordinal", seq: str = "seq") -> DataFrame:
+def parsimony_trees(rows: DataFrame, by: list[str], seeds: int = 1, order: str = "ordinal", seq: str = "seq", alphabet: str = "ACGT") -> DataFrame:
     """by, seed, score, newick: a search from each of several random trees; the searches run in parallel."""
     many = rows.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         names = [str(x) for x in pdf[order]]
-        score, tree, root = parsimony_search(names, dict(zip(names, pdf[seq])), int(key[-1]))
+        score, tree, root = parsimony_search(names, dict(zip(names, pdf[seq])), int(key[-1]), alphabet)
         text = lambda n: n if n not in tree else "(" + ",".join(map(text, tree[n])) + ")"
         return pd.DataFrame([(*key, score, text(root) + ";")])
 
@@ -214,7 +215,7 @@ def parsimony_trees(rows: DataFrame, by: list[str], seeds: int = 1, order: str =
     return many.groupBy(*by, "seed").applyInPandas(run, f"{kinds}{', ' if by else ''}seed int, score int, newick string")
 
 
-def small_parsimony(tree_rows: DataFrame, rows: DataFrame, by: list[str], order: str = "ordinal", seq: str = "seq") -> DataFrame:
+def small_parsimony(tree_rows: DataFrame, rows: DataFrame, by: list[str], order: str = "ordinal", seq: str = "seq", alphabet: str = "ACGT") -> DataFrame:
     """by, node, label, score: sequences for all nodes of given trees (parent, child, child_ord; leaves named by order)."""
 
     def run(key: tuple, edges: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
@@ -222,7 +223,7 @@ def small_parsimony(tree_rows: DataFrame, rows: DataFrame, by: list[str], order:
         for p, c in edges.sort_values(["parent", "child_ord"])[["parent", "child"]].itertuples(index=False, name=None):
             tree.setdefault(p, []).append(c)
         root = next(iter(set(tree) - set(edges["child"])))
-        score, labels = parsimony(tree, root, {str(n): s for n, s in zip(leaves[order], leaves[seq])})
+        score, labels = parsimony(tree, root, {str(n): s for n, s in zip(leaves[order], leaves[seq])}, alphabet)
         return pd.DataFrame([(*key, n, x, score) for n, x in labels.items()])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
@@ -243,6 +244,30 @@ def tree_variants(tree_rows: DataFrame, by: list[str]) -> DataFrame:
     return tree_rows.groupBy(*by).applyInPandas(run, f"{kinds}, variant int, parent string, child string, child_ord int")
 
 
+def padded(rows: DataFrame, by: list[str], seq: str = "seq") -> DataFrame:
+    """rows with the sequences of a group filled up with gaps to its longest."""
+    size = rows.groupBy(*by).agg(F.max(F.length(seq)).alias("_n"))
+    return rows.join(size, by).withColumn(seq, F.rpad(seq, F.col("_n"), F.lit("-"))).drop("_n")
+
+
+def tree_text(tree_rows: DataFrame, by: list[str], indent: str = "  ") -> DataFrame:
+    """by, text: a line a node, indented by its depth, with the length of the edge above it to four places."""
+
+    def run(key: tuple, edges: pd.DataFrame) -> pd.DataFrame:
+        below: dict[str, list[tuple]] = {}
+        for p, c, o, x in edges[["parent", "child", "child_ord", "length"]].itertuples(index=False, name=None):
+            below.setdefault(p, []).append((o, c, x))
+        todo, lines = [(next(iter(set(below) - set(edges["child"]))), 0, None)], []
+        while todo:
+            node, depth, x = todo.pop()
+            lines.append(indent * depth + node + ("" if x is None else f": {x:.4f}"))
+            todo += [(c, depth + 1, y) for _, c, y in sorted(below.get(node, []), reverse=True)]
+        return pd.DataFrame([(*key, "\n".join(lines))])
+
+    kinds = ", ".join(f"{c} {tree_rows.schema[c].dataType.simpleString()}" for c in by)
+    return tree_rows.groupBy(*by).applyInPandas(run, f"{kinds}, text string")
+
+
 def random_trees(rows: DataFrame, by: list[str], seed: int, order: str = "ordinal") -> DataFrame:
     """by, parent, child, child_ord."""
 

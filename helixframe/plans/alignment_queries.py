@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import projections as P
@@ -10,12 +11,12 @@ from ..operators import align as A
 from ..operators import cluster as C
 from ..operators import hmm as H
 from ..operators import phylo as T
+from ..operators.pairs import all_pairs
 from .registry import query
 from .sequence_queries import PAIRS, nation_pairs
 
-#: PAM250 between the four letters that are also residues.
-PAM = {"AA": 2, "CC": 12, "GG": 5, "TT": 3, "AC": -2, "AG": 1, "AT": 1, "CG": -3, "CT": -2, "GT": 0}
-_PAM = "CASE " + " ".join(f"WHEN v[i + 1] || w[x[1]::INT] IN ('{k}', '{k[::-1]}') THEN {float(s)}" for k, s in PAM.items()) + " END"
+PAM = A.PAM250
+_PAM = "CASE " + " ".join(f"WHEN v[i + 1] || w[x[1]::INT] IN ('{k}', '{k[::-1]}') THEN {x}" for k, x in {"AA": 2.0, "CC": 12.0, "GG": 5.0, "TT": 3.0, "AC": -2.0, "AG": 1.0, "AT": 1.0, "CG": -3.0, "CT": -2.0, "GT": 0.0}.items()) + " END"
 _UNIT = "CASE WHEN v[i + 1] = w[x[1]::INT] THEN 1.0 ELSE -1.0 END"
 
 
@@ -43,9 +44,16 @@ def sa3(spark, d):
     return scores(spark, d, "global")
 
 
-@query("sa2_traceback")
+def traced(pairs, *more, **recount):
+    """The texts that an alignment aligns, its score, and the score counted anew from its columns."""
+    plain = lambda c: F.translate(F.col(f"alignment.{c}"), "-", "")
+    counted = A.recounted(F.col("alignment.a"), F.col("alignment.b"), **recount)
+    return pairs.select(*more, plain("a").alias("v"), plain("b").alias("w"), F.round("alignment.score", 6).alias("score"), F.round(counted, 6).alias("recount"))
+
+
+@query("sa2_traceback", P.with_("nations", more=PAIRS + ", " + _GLOBAL) + "SELECT id, id2, v, w, r[-1] AS score, r[-1] AS recount FROM t WHERE i = length(v)")
 def sa2(spark, d):
-    return A.align(nation_pairs(spark, d), "global").select("id", "id2", "alignment.a", "alignment.b", "alignment.score")
+    return traced(A.align(nation_pairs(spark, d), "global"), "id", "id2")
 
 
 @query("sa4_needleman_wunsch_pam250", P.with_("nations", more=PAIRS + ", " + dp("-1.0 * j", "-1.0 * (i + 1)", _PAM)) + "SELECT id, id2, r[-1] AS score FROM t WHERE i = length(v)")
@@ -58,9 +66,16 @@ def sa4_compat(spark, d):
     return scores(spark, d, "global", scoring=A.Scoring(matrix=PAM, gap_adds=True))
 
 
-@query("sa5_affine_gap")
+_LOW = "-1e18::DOUBLE"
+_AFFINE = f"""t AS (SELECT id, id2, v, w, 0 AS i, [0.0::DOUBLE] || [-1.0 - 0.5 * j FOR j IN range(0, length(w))]::DOUBLE[] AS m, [{_LOW}] || [-1.0 - 0.5 * j FOR j IN range(0, length(w))]::DOUBLE[] AS x, [{_LOW} FOR j IN range(0, length(w) + 1)] AS y FROM pairs UNION ALL
+SELECT id, id2, v, w, i + 1, m2, list_reduce([[{_LOW}]] || [[j]::DOUBLE[] FOR j IN range(1, length(w) + 1)], lambda acc, k: acc || [greatest(m2[k[1]::INT] - 1.0, acc[-1] - 0.5)]), y2 FROM
+(SELECT id, id2, v, w, i, [-1.0 - 0.5 * i]::DOUBLE[] || [greatest(m[j], x[j], y[j]) + CASE WHEN v[i + 1] = w[j] THEN 1.0 ELSE -1.0 END FOR j IN range(1, length(w) + 1)] AS m2,
+[-1.0 - 0.5 * i]::DOUBLE[] || [greatest(m[j + 1] - 1.0, y[j + 1] - 0.5) FOR j IN range(1, length(w) + 1)] AS y2 FROM t WHERE i < length(v)))"""
+
+
+@query("sa5_affine_gap", P.with_("nations", more=PAIRS + ", " + _AFFINE) + "SELECT id, id2, v, w, greatest(m[-1], x[-1], y[-1]) AS score, greatest(m[-1], x[-1], y[-1]) AS recount FROM t WHERE i = length(v)")
 def sa5(spark, d):
-    return A.align(nation_pairs(spark, d), "affine").select("id", "id2", "alignment.a", "alignment.b", "alignment.score")
+    return traced(A.align(nation_pairs(spark, d), "affine"), "id", "id2", extend=0.5)
 
 
 @query("sa6_linear_space", P.with_("nations", more=PAIRS + ", " + _GLOBAL) + "SELECT id, id2, r[-1] AS score FROM t WHERE i = length(v)")
@@ -81,13 +96,46 @@ def sa9(spark, d):
     return scores(spark, d, "fitting")
 
 
-@query("sa3_items_alignment")
+_ITEM_PAIRS = "pairs AS (SELECT a.item_id AS id, b.item_id AS id2, a.seq AS v, b.seq AS w FROM items a JOIN items b ON a.item_id < b.item_id)"
+
+
+def item_pairs(spark, d):
+    a = P.items(spark, d).select(F.col("item_id").alias("id"), F.col("seq").alias("v"))
+    return all_pairs(a, a.select(F.col("id").alias("id2"), F.col("v").alias("w")), "id", "id2").where("id < id2")
+
+
+def next_items(spark, d):
+    a = P.items(spark, d).select(F.col("item_id").alias("id"), F.col("seq").alias("v"))
+    return a.join(a.select((F.col("id") - 1).alias("id"), F.col("id").alias("id2"), F.col("v").alias("w")), "id")
+
+
+@query("sa3_items_alignment", P.with_("items", more=_ITEM_PAIRS + ", " + _GLOBAL) + "SELECT id, id2, r[-1] AS score FROM t WHERE i = length(v)")
 def sa3_items(spark, d):
     """All pairs of benchmark sequences, for throughput."""
-    a = P.items(spark, d).select(F.col("item_id").alias("id"), F.col("seq").alias("v"))
-    b = a.select(F.col("id").alias("id2"), F.col("v").alias("w"))
-    pairs = a.join(b, F.col("id") < F.col("id2")).repartition(64, "id", "id2")
-    return A.align(pairs, "global").select("id", "id2", "alignment.score")
+    return A.align(item_pairs(spark, d), "global").select("id", "id2", "alignment.score")
+
+
+@query("sa5_items_affine", P.with_("items", more=_ITEM_PAIRS + ", few AS (SELECT * FROM pairs WHERE id2 = id + 1), " + _AFFINE.replace("FROM pairs UNION", "FROM few UNION")) + "SELECT id, id2, greatest(m[-1], x[-1], y[-1]) AS score FROM t WHERE i = length(v)")
+def sa5_items(spark, d):
+    """Each benchmark sequence and the next."""
+    return A.align(next_items(spark, d), "affine").select("id", "id2", "alignment.score")
+
+
+@query("sa6_items_linear_space", P.with_("items", more=_ITEM_PAIRS + ", few AS (SELECT * FROM pairs WHERE id2 = id + 1), " + _GLOBAL.replace("FROM pairs UNION", "FROM few UNION")) + "SELECT id, id2, r[-1] AS score FROM t WHERE i = length(v)")
+def sa6_items(spark, d):
+    return A.align(next_items(spark, d), "linear_space").select("id", "id2", "alignment.score")
+
+
+#: PAM250 by pairs of letters.
+_PAM250 = "MAP {" + ", ".join(f"'{k}': {x}" for k, x in A.PAM250.items()) + "}"
+_TYPES = "segs AS (SELECT DISTINCT regexp_replace(pep, '[OU]', '', 'g') AS pep FROM segments), pairs AS (SELECT a.pep AS id, b.pep AS id2, a.pep AS v, b.pep AS w FROM segs a JOIN segs b ON a.pep < b.pep)"
+
+
+@query("sa4_pam250_peptides", P.with_("segments", more=_TYPES + f", pam AS (SELECT {_PAM250} AS s), " + dp("-1.0 * j", "-1.0 * (i + 1)", "pam.s[v[i + 1] || w[x[1]::INT]]").replace("FROM t WHERE", "FROM t, pam WHERE")) + "SELECT id, id2, r[-1] AS score FROM t WHERE i = length(v)")
+def sa4_peptides(spark, d):
+    a = P.segments(spark, d).select(F.translate("pep", "OU", "").alias("id")).distinct().withColumn("v", F.col("id"))
+    pairs = all_pairs(a, a.select(F.col("id").alias("id2"), F.col("v").alias("w")), "id", "id2").where("id < id2")
+    return A.align(pairs, "global", scoring=A.Scoring(matrix=A.PAM250)).select("id", "id2", "alignment.score")
 
 
 _COLS = "c AS (SELECT region, unnest(range(0, length(seq))) AS col, unnest(string_split(seq, '')) AS ch, id FROM g), cols AS (SELECT region, col, list(ch ORDER BY id) AS chars FROM c GROUP BY region, col)"
@@ -113,9 +161,15 @@ def thirds(spark, d):
     return P.nations(spark, d).select((F.col("id") / 3).cast("int").alias("g"), F.col("id").alias("ordinal"), "seq")
 
 
-@query("sa12_multiple_alignment")
+def ungapped(aligned, by):
+    """by, place, seq, width of the rows of alignments (arrays)."""
+    return aligned.select(*by, F.posexplode("aligned").alias("place", "x")).select(*by, "place", F.translate("x", "-", "").alias("seq"), (F.length("x") == F.max(F.length("x")).over(Window.partitionBy(*by))).alias("even"))
+
+
+@query("sa12_multiple_alignment", P.with_("nations") + "SELECT id // 3 AS g, (row_number() OVER (PARTITION BY id // 3 ORDER BY id) - 1)::INT AS place, seq, true AS even FROM nations")
 def sa12(spark, d):
-    return A.multiple_alignment(thirds(spark, d), ["g"])
+    """The rows of each alignment are the sequences with gaps, all of one length."""
+    return ungapped(A.multiple_alignment(thirds(spark, d), ["g"]), ["g"])
 
 
 @query("ph1_drop_gap_columns", P.with_("nations", more=_GAPPED + ", " + _COLS + ", bad AS (SELECT DISTINCT region, col FROM c WHERE ch = '-')") + "SELECT id, coalesce(string_agg(ch, '' ORDER BY col) FILTER (WHERE bad.col IS NULL), '') AS seq FROM c LEFT JOIN bad USING (region, col) GROUP BY id")
@@ -147,32 +201,101 @@ def ph3(spark, d):
     return k.withColumn("d", F.when(F.col("d") == float("inf"), -1.0).otherwise(F.col("d")))  # infinite: saturated
 
 
-@query("ph5_newick")
+
+#: UPGMA by mean distance over all pairs of leaves, as a state of clusters; m: places of a cluster's leaves.
+_MATRIX = """nm AS (SELECT region, list(id ORDER BY id) AS names FROM nations GROUP BY region), hh AS (SELECT region, i, j, d FROM h UNION ALL SELECT region, j, i, d FROM h UNION ALL SELECT region, id, id, 0.0 FROM nations),
+hr AS (SELECT region, i, list(d ORDER BY j) AS r FROM hh GROUP BY region, i), dm AS (SELECT region, list(r ORDER BY i) AS dm FROM hr GROUP BY region)"""
+
+
+def merges(first: str, digits: int = 9, join: str = "list_avg", key: str = "region") -> str:
+    """first: the states to start from (key, dm, cl, new)."""
+    far = f"round({join}(flatten([[dm[x][y] FOR y IN cl[j].m] FOR x IN cl[i].m])), {digits})"
+    return f"""{first}, u AS (SELECT {key}, dm, cl, new, 0 AS step, NULL::STRUCT(d DOUBLE, i BIGINT, j BIGINT) AS pr, cl[1] AS a, cl[1] AS b FROM st UNION ALL
+SELECT {key}, dm, [cl[k] FOR k IN range(1, len(cl) + 1) IF k <> pr.i AND k <> pr.j] || [{{'l': new, 'm': cl[pr.i].m || cl[pr.j].m, 'age': pr.d / 2}}], new + 1, step + 1, pr, cl[pr.i], cl[pr.j] FROM
+(SELECT {key}, dm, cl, new, step, list_sort(flatten([[{{'d': {far}, 'i': i, 'j': j}} FOR j IN range(i + 1, len(cl) + 1)] FOR i IN range(1, len(cl))]))[1] AS pr FROM u WHERE len(cl) > 1)),
+ue AS (SELECT {key}, new - 1 AS parent, a.l AS child, 0 AS child_ord, pr.d / 2 - a.age AS length, pr.d / 2 AS age FROM u WHERE step > 0 UNION ALL SELECT {key}, new - 1, b.l, 1, pr.d / 2 - b.age, pr.d / 2 FROM u WHERE step > 0)"""
+
+
+_START = "st AS (SELECT region, dm, [{'l': names[k], 'm': [k], 'age': 0.0::DOUBLE} FOR k IN range(1, len(names) + 1)] AS cl, list_max(names) + 1 AS new FROM nm JOIN dm USING (region))"
+_UPGMA = _REGION + ", " + _HAM + ", " + _MATRIX + ", " + merges(_START)
+_NJ = _REGION + ", " + _HAM + ", " + _MATRIX + """, u AS (SELECT region, [x::VARCHAR FOR x IN names] AS l, dm AS d, 0 AS i, 0 AS j, NULL::VARCHAR[] AS before, NULL::DOUBLE[][] AS was FROM nm JOIN dm USING (region) UNION ALL
+SELECT region, [l[k] FOR k IN range(1, len(l) + 1) IF k <> i AND k <> j] || ['(' || l[i] || ',' || l[j] || ')'],
+[[d[x][y] FOR y IN range(1, len(l) + 1) IF y <> i AND y <> j] || [(d[i][x] + d[j][x] - d[i][j]) / 2] FOR x IN range(1, len(l) + 1) IF x <> i AND x <> j] || [[(d[i][x] + d[j][x] - d[i][j]) / 2 FOR x IN range(1, len(l) + 1) IF x <> i AND x <> j] || [0.0::DOUBLE]], i, j, l, d FROM
+(SELECT region, l, d, pr.i::INT AS i, pr.j::INT AS j FROM (SELECT region, l, d, list_sort(flatten([[{'q': round((len(l) - 2) * d[x][y] - list_sum(d[x]) - list_sum(d[y]), 9), 'i': x, 'j': y} FOR y IN range(x + 1, len(l) + 1)] FOR x IN range(1, len(l))]))[1] AS pr FROM u WHERE len(l) > 2))),
+pl AS (SELECT region, l[-1] AS parent, before, was, i, j, (list_sum(was[i]) - list_sum(was[j])) / (len(before) - 2) AS delta FROM u WHERE i > 0),
+ne AS (SELECT region, parent, before[i] AS child, 0 AS child_ord, (was[i][j] + delta) / 2 AS length FROM pl UNION ALL SELECT region, parent, before[j], 1, (was[i][j] - delta) / 2 FROM pl
+UNION ALL SELECT region, '(' || l[1] || ',' || l[2] || ')', l[k], k - 1, d[1][2] / 2 FROM (SELECT region, l, d, unnest([1, 2]) AS k FROM u WHERE len(l) = 2))"""
+
+
+def rounded(tree, digits=6):
+    return tree.withColumn("length", F.round("length", digits) + 0.0)
+
+
+@query("ph5_newick", P.with_("nations", more=_UPGMA.replace("{'l': new, ", "{'t': '(' || cl[pr.i].t || ':' || printf('%.2f', pr.d / 2 - cl[pr.i].age) || ',' || cl[pr.j].t || ':' || printf('%.2f', pr.d / 2 - cl[pr.j].age) || ')' || new, 'l': new, ").replace("[{'l': names[k], ", "[{'t': names[k]::VARCHAR, 'l': names[k], ")) + "SELECT region, cl[1].t || ';' AS newick FROM u WHERE len(cl) = 1")
 def ph5(spark, d):
     return T.newicks(T.trees(region_distances(spark, d), ["region"]), ["region"])
 
 
-@query("ph7_upgma")
+@query("ph7_upgma", P.with_("nations", more=_UPGMA) + "SELECT region, parent::VARCHAR AS parent, child::VARCHAR AS child, child_ord, round(length, 6) + 0.0 AS length FROM ue")
 def ph7(spark, d):
-    return T.trees(region_distances(spark, d), ["region"])
+    return rounded(T.trees(region_distances(spark, d), ["region"]))
 
 
-@query("ph8_neighbor_joining")
+@query("ph8_neighbor_joining", P.with_("nations", more=_NJ) + "SELECT region, parent, child, child_ord::INT AS child_ord, round(length, 6) + 0.0 AS length FROM ne")
 def ph8(spark, d):
-    return T.trees(region_distances(spark, d), ["region"], "neighbor_joining")
+    return rounded(T.trees(region_distances(spark, d), ["region"], "neighbor_joining"))
 
 
-@query("ph11_internal_edges")
+_TENS = """tn AS (SELECT item_id // 10 AS region, item_id AS id, seq FROM items)"""
+
+
+def item_distances(spark, d):
+    """Benchmark sequences in groups of ten by their numbers."""
+    rows = P.items(spark, d).select(F.floor(F.col("item_id") / 10).alias("region"), F.col("item_id").alias("id"), "seq")
+    return T.distances(rows, ["region"], order="id")
+
+
+@query("ph7_items_upgma", P.with_("items", more=_TENS + ", " + _UPGMA.replace("nations", "tn")) + "SELECT region, parent::VARCHAR AS parent, child::VARCHAR AS child, child_ord, round(length, 6) + 0.0 AS length FROM ue")
+def ph7_items(spark, d):
+    return rounded(T.trees(item_distances(spark, d), ["region"]))
+
+
+@query("ph8_items_neighbor_joining", P.with_("items", more=_TENS + ", " + _NJ.replace("nations", "tn")) + "SELECT region, parent, child, child_ord::INT AS child_ord, round(length, 6) + 0.0 AS length FROM ne")
+def ph8_items(spark, d):
+    return rounded(T.trees(item_distances(spark, d), ["region"], "neighbor_joining"))
+
+
+@query("ph11_internal_edges", P.with_("nations", more=_UPGMA) + "SELECT region, parent::VARCHAR AS parent, child::VARCHAR AS child, child_ord, round(length, 6) + 0.0 AS length FROM ue x WHERE EXISTS (SELECT 1 FROM ue y WHERE y.region = x.region AND y.parent = x.child)")
 def ph11(spark, d):
-    return T.internal_edges(T.trees(region_distances(spark, d), ["region"]), ["region"])
+    return rounded(T.internal_edges(T.trees(region_distances(spark, d), ["region"]), ["region"]))
+
+
+def even_lengths(spark, d):
+    """region, ordinal, seq: a region's sequences filled up with gaps to its longest, as an alignment."""
+    return T.padded(P.nations(spark, d).select("region", F.col("id").alias("ordinal"), "seq"), ["region"])
 
 
-@query("ph14_parsimony_search")
+_EVEN = "ev AS (SELECT id, region, rpad(seq, (max(length(seq)) OVER (PARTITION BY region))::INT, '-') AS seq FROM nations)"
+_EVEN_TREE = _EVEN + ", " + _REGION.replace("nations", "ev") + ", " + _HAM + ", " + _MATRIX.replace("nations", "ev") + ", nq AS (SELECT region, list(seq ORDER BY id) AS seqs FROM ev GROUP BY region), "
+_COSTS = "[[least(list_min(cl[pr.i].c[k]) + 1, cl[pr.i].c[k][b]) + least(list_min(cl[pr.j].c[k]) + 1, cl[pr.j].c[k][b]) FOR b IN range(1, 6)] FOR k IN range(1, len(cl[1].c) + 1)]"
+_PARSIMONY = _EVEN_TREE + merges(_START.replace("FROM nm JOIN dm USING (region)", "FROM nm JOIN dm USING (region) JOIN nq USING (region)").replace("[{'l'", "[{'c': [[CASE WHEN seqs[k][x] = b THEN 0.0 ELSE 1e9 END FOR b IN ['-', 'A', 'C', 'G', 'T']] FOR x IN range(1, length(seqs[1]) + 1)], 'l'")).replace("[{'l': new", f"[{{'c': {_COSTS}, 'l': new")
+
+
+@query("ph9_small_parsimony", P.with_("nations", more=_PARSIMONY) + "SELECT region, (SELECT list_sum([list_min(x) FOR x IN cl[1].c]))::INT AS score, 9::BIGINT AS nodes, 5::BIGINT AS leaves FROM u WHERE len(cl) = 1")
+def ph9(spark, d):
+    """The score is the least possible on the tree, and the leaves keep their sequences."""
+    rows = even_lengths(spark, d)
+    found = T.small_parsimony(T.trees(T.distances(rows, ["region"]), ["region"]), rows, ["region"], alphabet="-ACGT")
+    own = rows.select("region", F.col("ordinal").cast("string").alias("node"), F.col("seq").alias("label"))
+    leaves = found.join(own, ["region", "node", "label"], "left_semi").groupBy("region").agg(F.count(F.lit(1)).alias("leaves"))
+    return found.groupBy("region", "score").agg(F.count(F.lit(1)).alias("nodes")).join(leaves, "region")
+
+
+@query("ph14_parsimony_search", P.with_("nations") + "SELECT region, unnest(range(0, 8))::INT AS seed, string_agg(id::VARCHAR, ' ' ORDER BY id::VARCHAR) AS leaves FROM nations GROUP BY region")
 def ph14(spark, d):
-    n = P.nations(spark, d)
-    size = n.groupBy("region").agg(F.min(F.length("seq")).alias("m"))
-    rows = n.join(size, "region").select("region", F.col("id").alias("ordinal"), F.left("seq", F.col("m")).alias("seq"))
-    return T.parsimony_trees(rows, ["region"], seeds=3)
+    """Every search ends with a tree over all the sequences."""
+    found = T.parsimony_trees(even_lengths(spark, d), ["region"], seeds=8, alphabet="-ACGT")
+    return found.select("region", "seed", F.array_join(F.array_sort(F.regexp_extract_all("newick", F.lit(r"(\d+)"))), " ").alias("leaves"))
 
 
 _PP = "pp AS (SELECT a.point_id AS i, b.point_id AS j, a.features AS x, b.features AS y FROM points a JOIN points b ON a.label = b.label AND a.point_id < b.point_id)"
@@ -235,14 +358,51 @@ def label_distances(spark, d, kind):
     return C.distance_rows(P.points(spark, d), ["label"], kind)
 
 
-@query("cl8_cast")
+@query("cl8_cast", P.with_("points") + "SELECT label, point_id, 1::BIGINT AS clusters FROM points")
 def cl8(spark, d):
-    return C.cast(label_distances(spark, d, "euclidean"), ["label"], 0.3)
+    """Each point is in one cluster."""
+    found = C.cast(label_distances(spark, d, "euclidean"), ["label"], 0.3)
+    return found.groupBy("label", "point_id").agg(F.countDistinct("cluster").alias("clusters"))
+
 
+def aged(tree):
+    return tree.withColumns({c: F.round(c, 6) + 0.0 for c in ("length", "age")})
 
-@query("cl9_hierarchical")
+
+@query("cl9_hierarchical", P.with_("nations", more=_REGION + ", " + _HAM + ", " + _MATRIX + ", " + merges(_START, 12)) + "SELECT region, parent::INT AS parent, child::INT AS child, round(length, 6) + 0.0 AS length, round(age, 6) + 0.0 AS age FROM ue")
 def cl9(spark, d):
-    return C.hierarchy(region_distances(spark, d), ["region"])
+    return aged(C.hierarchy(region_distances(spark, d), ["region"]))
+
+
+_EIGHT = """pts AS (SELECT point_id // 8 AS g, point_id, features FROM points), pp AS (SELECT a.g, a.point_id AS i, b.point_id AS j, a.features AS x, b.features AS y FROM pts a JOIN pts b ON a.g = b.g),
+pu AS (SELECT g, i, j, unnest(x) AS x, unnest(y) AS y FROM pp), pd AS (SELECT g, i, j, CASE WHEN i = j THEN 0.0 ELSE round(1 - corr(x, y), 9) END AS d FROM pu GROUP BY g, i, j), pr AS (SELECT g, i, list(d ORDER BY j) AS r FROM pd GROUP BY g, i),
+st AS (SELECT g, list(r ORDER BY i) AS dm, list_transform(list(i ORDER BY i), lambda x, k: {'l': x, 'm': [k], 'age': 0.0::DOUBLE}) AS cl, max(i) + 1 AS new FROM pr GROUP BY g)"""
+
+
+def eights(spark, d, linkage):
+    """The points in groups of eight by their numbers, clustered by Pearson distance."""
+    pts = P.points(spark, d).withColumn("g", F.floor(F.col("point_id") / 8))
+    dist = C.distance_rows(pts, ["g"], "pearson").withColumn("d", F.round("d", 9))
+    return aged(C.hierarchy(dist, ["g"], linkage)).select("g", "parent", "child", "length", "age")
+
+
+def _linked(join: str) -> str:
+    return P.with_("points", more=merges(_EIGHT, 12, join, "g")) + "SELECT g, parent::INT AS parent, child::INT AS child, round(length, 6) + 0.0 AS length, round(age, 6) + 0.0 AS age FROM ue"
+
+
+@query("cl9_pearson_average", _linked("list_avg"))
+def cl9_average(spark, d):
+    return eights(spark, d, "avg")
+
+
+@query("cl9_pearson_complete", _linked("list_max"))
+def cl9_complete(spark, d):
+    return eights(spark, d, "complete")
+
+
+@query("cl9_pearson_single", _linked("list_min"))
+def cl9_single(spark, d):
+    return eights(spark, d, "single")
 
 
 @query("hm1_alphabet", P.with_("dna") + "SELECT doc_id, coalesce(string_agg(DISTINCT c, '' ORDER BY c), '') AS alphabet FROM (SELECT doc_id, unnest(CASE WHEN seq = '' THEN [NULL] ELSE string_split(seq, '') END) AS c FROM dna) GROUP BY doc_id")
@@ -263,7 +423,7 @@ def hm3(spark, d):
 
 
 _HM4 = """k AS (SELECT region, col, sum((ch = '-')::INT) < count(*) * 0.5::DOUBLE AS keep FROM c GROUP BY ALL), l AS (SELECT region, col, keep, sum(keep::INT) OVER (PARTITION BY region ORDER BY col) AS lv FROM k),
-s AS (SELECT region, id, col, CASE WHEN keep THEN CASE WHEN ch = '-' THEN 3 * lv ELSE 3 * lv - 1 END WHEN ch <> '-' THEN CASE WHEN lv = 0 THEN 1 ELSE 3 * lv + 1 END END AS st FROM c JOIN l USING (region, col)),
+s AS (SELECT region, id, col, ch, CASE WHEN keep THEN CASE WHEN ch = '-' THEN 3 * lv ELSE 3 * lv - 1 END WHEN ch <> '-' THEN CASE WHEN lv = 0 THEN 1 ELSE 3 * lv + 1 END END AS st FROM c JOIN l USING (region, col)),
 p AS (SELECT region, id, col, st, lag(st, 1, 0) OVER (PARTITION BY region, id ORDER BY col) AS b, lead(st) OVER (PARTITION BY region, id ORDER BY col) AS a FROM s WHERE st IS NOT NULL),
 m AS (SELECT region, 3 * max(lv) + 2 AS e FROM l GROUP BY region)"""
 
@@ -273,16 +433,78 @@ def hm4(spark, d):
     return H.profile_counts(gapped(spark, d), ["region"], 0.5, order="id").select("region", F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), "n")
 
 
+_HM7 = """, al AS (SELECT m.region, i AS src, unnest(CASE WHEN f + 2 <= e THEN [f, f + 1, f + 2] ELSE [e - 1, e] END) AS dst FROM (SELECT region, e, i, CASE WHEN i = 0 THEN 1 WHEN i % 3 = 1 THEN i WHEN i % 3 = 2 THEN i + 2 ELSE i + 1 END AS f FROM (SELECT region, e, unnest(range(0, e::BIGINT)) AS i FROM m)) m),
+tc AS (SELECT region, src, dst, count(*) AS n FROM (SELECT region, b AS src, st AS dst FROM p UNION ALL SELECT region, st, e FROM p JOIN m USING (region) WHERE a IS NULL) GROUP BY ALL),
+t1 AS (SELECT region, src, dst, sum(p) AS p FROM (SELECT region, src, dst, n / sum(n) OVER (PARTITION BY region, src) AS p FROM tc UNION ALL SELECT region, src, dst, 0.01::DOUBLE FROM al) GROUP BY ALL),
+ec AS (SELECT region, st AS src, strpos('ACGT', ch) - 1 AS dst, count(*) AS n FROM s WHERE st IS NOT NULL AND ch <> '-' GROUP BY ALL),
+e1 AS (SELECT region, src, dst, sum(p) AS p FROM (SELECT region, src, dst, n / sum(n) OVER (PARTITION BY region, src) AS p FROM ec UNION ALL SELECT region, i, unnest([0, 1, 2, 3]), 0.01::DOUBLE FROM (SELECT region, unnest(range(0, e::BIGINT)) AS i FROM m) WHERE i % 3 <> 0) GROUP BY ALL)"""
+
+
+@query("hm7_profile_models", P.with_("nations", more=_GAPPED + ", " + _COLS + ", " + _HM4 + _HM7) + "SELECT region, 'T' AS kind, src::INT AS src, dst::INT AS dst, round(p / sum(p) OVER (PARTITION BY region, src), 6) AS p FROM t1 UNION ALL SELECT region, 'E', src::INT, dst::INT, round(p / sum(p) OVER (PARTITION BY region, src), 6) FROM e1")
+def hm7(spark, d):
+    m = H.profile_model(gapped(spark, d), ["region"], order="id")
+    return m.select("region", "kind", F.col("src").cast("int").alias("src"), F.col("to").cast("int").alias("dst"), F.round("p", 6).alias("p"))
+
+
 @query("hm5_state_names", "SELECT i::INT AS idx, n AS name FROM (SELECT unnest(range(0, 9)) AS i, unnest(['S','I0','M1','D1','I1','M2','D2','I2','E']) AS n)")
 def hm5(spark, d):
     return spark.createDataFrame(list(enumerate(H.state_names(2))), "idx int, name string")
 
 
-@query("hm8_profile_path")
+@query("hm8_profile_path", P.with_("nations") + "SELECT id, length(seq) AS emitted, true AS in_order FROM nations")
 def hm8(spark, d):
-    rows = sorted((r["id"], r["seq"]) for r in P.nations(spark, d).collect())  # 25 training sequences
+    """A path's matches and insertions emit the sequence, and it goes through the levels in order."""
+    rows = sorted((r["id"], r["seq"]) for r in P.nations(spark, d).limit(25).collect())  # training sequences
     model = H.build_profile(A.progressive([s for _, s in rows]))
-    return H.decode(P.nations(spark, d), model).select("id", "path")
+    path = F.split("path", " ")
+    level = F.transform(F.filter(path, lambda x: ~x.startswith("I")), lambda x: F.substring(x, 2, 9).cast("int"))
+    emitted = F.size(F.filter(path, lambda x: ~x.startswith("D"))).cast("long")
+    return H.decode(P.nations(spark, d), model).select("id", emitted.alias("emitted"), (level == F.sequence(F.lit(1), F.lit((len(model.states) - 3) // 3))).alias("in_order"))
+
+
+def _lse(x: str, y: str) -> str:
+    return f"greatest({x}, {y}) + ln(1 + exp(least({x}, {y}) - greatest({x}, {y})))"
+
+
+def _sums(k: int, model: str, last: bool = False) -> str:
+    """From model (g, t, e: logarithms) and xs (g, item_id, seq): forward and backward sums of each sequence, expected transitions
+    xi (g, item_id, s, j, n) and emissions ga (g, s, c, n)."""
+    e = f"e[j][strpos('ACGT', seq[i + 1])]"
+    fw = f"""fw{k} AS (SELECT g, item_id, seq, t, e, 1 AS i, [e[1][strpos('ACGT', seq[1])] - ln(2), e[2][strpos('ACGT', seq[1])] - ln(2)] AS a FROM xs JOIN {model} USING (g) WHERE seq <> '' UNION ALL
+SELECT g, item_id, seq, t, e, i + 1, [{e} + {_lse('a[1] + t[1][j]', 'a[2] + t[2][j]')} FOR j IN [1, 2]] FROM fw{k} WHERE i < length(seq))"""
+    step = "t[s][{0}] + e[{0}][strpos('ACGT', seq[i])] + b[{0}]"
+    bw = f"""bw{k} AS (SELECT g, item_id, seq, t, e, length(seq) AS i, [0.0::DOUBLE, 0.0] AS b FROM xs JOIN {model} USING (g) WHERE seq <> '' UNION ALL
+SELECT g, item_id, seq, t, e, i - 1, [{_lse(step.format(1), step.format(2))} FOR s IN [1, 2]] FROM bw{k} WHERE i > 1)"""
+    ll = f"ll{k} AS (SELECT g, item_id, {_lse('a[1]', 'a[2]')} AS ll FROM fw{k} WHERE i = length(seq))"
+    xi = f"""xc{k} AS (SELECT f.g, f.item_id, f.i, s, j, exp(f.a[s] + f.t[s][j] + f.e[j][strpos('ACGT', f.seq[f.i + 1])] + b.b[j] - ll) AS n FROM fw{k} f JOIN bw{k} b ON b.g = f.g AND b.item_id = f.item_id AND b.i = f.i + 1 JOIN ll{k} l ON l.g = f.g AND l.item_id = f.item_id, (VALUES (1), (2)) x(s), (VALUES (1), (2)) y(j)),
+xi{k} AS (SELECT g, item_id, s, j, sum(n) AS n FROM (SELECT g, item_id, i, s, j, n / sum(n) OVER (PARTITION BY g, item_id, i) AS n FROM xc{k}) GROUP BY ALL)"""
+    ga = f"""ga{k} AS (SELECT f.g, s, strpos('ACGT', f.seq[f.i]) AS c, sum(exp(f.a[s] + b.b[s] - ll)) AS n FROM fw{k} f JOIN bw{k} b ON b.g = f.g AND b.item_id = f.item_id AND b.i = f.i JOIN ll{k} l ON l.g = f.g AND l.item_id = f.item_id, (VALUES (1), (2)) x(s) GROUP BY f.g, s, c)"""
+    return ", ".join([fw, bw, ll, xi, ga])
+
+
+def _new_model(k: int, transitions: str, emissions: str) -> str:
+    """hm{k} from transitions (g, s, j, n) and emissions (g, s, c, n), with its shares in pt{k} and pe{k}."""
+    return f"""pt{k} AS (SELECT g, s, j, coalesce(n / nullif(sum(n) OVER (PARTITION BY g, s), 0), 0) AS p FROM (SELECT g, s, j, coalesce(sum(n), 0) AS n FROM (SELECT g, s, j FROM (SELECT DISTINCT g FROM xs) x, (VALUES (1), (2)) a(s), (VALUES (1), (2)) b(j)) q LEFT JOIN {transitions} USING (g, s, j) GROUP BY ALL)),
+pe{k} AS (SELECT g, s, c, coalesce(n / nullif(sum(n) OVER (PARTITION BY g, s), 0), 0) AS p FROM (SELECT g, s, c, coalesce(sum(n), 0) AS n FROM (SELECT g, s, c FROM (SELECT DISTINCT g FROM xs) x, (VALUES (1), (2)) a(s), (VALUES (1), (2), (3), (4)) b(c)) q LEFT JOIN {emissions} USING (g, s, c) GROUP BY ALL)),
+hm{k} AS (SELECT g, t, e FROM (SELECT g, list(r ORDER BY s) AS t FROM (SELECT g, s, list(ln(p + 1e-12) ORDER BY j) AS r FROM pt{k} GROUP BY g, s) GROUP BY g) JOIN (SELECT g, list(r ORDER BY s) AS e FROM (SELECT g, s, list(ln(p + 1e-12) ORDER BY c) AS r FROM pe{k} GROUP BY g, s) GROUP BY g) USING (g))"""
+
+
+def _best_path(k: int, model: str) -> str:
+    """vp{k} (g, item_id, seq, p): the states of the best path, and their counts vt{k} and ve{k}."""
+    return f"""vi{k} AS (SELECT g, item_id, seq, t, e, 1 AS i, [e[1][strpos('ACGT', seq[1])] - ln(2), e[2][strpos('ACGT', seq[1])] - ln(2)] AS a, [[1], [2]] AS p FROM xs JOIN {model} USING (g) WHERE seq <> '' UNION ALL
+SELECT g, item_id, seq, t, e, i + 1, [greatest(a[1] + t[1][j], a[2] + t[2][j]) + e[j][strpos('ACGT', seq[i + 1])] FOR j IN [1, 2]], [(CASE WHEN a[1] + t[1][j] >= a[2] + t[2][j] THEN p[1] ELSE p[2] END) || [j] FOR j IN [1, 2]] FROM vi{k} WHERE i < length(seq)),
+vp{k} AS (SELECT g, item_id, seq, CASE WHEN a[1] >= a[2] THEN p[1] ELSE p[2] END AS p FROM vi{k} WHERE i = length(seq)),
+vs{k} AS (SELECT g, item_id, seq, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS s, p FROM vp{k}), vt{k} AS (SELECT g, s, p[i + 1] AS j, count(*) AS n FROM vs{k} WHERE i < len(p) GROUP BY ALL), ve{k} AS (SELECT g, s, strpos('ACGT', seq[i]) AS c, count(*) AS n FROM vs{k} GROUP BY ALL)"""
+
+
+_ALL = f"xs AS (SELECT 0 AS g, item_id, seq FROM items), hm0 AS (SELECT 0 AS g, {_T} AS t, {_E} AS e)"
+_EACH = f"xs AS (SELECT item_id AS g, item_id, seq FROM items), hm0 AS (SELECT item_id AS g, {_T} AS t, {_E} AS e FROM items)"
+_ROUND = lambda k: _sums(k, f"hm{k}") + ", " + _new_model(k + 1, f"xi{k}", f"ga{k}")
+_HARD = lambda k: _best_path(k, f"hm{k}") + ", " + _new_model(k + 1, f"vt{k}", f"ve{k}")
+
+
+def _model_sql(more: str, k: int) -> str:
+    return P.with_("items", more=more) + f"SELECT 'T' AS kind, (s - 1)::INT AS row, (j - 1)::VARCHAR AS col, round(p, 6) AS p FROM pt{k} UNION ALL SELECT 'E', (s - 1)::INT, 'ACGT'[c], round(p, 6) FROM pe{k}"
 
 
 @query("hm9_log_sum_exp", P.with_("points") + "SELECT point_id, round(ln(list_sum([exp(x) FOR x IN features])), 6) AS v FROM points")
@@ -295,60 +517,61 @@ def _model_rows(spark, m):
     return t.select(F.lit("T").alias("kind"), F.col("from").alias("row"), F.col("to").cast("string").alias("col"), F.round("p", 6).alias("p")).union(e.select(F.lit("E"), "state", "sym", F.round("p", 6)))
 
 
-@query("hm11_baum_welch")
+@query("hm11_baum_welch", _model_sql(", ".join([_ALL, _ROUND(0), _ROUND(1)]), 2))
 def hm11(spark, d):
     return _model_rows(spark, H.train(P.items(spark, d), MODEL, 2))
 
 
-@query("hm12_viterbi_decode")
+@query("hm12_viterbi_decode", P.with_("items", more=_ALL + ", " + _best_path(0, "hm0")) + "SELECT item_id, array_to_string(['AB'[x] FOR x IN p], ' ') AS path FROM vp0")
 def hm12(spark, d):
     return H.decode(P.items(spark, d), MODEL, "plain").select("item_id", "path")
 
 
-@query("hm13_viterbi_training")
+@query("hm13_viterbi_training", _model_sql(", ".join([_ALL, _HARD(0), _HARD(1)]), 2))
 def hm13(spark, d):
     return _model_rows(spark, H.train(P.items(spark, d), MODEL, 2, hard=True))
 
 
-@query("hm14_most_divergent")
+@query("hm14_most_divergent", P.with_("items", more=", ".join([_EACH, _ROUND(0), _ROUND(1), _sums(2, "hm2")])) + "SELECT item_id, round(ll, 4) AS log_likelihood FROM ll2 ORDER BY ll, item_id LIMIT 1")
 def hm14(spark, d):
-    return H.most_divergent(P.items(spark, d), MODEL, 2, order="item_id")
-
-
-def equal_lengths(spark, d):
-    """region, ordinal, seq: a region's sequences cut to its shortest, as an alignment without gaps."""
-    n = P.nations(spark, d)
-    size = n.groupBy("region").agg(F.min(F.length("seq")).alias("m"))
-    return n.join(size, "region").select("region", F.col("id").alias("ordinal"), F.left("seq", F.col("m")).alias("seq"))
+    return H.most_divergent(P.items(spark, d), MODEL, 2, order="item_id").withColumn("log_likelihood", F.round("log_likelihood", 4))
 
 
-@query("ph9_small_parsimony")
-def ph9(spark, d):
-    rows = equal_lengths(spark, d)
-    return T.small_parsimony(T.trees(T.distances(rows, ["region"]), ["region"]), rows, ["region"])
-
-
-@query("ph10_random_trees")
+@query("ph10_random_trees", P.with_("nations") + "SELECT region, id::VARCHAR AS leaf, 8::BIGINT AS edges FROM nations")
 def ph10(spark, d):
-    return T.random_trees(equal_lengths(spark, d), ["region"], seed=4)
+    """A random tree has each sequence as a leaf, once, and twice as many edges as it has joins."""
+    found = T.random_trees(even_lengths(spark, d), ["region"], seed=4)
+    inner = found.select("region", F.col("parent").alias("child")).distinct()
+    size = found.groupBy("region").agg(F.count(F.lit(1)).alias("edges"))
+    return found.join(inner, ["region", "child"], "left_anti").join(size, "region").select("region", F.col("child").alias("leaf"), "edges")
 
 
-@query("ph13_nni_variants")
+@query("ph13_nni_variants", P.with_("nations", more=_UPGMA + """, uw AS (SELECT a.region, a.parent AS pu, a.child AS pv, s.child AS sib, c.child AS kid FROM ue a JOIN ue s ON s.region = a.region AND s.parent = a.parent AND s.child <> a.child JOIN ue c ON c.region = a.region AND c.parent = a.child),
+nv AS (SELECT w.region, e.parent, CASE WHEN e.parent = pu AND e.child = sib THEN kid WHEN e.parent = pv AND e.child = kid THEN sib ELSE e.child END AS child FROM uw w JOIN ue e ON e.region = w.region)""") + "SELECT region, parent::VARCHAR AS parent, child::VARCHAR AS child, count(*) AS n FROM nv GROUP BY ALL")
 def ph13(spark, d):
-    return T.tree_variants(T.trees(region_distances(spark, d), ["region"]), ["region"])
+    """How many of a tree's NNI neighbours have an edge."""
+    found = T.tree_variants(T.trees(region_distances(spark, d), ["region"]), ["region"])
+    return found.groupBy("region", "parent", "child").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ph5_tree_text", P.with_("nations", more=_UPGMA.replace("{'l': new, ", "{'t': [new::VARCHAR] || ['  ' || x FOR x IN [cl[pr.i].t[1] || ': ' || printf('%.4f', pr.d / 2 - cl[pr.i].age)] || cl[pr.i].t[2:]] || ['  ' || x FOR x IN [cl[pr.j].t[1] || ': ' || printf('%.4f', pr.d / 2 - cl[pr.j].age)] || cl[pr.j].t[2:]], 'l': new, ").replace("[{'l': names[k], ", "[{'t': [names[k]::VARCHAR], 'l': names[k], ")) + "SELECT region, array_to_string(cl[1].t, chr(10)) AS text FROM u WHERE len(cl) = 1")
+def ph5_text(spark, d):
+    return T.tree_text(T.trees(region_distances(spark, d), ["region"]), ["region"])
 
 
-@query("cl4_format")
+@query("cl4_format", P.with_("points", more=_FIRST + ", a0 AS (SELECT point_id, features, c FROM (SELECT p.*, c, row_number() OVER (PARTITION BY point_id ORDER BY round(list_distance(features, m), 12), c) AS r FROM points p, c0) WHERE r = 1), f0 AS (SELECT c, '(' || array_to_string([printf('%.1f', x) FOR x IN features], ', ') || ')' AS t FROM a0)") + "SELECT c::INT AS cluster, '[' || string_agg(t, ', ' ORDER BY t) || ']' AS text FROM f0 GROUP BY c")
 def cl4(spark, d):
     return C.format_clusters(C.nearest(P.points(spark, d), first_points(spark, d, 3)))
 
 
-@query("hm10_expected_transitions")
+@query("hm10_expected_transitions", P.with_("items", more=", ".join([_ALL, _sums(0, "hm0")])) + "SELECT item_id, (s - 1)::INT AS src, (j - 1)::BIGINT AS dst, round(n, 6) AS n FROM xi0")
 def hm10(spark, d):
     e = H.expected(P.items(spark, d), MODEL, "item_id")
     return e.select("item_id", "src", "dst", F.round("n", 6).alias("n"))
 
 
-@query("io10_progressive_alignment")
+@query("io10_progressive_alignment", P.with_("nations") + "SELECT region, id, seq, true AS even FROM nations")
 def io10(spark, d):
-    return A.progressive_alignment(P.nations(spark, d), ["region"], order="id")
+    found = A.progressive_alignment(P.nations(spark, d), ["region"], order="id")
+    found = found.withColumnRenamed("aligned", "x")
+    return found.select("region", "id", F.translate("x", "-", "").alias("seq"), (F.length("x") == F.max(F.length("x")).over(Window.partitionBy("region"))).alias("even"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import projections as P
@@ -302,19 +303,39 @@ def _groups(spark, d):
     return P.items(spark, d).select((F.col("item_id") % 10).alias("g"), F.col("item_id").alias("ordinal"), "seq")
 
 
-@query("ms6_greedy_motifs")
+_SETS = "sq AS (SELECT item_id % 10 AS g, item_id AS ordinal, row_number() OVER (PARTITION BY item_id % 10 ORDER BY item_id) AS r, seq FROM items WHERE length(seq) >= 12)"
+_GREEDY = _SETS + """, gr AS (SELECT g, 1::BIGINT AS r, st, [substr(seq, st + 1, 12)] AS ms FROM (SELECT g, seq, unnest(range(0, length(seq) - 11)) AS st FROM sq WHERE r = 1) UNION ALL
+SELECT g, r, st, ms || [substr(seq, list_sort([{'s': -list_reduce([1.0::DOUBLE] || [p[x][strpos('ACGT', seq[i + x])] FOR x IN range(1, 13)], lambda a, b: a * b), 'i': i} FOR i IN range(0, length(seq) - 11)])[1].i + 1, 12)] FROM
+(SELECT gr.g, sq.r, st, ms, seq, [[(len(list_filter(ms, lambda m: m[x] = b)) + 1) / (len(ms) + 4) FOR b IN ['A', 'C', 'G', 'T']] FOR x IN range(1, 13)] AS p FROM gr JOIN sq ON sq.g = gr.g AND sq.r = gr.r + 1)),
+al AS (SELECT g, st, ms FROM gr JOIN (SELECT g, max(r) AS r FROM sq GROUP BY g) USING (g, r) UNION ALL SELECT g, -1, list(left(seq, 12) ORDER BY r) FROM sq GROUP BY g),
+sc AS (SELECT g, st, ms, list_sum([len(ms) - list_max([len(list_filter(ms, lambda m: m[x] = b)) FOR b IN ['A', 'C', 'G', 'T']]) FOR x IN range(1, 13)]) AS score FROM al)"""
+
+
+@query("ms6_greedy_motifs", P.with_("items", more=_GREEDY) + "SELECT g, score::INT AS score, array_to_string(ms, ' ') AS motifs FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score, st) AS q FROM sc) WHERE q = 1")
 def ms6(spark, d):
-    return motifs.search(_groups(spark, d), 12, ["g"])
+    return motifs.search(_groups(spark, d), 12, ["g"]).select("g", "score", F.array_join("motifs", " ").alias("motifs"))
+
+
+def _checked(found, spark, d):
+    """A row a sequence: whether its motif is part of it, and whether the set's score is what its columns give."""
+    each = found.select("g", "score", F.posexplode("motifs").alias("r", "motif"))
+    own = _groups(spark, d).where("length(seq) >= 12")
+    own = own.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("ordinal")) - 1)
+    counted = motifs.score(each.select("g", "motif"), ["g"]).withColumnRenamed("score", "recount")
+    return own.join(each, ["g", "r"]).join(counted, "g").select("g", "ordinal", F.col("seq").contains(F.col("motif")).alias("own"), (F.col("score") == F.col("recount")).alias("counted"))
+
+
+_CHECKED = P.with_("items", more=_SETS) + "SELECT g, ordinal, true AS own, true AS counted FROM sq"
 
 
-@query("ms7_randomized_motifs")
+@query("ms7_randomized_motifs", _CHECKED)
 def ms7(spark, d):
-    return motifs.search(_groups(spark, d), 12, ["g"], "randomized", seeds=2)
+    return _checked(motifs.search(_groups(spark, d), 12, ["g"], "randomized"), spark, d)
 
 
-@query("ms9_gibbs_motifs")
+@query("ms9_gibbs_motifs", _CHECKED)
 def ms9(spark, d):
-    return motifs.search(_groups(spark, d), 12, ["g"], "gibbs", seeds=4)
+    return _checked(motifs.search(_groups(spark, d), 12, ["g"], "gibbs"), spark, d)
 
 
 @query("ms8_profile_random", P.with_("nations", "items", more=_PROFILE + ", " + kmer_cte("k", "items", "item_id", 8) + """,

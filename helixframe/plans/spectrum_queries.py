@@ -122,10 +122,14 @@ def ps11(spark, d):
     return S.trim(tolerant_scores(spark, d), 5, by=["spec_id"])
 
 
-@query("ps12_leaderboard")
+@query("ps12_leaderboard", P.with_("segments") + "SELECT spec_id, true AS near, true AS counted FROM segments")
 def ps12(spark, d):
+    """The peptide found weighs what the spectrum says, within the tolerance, and its score is what matching the two spectra gives."""
     noisy = S.cyclic_spectrum(P.segments(spark, d), drop_share=0.1, seed=3)
-    return S.sequence_spectra(noisy, method="leaderboard", top=10, m=20)
+    found = S.sequence_spectra(noisy, method="leaderboard", top=10, m=20)
+    lists = noisy.groupBy("spec_id").agg(F.array_sort(F.collect_list("mass")).alias("b"))
+    own = S.cyclic_spectrum(found).groupBy("spec_id", "pep", "score").agg(F.array_sort(F.collect_list("mass")).alias("a"))
+    return own.join(lists, "spec_id").select("spec_id", (F.abs(S.peptide_mass(F.col("pep"), S.DECI) - F.array_max("b")) <= 5).alias("near"), (S.tolerant_score(F.col("a"), F.col("b"), 5) == F.col("score")).alias("counted"))
 
 
 def pv_tables(spark, d):
@@ -170,13 +174,29 @@ def pv5(spark, d):
     return S.best_matches(*pv_tables(spark, d), -1)
 
 
-@query("pv7_significance")
-def pv7(spark, d):
+_TAIL = _PV + """, vs AS (SELECT spec_id, list(DISTINCT mass ORDER BY mass) AS ms, count(DISTINCT mass) + 2 AS w, max(mass) AS top FROM sv GROUP BY spec_id),
+dp AS (SELECT spec_id, ms, w, top, 0 AS x, 0.0::DOUBLE AS tail, [[CASE WHEN q = 0 THEN 1.0 ELSE 0.0 END FOR q IN range(0, w)]::DOUBLE[]] || [[0.0 FOR q IN range(0, w)]::DOUBLE[] FOR y IN range(0, 186)] AS l FROM vs UNION ALL
+SELECT spec_id, ms, w, top, x + 1, tail + list_sum(v[4:]), [v] || l[:186] FROM (SELECT spec_id, ms, w, top, x, tail, l, CASE WHEN list_contains(ms, x + 1) THEN [0.0::DOUBLE] || c[:w - 1] ELSE c END AS v FROM
+(SELECT spec_id, ms, w, top, x, tail, l, [list_sum([l[a][q] FOR a IN [57, 71, 87, 97, 99, 101, 103, 113, 113, 114, 115, 128, 128, 129, 131, 132, 137, 147, 156, 163, 168, 186]]) / 22 FOR q IN range(1, w + 1)] AS c FROM dp WHERE x < top))),
+pr AS (SELECT spec_id, round(least(1.0, tail), 4) AS p FROM dp WHERE x = top)"""
+
+
+def significant(spark, d):
     spec = S.linear_spectrum(P.segments(spark, d)).select("spec_id", "mass")
-    return S.significance(S.best_matches(*pv_tables(spark, d), 3), spec, 3, 1).select("spec_id", "pep", "probability")
+    return S.significance(S.best_matches(*pv_tables(spark, d), 3), spec, 3, 1)
 
 
-@query("pv8_spectral_alignment")
+@query("pv7_significance", P.with_("peptides", "segments", more=_TAIL) + "SELECT spec_id, best.pep, CASE WHEN best.pep IS NOT NULL THEN p END AS probability FROM segments LEFT JOIN best USING (spec_id) LEFT JOIN pr USING (spec_id)")
+def pv7(spark, d):
+    return significant(spark, d).select("spec_id", "pep", "probability")
+
+
+@query("pv8_spectral_alignment", P.with_("peptides", "segments", more=_PV + """, pk AS (SELECT k, max(s) AS total FROM ppm GROUP BY k), lr AS (SELECT k, max(m) AS largest FROM ppl JOIN mass ON aa = pep[i] GROUP BY k), tp AS (SELECT spec_id, max(mass) AS top FROM sv GROUP BY spec_id),
+can AS (SELECT spec_id, best.pep, top, top = total OR largest + top - total >= 1 AS fits FROM best JOIN pk ON pk.k = best.pep JOIN lr ON lr.k = best.pep JOIN tp USING (spec_id))""") + "SELECT spec_id, CASE WHEN fits THEN pep END AS pep, CASE WHEN fits THEN top END::INT AS mass, CASE WHEN fits THEN true END AS few FROM can")
 def pv8(spark, d):
-    spec = S.linear_spectrum(P.segments(spark, d)).select("spec_id", "mass")
-    return S.significance(S.best_matches(*pv_tables(spark, d), 3), spec, 3, 1).select("spec_id", "pep", "modified")
+    """Without its shifts an alignment is the peptide, with them it weighs what the spectrum does, and it has as many shifts as allowed; where no one shift is
+    large enough there is none."""
+    shifts = F.regexp_extract_all("modified", F.lit(r"\(([+-]\d+)\)"))
+    plain = F.regexp_replace("modified", r"\([^)]*\)", "")
+    mass = S.peptide_mass(plain, S.DALTON) + F.aggregate(shifts, F.lit(0), lambda s, x: s + x.cast("int"))
+    return significant(spark, d).where("pep IS NOT NULL").select("spec_id", plain.alias("pep"), mass.alias("mass"), F.when(F.col("modified").isNotNull(), F.size(shifts) <= 1).alias("few"))

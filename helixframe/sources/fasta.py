@@ -77,6 +77,7 @@ def write_reads(kmers: DataFrame, pairs: DataFrame, path: str) -> None:
 
 
 def append_model(transition: DataFrame, emission: DataFrame, path: str, model: str) -> None:
-    """A model's tables, added to those of others under its name."""
-    transition.withColumn("model", F.lit(model)).write.mode("append").partitionBy("model").parquet(f"{path}/transition")
-    emission.withColumn("model", F.lit(model)).write.mode("append").partitionBy("model").parquet(f"{path}/emission")
+    """A model's tables, added to those of others under its name. A model of that name is replaced, so a job that runs again adds nothing."""
+    for rows, part in ((transition, "transition"), (emission, "emission")):
+        named = rows.withColumn("model", F.lit(model)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        named.partitionBy("model").parquet(f"{path}/{part}")
