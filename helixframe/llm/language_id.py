@@ -5,7 +5,8 @@ log-probability matrix (buckets x languages, of fixed size) is broadcast, and te
 each n-gram is one entry of a sparse row, its probabilities are gathered and summed by document.
 
 Defined cases: a null text, and one without a letter, is `und` with score 0; with no labelled row at all every
-text is `und`; equal scores go to the language first in order; repeated rows are each returned; only the key, text and label are read.
+text is `und`; equal scores go to the language first in order; repeated rows are each returned; an empty table gives no rows; a text of any
+length is scored whole, slice by slice; only the key, text and label are read.
 """
 
 from __future__ import annotations

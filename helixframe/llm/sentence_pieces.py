@@ -8,8 +8,11 @@ piece probe the sorted piece keys, which gives a score for each (segment, start,
 * `merges` takes, step by step, the vectorised maximum over the neighbouring pairs, which is what the library does
   with a model of kind BPE. The shipped model is BPE, for which Viterbi finds a better-scored but different split.
 
-Characters that no piece covers become byte pieces. Defined cases: null and empty texts have no pieces; repeated rows
-are each returned; only the key and the text are read.
+Characters that no piece covers become byte pieces. Segments of more than LONG characters are cut where no piece has the two characters
+side by side, and the parts encoded one by one (same results, tested against the library): merges by a heap, Viterbi in chunks.
+
+Defined cases: null and empty texts have no pieces; repeated rows are each returned; an empty table gives no rows; a text of any length is encoded
+whole; only the key and the text are read.
 """
 
 from __future__ import annotations
@@ -53,6 +56,7 @@ class Pieces:
         out = {i: p.replace(MARK, " ").encode() for p, i in self.id.items()} | {i: bytes([b]) for b, i in self.byte.items()}
         self.bytes = [out.get(i, b"") for i in range(n)]
         self.cut = self.segments_pattern()
+        self.together = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.maybe = np.zeros(1 << 20, bool)  # a first look at a hash's upper bits, before the search
         self.maybe[self.keys >> np.uint64(44)] = True
 
@@ -93,6 +97,11 @@ class Pieces:
             score[r[hit], c[hit], k] = self.score[found]
         return score, ids
 
+    def parts(self, segment: str) -> list[str]:
+        """A segment cut between characters that no piece has side by side, which no piece can reach across."""
+        at = [0, *(i + 1 for i in range(len(segment) - 1) if segment[i : i + 2] not in self.together), len(segment)]
+        return [segment[a:b] for a, b in zip(at, at[1:])]
+
     def fallback(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte else [self.lib.unk_id()]
 
@@ -122,6 +131,30 @@ def viterbi(model: Pieces, segments: list[str], probed=None) -> list[bytes]:
     return written(model, segments, ids, start, end)
 
 
+def viterbi_long(model: Pieces, s: str, chunk: int = 4096) -> bytes:
+    """The same for one long segment: scores are looked up chunk by chunk, and of the table only the best score and the
+    backpointer of each end are kept."""
+    n, most = len(s), model.longest
+    best, back = np.zeros(n + 1), np.zeros(n + 1, np.int32)
+    for a in range(0, n, chunk):
+        first, stop = max(0, a - most + 1), min(n, a + chunk)
+        score, _ = model.probe(codes_of([s[first:stop]]))
+        score = score[0]
+        alone = score[:, 0]
+        alone[np.isneginf(alone)] = model.worst
+        for j in range(a + 1, stop + 1):
+            i = np.arange(max(0, j - score.shape[1]), j)
+            c = best[i] + score[i - first, j - 1 - i]
+            k = int(c.argmax())
+            best[j], back[j] = c[k], i[k]
+    ends, j = [], n
+    while j:
+        ends.append((int(back[j]), j))
+        j = int(back[j])
+    found = [x for i, j in reversed(ends) for x in ([model.id[s[i:j]]] if s[i:j] in model.id else model.fallback(s[i:j]))]
+    return np.array(found, "<u4").tobytes()
+
+
 def written(model: Pieces, segments: list[str], ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
     """Each segment's ids in order, little-endian unsigned 32-bit."""
     r, i = np.nonzero(start)
@@ -216,12 +249,16 @@ class Codec:
         for s in new:
             by.setdefault(len(s), []).append(s)
         for n, same in by.items():
-            step = max(1, 400_000 // (n * min(n, self.model.longest))) if n <= LONG else 1
+            if n > LONG:
+                for s in same:
+                    parts = self.model.parts(s)
+                    self.cache[s] = b"".join(merges_long(self.model, p) for p in parts), b"".join(viterbi_long(self.model, p) for p in parts)
+                continue
+            step = max(1, 400_000 // (n * min(n, self.model.longest)))
             for at in range(0, len(same), step):
                 part = same[at : at + step]
                 probed = self.model.probe(codes_of(part))  # scores of single characters, which viterbi() fills in, are not read by merges()
-                a = merges(self.model, part, probed) if n <= LONG else [merges_long(self.model, part[0])]
-                self.cache.update(zip(part, zip(a, viterbi(self.model, part, probed))))
+                self.cache.update(zip(part, zip(merges(self.model, part, probed), viterbi(self.model, part, probed))))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids by merges and by Viterbi, as little-endian unsigned 32-bit numbers."""

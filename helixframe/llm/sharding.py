@@ -8,7 +8,7 @@ checksum. A record's slot is its rank in its shard by (block, key, size, checksu
 the key, so a shard is ranked by many tasks, and the ranks of the blocks before it come from a table of counts.
 
 Defined cases: a null key is hashed as the string "null"; a null text has size 8 and checksum 0; repeated rows
-go to one shard and get slots of their own; an empty table gives no rows; further columns are kept apart by name.
+go to one shard and get slots of their own; an empty table gives no rows; a text of any length is one size and checksum; further columns are kept apart by name.
 """
 
 from __future__ import annotations

@@ -19,8 +19,8 @@ at the anchor, as far as its windows reach, and what stands before it.
 5. Repeated windows go back to the blocks, where runs of covered bytes are cut out.
 
 Defined cases: a null text is an empty one; texts shorter than `length` lose nothing; repeated rows lose what they share
-like any other documents, each row on its own; texts that overlap themselves count; an empty table gives no rows. All
-columns of the input are kept; a column named like a result is replaced.
+like any other documents, each row on its own; ids may repeat or be null; texts that overlap themselves count; texts of any length are
+read whole, in pieces that overlap; an empty table gives no rows. All columns of the input are kept; a column named like a result is replaced.
 """
 
 from __future__ import annotations
@@ -458,7 +458,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     extra = [c for c in docs.columns if c != text and c not in results]
     parts = shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.xxhash64(F.col(key)).alias("key"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in extra]).alias("other"))
+    # rows that share an id, null ones say, are kept apart by their texts
+    rows = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("key"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in extra]).alias("other"))
     total = docs.select(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     blocks = blocks_for(total, parts, BLOCK)
     ranges = max(parts, total // (32 << 20))

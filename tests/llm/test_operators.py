@@ -76,6 +76,46 @@ def test_every_query_on_odd_and_empty_tables(spark, folder):
         assert n == (len(PAGES) if "url" in name else n if "packing" in name else len(corpus())), name
 
 
+def test_clashing_columns_change_no_result(spark, docs, folder, tmp_path):
+    """The tables with further columns of names used inside give what the plain tables give."""
+    from helixframe.llm import queries
+
+    plain = str(tmp_path)
+    docs.write.parquet(f"{plain}/documents.parquet")
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(f"{plain}/pages.parquet")
+    for name, f in queries.QUERIES.items():
+        a, b = f(spark, plain), f(spark, folder[0])
+        assert a.columns == b.columns
+        if "packing" in name:  # rows are numbered by where they lie
+            a, b = (x.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}) for x in (a, b))
+        assert rows_of(a, *a.columns) == rows_of(b, *b.columns), name
+
+
+def test_texts_of_megabytes(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    from helixframe.llm import queries
+
+    r = random.Random(2)
+    words = ["".join(r.choice("aeioustrnlm") for _ in range(r.randrange(2, 9))) for _ in range(900)]
+    prose = lambda n: " ".join(r.choice(words) + (".\n" if i % 15 == 14 else "") for i in range(n))
+    long = prose(400_000)
+    rows = [(1, long), (2, long[:-40]), (3, "x" * 1_500_000), (4, "7" * 200_000 + "é" * 200_000), (5, prose(300)), (6, None)]
+    assert len(long) > 2_000_000
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {name: f(spark, str(tmp_path)).collect() for name, f in queries.QUERIES.items() if "url" not in name}
+    assert all(len(x) == len(rows) for name, x in got.items() if "packing" not in name)
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids = {i: t.encode(x or "", add_special_tokens=False).ids for i, x in rows}
+    assert {x["doc_id"]: x["n_tokens"] for x in got["op7_token_counts"]} == {i: len(x) for i, x in ids.items()}
+    check_packing(got["op5_packing"], ids)
+    assert {x["doc_id"]: x["component_id"] for x in got["op6_jaccard_join"]} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+    removed = {x["doc_id"]: (x["n_bytes"], x["n_removed"]) for x in got["op3_suffix_dedup"]}
+    assert removed[1] == (len(long), len(long) - 40) and removed[2] == (len(long) - 40,) * 2 and removed[3] == (1_500_000,) * 2 and removed[5][1] == 0
+    assert all(x["round_trip"] for x in got["op9_sentence_pieces"])
+
+
 def test_quality(docs):
     got = quality_rules.measure(docs.select("doc_id", "text"))
     for r in got.collect():
@@ -145,6 +185,16 @@ def chains(seed, n, words_):
     return out
 
 
+def test_jaccard_hub_of_copies(spark):
+    """Thousands of near copies of one text, and exact ones, are one component; a text apart is none of them."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    edited = lambda i: " ".join(base[:k] + [f"e{i}"] + base[k + 1 :]) if (k := r.randrange(60)) else " ".join(base)
+    rows = [(i, edited(i)) for i in range(10_000)] + [(20_000, "something else altogether here")]
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert got.pop(20_000) == 20_000 and set(got.values()) == {0}
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_jaccard_chains(spark, seed):
     rows = chains(seed, 40, 80) + [(100 + i, t) for i, t in chains(seed + 50, 30, 25)]
@@ -428,6 +478,21 @@ def test_sentence_pieces(docs):
     assert all(r["text"] == texts[r["doc_id"]] for r in back)
 
 
+def test_long_segments_equal_the_library():
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    lib, codec, r = sentencepiece.SentencePieceProcessor(model_file=path), sentence_pieces.Codec(path), random.Random(4)
+    model = codec.model
+    for alphabet in ("ab", "0123456789", "aeiounrst", "é日x-", "//==__", "the"):
+        for n in (65, 200, 5000):
+            s = "".join(r.choice(alphabet) for _ in range(n))
+            a, b = codec.encode([s])[0]
+            assert np.frombuffer(a, "<u4").tolist() == lib.encode(s)
+            assert b == b"".join(sentence_pieces.viterbi(model, [x])[0] for x in codec.segments(s))
+            assert codec.decode(a) == codec.decode(b) == s.encode()
+
+
 def test_viterbi_against_all_splits():
     model = sentence_pieces.Pieces(P.path("piece_bpe_32k.model"))
     for s in ("▁the", "▁nation", "zzqx", "▁é日x"):
@@ -444,6 +509,33 @@ def test_viterbi_against_all_splits():
         assert abs(sum(model.score[normal]) + unknown * model.worst - best[-1]) < 1e-6
 
 
+def test_language_id_query_against_brute_force(spark, tmp_path):
+    """The query's own fold: rows whose crc32 leaves 2 are never learned from, and every prediction is what plain naive Bayes gives."""
+    import math
+
+    r = random.Random(6)
+    syllables = {"en": ["th", "ing", "er", "and"], "fr": ["eau", "é", "oi", "que"], "de": ["sch", "ein", "ü", "ung"]}
+    make = lambda lang: " ".join("".join(r.choice(syllables[lang]) for _ in range(3)) for _ in range(r.randrange(1, 9)))
+    rows = [(i, make(lang), lang if i % 7 else None) for i, lang in enumerate(["en", "fr", "de"] * 40)] + [(900, None, "en"), (901, "12 !", "fr"), (902, "", None), (None, "the", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in language_id.op10_language_id(spark, str(tmp_path)).collect()}
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 4 == 2
+    assert {i: x["held_out"] for i, x in got.items()} == {i: held(i) for i, *_ in rows}
+    seen, docs_ = {}, Counter()
+    for i, t, lang in rows:
+        if not held(i) and lang and t is not None:
+            seen.setdefault(lang, Counter()).update(language_id.ngram_buckets(t).tolist())
+            docs_[lang] += 1
+    size = language_id.BUCKETS
+    for i, t, _ in rows:
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+            continue
+        score = {k: math.log(docs_[k] / docs_.total()) + sum(math.log((c[b] + 0.1) / (c.total() + 0.1 * size)) for b in language_id.ngram_buckets(t).tolist()) for k, c in seen.items()}
+        best = max(sorted(score), key=score.get)
+        assert got[i]["lang_pred"] == best and abs(got[i]["score"] - 1 / sum(math.exp(s - score[best]) for s in score.values())) < 1e-6
+
+
 def test_language_id(spark):
     r = random.Random(5)
     syllables = {"en": ["th", "ing", "er", "and", "wh"], "fr": ["eau", "é", "oi", "que", "ç"], "es": ["ción", "ñ", "ado", "rr", "os"]}
