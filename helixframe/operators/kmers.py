@@ -45,26 +45,24 @@ def neighbours(pattern: Column, k: int, d: int) -> Column:
     return out
 
 
-def _cutter(seq: str):
-    """Cuts letters out of a column by place (from 1). Bytes can be reached without counting characters, which takes a place's
-    time; they are used where a sequence has one byte a letter."""
-    plain = F.octet_length(seq) == F.length(seq)
-    raw = F.col("_raw")
+def _windows(df: DataFrame, span: int, seq: str, keep: list[str]) -> DataFrame:
+    """keep, pos (from 0) and _cut(at, n) for each window of `span` letters: places are generated, and letters cut out of the row's one
+    sequence, so nothing holds all windows of a sequence at once."""
+    places = F.when(F.length(seq) >= span, F.sequence(F.lit(0), F.length(seq) - span))
+    rows = df.select(*keep, F.col(seq).alias("_s"), F.col(seq).cast("binary").alias("_raw"), places.alias("_p"))
+    return rows.select(*keep, "_s", "_raw", F.explode("_p").alias("pos"))
 
-    def windows(starts: Column, make) -> Column:
-        fast = F.transform(starts, lambda i: make(lambda at, n: F.substring(raw, at, F.lit(n)).cast("string"), i))
-        slow = F.transform(starts, lambda i: make(lambda at, n: F.substring(F.col(seq), at, F.lit(n)), i))
-        return F.when(plain, fast).otherwise(slow)
 
-    return windows
+def _letters_at(at: Column, n: int) -> Column:
+    """Bytes can be reached without counting characters, which takes a place's time; they are used where a sequence has one byte a letter."""
+    plain = F.length("_raw") == F.length("_s")
+    return F.when(plain, F.substring(F.col("_raw"), at + 1, F.lit(n)).cast("string")).otherwise(F.substring(F.col("_s"), at + 1, F.lit(n)))
 
 
 def kmers(df: DataFrame, k: int, seq: str = "seq", keep: list[str] | None = None) -> DataFrame:
     """One row per occurrence: the columns of keep (default: all but seq), pos and kmer. A narrow explode."""
     keep = [c for c in df.columns if c != seq] if keep is None else keep
-    starts = F.sequence(F.lit(1), F.length(seq) - (k - 1))
-    parts = F.when(F.length(seq) >= k, _cutter(seq)(starts, lambda cut, i: cut(i, k))).otherwise(F.array().cast("array<string>"))
-    return df.withColumn("_raw", F.col(seq).cast("binary")).select(*keep, F.posexplode(parts).alias("pos", "kmer"))
+    return _windows(df, k, seq, keep).select(*keep, "pos", _letters_at(F.col("pos"), k).alias("kmer"))
 
 
 def kmer_counts(df: DataFrame, k: int, by: list[str], seq: str = "seq") -> DataFrame:
@@ -225,8 +223,5 @@ def base4_reverse_complement(number: Column, k: int) -> Column:
 def read_pairs(df: DataFrame, k: int, gap: int, seq: str = "seq") -> DataFrame:
     """The pairs of k-mers that lie gap letters apart."""
     keep = [c for c in df.columns if c != seq]
-    span = 2 * k + gap
-    starts = F.sequence(F.lit(1), F.length(seq) - (span - 1))
-    pair = lambda cut, i: F.struct(cut(i, k).alias("a"), cut(i + k + gap, k).alias("b"))
-    pairs = F.when(F.length(seq) >= span, _cutter(seq)(starts, pair))
-    return df.withColumn("_raw", F.col(seq).cast("binary")).select(*keep, F.posexplode(pairs).alias("pos", "pair")).select(*keep, "pos", "pair.a", "pair.b")
+    pos = F.col("pos")
+    return _windows(df, 2 * k + gap, seq, keep).select(*keep, "pos", _letters_at(pos, k).alias("a"), _letters_at(pos + k + gap, k).alias("b"))

@@ -101,12 +101,12 @@ def _running(totals: DataFrame, key: str, value: str, width: int = 1 << 16) -> D
 def bwt(text: str) -> str:
     """The last letters of the rotations in order; equal rotations keep their place."""
     n = len(text)
-    twice = np.empty(2 * n, np.int64)
-    twice[suffix_order(text + text)] = np.arange(2 * n)
-    order = sorted(range(n), key=lambda i: twice[i])
-    if n and any(text == text[:k] * (n // k) for k in range(1, n) if n % k == 0):  # equal rotations
-        order = sorted(range(n), key=lambda i: (text[i:] + text[:i], i))
-    return "".join(text[i - 1] for i in order)
+    period = (text + text).find(text, 1) if n else 0  # rotations that far apart are equal
+    unit = text[:period]
+    twice = np.empty(2 * period, np.int64)
+    twice[suffix_order(unit + unit)] = np.arange(2 * period)
+    order = np.argsort(twice[:period], kind="stable")
+    return "".join(text[i - 1] for i in (order[:, None] + np.arange(0, n, max(period, 1))).ravel().tolist())
 
 
 def burrows_wheeler(df: DataFrame, seq: str = "seq") -> DataFrame:
@@ -228,17 +228,59 @@ def trie(patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
     return nodes.select("node", F.left("node", F.length("node") - 1).alias("parent"), F.right("node", F.lit(1)).alias("ch"), "ends")
 
 
+def _near(text: str, length: int, d: int, tables: list[tuple], letters: np.ndarray, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Places and pattern numbers within distance d. tables: first and last place of a piece, its sorted hashes, their patterns."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(codes) - length + 1
+    found = [np.empty(0, np.int64)]
+    if n > 0 and len(letters):
+        windows = np.lib.stride_tricks.sliding_window_view(codes, length)
+        for a, b, hashes, own in tables:
+            h = _rolling(codes, b - a)[a : a + n] if b > a else np.zeros(n, np.uint64)
+            low, size = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
+            size -= low
+            part = np.cumsum(size) // at_once  # so many comparisons at a time
+            for k in np.unique(part).tolist():
+                i = np.flatnonzero(part == k)
+                place = np.repeat(i, size[i])
+                pattern = own[np.repeat(low[i] - np.cumsum(size[i]) + size[i], size[i]) + np.arange(size[i].sum())]
+                hit = (windows[place] != letters[pattern]).sum(1) <= d
+                found.append(np.unique(place[hit] * len(letters) + pattern[hit]))
+    both = np.unique(np.concatenate(found))
+    return both // max(1, len(letters)), both % max(1, len(letters))
+
+
 def approximate_matches(texts: DataFrame, patterns: DataFrame, length: int, d: int, by: list[str], seq: str = "seq", pattern: str = "pattern") -> DataFrame:
     """by, pattern, pos (from 0): places within Hamming distance d of patterns of one length.
 
-    Of d + 1 pieces of a pattern one must occur as it is, so texts and patterns meet on pieces and are compared there only."""
+    Of d + 1 pieces of a pattern one must occur as it is, so texts and patterns meet on pieces and are compared there only: on the
+    executors, to which up to PATTERNS patterns are sent, or in a join on pieces if there are more."""
     cut = [i * length // (d + 1) for i in range(d + 2)]
-    pieces = F.array(*[F.struct(F.lit(n).alias("piece"), F.substring(F.col(pattern), a + 1, b - a).alias("part")) for n, (a, b) in enumerate(zip(cut, cut[1:]))])
-    p = patterns.select(pattern).distinct().where(F.length(pattern) == length).select(pattern, F.inline(pieces))
+    p = patterns.select(pattern).distinct().where(F.length(pattern) == length)
+    own = sorted(r[0] for r in p.limit(PATTERNS + 1).collect())
+    if len(own) <= PATTERNS:
+        letters = np.array([np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in own], np.uint32).reshape(len(own), length)
+        tables = []
+        for a, b in zip(cut, cut[1:]):
+            hashes = np.array([_rolling(x[a:b], b - a)[0] if b > a else 0 for x in letters], np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            tables.append((a, b, hashes[order], order))
+        sent = texts.sparkSession.sparkContext.broadcast((tables, letters, pa.array(own, pa.string())))  # of PATTERNS patterns at most
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables, letters, names = sent.value
+            for b in batches:
+                hits = [_near(t or "", length, d, tables, letters) for t in b.column(len(by)).to_pylist()]
+                row = pa.array(np.repeat(np.arange(len(hits)), [len(x) for x, _ in hits]))
+                place, number = (np.concatenate([x[k] for x in hits] or [np.empty(0, np.int64)]) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(row) for c in range(len(by))), names.take(pa.array(number)), pa.array(place.astype(np.int32))], [*by, pattern, "pos"])
+
+        kinds = "".join(f"`{c}` {texts.schema[c].dataType.simpleString()}, " for c in by)
+        return texts.select(*by, seq).mapInArrow(run, f"{kinds}`{pattern}` string, pos int")
+    pieces = lambda c: F.array(*[F.struct(F.lit(n).alias("piece"), F.substring(F.col(c), a + 1, b - a).alias("part")) for n, (a, b) in enumerate(zip(cut, cut[1:]))])
     windows = kmers(texts, length, seq, by).withColumnRenamed("kmer", "w")
-    own = F.array(*[F.struct(F.lit(n).alias("piece"), F.substring(F.col("w"), a + 1, b - a).alias("part")) for n, (a, b) in enumerate(zip(cut, cut[1:]))])
-    hits = windows.select(*by, "pos", "w", F.inline(own)).join(p, ["piece", "part"]).where(hamming(F.col("w"), F.col(pattern)) <= d)
-    return hits.select(*by, pattern, "pos").distinct()
+    hits = windows.select(*by, "pos", "w", F.inline(pieces("w"))).join(p.select(pattern, F.inline(pieces(pattern))), ["piece", "part"])
+    return hits.where(hamming(F.col("w"), F.col(pattern)) <= d).select(*by, pattern, "pos").distinct()
 
 
 def longest_repeat(text: str) -> str:
