@@ -32,8 +32,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as written to the shared folder and read again: smaller than a checkpoint, but how it was partitioned is lost."""
+def stored(df: DataFrame, small: bool = False) -> DataFrame:
+    """df as written to the shared folder and read again: smaller than a checkpoint, but how it was partitioned is lost.
+
+    small: it may hold little for the partitions it comes in, and is dealt into as few files as its size asks for."""
     path = scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.hint("rebalance") if small else df).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
