@@ -368,8 +368,8 @@ def verify(sets: DataFrame, pairs: DataFrame, blocks: int, percent: int) -> Data
 
 def intersected(sets: DataFrame, pairs: DataFrame, blocks: int, percent: int) -> DataFrame:
     """The pairs that all orders make candidates, with distance and linked."""
-    pairs = stored(agreeing(sets, pairs, blocks, percent)).where("h1 AND h2").select(*PAIR)
-    return stored(verify(sets, pairs, blocks, percent))
+    pairs = stored(agreeing(sets, pairs, blocks, percent), small=True).where("h1 AND h2").select(*PAIR)
+    return stored(verify(sets, pairs, blocks, percent), small=True)
 
 
 def by_token(many: DataFrame, one: DataFrame, how: str = "inner") -> DataFrame:
@@ -384,11 +384,11 @@ def links(rows: DataFrame, meta: DataFrame, percent: int, n: int) -> DataFrame:
     parts = shuffle_partitions(rows.sparkSession)
     ranges = max(parts, (meta.agg(F.sum("n")).first()[0] or 0) // 4_000_000)
     nodes = meta.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    live = stored(nodes.join(companions(rows, ranges, percent, n), "d1").select("id", "n"))
+    live = stored(nodes.join(companions(rows, ranges, percent, n), "d1").select("id", "n"), small=True)
     tokens = live.agg(F.sum("n")).first()[0] or 0
     blocks = blocks_for(8 * tokens, parts)
     sets = checkpoint(node_sets(rows, live, blocks, n))
-    post = stored(postings(sets, max(parts, tokens // 1_000_000), percent))
+    post = stored(postings(sets, max(parts, tokens // 1_000_000), percent), small=True)
     # the centre of a token's nodes is the one with the fewest tokens of its own, near which a group of edited copies lies
     node = F.struct((F.col("n") - F.col("s")).alias("own"), "id", "d1", "n", "s")
     centres = post.groupBy("token").agg(F.min(node).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "c")
@@ -406,7 +406,7 @@ def links(rows: DataFrame, meta: DataFrame, percent: int, n: int) -> DataFrame:
     near = star.select(F.col("a_d1").alias("d1"), F.col("a_id").alias("id"), F.col("b_d1").alias("c_d1"), F.col("b_id").alias("c_id"), "distance")
     own = own.withColumn("c_id", F.col("c.id")).withColumn("c_d1", F.col("c.d1")).join(near, ["d1", "id", "c_d1", "c_id"], "left")
     own = own.withColumn("distance", F.when((F.col("id") == F.col("c_id")) & (F.col("d1") == F.col("c_d1")), F.lit(0.0)).otherwise(F.col("distance")))
-    own = stored(own.select("token", "d1", "id", "n", "s", "v", "component", (F.col("component") == F.col("main")).alias("major"), "distance"))
+    own = stored(own.select("token", "d1", "id", "n", "s", "v", "component", (F.col("component") == F.col("main")).alias("major"), "distance"), small=True)
     minor = own.where("NOT major")
     x = minor.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).alias("x")
     y = by_token(own, minor.select("token").distinct(), "left_semi").withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")).alias("y")
@@ -421,13 +421,13 @@ def links(rows: DataFrame, meta: DataFrame, percent: int, n: int) -> DataFrame:
     )
     rest = rest.select(*[F.col(f"{s}.{c}").alias(f"{t}_{c}") for s, t in (("x", "a"), ("y", "b")) for c in ("d1", "id")]).distinct()
     more = intersected(sets, rest, blocks, percent).where("linked").select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
-    return stored(joined.union(more))
+    return stored(joined.union(more), small=True)
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, n: int = 4) -> DataFrame:
     """One row per row of docs: key, n_shingles (of n words), component_id."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    meta = stored(describe(rows, n))
+    meta = stored(describe(rows, n), small=True)
     known = meta.where("id IS NOT NULL")
     label = components(links(rows.where("id IS NOT NULL"), known, percent, n))
     # equal sets are one node, by the smallest id; a document stands for its node, or for itself if empty

@@ -463,7 +463,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     total = docs.select(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     blocks = blocks_for(total, parts, BLOCK)
     ranges = max(parts, total // (32 << 20))
-    hits = stored(repeated_anchors(rows, ranges, blocks, length))
+    hits = stored(repeated_anchors(rows, ranges, blocks, length), small=True)
     owners = hits.mapInArrow(lean(_owners), "key long")
     words, size = bloom(owners.distinct(), "key")
     known = docs.sparkSession.sparkContext.broadcast(words)  # of bounded size
@@ -503,7 +503,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 
     block = lambda d: d.withColumn("block", F.pmod("key", F.lit(blocks)))
     live = block(marked.mapInArrow(lean(pick), shape)).repartition(blocks, "block")
-    found = stored(repeats(live.select("block", "key", "text"), hits, ranges, length))
+    found = stored(repeats(live.select("block", "key", "text"), hits, ranges, length), small=True)
     done = live.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, made)
     out = marked.mapInArrow(lean(final), made).union(done)
     return out.select(*[F.col("other")[c].alias(c) for c in extra], *results[: 5 if keep else 4])
