@@ -36,7 +36,7 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents (sets of five words, similarity of 0.8 or more), the one with the smallest id."""
-    found = stored(jaccard_join.join(docs, n=5, percent=80))
+    found = stored(jaccard_join.join(docs, n=5, percent=80), small=True)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     words, size = bloom(gone, "doc_id")
     known = spark.sparkContext.broadcast(words)  # of bounded size
