@@ -15,4 +15,6 @@ def all_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str, blocks: int =
     each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = a.withColumn("_x", block(a_key)).withColumn("_y", each)
     right = b.withColumn("_y", block(b_key)).withColumn("_x", each)
-    return left.join(right, ["_x", "_y"]).drop("_x", "_y")
+    # dealt by number, as a block is as much work however few bytes it has
+    left, right = (t.repartition(blocks * blocks, "_x", "_y") for t in (left, right))
+    return left.join(right.hint("merge"), ["_x", "_y"]).drop("_x", "_y")

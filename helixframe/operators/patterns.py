@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kmers import hamming, kmers
-from .lineage import checkpoint
+from .lineage import checkpoint, stored
 
 
 def suffix_order(text: str) -> np.ndarray:
@@ -194,6 +194,7 @@ def exact_matches(texts: DataFrame, patterns: DataFrame, lengths: list[int], by:
         hits = grams.withColumnRenamed("kmer", pattern).join(p, pattern).select(*by, pattern, (F.col("pos") + base).alias("pos"))
     if not keep_zero:
         return hits
+    hits = stored(hits)  # read twice
     none = p.join(hits.select(pattern).distinct(), pattern, "left_anti")
     return hits.unionByName(none.select(pattern), allowMissingColumns=True).select(*by, pattern, "pos")
 
