@@ -27,9 +27,10 @@ def shared_kmers(p: DataFrame, q: DataFrame, k: int, by: list[str] = (), seq: st
 
 
 def global_offsets(chromosomes: DataFrame, order: str = "ordinal", by: list[str] = (), seq: str = "seq") -> DataFrame:
-    """chromosomes with the total length of those before."""
+    """chromosomes with the total length of those before. Only lengths are put in order, not sequences."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return chromosomes.withColumn("shift", F.coalesce(F.sum(F.length(seq)).over(w), F.lit(0)))
+    sizes = chromosomes.select(*by, order, F.length(seq).alias("_n"))
+    return chromosomes.join(sizes.select(*by, order, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("shift")), [*by, order])
 
 
 def shared_kmers_chromosomes(p: DataFrame, q: DataFrame, k: int, seq: str = "seq") -> DataFrame:

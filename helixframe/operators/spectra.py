@@ -142,7 +142,10 @@ def tolerant_score(a: Column, b: Column, tolerance: float) -> Column:
 
 def trim(board: DataFrame, top: int, score: str = "score", by: list[str] = ()) -> DataFrame:
     """The `top` best rows of a group and what ties with the last of them."""
-    w = Window.partitionBy(*by).orderBy(F.col(score).desc()) if by else Window.partitionBy(F.lit(0)).orderBy(F.col(score).desc())
+    if not by:  # the last of the best, found without one window over all rows
+        last = board.orderBy(F.col(score).desc()).limit(top).agg(F.min(score).alias("_last"))
+        return board.crossJoin(F.broadcast(last)).where(F.col(score) >= F.col("_last")).drop("_last")
+    w = Window.partitionBy(*by).orderBy(F.col(score).desc())
     return board.withColumn("_r", F.rank().over(w)).where(F.col("_r") <= top).drop("_r")
 
 

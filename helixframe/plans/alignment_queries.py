@@ -517,9 +517,9 @@ def _model_rows(spark, m):
     return t.select(F.lit("T").alias("kind"), F.col("from").alias("row"), F.col("to").cast("string").alias("col"), F.round("p", 6).alias("p")).union(e.select(F.lit("E"), "state", "sym", F.round("p", 6)))
 
 
-@query("hm11_baum_welch", _model_sql(", ".join([_ALL, _ROUND(0), _ROUND(1)]), 2))
+@query("hm11_baum_welch", _model_sql(", ".join([_ALL, *map(_ROUND, range(5))]), 5))
 def hm11(spark, d):
-    return _model_rows(spark, H.train(P.items(spark, d), MODEL, 2))
+    return _model_rows(spark, H.train(P.items(spark, d), MODEL))
 
 
 @query("hm12_viterbi_decode", P.with_("items", more=_ALL + ", " + _best_path(0, "hm0")) + "SELECT item_id, array_to_string(['AB'[x] FOR x IN p], ' ') AS path FROM vp0")
@@ -527,14 +527,14 @@ def hm12(spark, d):
     return H.decode(P.items(spark, d), MODEL, "plain").select("item_id", "path")
 
 
-@query("hm13_viterbi_training", _model_sql(", ".join([_ALL, _HARD(0), _HARD(1)]), 2))
+@query("hm13_viterbi_training", _model_sql(", ".join([_ALL, *map(_HARD, range(5))]), 5))
 def hm13(spark, d):
-    return _model_rows(spark, H.train(P.items(spark, d), MODEL, 2, hard=True))
+    return _model_rows(spark, H.train(P.items(spark, d), MODEL, hard=True))
 
 
-@query("hm14_most_divergent", P.with_("items", more=", ".join([_EACH, _ROUND(0), _ROUND(1), _sums(2, "hm2")])) + "SELECT item_id, round(ll, 4) AS log_likelihood FROM ll2 ORDER BY ll, item_id LIMIT 1")
+@query("hm14_most_divergent", P.with_("items", more=", ".join([_EACH, *map(_ROUND, range(5)), _sums(5, "hm5")])) + "SELECT item_id, round(ll, 4) AS log_likelihood FROM ll5 ORDER BY ll, item_id LIMIT 1")
 def hm14(spark, d):
-    return H.most_divergent(P.items(spark, d), MODEL, 2, order="item_id").withColumn("log_likelihood", F.round("log_likelihood", 4))
+    return H.most_divergent(P.items(spark, d), MODEL, order="item_id").withColumn("log_likelihood", F.round("log_likelihood", 4))
 
 
 @query("ph10_random_trees", P.with_("nations") + "SELECT region, id::VARCHAR AS leaf, 8::BIGINT AS edges FROM nations")

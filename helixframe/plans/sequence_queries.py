@@ -177,11 +177,16 @@ def pm3(spark, d):
     return patterns.occurrence_counts(patterns.burrows_wheeler(t), ["item_id"])
 
 
-_WORDS = "w AS (SELECT DISTINCT left(seq, 6) AS pattern FROM nations)"
+def words_cte(name: str, n: int) -> str:
+    return f"{name} AS (SELECT DISTINCT substr(seq, i, {n}) AS pattern FROM (SELECT seq, unnest(range(1, length(seq) - {n - 2})) AS i FROM nations))"
+
+
+_WORDS = words_cte("w", 6)
 
 
 def words(spark, d, n=6):
-    return P.nations(spark, d).select(F.left("seq", F.lit(n)).alias("pattern")).distinct()
+    """All parts of nation sequences of n letters."""
+    return kmers.kmers(P.nations(spark, d), n, keep=[]).select(F.col("kmer").alias("pattern")).distinct()
 
 
 @query("pm4_exact_matches", P.with_("dna", "nations", more=_WORDS + ", " + kmer_cte("k", "dna", "doc_id", 6)) + "SELECT doc_id, pattern, pos::INT AS pos FROM kk JOIN w ON kmer = pattern")
@@ -199,7 +204,7 @@ def pm6(spark, d):
     return patterns.trie(P.nations(spark, d).withColumnRenamed("seq", "pattern"))
 
 
-@query("pm7_multi_pattern", P.with_("dna", "nations", more="w AS (SELECT DISTINCT left(seq, 6) AS pattern FROM nations UNION SELECT left(seq, 8) FROM nations UNION SELECT seq FROM nations), " + kmer_cte("k", "dna", "doc_id", 6) + ", " + kmer_cte("l", "dna", "doc_id", 8)) + """SELECT pattern, count(doc_id) AS hits, coalesce(sum(pos), 0)::BIGINT AS places FROM w LEFT JOIN
+@query("pm7_multi_pattern", P.with_("dna", "nations", more=words_cte("w6", 6) + ", " + words_cte("w8", 8) + ", w AS (SELECT pattern FROM w6 UNION SELECT pattern FROM w8 UNION SELECT seq FROM nations), " + kmer_cte("k", "dna", "doc_id", 6) + ", " + kmer_cte("l", "dna", "doc_id", 8)) + """SELECT pattern, count(doc_id) AS hits, coalesce(sum(pos), 0)::BIGINT AS places FROM w LEFT JOIN
 (SELECT doc_id, kmer, pos + 1 AS pos FROM kk UNION ALL SELECT doc_id, kmer, pos + 1 FROM lk) ON kmer = pattern AND length(pattern) IN (6, 8) GROUP BY pattern""")
 def pm7(spark, d):
     p = words(spark, d).union(words(spark, d, 8)).union(P.nations(spark, d).select("seq"))
@@ -207,7 +212,7 @@ def pm7(spark, d):
     return hits.groupBy("pattern").agg(F.count("doc_id").alias("hits"), F.coalesce(F.sum("pos"), F.lit(0)).cast("long").alias("places"))
 
 
-@query("pm8_approximate", P.with_("items", "nations", more="w AS (SELECT DISTINCT left(seq, 8) AS pattern FROM nations), " + kmer_cte("k", "items", "item_id", 8)) + """SELECT item_id, pattern, pos::INT AS pos FROM kk, w
+@query("pm8_approximate", P.with_("items", "nations", more=words_cte("w", 8) + ", " + kmer_cte("k", "items", "item_id", 8)) + """SELECT item_id, pattern, pos::INT AS pos FROM kk, w
 WHERE list_sum([CASE WHEN kmer[x] <> pattern[x] THEN 1 ELSE 0 END FOR x IN range(1, 9)]) <= 2""")
 def pm8(spark, d):
     return patterns.approximate_matches(P.items(spark, d), words(spark, d, 8), 8, 2, ["item_id"])
@@ -263,11 +268,12 @@ def pm14(spark, d):
     return patterns.shared_substrings(nation_pairs(spark, d)).select("id", "id2", "shared", "unshared")
 
 
-_MOTIF = "m AS (SELECT region, left(seq, 8) AS motif FROM nations), c AS (SELECT region, unnest(range(0, 8)) AS pos, unnest(string_split(motif, '')) AS nuc FROM m)"
+_MOTIF = "m AS (SELECT region, substr(seq, i, 8) AS motif FROM (SELECT region, seq, unnest(range(1, length(seq) - 6)) AS i FROM nations)), c AS (SELECT region, unnest(range(0, 8)) AS pos, unnest(string_split(motif, '')) AS nuc FROM m)"
 
 
 def region_motifs(spark, d):
-    return P.nations(spark, d).select("region", F.left("seq", F.lit(8)).alias("motif"))
+    """All parts of eight letters as instances of a motif."""
+    return kmers.kmers(P.nations(spark, d), 8, keep=["region"]).select("region", F.col("kmer").alias("motif"))
 
 
 @query("ms1_profile", P.with_("nations", more=_MOTIF) + "SELECT region, pos::INT AS pos, " + ", ".join(f"round((count(*) FILTER (WHERE nuc = '{b}') + 1) / (count(*) + 4), 9) AS {b.lower()}" for b in "ACGT") + " FROM c GROUP BY region, pos")

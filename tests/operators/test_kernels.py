@@ -133,3 +133,11 @@ def test_matrices_and_empty_paths(spark):
     assert [x["g"] for x in empty.collect()] == ["", "ACGT"]
     tree = spark.createDataFrame([("r", "a", 0, 1.0), ("r", "b", 1, 0.5), ("b", "c", 0, 2.0)], "parent string, child string, child_ord int, length double").withColumn("g", F.lit(1))
     assert phylo.tree_text(tree, ["g"]).first()["text"] == "r\n  a: 1.0000\n  b: 0.5000\n    c: 2.0000"
+
+
+def test_trim_of_a_whole_table(spark):
+    from helixframe.operators import spectra
+
+    df = spark.createDataFrame([(i, s) for i, s in enumerate([5, 9, 7, 7, 3, 7, 9])], "id long, score int")
+    assert sorted(x["id"] for x in spectra.trim(df, 3).collect()) == [1, 2, 3, 5, 6]
+    assert sorted(x["id"] for x in spectra.trim(df, 99).collect()) == list(range(7)) and spectra.trim(df.limit(0), 2).count() == 0
