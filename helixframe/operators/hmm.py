@@ -321,6 +321,12 @@ def model_rows(spark, m: Model) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def model_text(m: Model) -> str:
+    """The states, and both matrices a row a line, under their titles."""
+    rows = lambda a: "".join(" ".join(str(float(x)) for x in r) + "\n" for r in a)
+    return f"States:\n{' '.join(m.states)}\n\nTransition Matrix:\n{rows(m.transition)}\nEmission Matrix:\n{rows(m.emission)}"
+
+
 def full_transition(compact: np.ndarray) -> np.ndarray:
     """The n x n matrix of a compact one, whose three columns are where a state may go (the last three rows: first and last column)."""
     size = len(compact)

@@ -250,18 +250,24 @@ def padded(rows: DataFrame, by: list[str], seq: str = "seq") -> DataFrame:
     return rows.join(size, by).withColumn(seq, F.rpad(seq, F.col("_n"), F.lit("-"))).drop("_n")
 
 
-def tree_text(tree_rows: DataFrame, by: list[str], indent: str = "  ") -> DataFrame:
-    """by, text: a line a node, indented by its depth, with the length of the edge above it to four places."""
+def tree_text(tree_rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, text: a node's name, and for each child, two spaces further in, a line "|-- name (len=x)", x to four places, and the child's own text
+    another two further in."""
 
     def run(key: tuple, edges: pd.DataFrame) -> pd.DataFrame:
         below: dict[str, list[tuple]] = {}
         for p, c, o, x in edges[["parent", "child", "child_ord", "length"]].itertuples(index=False, name=None):
-            below.setdefault(p, []).append((o, c, x))
-        todo, lines = [(next(iter(set(below) - set(edges["child"]))), 0, None)], []
+            below.setdefault(str(p), []).append((o, str(c), x))
+        root = next(iter(set(below) - set(map(str, edges["child"]))))
+        todo, lines = [(0, root, None)], []  # depth, node, the length above it; a node with a length has its own text still to come
         while todo:
-            node, depth, x = todo.pop()
-            lines.append(indent * depth + node + ("" if x is None else f": {x:.4f}"))
-            todo += [(c, depth + 1, y) for _, c, y in sorted(below.get(node, []), reverse=True)]
+            depth, node, x = todo.pop()
+            if x is not None:
+                lines.append("  " * depth + f"|-- {node} (len={x:.4f})")
+                todo.append((depth + 1, node, None))
+            else:
+                lines.append("  " * depth + node)
+                todo += [(depth + 1, c, y) for _, c, y in sorted(below.get(node, []), reverse=True)]
         return pd.DataFrame([(*key, "\n".join(lines))])
 
     kinds = ", ".join(f"{c} {tree_rows.schema[c].dataType.simpleString()}" for c in by)

@@ -216,6 +216,13 @@ SELECT {key}, dm, [cl[k] FOR k IN range(1, len(cl) + 1) IF k <> pr.i AND k <> pr
 ue AS (SELECT {key}, new - 1 AS parent, a.l AS child, 0 AS child_ord, pr.d / 2 - a.age AS length, pr.d / 2 AS age FROM u WHERE step > 0 UNION ALL SELECT {key}, new - 1, b.l, 1, pr.d / 2 - b.age, pr.d / 2 FROM u WHERE step > 0)"""
 
 
+def _text_sql(merged: str, key: str) -> str:
+    """The text of a tree as a list of lines, built as clusters merge."""
+    child = lambda k: f"['  |-- ' || cl[pr.{k}].l || ' (len=' || printf('%.4f', pr.d / 2 - cl[pr.{k}].age) || ')'] || ['    ' || x FOR x IN cl[pr.{k}].t]"
+    with_lines = merged.replace("{'l': new, ", f"{{'t': [new::VARCHAR] || {child('i')} || {child('j')}, 'l': new, ").replace("{'l': names[k], ", "{'t': [names[k]::VARCHAR], 'l': names[k], ").replace("{'l': x, 'm'", "{'t': [x::VARCHAR], 'l': x, 'm'")
+    return f"{with_lines}, tx AS (SELECT {key}, array_to_string(cl[1].t, chr(10)) AS text FROM u WHERE len(cl) = 1)"
+
+
 _START = "st AS (SELECT region, dm, [{'l': names[k], 'm': [k], 'age': 0.0::DOUBLE} FOR k IN range(1, len(names) + 1)] AS cl, list_max(names) + 1 AS new FROM nm JOIN dm USING (region))"
 _UPGMA = _REGION + ", " + _HAM + ", " + _MATRIX + ", " + merges(_START)
 _NJ = _REGION + ", " + _HAM + ", " + _MATRIX + """, u AS (SELECT region, [x::VARCHAR FOR x IN names] AS l, dm AS d, 0 AS i, 0 AS j, NULL::VARCHAR[] AS before, NULL::DOUBLE[][] AS was FROM nm JOIN dm USING (region) UNION ALL
@@ -371,7 +378,7 @@ def aged(tree):
 
 @query("cl9_hierarchical", P.with_("nations", more=_REGION + ", " + _HAM + ", " + _MATRIX + ", " + merges(_START, 12)) + "SELECT region, parent::INT AS parent, child::INT AS child, round(length, 6) + 0.0 AS length, round(age, 6) + 0.0 AS age FROM ue")
 def cl9(spark, d):
-    return aged(C.hierarchy(region_distances(spark, d), ["region"]))
+    return aged(C.hierarchy(region_distances(spark, d), ["region"])).drop("child_ord")
 
 
 _EIGHT = """pts AS (SELECT point_id // 8 AS g, point_id, features FROM points), pp AS (SELECT a.g, a.point_id AS i, b.point_id AS j, a.features AS x, b.features AS y FROM pts a JOIN pts b ON a.g = b.g),
@@ -386,6 +393,12 @@ def eights(spark, d, linkage):
     return aged(C.hierarchy(dist, ["g"], linkage)).select("g", "parent", "child", "length", "age")
 
 
+@query("cl4_tree_text", P.with_("points", more=_text_sql(merges(_EIGHT, 12, "list_avg", "g"), "g")) + "SELECT g, text FROM tx")
+def cl4_tree(spark, d):
+    pts = P.points(spark, d).withColumn("g", F.floor(F.col("point_id") / 8))
+    return T.tree_text(C.hierarchy(C.distance_rows(pts, ["g"], "pearson").withColumn("d", F.round("d", 9)), ["g"]), ["g"])
+
+
 def _linked(join: str) -> str:
     return P.with_("points", more=merges(_EIGHT, 12, join, "g")) + "SELECT g, parent::INT AS parent, child::INT AS child, round(length, 6) + 0.0 AS length, round(age, 6) + 0.0 AS age FROM ue"
 
@@ -554,14 +567,20 @@ def ph13(spark, d):
     return found.groupBy("region", "parent", "child").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ph5_tree_text", P.with_("nations", more=_UPGMA.replace("{'l': new, ", "{'t': [new::VARCHAR] || ['  ' || x FOR x IN [cl[pr.i].t[1] || ': ' || printf('%.4f', pr.d / 2 - cl[pr.i].age)] || cl[pr.i].t[2:]] || ['  ' || x FOR x IN [cl[pr.j].t[1] || ': ' || printf('%.4f', pr.d / 2 - cl[pr.j].age)] || cl[pr.j].t[2:]], 'l': new, ").replace("[{'l': names[k], ", "[{'t': [names[k]::VARCHAR], 'l': names[k], ")) + "SELECT region, array_to_string(cl[1].t, chr(10)) AS text FROM u WHERE len(cl) = 1")
+@query("ph5_tree_text", P.with_("nations", more=_text_sql(_UPGMA, "region")) + "SELECT region, text FROM tx")
 def ph5_text(spark, d):
     return T.tree_text(T.trees(region_distances(spark, d), ["region"]), ["region"])
 
 
-@query("cl4_format", P.with_("points", more=_FIRST + ", a0 AS (SELECT point_id, features, c FROM (SELECT p.*, c, row_number() OVER (PARTITION BY point_id ORDER BY round(list_distance(features, m), 12), c) AS r FROM points p, c0) WHERE r = 1), f0 AS (SELECT c, '(' || array_to_string([printf('%.1f', x) FOR x IN features], ', ') || ')' AS t FROM a0)") + "SELECT c::INT AS cluster, '[' || string_agg(t, ', ' ORDER BY t) || ']' AS text FROM f0 GROUP BY c")
+@query("cl4_format", P.with_("points", more=_FIRST + ", a0 AS (SELECT point_id, features, c FROM (SELECT p.*, c, row_number() OVER (PARTITION BY point_id ORDER BY round(list_distance(features, m), 12), c) AS r FROM points p, c0) WHERE r = 1), f0 AS (SELECT c, point_id, '(' || array_to_string([printf('%.1f', x) FOR x IN features], ', ') || ')' AS t FROM a0)") + "SELECT c::INT AS cluster, 'Cluster ' || (c + 1) || ': [' || string_agg(t, ', ' ORDER BY point_id) || '] and centre = (' || (SELECT array_to_string([printf('%.1f', x) FOR x IN m], ', ') FROM c0 WHERE c0.c = f0.c) || ')' AS text FROM f0 GROUP BY c")
 def cl4(spark, d):
-    return C.format_clusters(C.nearest(P.points(spark, d), first_points(spark, d, 3)))
+    centres = first_points(spark, d, 3)
+    return C.format_clusters(C.nearest(P.points(spark, d), centres), centres)
+
+
+@query("hm2_model_text", "SELECT 'States:' || chr(10) || 'A B' || chr(10) || chr(10) || 'Transition Matrix:' || chr(10) || '0.8 0.2' || chr(10) || '0.3 0.7' || chr(10) || chr(10) || 'Emission Matrix:' || chr(10) || '0.4 0.3 0.2 0.1' || chr(10) || '0.1 0.2 0.3 0.4' || chr(10) AS text")
+def hm2(spark, d):
+    return spark.createDataFrame([(H.model_text(MODEL),)], "text string")
 
 
 @query("hm10_expected_transitions", P.with_("items", more=", ".join([_ALL, _sums(0, "hm0")])) + "SELECT item_id, (s - 1)::INT AS src, (j - 1)::BIGINT AS dst, round(n, 6) AS n FROM xi0")

@@ -132,7 +132,7 @@ def test_matrices_and_empty_paths(spark):
     empty = spark.createDataFrame([([],), (["ACG", "CGT"],)], "nodes array<string>").select(assembly.path_to_genome(F.col("nodes")).alias("g"))
     assert [x["g"] for x in empty.collect()] == ["", "ACGT"]
     tree = spark.createDataFrame([("r", "a", 0, 1.0), ("r", "b", 1, 0.5), ("b", "c", 0, 2.0)], "parent string, child string, child_ord int, length double").withColumn("g", F.lit(1))
-    assert phylo.tree_text(tree, ["g"]).first()["text"] == "r\n  a: 1.0000\n  b: 0.5000\n    c: 2.0000"
+    assert phylo.tree_text(tree, ["g"]).first()["text"] == "r\n  |-- a (len=1.0000)\n    a\n  |-- b (len=0.5000)\n    b\n      |-- c (len=2.0000)\n        c"
 
 
 def test_trim_of_a_whole_table(spark):
