@@ -109,6 +109,12 @@ def contigs(kmers: DataFrame, by: list[str], cycle_per_node: bool = False) -> Da
     each round every edge takes over what its successor has reached, so log2(longest path) rounds do. Isolated cycles are spelled from
     their smallest node, once, or once for each of their nodes with cycle_per_node.
     """
+    own = [f"_by{i}" for i in range(len(by))]  # apart from the names used here
+    found = _contigs(kmers.select(*[F.col(b).alias(o) for b, o in zip(by, own)], "kmer"), own, cycle_per_node)
+    return found.select(*[F.col(o).alias(b) for b, o in zip(by, own)], "contig", "n_edges")
+
+
+def _contigs(kmers: DataFrame, by: list[str], cycle_per_node: bool) -> DataFrame:
     e = edges(kmers).select(*by, "src", "dst").withColumn("id", F.struct("src", "dst", F.row_number().over(_each(by))))
     inner = degrees(e, by).where("in_degree = 1 AND out_degree = 1").select(*by, F.col("node"))
     e = checkpoint(e)

@@ -78,6 +78,11 @@ def sa5(spark, d):
     return traced(A.align(nation_pairs(spark, d), "affine"), "id", "id2", extend=0.5)
 
 
+@query("sa5_middle_only", P.with_("nations", more=PAIRS + ", " + _AFFINE) + "SELECT id, id2, trunc(m[-1]) AS score FROM t WHERE i = length(v)")
+def sa5_middle(spark, d):
+    return A.align(nation_pairs(spark, d), "affine", middle_only=True).select("id", "id2", "alignment.score")
+
+
 @query("sa6_linear_space", P.with_("nations", more=PAIRS + ", " + _GLOBAL) + "SELECT id, id2, r[-1] AS score FROM t WHERE i = length(v)")
 def sa6(spark, d):
     return scores(spark, d, "linear_space")

@@ -66,11 +66,15 @@ def of6_all(spark, d):
     return kmers.frequent_kmers(P.items(spark, d), 7, 1, ["item_id"], dedupe=False)
 
 
-@query("of6_frequent_kmers", P.with_("items", more=_TOTALS + """, fp AS (SELECT item_id, kmer, min(pos) AS p FROM kk GROUP BY ALL), nl AS (SELECT item_id, u, list(y) AS ys FROM al GROUP BY ALL),
+_FREQUENT = _TOTALS + """, fp AS (SELECT item_id, kmer, min(pos) AS p FROM kk GROUP BY ALL), nl AS (SELECT item_id, u, list(y) AS ys FROM al GROUP BY ALL),
 od AS (SELECT f.item_id, f.kmer, ys, row_number() OVER (PARTITION BY f.item_id ORDER BY p) AS r FROM fp f JOIN nl ON nl.item_id = f.item_id AND nl.u = f.kmer),
 gd AS (SELECT DISTINCT item_id, 0::BIGINT AS r, []::VARCHAR[] AS cov, NULL::VARCHAR AS pick FROM od UNION ALL
-SELECT gd.item_id, od.r, CASE WHEN list_contains(cov, kmer) THEN cov ELSE cov || ys END, CASE WHEN list_contains(cov, kmer) THEN NULL ELSE kmer END FROM gd JOIN od ON od.item_id = gd.item_id AND od.r = gd.r + 1)""") + """SELECT item_id, kmer, total FROM
-(SELECT t.item_id, t.kmer, total, rank() OVER (PARTITION BY t.item_id ORDER BY total DESC) AS q FROM gd JOIN tot t ON t.item_id = gd.item_id AND t.kmer = pick) WHERE q = 1""")
+SELECT gd.item_id, od.r, CASE WHEN list_contains(cov, kmer) THEN cov ELSE cov || ys END, CASE WHEN list_contains(cov, kmer) THEN NULL ELSE kmer END FROM gd JOIN od ON od.item_id = gd.item_id AND od.r = gd.r + 1)"""
+_CHOSEN = """SELECT item_id, kmer, total FROM
+(SELECT t.item_id, t.kmer, total, rank() OVER (PARTITION BY t.item_id ORDER BY total DESC) AS q FROM gd JOIN tot t ON t.item_id = gd.item_id AND t.kmer = pick) WHERE q = 1"""
+
+
+@query("of6_frequent_kmers", P.with_("items", more=_FREQUENT) + _CHOSEN)
 def of6(spark, d):
     return kmers.frequent_kmers(P.items(spark, d), 7, 1, ["item_id"])
 
@@ -89,6 +93,19 @@ def of7(spark, d):
     return kmers.origin_windows(docs, 500).select("doc_id", "window", "start", "part")
 
 
+_ORIGIN = _SKEW.replace("doc_id", "item_id").replace("FROM dna", "FROM items") + """, p AS (SELECT item_id, seq, pos AS p, length(seq) AS n FROM items JOIN r USING (item_id) WHERE r = 1),
+wi AS (SELECT item_id * 3 AS item_id, substr(seq, (greatest(p - 60, 0) + 1)::BIGINT, (p - greatest(p - 60, 0))::BIGINT) AS seq FROM p UNION ALL SELECT item_id * 3 + 1, substr(seq, (greatest(p - 30, 0) + 1)::BIGINT, (least(p + 30, n) - greatest(p - 30, 0))::BIGINT) FROM p
+UNION ALL SELECT item_id * 3 + 2, substr(seq, (p + 1)::BIGINT, (least(p + 60, n) - p)::BIGINT) FROM p), """
+
+
+@query("of_origin_search", P.with_("items", more=_ORIGIN + _FREQUENT.replace("FROM items", "FROM wi")) + _CHOSEN.replace("SELECT item_id, kmer, total FROM", "SELECT item_id // 3 AS item_id, (item_id % 3)::INT AS place, kmer, total FROM", 1))
+def of_origin(spark, d):
+    """The whole search: the skew's minimum, three windows around it, the frequent k-mers of each."""
+    at = P.items(spark, d).where("seq <> ''").withColumn("skew_pos", kmers.skew_minimum(F.col("seq")))
+    windows = kmers.origin_windows(at, 60).withColumn("place", F.array_position(F.array(*map(F.lit, ("before", "around", "after"))), F.col("window")).cast("int") - 1)
+    return kmers.frequent_kmers(windows.select("item_id", "place", F.col("part").alias("seq")), 7, 1, ["item_id", "place"])
+
+
 @query("gs1_path_to_genome", P.with_("dna") + "SELECT doc_id, seq AS genome FROM dna WHERE length(seq) >= 5")
 def gs1(spark, d):
     docs = P.documents(spark, d).where("length(seq) >= 5")
@@ -155,6 +172,18 @@ def gs9(spark, d):
     return assembly.contigs(kmers.kmers(P.items(spark, d), 8), ["item_id"]).select("item_id", "contig", "n_edges")
 
 
+@query("gs9_circular_contigs", P.with_("nations", more="ring AS (SELECT id, seq || left(seq, 5) AS seq FROM nations), " + kmer_cte("k", "ring", "id", 6) + """, e AS (SELECT id AS g, left(kmer, 5) AS src, right(kmer, 5) AS dst FROM kk),
+dg AS (SELECT g, node, sum(o) AS o, sum(i) AS i FROM (SELECT g, src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT g, dst, 0, 1 FROM e) GROUP BY ALL), inn AS (SELECT g, node FROM dg WHERE o = 1 AND i = 1),
+w AS (SELECT e.g, e.dst, e.src || right(e.dst, 1) AS contig, 1 AS n FROM e ANTI JOIN inn ON inn.g = e.g AND inn.node = e.src UNION ALL
+SELECT w.g, e.dst, contig || right(e.dst, 1), n + 1 FROM w JOIN inn ON inn.g = w.g AND inn.node = w.dst JOIN e ON e.g = w.g AND e.src = w.dst),
+y AS (SELECT e.g, e.src AS s, e.dst, e.src || right(e.dst, 1) AS contig, 1 AS n FROM e JOIN inn ON inn.g = e.g AND inn.node = e.src UNION ALL
+SELECT y.g, s, e.dst, contig || right(e.dst, 1), n + 1 FROM y JOIN inn ON inn.g = y.g AND inn.node = y.dst JOIN e ON e.g = y.g AND e.src = y.dst WHERE y.dst <> s)""") + """SELECT g AS id, contig, n AS n_edges FROM w ANTI JOIN inn ON inn.g = w.g AND inn.node = w.dst UNION ALL SELECT g, contig, n FROM y WHERE dst = s""")
+def gs9_circular(spark, d):
+    """Circular sequences, whose cycles are spelled from each of their nodes."""
+    ring = P.nations(spark, d).select("id", F.concat("seq", F.left("seq", F.lit(5))).alias("seq"))
+    return assembly.contigs(kmers.kmers(ring, 6), ["id"], cycle_per_node=True).select("id", "contig", "n_edges")
+
+
 @query("pm1_burrows_wheeler", P.with_("items", more="r AS (SELECT item_id, seq, unnest(range(0, length(seq))) AS i FROM items), s AS (SELECT item_id, i, substr(seq, i + 1) || left(seq, i) AS rot FROM r)") + "SELECT item_id, string_agg(right(rot, 1), '' ORDER BY rot, i) AS bwt FROM s GROUP BY item_id")
 def pm1(spark, d):
     return patterns.burrows_wheeler(P.items(spark, d)).select("item_id", "bwt")
