@@ -588,7 +588,7 @@ def hm2(spark, d):
     return spark.createDataFrame([(H.model_text(MODEL),)], "text string")
 
 
-@query("hm10_expected_transitions", P.with_("items", more=", ".join([_ALL, _sums(0, "hm0")])) + "SELECT item_id, (s - 1)::INT AS src, (j - 1)::BIGINT AS dst, round(n, 6) AS n FROM xi0")
+@query("hm10_expected_transitions", P.with_("items", more=", ".join([_ALL, _sums(0, "hm0")])) + "SELECT item_id, (s - 1)::INT AS src, (j - 1)::INT AS dst, round(n, 6) AS n FROM xi0")
 def hm10(spark, d):
     e = H.expected(P.items(spark, d), MODEL, "item_id")
     return e.select("item_id", "src", "dst", F.round("n", 6).alias("n"))

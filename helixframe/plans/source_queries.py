@@ -19,7 +19,7 @@ def io1(spark, d):
     path = scratch(spark)
     lines = F.concat(F.lit(">one\n"), F.regexp_replace("seq", "(.{10})", "$1\n"))
     P.nations(spark, d).select("id", lines.alias("value")).write.partitionBy("id").text(path)
-    return fasta.single_fasta(spark, f"{path}/*").select(F.regexp_extract("file", "id=([0-9]+)", 1).cast("long").alias("id"), "seq")
+    return fasta.single_fasta(spark, f"{path}/*").select(F.regexp_extract("file", "id=([0-9]+)", 1).cast("int").alias("id"), "seq")
 
 
 @query("io2_multi_fasta", P.with_("items") + "SELECT item_id, seq FROM items")
