@@ -15,7 +15,7 @@ orders are used: H1 and H2 order tokens by two hashes, DF by document frequency
 6. Candidate pairs so far are pairs of ids, from the DF order. The prefixes under H1 and H2 meet next, without the sets; only pairs that share a
    token under all three orders are verified, and only their sets travel.
 
-Tokens that very many nodes hold are spread over SPREAD tasks wherever nodes meet by token.
+Tokens of MANY nodes are spread over SPREAD tasks wherever nodes meet by token.
 
 Components come from label propagation with pointer jumping; lineage is cut by checkpoints.
 
@@ -48,7 +48,7 @@ U8 = np.uint64
 NOBODY = 0xFFFF
 CLASS_BITS = 6
 PART_TOKENS = 2_000_000
-SPREAD = 16  # tasks that the nodes of one token are dealt to
+MANY, SPREAD = 256, 16  # nodes from which a token is spread, and the tasks that it is dealt to
 LETTERS = mix(np.arange(1, 257, dtype=U8))
 
 
@@ -249,8 +249,9 @@ def _distinct(nodes: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def postings(sets: DataFrame, ranges: int, percent: int) -> DataFrame:
-    """token, d1, id, n, s, v: the DF prefix tokens that more than one node holds, their node's size, how many of
-    all its tokens more than one node holds, and these counted by class of hash (null where a count is too large)."""
+    """token, d1, id, n, s, df, v: the DF prefix tokens that more than one node holds, their node's size, how many of
+    all its tokens more than one node holds, the nodes that hold the token (up to 65,535 are counted), and the node's shared tokens counted by
+    class of hash (null where a count is too large)."""
 
     def ask(t: pa.Table) -> pa.Table:
         tokens, counts = _distinct(_nodes(t))
@@ -275,24 +276,26 @@ def postings(sets: DataFrame, ranges: int, percent: int) -> DataFrame:
         df = np.concatenate([np.frombuffer(x, np.uint16) for x in replies.column("df").to_pylist()] or [np.empty(0, np.uint16)])
         if len(df) != len(tokens):
             raise RuntimeError(f"{len(df)} frequencies for {len(tokens)} tokens")
-        out, owners, sizes, classes = [], [], [], []
+        out, often, owners, sizes, classes = [], [], [], [], []
         for key, s in nodes.items():
             own = df[np.searchsorted(tokens, s)]
             first = np.lexsort((mix(s, THIRD), own))[: prefix_size(len(s), percent)]
             first = first[own[first] > 1]
             if len(first):
                 out.append(s[first])
+                often.append(own[first].astype(np.int64))
                 owners.append((*key, len(s), int((own > 1).sum())))
                 sizes.append(len(first))
                 c = np.bincount((mix(s[own > 1], THIRD) >> U8(64 - CLASS_BITS)).astype(np.int64), minlength=1 << CLASS_BITS)
                 classes += [c.astype(np.int16) if c.max() < 1 << 15 else None] * len(first)
         who = np.repeat(np.array(owners, np.int64).reshape(-1, 4), sizes, axis=0)
         token = np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
-        return pa.table({"token": token, "d1": np.ascontiguousarray(who[:, 0]), "id": np.ascontiguousarray(who[:, 1]), "n": np.ascontiguousarray(who[:, 2]), "s": np.ascontiguousarray(who[:, 3]), "v": pa.array(classes, pa.list_(pa.int16()))})
+        often = np.concatenate(often) if often else np.empty(0, np.int64)
+        return pa.table({"token": token, "d1": np.ascontiguousarray(who[:, 0]), "id": np.ascontiguousarray(who[:, 1]), "n": np.ascontiguousarray(who[:, 2]), "s": np.ascontiguousarray(who[:, 3]), "df": often, "v": pa.array(classes, pa.list_(pa.int16()))})
 
     asked = sets.groupBy("block").applyInArrow(ask, "r long, block long, tokens binary, counts binary")
     replies = asked.groupBy("r").applyInArrow(add, "block long, r long, df binary")
-    return sets.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(choose, "token long, d1 long, id long, n long, s long, v array<smallint>")
+    return sets.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(choose, "token long, d1 long, id long, n long, s long, df long, v array<smallint>")
 
 
 PAIR = ["a_d1", "a_id", "b_d1", "b_id"]
@@ -372,11 +375,19 @@ def intersected(sets: DataFrame, pairs: DataFrame, blocks: int, percent: int) ->
     return stored(verify(sets, pairs, blocks, percent), small=True)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows (token, id, df) with part: the rows of a token of MANY nodes go to SPREAD parts."""
+    return rows.withColumn("part", F.when(F.col("df") > MANY, F.pmod(F.xxhash64("id"), F.lit(SPREAD))).otherwise(0).cast("int"))
+
+
+def copied(rows: DataFrame) -> DataFrame:
+    """rows (token, df) in every part to which the token's rows are dealt."""
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("df") > MANY, SPREAD - 1).otherwise(0))))
+
+
 def by_token(many: DataFrame, one: DataFrame, how: str = "inner") -> DataFrame:
-    """many (with id) and one, which has few rows a token, joined on token. The rows of a token are dealt to SPREAD tasks."""
-    left = many.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int"))
-    right = one.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    return left.join(right, ["token", "_part"], how).drop("_part")
+    """many and one, which has few rows a token, joined on token."""
+    return dealt(many).join(copied(one).drop("df"), ["token", "part"], how).drop("part")
 
 
 def links(rows: DataFrame, meta: DataFrame, percent: int, n: int) -> DataFrame:
@@ -391,7 +402,7 @@ def links(rows: DataFrame, meta: DataFrame, percent: int, n: int) -> DataFrame:
     post = stored(postings(sets, max(parts, tokens // 1_000_000), percent), small=True)
     # the centre of a token's nodes is the one with the fewest tokens of its own, near which a group of edited copies lies
     node = F.struct((F.col("n") - F.col("s")).alias("own"), "id", "d1", "n", "s")
-    centres = post.groupBy("token").agg(F.min(node).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "c")
+    centres = post.groupBy("token").agg(F.min(node).alias("c"), F.count(F.lit(1)).alias("m"), F.first("df").alias("df")).where("m > 1").select("token", "df", "c")
     # Only tokens that more than one node holds can be common, which bounds the similarity from sizes alone.
     fits = lambda x, y: (100 + percent) * F.least(F.col(f"{x}s"), F.col(f"{y}s")) >= percent * (F.col(f"{x}n") + F.col(f"{y}n"))
     star = by_token(post, centres).where((F.col("id") != F.col("c.id")) | (F.col("d1") != F.col("c.d1")))
@@ -401,22 +412,21 @@ def links(rows: DataFrame, meta: DataFrame, percent: int, n: int) -> DataFrame:
     label = components(joined)
     # what remains: nodes of a token that aren't in its centre's component, against all of the token
     named = post.join(label, post["id"] == label["node"], "left").withColumn("component", F.coalesce("component", "id")).drop("node")
-    own = centres.join(label, F.col("c.id") == label["node"], "left").select("token", "c", F.coalesce("component", F.col("c.id")).alias("main"))
+    own = centres.join(label, F.col("c.id") == label["node"], "left").select("token", "df", "c", F.coalesce("component", F.col("c.id")).alias("main"))
     own = by_token(named, own)
     near = star.select(F.col("a_d1").alias("d1"), F.col("a_id").alias("id"), F.col("b_d1").alias("c_d1"), F.col("b_id").alias("c_id"), "distance")
     own = own.withColumn("c_id", F.col("c.id")).withColumn("c_d1", F.col("c.d1")).join(near, ["d1", "id", "c_d1", "c_id"], "left")
     own = own.withColumn("distance", F.when((F.col("id") == F.col("c_id")) & (F.col("d1") == F.col("c_d1")), F.lit(0.0)).otherwise(F.col("distance")))
-    own = stored(own.select("token", "d1", "id", "n", "s", "v", "component", (F.col("component") == F.col("main")).alias("major"), "distance"), small=True)
+    own = stored(own.select("token", "df", "d1", "id", "n", "s", "v", "component", (F.col("component") == F.col("main")).alias("major"), "distance"), small=True)
     minor = own.where("NOT major")
-    x = minor.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).alias("x")
-    y = by_token(own, minor.select("token").distinct(), "left_semi").withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")).alias("y")
+    x, y = copied(minor).alias("x"), dealt(by_token(own, minor.select("token", "df").distinct(), "left_semi")).alias("y")
     apart = F.abs(F.col("x.distance") - F.col("y.distance")) > (1 - percent / 100 + 1e-9)
     # tokens of one class can only be common with tokens of that class
     most = F.aggregate(F.zip_with("x.v", "y.v", lambda a, b: F.least(a, b).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
     enough = (100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n"))
     rest = x.join(
         y,
-        (F.col("x.token") == F.col("y.token")) & (F.col("x._part") == F.col("y._part")) & (F.col("x.component") != F.col("y.component")) & fits("x.", "y.")
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.component") != F.col("y.component")) & fits("x.", "y.")
         & (F.col("y.major") | (F.col("x.id") < F.col("y.id"))) & ~F.coalesce(apart, F.lit(False)) & F.coalesce(enough, F.lit(True)),
     )
     rest = rest.select(*[F.col(f"{s}.{c}").alias(f"{t}_{c}") for s, t in (("x", "a"), ("y", "b")) for c in ("d1", "id")]).distinct()
