@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language_id, packing, quality_rules, sentence_pieces, sharding, suffix_dedup, token_counts, url_filters
+from . import alignment, exact_dedup, jaccard_join, language_id, neighbours, packing, quality_rules, sentence_pieces, sharding, suffix_dedup, token_counts, url_filters
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,8 @@ QUERIES = {
         exact_dedup.op8_exact_dedup,
         sentence_pieces.op9_sentence_pieces,
         language_id.op10_language_id,
+        neighbours.op11_neighbours,
+        alignment.op12_token_alignment,
     )
 }
 ORACLE_SQL = {"op1_quality_rules": quality_rules.SQL, "op2_sharding": sharding.SQL, "op8_exact_dedup": exact_dedup.SQL}
