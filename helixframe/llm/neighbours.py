@@ -4,7 +4,8 @@ Vectors are dealt into shards by a hash of their ids, so that a group of like or
 shard at a time: it builds the graph as the shard's rows arrive, then beam-searches it for every query, which arrive behind them in
 batches. Each shard offers its best k, and of all offers the best k of each query stay.
 
-Vectors are lengthened by one component to a common length within the shard, where the largest inner product is the smallest distance. A graph
+A shard's vectors are parted into bands of like length, each with a graph of its own; a query is done with a band if its product with the band's longest
+vector could not be among its best. In a band vectors are lengthened by one component to a common length, where the largest inner product is the smallest distance. A graph
 is built in batches: a greedy search of the graph so far proposes neighbours of each new vector; relaxed distance pruning keeps a candidate
 unless a kept one is nearer to it by the factor `alpha`, so that kept edges lead different ways; edges are added backwards and pruned again; a
 second pass over all vectors does the same with the whole graph. Vectors that no path reaches are places where searches start. Equal
@@ -35,6 +36,7 @@ from .common import lean, table
 SHARDS = 16  # at least
 SHARD_BYTES = 4 << 20
 DEGREE, BEAM, ALPHA = 32, 96, 1.2
+BAND, BAND_ROWS = 1.25, 96  # lengths of a band's vectors differ by this factor at most, unless they are fewer
 BUILD_BEAM = 64  # at most, while the graph is built
 BATCH = 256  # vectors searched at a time
 CELLS = 1 << 22  # entries of a temporary array
@@ -178,7 +180,7 @@ class Graph:
 
 
 class Shard:
-    """Distinct vectors of one length with the smallest ids of each, and their graph."""
+    """Distinct vectors of one length with the smallest ids of each, and the graphs of their bands."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, degree: int, beam: int, alpha: float):
         self.k, self.beam = k, beam
@@ -189,18 +191,40 @@ class Shard:
         pairs = pairs[place <= k]
         self.ids = pairs[:, 1]
         self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.x) + 1))
-        self.scale = max(float(np.abs(self.x).max()), np.finfo(float).tiny)  # squares of large components stay finite
-        small = self.x / self.scale
+        small = self.x / max(float(np.abs(self.x).max()), np.finfo(float).tiny)  # squares of large components stay finite
         square = np.einsum("ij,ij->i", small, small)
-        self.graph = Graph(np.concatenate((small, np.sqrt(np.maximum(square.max() - square, 0))[:, None]), axis=1), degree, beam, alpha)
+        order = np.argsort(-square, kind="stable")
+        self.bands = []
+        at = 0
+        while at < len(order):
+            least = square[order[at]] / BAND**2
+            stop = max(int(np.searchsorted(-square[order], -least, "right")), at + BAND_ROWS)
+            stop = len(order) if len(order) - stop < BAND_ROWS else stop
+            own = order[at:stop]
+            y = np.concatenate((small[own], np.sqrt(np.maximum(square[own[0]] - square[own], 0))[:, None]), axis=1)
+            longest = np.sqrt(max((self.x[own] ** 2).sum(1).max(), np.finfo(float).tiny))
+            self.bands.append((own, longest, Graph(y, degree, beam, alpha)))
+            at = stop
 
     def best(self, own: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row of q, id and score of up to k neighbours of each, without its own id."""
-        size = np.abs(q).max(1, keepdims=True)
-        nodes, _ = self.graph.search(np.concatenate((q / size, np.zeros((len(q), 1))), axis=1), max(self.beam, self.k + 1))
-        row, col = np.nonzero(nodes >= 0)
-        node = nodes[row, col]
-        score = exact(q, row, self.x, node)
+        length = np.sqrt((q**2).sum(1))
+        beam = max(self.beam, self.k + 1)
+        found, top = [], np.full((len(q), self.k + 1), -np.inf)
+        for members, longest, graph in self.bands:
+            r = np.flatnonzero(length * longest * (1 + 1e-9) >= top[:, -1])  # no product of the others can be among their best
+            if not len(r):
+                continue
+            unit = q[r] / np.abs(q[r]).max(1, keepdims=True)
+            nodes, _ = graph.search(np.concatenate((unit, np.zeros((len(r), 1))), axis=1), beam)
+            i, col = np.nonzero(nodes >= 0)
+            node = members[nodes[i, col]]
+            score = exact(q, r[i], self.x, node)
+            found.append((r[i], node, score))
+            new = np.full(nodes.shape, -np.inf)
+            new[i, col] = score
+            top[r] = -np.sort(-np.concatenate((top[r], new), axis=1), axis=1)[:, : self.k + 1]
+        row, node, score = (np.concatenate(x) for x in zip(*found))
         many = self.first[node + 1] - self.first[node]
         at = np.repeat(self.first[node] - np.cumsum(many) + many, many) + np.arange(many.sum())
         row, score, ids = np.repeat(row, many), np.repeat(score, many), self.ids[at]
