@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ from .common import lean, table
 from .token_counts import byte_letters, load
 
 BLOCK_CHARS = 32 << 20  # of a block's documents, unless one alone is longer
+PAIRS = 2_000_000  # linked pairs of ids that are sent to every executor, 34 MB
+PACK_ROWS = 200_000
 TOGETHER = 4096  # segments tokenised in one string
 MARK = "\u2581"
 BLANK = "\\s\u180e"  # what any version of the patterns may take for white space
@@ -236,26 +239,98 @@ def pair_counts(known: DataFrame) -> DataFrame:
     return counts.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy(second)))
 
 
+def scored(known: DataFrame, counts: DataFrame, most: int) -> DataFrame:
+    """known with n_best and count_sum of each segment, for its pairs. Up to `most` pairs are sent to the executors, more are joined."""
+    rest = known.select("segment", "seg", "pairs", "n_a", "n_b", "n_groups", "groups")
+    if counts.count() > most:
+        links = known.select("seg", F.explode("pairs").alias("pair")).join(counts, "pair")
+        sums = links.groupBy("seg").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+        return rest.drop("pairs").join(sums, "seg", "left").drop("seg")
+    held = counts.orderBy("pair").toArrow()
+    sent = known.sparkSession.sparkContext.broadcast([held.column(c).to_numpy() for c in ("pair", "count", "best")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, count, best = sent.value
+        total = [np.concatenate(([0], x)) for x in (best.astype(np.int64), count)]
+        for b in batches:
+            links = b.column("pairs")
+            of = np.repeat(np.arange(len(links)), links.value_lengths().fill_null(0).to_numpy())
+            flat = links.flatten().to_numpy()
+            at = np.searchsorted(pair, flat)
+            hit = np.flatnonzero(at < len(pair))
+            hit = hit[pair[at[hit]] == flat[hit]]  # all but those of documents without tokens
+            sums = []
+            for t in total:
+                x = np.zeros(len(links), np.int64)
+                np.add.at(x, of[hit], t[at[hit] + 1])
+                sums.append(pa.array(x))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), *sums], [*own, "n_best", "count_sum"])
+
+    own = ("segment", "n_a", "n_b", "n_groups", "groups")
+    return rest.drop("seg").mapInArrow(lean(run), "segment string, n_a long, n_b long, n_groups long, groups string, n_best long, count_sum long")
+
+
+NUMBERS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
+
+
+def packed(code: np.ndarray, numbers: np.ndarray, groups: list[str]) -> bytes:
+    """Some entries of a block's list; groups are empty where there are no tokens."""
+    plain = struct.pack("<I", len(code)) + code.astype("<u4").tobytes() + numbers.T.astype("<i8").tobytes() + "\n".join(groups).encode()
+    return struct.pack("<I", len(plain)) + pa.Codec("zstd").compress(plain, asbytes=True)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    (size,) = struct.unpack_from("<I", data)
+    plain = pa.Codec("zstd").decompress(memoryview(data)[4:], decompressed_size=size, asbytes=True)
+    (n,) = struct.unpack_from("<I", plain)
+    ends = 4 + 4 * n, 4 + 4 * n + 8 * n * len(NUMBERS)
+    return np.frombuffer(plain[4 : ends[0]], "<u4"), np.frombuffer(plain[ends[0] : ends[1]], "<i8").reshape(len(NUMBERS), n).T, plain[ends[1] :].decode().split("\n")
+
+
+def packs(payload: DataFrame) -> DataFrame:
+    """Rows of one block that a task holds at a time in one, as they take much less so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            t = t.take(pa.array(np.argsort(t.column("block").to_numpy(), kind="stable")))
+            block, code = t.column("block").to_numpy(), t.column("code").to_numpy()
+            numbers = np.stack([t.column(c).fill_null(0).to_numpy() for c in NUMBERS], axis=1)
+            groups = t.column("groups").fill_null("").to_pylist()
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            data = [packed(code[a:z], numbers[a:z], groups[a:z]) for a, z in zip(cuts, cuts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array(data, pa.binary())], ["block", "data"])
+
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= PACK_ROWS:
+                yield out(held)
+                held, n = [], 0
+        if held:
+            yield out(held)
+
+    return payload.select("block", "code", *NUMBERS, "groups").mapInArrow(lean(run), "block long, data binary")
+
+
 def compose(docs: DataFrame, payload: DataFrame, key: str) -> DataFrame:
     """Documents put together from their blocks' lists."""
-    names = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
     kind = docs.schema["key"].dataType.simpleString()
-    lists = payload.select("block", F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("key"), F.lit(None).cast("array<int>").alias("codes"), "code", *names, "groups")
-    texts = docs.select("block", F.lit(1).alias("kind"), "key", "codes", F.lit(None).cast("int").alias("code"), *[F.lit(None).cast("long").alias(n) for n in names], F.lit(None).cast("string").alias("groups"))
-    both = lists.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
+    lists = packs(payload).select("block", F.lit(0).alias("kind"), "data")
+    texts = docs.select("block", F.lit(1).alias("kind"), "key", "codes")
+    both = lists.unionByName(texts, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held, numbers, groups = None, [], None, None
 
         def ready() -> None:
             nonlocal held, numbers, groups
-            code = np.concatenate([h[0] for h in held] or [np.empty(0, np.int64)])
-            numbers = np.zeros((len(code) + 1, len(names)), np.int64)
-            groups = np.full(len(code) + 1, None, object)
-            at = 0
-            for c, n, g in held:
-                numbers[c], groups[c] = n, g
-                at += len(c)
+            n = sum(len(h[0]) for h in held)
+            numbers, groups = np.zeros((n, len(NUMBERS)), np.int64), np.empty(n, object)
+            for c, values, texts in held:
+                numbers[c], groups[c] = values, texts
             held = []
 
         for b in batches:
@@ -268,17 +343,15 @@ def compose(docs: DataFrame, payload: DataFrame, key: str) -> DataFrame:
                     here, held, numbers = block[a], [], None
                 part = b.slice(a, z - a)
                 if what[a] == 0:
-                    n = np.stack([part.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in names], axis=1)
-                    g = np.array(part.column("groups").to_pylist(), object)
-                    held.append((part.column("code").to_numpy(zero_copy_only=False).astype(np.int64), n, g))
+                    held += [unpacked(x.as_py()) for x in part.column("data")]
                     continue
                 if numbers is None:
                     ready()
-                out, digest = np.zeros((z - a, len(names)), np.int64), []
+                out, digest = np.zeros((z - a, len(NUMBERS)), np.int64), []
                 for i, codes in enumerate(part.column("codes")):
                     codes = codes.values.to_numpy()
                     texts = groups[codes].tolist()
-                    if texts and None not in texts:
+                    if texts and "" not in texts:
                         out[i] = numbers[codes].sum(0)
                         digest.append(hashlib.sha256(";".join(texts).encode()).hexdigest())
                     else:
@@ -289,7 +362,7 @@ def compose(docs: DataFrame, payload: DataFrame, key: str) -> DataFrame:
     return both.mapInArrow(lean(run), f"key {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string").withColumnRenamed("key", key)
 
 
-def align(docs: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def align(docs: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, pairs: int = PAIRS) -> DataFrame:
     """key; n_a, n_b tokens; n_groups: runs of tokens between places where tokens of both end; n_links: pairs of overlapping tokens;
     n_best: links counted as often as any of their second id; count_sum: of the links' counts over all texts; groups_sha256."""
     parts = stored(split(docs, byte_path, piece_path, key, text, block_chars))
@@ -297,10 +370,7 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id",
     lists = parts.where("code >= 0").select("block", "code", "segment", "count")
     known = without(stored(aligned(lists, byte_path, piece_path)), texts, lists)
     counts = stored(pair_counts(known), small=True)
-    links = known.select("seg", F.explode("pairs").alias("pair"))
-    scores = links.join(counts, "pair").groupBy("seg").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    full = known.select("seg", "segment", "n_a", "n_b", "n_groups", "groups").join(scores, "seg", "left").drop("seg")
-    payload = lists.select("block", "code", "segment").join(full, "segment").drop("segment")
+    payload = lists.select("block", "code", "segment").join(scored(known, counts, pairs).hint("merge"), "segment").drop("segment")
     return compose(texts, payload, key)
 
 

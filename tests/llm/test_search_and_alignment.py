@@ -89,11 +89,11 @@ def test_segments_are_tokenised_as_whole_texts_are(libraries):
         assert groups
 
 
-@pytest.mark.parametrize("block", [1 << 20, 200])
-def test_alignment_against_every_pair(spark, libraries, block):
+@pytest.mark.parametrize("block, pairs", [(1 << 20, 10_000), (200, 0)])
+def test_alignment_against_every_pair(spark, libraries, block, pairs):
     rows = [r for r in texts(11, 250)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = alignment.align(docs, A, B, block_chars=block).collect()
+    got = alignment.align(docs, A, B, block_chars=block, pairs=pairs).collect()
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted(map(tuple, got), key=key) == sorted(brute_alignment(rows, libraries), key=key)
     assert got[0].asDict().keys() == {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"}
