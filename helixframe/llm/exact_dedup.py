@@ -11,11 +11,11 @@ the number of such texts by 8 x partitions.
 
 Defined cases: a null text equals an empty one, and a text of only white space too; of equal candidates the smallest id
 stays (null ids last); repeated rows are counted and returned one by one, and of rows alike in id and length exactly
-one is kept; an empty table gives no rows; a text of any length is sorted and compared whole. Further columns of the input are kept as they are
+one is kept (by keep_first the smallest in order of its columns); an empty table gives no rows; a text of any length is sorted and compared whole. Further columns of the input are kept as they are
 by `keep_first`, whatever their names, and not read otherwise.
 
-Splitters are drawn on (the first 32 characters, a hash of the whole, salt), so order across partitions is by these; order within one
-is by the normalised text.
+Splitters are drawn on (the first 32 characters, a hash of the whole, salt), and partitions are in order of these and, within a hash, of the
+normalised text.
 """
 
 from __future__ import annotations
@@ -66,7 +66,11 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     own = docs.select(whole, F.col(key).alias("key"), F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("sha"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("cp"))
     found = own.join(stay, (F.col("sha") == F.col("sha1")) & (F.col("cp") == F.col("cp1")) & F.col("key").eqNullSafe(F.col("id")), "left_semi")
-    return found.dropDuplicates(["key", "cp", "sha"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    # rows alike in id and length: the smallest row, with columns that have no order as JSON
+    loose = {c for c, kind in docs.dtypes if "map<" in kind or "variant" in kind}
+    order = F.struct(*[F.to_json(F.col("row")[c]) if c in loose else F.col("row")[c] for c in docs.columns])
+    least = F.min_by("row", order) if loose else F.min("row")
+    return found.groupBy("key", "cp", "sha").agg(least.alias("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.components import components
 from ..operators.lineage import checkpoint, stored
@@ -435,7 +436,9 @@ def links(rows: DataFrame, meta: DataFrame, percent: int, n: int) -> DataFrame:
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, n: int = 4) -> DataFrame:
-    """One row per row of docs: key, n_shingles (of n words), component_id."""
+    """One row per row of docs: key, n_shingles (of n words), component_id, which is of the key's type."""
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        return _join_named(docs, key, text, percent, n)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     meta = stored(describe(rows, n), small=True)
     known = meta.where("id IS NOT NULL")
@@ -447,7 +450,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     own = edges.join(label, "rep", "left").select("id", F.coalesce("top", "rep").alias("component")).union(label)
     own = own.groupBy("id").agg(F.min("component").alias("component"))
     out = meta.select("id", "n").join(own, "id", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    kind = docs.schema[key].dataType
+    return out.select(F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"))
+
+
+def _join_named(docs: DataFrame, key: str, text: str, percent: int, n: int) -> DataFrame:
+    """The same for keys of any type that has an order: they are numbered in that order."""
+    rows = docs.select(F.col(key).alias("name"), F.col(text).alias("text"))
+    names = stored(rows.select("name").where("name IS NOT NULL").distinct().orderBy("name").select("name", F.monotonically_increasing_id().alias("id")))
+    found = join(rows.join(names, "name", "left").select("id", "text"), "id", "text", percent, n)
+    found = found.join(names, "id", "left").withColumnRenamed("name", key)
+    tops = names.select(F.col("id").alias("component_id"), F.col("name").alias("top"))
+    return found.join(tops, "component_id", "left").select(key, "n_shingles", F.col("top").alias("component_id"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ log-probability matrix (buckets x languages, of fixed size) is broadcast, and te
 each n-gram is one entry of a sparse row, its probabilities are gathered and summed by document.
 
 Defined cases: a null text, and one without a letter, is `und` with score 0; with no labelled row at all every
-text is `und`; equal scores go to the language first in order; repeated rows are each returned; an empty table gives no rows; a text of any
+text is `und`; more than LANGUAGES different labels are an error; equal scores go to the language first in order; repeated rows are each returned; an empty table gives no rows; a text of any
 length is scored whole, slice by slice; only the key, text and label are read.
 """
 
@@ -24,7 +24,8 @@ from .token_counts import byte_batches
 
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
-LETTER = re.compile(r"[^\W\d_]")
+LETTER_LIKE = re.compile(r"[^\W\d_]")  # letters, and numerals that are neither letters nor digits
+LANGUAGES = 1000  # at most: the matrix holds BUCKETS numbers of each
 SLICE_CHARS = 500_000
 BATCH_BYTES = 500_000
 
@@ -43,6 +44,11 @@ def ngram_buckets(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    """Whether it holds a character of a category L."""
+    return any(m[0].isalpha() for m in LETTER_LIKE.finditer(text))
+
+
 def slices(text: str) -> Iterator[str]:
     """Consecutive slices that overlap by what an n-gram needs; a text of usual length is one slice."""
     for i in range(0, max(1, len(text)), SLICE_CHARS):
@@ -70,6 +76,8 @@ def train(labelled: DataFrame, key: str, text: str, label: str, sample_rows: int
 
     counts = rows.mapInArrow(lean(tally), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(counts.column("label").to_pylist()))
+    if len(names) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} labels")
     table_ = np.zeros((BUCKETS + 1, len(names)))
     if names:
         place = {x: i for i, x in enumerate(names)}
@@ -100,7 +108,7 @@ def predict(df: DataFrame, names: list[str], matrix: np.ndarray, key: str, text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in byte_batches(batches, "text", BATCH_BYTES):
             texts = [t.decode() for t in raw]
-            known = [i for i, t in enumerate(texts) if names and LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if names and has_letter(t)]
             pred, prob = ["und"] * len(texts), [0.0] * len(texts)
             if known:
                 s = score([texts[i] for i in known], model.value)

@@ -434,8 +434,8 @@ def repeats(texts: DataFrame, hits: DataFrame, ranges: int, length: int, gram: i
     return runs.groupBy("r").applyInArrow(merge, "block long, data binary")
 
 
-def _cut(text: bytes, starts: list[tuple[int, int]], length: int) -> tuple[bytes, int, int]:
-    """What remains, removed bytes and removed runs."""
+def _cut(text: bytes, starts: list[tuple[int, int]], length: int) -> tuple[list[bytes], int, int]:
+    """The pieces that remain, removed bytes and removed runs."""
     kept, at, removed, runs = [], 0, 0, 0
     lo = hi = -1
     for first, last in [*sorted(starts), (1 << 62, 1 << 62)]:
@@ -447,7 +447,7 @@ def _cut(text: bytes, starts: list[tuple[int, int]], length: int) -> tuple[bytes
         else:
             hi = max(hi, last + length)
     kept.append(text[at:])
-    return b"".join(kept), removed, runs
+    return kept, removed, runs
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, keep: str | None = "binary") -> DataFrame:
@@ -477,20 +477,21 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
             yield b.filter(pa.array(in_bloom(known.value, b.column("bits")))).select(["key", "text", "other"])
 
     made = f"other {other.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {keep or 'binary'}"
-    form = {"binary": lambda k: k, "string": lambda k: k.decode("utf-8", "ignore"), None: lambda k: None}[keep]
+    # of a character that was cut, what is left must not meet the rest of another one
+    form = {"binary": b"".join, "string": lambda k: "".join(x.decode("utf-8", "ignore") for x in k), None: lambda k: None}[keep]
     kind = pa.string() if keep == "string" else BIN
 
-    def result(other: pa.Array, found: list[tuple[int, bytes, int, int]]) -> dict:
+    def result(other: pa.Array, found: list[tuple[int, list[bytes], int, int]]) -> dict:
         return {
             "other": other, "n_bytes": pa.array([n for n, *_ in found], LONG), "n_removed": pa.array([x for _, _, x, _ in found], LONG), "n_spans": pa.array([x for *_, x in found], LONG),
-            "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for _, k, *_ in found], pa.string()), "kept": pa.array([form(k) for _, k, *_ in found], kind),
+            "kept_sha256": pa.array([hashlib.sha256(b"".join(k)).hexdigest() for _, k, *_ in found], pa.string()), "kept": pa.array([form(k) for _, k, *_ in found], kind),
         }
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             b = b.filter(pa.array(~in_bloom(known.value, b.column("bits"))))
             texts = [t or b"" for t in b.column("text").cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_pydict(result(b.column("other"), [(len(t), t, 0, 0) for t in texts]))
+            yield pa.RecordBatch.from_pydict(result(b.column("other"), [(len(t), [t], 0, 0) for t in texts]))
 
     def cut(t: pa.Table, found: pa.Table) -> pa.Table:
         t = _ordered(t)

@@ -609,3 +609,46 @@ def test_pipeline_against_brute_force(spark, docs, folder):
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     check_packing(corpus_pipeline.pack(spark, four, folder[0]).collect(), {i: t.encode(x, add_special_tokens=False).ids for i, x in want.items()})
+
+
+def test_numerals_are_no_letters(spark):
+    rows = [(i, t, None) for i, t in enumerate(["½", "² ①", "Ⅷ", "1 ٣ _", "ª", "½ a"])] + [(100 + i, "the cat and the dog", "en") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, matrix = language_id.train(docs, "doc_id", "text", "lang")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(docs, names, matrix, "doc_id", "text").collect()}
+    assert all(got[i] == ("und", 0.0) for i in range(4)) and got[4][0] == got[5][0] == "en"
+
+
+def test_jaccard_keeps_text_ids(spark):
+    words = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    rows = [("z9", " ".join(words)), ("b1", " ".join(words + ["end"])), ("a", "one two"), (None, " ".join(words)), ("b1", "other words stand here alone"), ("", None)]
+    got = rows_of(jaccard_join.join(spark.createDataFrame(rows, "doc_id string, text string")), "doc_id", "component_id")
+    assert got == sorted([("z9", "b1"), ("b1", "b1"), ("a", "a"), (None, None), ("b1", "b1"), ("", "")], key=repr)
+    small = spark.createDataFrame([(3, " ".join(words)), (2, " ".join(words))], "doc_id int, text string")
+    found = jaccard_join.join(small)
+    assert dict(found.dtypes)["component_id"] == "int" and rows_of(found, "doc_id", "component_id") == [(2, 2), (3, 2)]
+
+
+def test_cut_characters_do_not_meet(spark):
+    for first, last in (("é", "è"), ("é", "ĉ"), ("日", "本"), ("🙂", "🙃")):
+        a, b = len(first.encode()), len(last.encode())
+        text = (first + "x" * 198 + last).encode()
+        for cut in range(1, a):
+            pieces, removed, _ = suffix_dedup._cut(text, [(cut, cut)], a - cut + 198 + b - 1)
+            assert "".join(p.decode("utf-8", "ignore") for p in pieces) == ""
+    r = random.Random(9)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(230))
+    rows = [(1, "é" + passage[:200] + "è"), (2, "ē" + passage[:200] + "ĉ"), (3, "x" + passage)]  # é and ē, è and ĉ differ in one byte
+    got = {x["doc_id"]: x["kept"] for x in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), keep="string").collect()}
+    assert set(got[1]) <= set(rows[0][1]) and set(got[2]) <= set(rows[1][1])
+
+
+def test_exact_dedup_keeps_the_smallest_of_like_rows(spark):
+    rows = [(1, "a b", "fr"), (1, "a\tb", "en"), (1, "a b", "de"), (1, "ab ", "zz"), (2, "a b", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for n in (1, 3, 5):
+        assert [tuple(x) for x in exact_dedup.keep_first(docs.repartition(n)).collect()] == [(1, "a\tb", "en")]
+    from pyspark.sql import functions as F
+
+    mapped = docs.withColumn("m", F.create_map(F.lit("k"), F.col("lang")))
+    assert [x["lang"] for x in exact_dedup.keep_first(mapped).collect()] == ["en"]
