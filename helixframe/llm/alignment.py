@@ -315,11 +315,34 @@ def packs(payload: DataFrame) -> DataFrame:
     return payload.select("block", "code", *NUMBERS, "groups").mapInArrow(lean(run), "block long, data binary")
 
 
+def planes(codes: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest first, as the higher ones hardly differ."""
+    plain = codes.astype("<u4").view("u1").reshape(-1, 4).T.tobytes()
+    return struct.pack("<I", len(plain)) + pa.Codec("zstd").compress(plain, asbytes=True)
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    (size,) = struct.unpack_from("<I", data)
+    plain = pa.Codec("zstd").decompress(memoryview(data)[4:], decompressed_size=size, asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(plain, "u1").reshape(4, -1).T).view("<u4").ravel()
+
+
+def numbered(docs: DataFrame, kind: str) -> DataFrame:
+    """Documents with their numbers packed, for the exchange."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [planes(c.values.to_numpy()) for c in b.column("codes")]
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("key"), pa.array(data, pa.binary())], ["block", "key", "data"])
+
+    return docs.select("block", "key", "codes").mapInArrow(lean(run), f"block long, key {kind}, data binary")
+
+
 def compose(docs: DataFrame, payload: DataFrame, key: str) -> DataFrame:
     """Documents put together from their blocks' lists."""
     kind = docs.schema["key"].dataType.simpleString()
     lists = packs(payload).select("block", F.lit(0).alias("kind"), "data")
-    texts = docs.select("block", F.lit(1).alias("kind"), "key", "codes")
+    texts = numbered(docs, kind).select("block", F.lit(1).alias("kind"), "data", "key")
     both = lists.unionByName(texts, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,8 +371,8 @@ def compose(docs: DataFrame, payload: DataFrame, key: str) -> DataFrame:
                 if numbers is None:
                     ready()
                 out, digest = np.zeros((z - a, len(NUMBERS)), np.int64), []
-                for i, codes in enumerate(part.column("codes")):
-                    codes = codes.values.to_numpy()
+                for i, data in enumerate(part.column("data")):
+                    codes = from_planes(data.as_py())
                     texts = groups[codes].tolist()
                     if texts and "" not in texts:
                         out[i] = numbers[codes].sum(0)

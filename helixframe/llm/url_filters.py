@@ -14,7 +14,7 @@ Weights are whole multiples of 2^-40 and probabilities of 2^-20, so sums are exa
 
 Defined cases: a null url, and one without ://, has an empty host and path and is allowed; of rules of equal
 length the first listed wins; repeated rows are each returned; with no bad example in the whole table, everything is allowed; an empty table gives
-no rows; a path of any length is read whole; only key, url and html are read.
+no rows; a path of any length is read whole, piece by piece; only key, url and html are read.
 """
 
 from __future__ import annotations
@@ -33,9 +33,12 @@ from ..operators.lineage import stored
 from .common import lean, table
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-SEEDS = frozenset({"spam", "casino", "viagra", "porn", "xxx", "phish", "phishing", "malware", "warez", "pills", "scam"})
+#: Names of the categories of public block lists, and words that are as plain.
+SEEDS = frozenset({"adult", "ads", "gambling", "drugs", "tracker", "spam", "casino", "viagra", "porn", "xxx", "phish", "phishing", "malware", "warez", "pills", "scam"})
 UNIT = float(1 << 40)  # of the weights of tokens
 LONGEST = 24  # letters of a word that is looked up
+CACHED = 256  # letters of a name that is kept with its words
+PIECE = 4096  # letters of a name that are looked up at a time
 FILTER_BITS = 26  # 8 MB
 SHARE = 1 << 20  # probabilities are whole multiples of 1 / SHARE
 ROUNDS = 30
@@ -100,10 +103,12 @@ class Segmenter:
         while j:
             out.append(name[back[j] : j])
             j = back[j]
-        if len(self.cache) > 200_000:
-            self.cache.clear()
-        self.cache[name] = out[::-1]
-        return self.cache[name]
+        out.reverse()
+        if len(name) <= CACHED:
+            if len(self.cache) > 200_000:
+                self.cache.clear()
+            self.cache[name] = out
+        return out
 
 
 def tokens(segmenter: Segmenter, host: str, path: str) -> list[str]:
@@ -138,13 +143,22 @@ def stretches(urls: DataFrame, words: DataFrame, known: dict[str, int]) -> DataF
         bits, skip = sent.value
         cache: dict[str, list[str]] = {}
 
+        def look(name: str) -> set[str]:
+            hits = set()
+            for at in range(0, len(name), PIECE):  # only what may be a word is kept of a piece
+                part = name[at : at + PIECE + LONGEST - 1]
+                found = {part[i:j] for i in range(min(len(part), PIECE)) for j in range(i + 1, min(len(part), i + LONGEST) + 1)} - skip.keys()
+                keys = ((w, zlib.crc32(w.encode()) & (1 << FILTER_BITS) - 1) for w in found)
+                hits.update(w for w, k in keys if bits[k >> 3] >> (k & 7) & 1)
+            return hits
+
         def of(name: str) -> list[str]:
+            if len(name) > CACHED:
+                return list(look(name))
             if name not in cache:
                 if len(cache) > 50_000:
                     cache.clear()
-                found = {name[i:j] for i in range(len(name)) for j in range(i + 1, min(len(name), i + LONGEST) + 1)} - skip.keys()
-                at = ((w, zlib.crc32(w.encode()) & (1 << FILTER_BITS) - 1) for w in found)
-                cache[name] = [w for w, k in at if bits[k >> 3] >> (k & 7) & 1]
+                cache[name] = list(look(name))
             return cache[name]
 
         for b in batches:
@@ -264,7 +278,10 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     found = rows.select("key", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
     gone = blocked(examples(rows, vocabulary), model_tokens)
     if gone is not None:
-        found = found.join(gone.withColumn("gone", F.lit("block")), ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", "gone"))
+        # only urls that need a verdict and have a host can be among those
+        open_ = (F.col("host") != "") & F.col("verdict").isNull()
+        asked = found.where(open_).drop("verdict").join(gone.withColumn("verdict", F.lit("block")), ["host", "path"], "left")
+        found = found.where(~open_).unionByName(asked)
     return found.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
 
 

@@ -652,3 +652,24 @@ def test_exact_dedup_keeps_the_smallest_of_like_rows(spark):
 
     mapped = docs.withColumn("m", F.create_map(F.lit("k"), F.col("lang")))
     assert [x["lang"] for x in exact_dedup.keep_first(mapped).collect()] == ["en"]
+
+
+def test_very_long_names_in_bounded_memory(spark):
+    import tracemalloc
+
+    r = random.Random(4)
+    name = "".join(r.choice("abcdefghij") for _ in range(300_000))
+    words = spark.createDataFrame([(name[5000:5012], 3), (name[4090:4100], 2), ("zzz", 1)], "w string, n long")
+    got = url_filters.stretches(spark.createDataFrame([("a.test", "/" + name)], "host string, path string"), words, {})
+    assert {x["w"] for x in got.collect()} >= {name[5000:5012], name[4090:4100]}
+    segmenter = url_filters.Segmenter({"cheap": 9, "farm": 5})
+    tracemalloc.start()
+    assert "".join(segmenter.words(name)) == name and not segmenter.cache
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def test_urls_without_a_host_or_with_a_rule_are_not_joined(spark):
+    rows = [(i, None, "<title>cheap pills</title>") for i in range(50)] + [(100 + i, f"http://a{i}.org/es/x", "<title>spam farm</title>") for i in range(20)] + [(200, "http://spam-farm.test/x", None), (201, "http://spam-farm.test/x", None), (202, "http://clean.test/", None)]
+    got = {x["page_id"]: x["verdict"] for x in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and {got[i] for i in range(50)} == {"allow"} and {got[100 + i] for i in range(20)} == {"block"} and got[200] == got[201] == "block"
