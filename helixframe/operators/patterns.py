@@ -13,7 +13,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from .automaton import Automaton
 from .kmers import hamming, kmers
 from .lineage import checkpoint, stored
 
@@ -130,22 +132,7 @@ def occurrence_counts(df: DataFrame, by: list[str], bwt_col: str = "bwt") -> Dat
 
 
 PATTERNS = 100_000  # patterns that are sent to executors; more are joined
-
-
-def _places(text: str, known: dict[int, tuple[np.ndarray, list[str]]]) -> Iterator[tuple[str, int]]:
-    """(pattern, place) for every occurrence; known: by length the sorted hashes of patterns, and these in that order."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    for n, (hashes, patterns) in known.items():
-        if len(codes) < n:
-            continue
-        h = _rolling(codes, n)
-        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-        for i in np.flatnonzero(hashes[at] == h).tolist():
-            k = int(at[i])
-            while k < len(hashes) and hashes[k] == h[i]:  # hashes only choose what is compared
-                if text.startswith(patterns[k], i):
-                    yield patterns[k], i
-                k += 1
+CELLS = 1 << 23  # of the automaton that is sent, 32 MB
 
 
 def _rolling(codes: np.ndarray, n: int) -> np.ndarray:
@@ -157,41 +144,41 @@ def _rolling(codes: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def exact_matches(texts: DataFrame, patterns: DataFrame, lengths: list[int], by: list[str], base: int = 0, pattern: str = "pattern", keep_zero: bool = False, seq: str = "seq") -> DataFrame:
-    """by, pattern, pos of every occurrence of the patterns of the given lengths. With keep_zero, patterns without a hit keep a row of null place.
+def exact_matches(texts: DataFrame, patterns: DataFrame, by: list[str], lengths: list[int] | None = None, base: int = 0, pattern: str = "pattern", keep_zero: bool = False, seq: str = "seq") -> DataFrame:
+    """by, pattern, pos of every occurrence of the patterns, of any lengths or of the given ones. With keep_zero, patterns without a hit keep a row of null place.
 
-    Up to PATTERNS patterns are sent to the executors, which look up hashes of all windows of a text at once; of more, texts offer
-    their k-mers of each length and patterns are joined once. Either way only hits are shuffled with keep_zero, not windows."""
+    Up to PATTERNS patterns, if their automaton has up to CELLS entries, are sent to the executors as that automaton; of more, texts offer
+    their k-mers of each length and patterns are joined once. Either way only hits are shuffled with keep_zero, not windows. Empty and null patterns occur nowhere."""
     p = patterns.select(pattern).distinct()
-    own = [r[0] for r in p.where(F.length(pattern).isin(*lengths)).limit(PATTERNS + 1).collect()]
+    wanted = p.where(F.length(pattern) > 0)
+    if lengths is not None:
+        wanted = wanted.where(F.length(pattern).isin(*lengths))
+    letters = F.array_size(F.array_distinct(F.flatten(F.collect_set(F.array_distinct(F.split(F.col(pattern), ""))))))
+    n, size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(pattern)), F.lit(0))).first()
+    fits = n <= PATTERNS and size < CELLS
+    if fits:
+        width = (wanted.agg(letters).first()[0] or 0) + 1
+        fits = (size + 1) * width <= CELLS
     kinds = "".join(f"`{c}` {texts.schema[c].dataType.simpleString()}, " for c in by)
-    if len(own) <= PATTERNS:
-        known = {}
-        for n in sorted({len(x) for x in own if x}):
-            same = [x for x in own if len(x) == n]
-            hashes = np.concatenate([_rolling(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32), n) for x in same])
-            order = np.argsort(hashes, kind="stable")
-            known[n] = hashes[order], [same[i] for i in order.tolist()]
-        sent = texts.sparkSession.sparkContext.broadcast(known)  # of PATTERNS patterns at most
+    if fits:
+        sent = texts.sparkSession.sparkContext.broadcast(Automaton(sorted(r[0] for r in wanted.collect())))  # of bounded size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = sent.value
+            names = pa.array(machine.patterns, pa.string())
             for b in batches:
-                row, found, place = [], [], []
-                for i, t in enumerate(b.column(len(by)).to_pylist()):
-                    for x, at in _places(t or "", sent.value):
-                        row.append(i)
-                        found.append(x)
-                        place.append(at + base)
-                at = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(len(by))), pa.array(found, pa.string()), pa.array(place, pa.int32())], [*by, pattern, "pos"])
+                for part in _by_size(b, len(by)):
+                    row, found, place = machine.find([t or "" for t in part.column(len(by)).to_pylist()])
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in range(len(by))), names.take(pa.array(found)), pa.array((place + base).astype(np.int32))], [*by, pattern, "pos"])
 
         hits = texts.select(*by, seq).mapInArrow(run, f"{kinds}`{pattern}` string, pos int")
     else:
         grams = None
-        for n in sorted(set(lengths)):
-            k = kmers(texts, n, seq, by)
-            grams = k if grams is None else grams.union(k)
-        hits = grams.withColumnRenamed("kmer", pattern).join(p, pattern).select(*by, pattern, (F.col("pos") + base).alias("pos"))
+        for (k,) in wanted.select(F.length(pattern)).distinct().collect():  # lengths, not patterns
+            g = kmers(texts, k, seq, by)
+            grams = g if grams is None else grams.union(g)
+        hits = grams.withColumnRenamed("kmer", pattern).join(wanted, pattern).select(*by, pattern, (F.col("pos") + base).cast("int").alias("pos"))
     if not keep_zero:
         return hits
     hits = stored(hits)  # read twice
@@ -199,6 +186,86 @@ def exact_matches(texts: DataFrame, patterns: DataFrame, lengths: list[int], by:
     return hits.unionByName(none.select(pattern), allowMissingColumns=True).select(*by, pattern, "pos")
 
 
+def _by_size(b: pa.RecordBatch, column: int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Slices with about so many bytes of text."""
+    ends = np.cumsum([len(x) if (x := t.as_buffer()) is not None else 0 for t in b.column(column).cast(pa.large_binary())])
+    at = 0
+    while at < b.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield b.slice(at, stop - at)
+        at = stop
+
+
+def _verified(codes: np.ndarray, row: np.ndarray, place: np.ndarray, name: np.ndarray, letters: list[np.ndarray], d: int, at_once: int = 1 << 22) -> np.ndarray:
+    """Differing letters of patterns (by number) at places of the joined texts, d + 1 for more than d."""
+    out = np.full(len(name), d + 1, np.int32)
+    order = np.argsort(name, kind="stable")
+    cut = np.flatnonzero(np.concatenate(([True], np.diff(name[order]) != 0, [True])))
+    for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        own = letters[int(name[order[a]])]
+        step = max(1, at_once // len(own))
+        for k in range(a, z, step):
+            i = order[k : min(z, k + step)]
+            out[i] = np.minimum((codes[(row[i] + place[i])[:, None] + np.arange(len(own))] != own).sum(1), d + 1)
+    return out
+
+
+def near_matches(texts: DataFrame, patterns: DataFrame, d: int, by: list[str], name: str = "item_id", pattern: str = "pattern", seq: str = "seq") -> DataFrame:
+    """by, name, pos (from 0), mismatches: places inside a text where a pattern, of any length above d, stands with at most d letters changed.
+
+    Of d + 1 pieces of a pattern one must occur as it is. The pieces of all patterns are found by one automaton, which is sent to executors along with
+    the patterns, and what they point at is compared where the text is: nothing is shuffled. Patterns that are too many for that (PATTERNS,
+    CELLS) are joined by their pieces; texts must then be told apart by `by`. Shorter and null patterns occur nowhere; equal patterns of different names each count."""
+    p = patterns.select(F.col(name).alias("name"), F.col(pattern).alias("pattern")).where(F.length("pattern") > d)
+    count, size = p.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("pattern")), F.lit(0))).first()
+    cut = lambda n, i: F.floor(n * F.lit(i) / F.lit(d + 1)).cast("int")
+    n = F.length("pattern")
+    if count > PATTERNS or size * 8 > CELLS:
+        piece = F.explode(F.array(*[F.struct(F.substring("pattern", cut(n, i) + 1, cut(n, i + 1) - cut(n, i)).alias("piece"), cut(n, i).alias("shift")) for i in range(d + 1)]))
+        pieces = p.select("name", "pattern", piece.alias("x")).select("name", "pattern", "x.piece", "x.shift")
+        hits = exact_matches(texts, pieces, by, pattern="piece", seq=seq).join(pieces, "piece")
+        found = hits.select(*by, "name", "pattern", (F.col("pos") - F.col("shift")).alias("pos")).where("pos >= 0").distinct()
+        found = found.join(texts.select(*by, F.col(seq).alias("_seq")), by).where(F.col("pos") + F.length("pattern") <= F.length("_seq"))
+        wrong = hamming(F.substring(F.col("_seq"), F.col("pos") + 1, F.length("pattern")), F.col("pattern"))
+        return found.select(*by, F.col("name").alias(name), "pos", wrong.alias("mismatches")).where(F.col("mismatches") <= d)
+    rows = sorted(map(tuple, p.collect()), key=repr)  # PATTERNS at most
+    letters = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for _, x in rows]
+    of: dict[str, list[tuple[int, int]]] = {}
+    for k, (_, x) in enumerate(rows):
+        for i in range(d + 1):
+            a, z = i * len(x) // (d + 1), (i + 1) * len(x) // (d + 1)
+            of.setdefault(x[a:z], []).append((k, a))
+    machine = Automaton(sorted(of))
+    owners = [np.array(of[x], np.int64) for x in machine.patterns]
+    first = np.concatenate(([0], np.cumsum([len(x) for x in owners]))).astype(np.int64)
+    flat = np.concatenate([*owners, np.empty((0, 2), np.int64)])
+    sizes = np.array([len(x) for x in letters], np.int64)
+    kind = patterns.schema[name].dataType
+    sent = texts.sparkSession.sparkContext.broadcast((machine, first, flat, letters, sizes, [k for k, _ in rows]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, first, flat, letters, sizes, names = sent.value
+        for b in batches:
+            for part in _by_size(b, len(by)):
+                own = [t or "" for t in part.column(len(by)).to_pylist()]
+                row, piece, place = machine.find(own)
+                many = first[piece + 1] - first[piece]
+                at = np.repeat(first[piece] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                row, k, place = np.repeat(row, many), flat[at, 0], np.repeat(place, many) - flat[at, 1]
+                long = np.array([len(t) for t in own], np.int64)
+                fits = (place >= 0) & (place + sizes[k] <= long[row]) if len(k) else np.zeros(0, bool)
+                each = np.unique(np.stack((row[fits], place[fits], k[fits]), axis=1), axis=0)
+                row, place, k = each.T
+                codes = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)
+                wrong = _verified(codes, (np.cumsum(long) - long)[row], place, k, letters, d)
+                good = wrong <= d
+                take = pa.array(row[good])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in range(len(by))), pa.array([names[i] for i in k[good].tolist()], to_arrow_type(kind)), pa.array(place[good].astype(np.int32)), pa.array(wrong[good])], [*by, name, "pos", "mismatches"])
+
+    kinds = "".join(f"`{c}` {texts.schema[c].dataType.simpleString()}, " for c in by)
+    return texts.select(*by, seq).mapInArrow(run, f"{kinds}`{name}` {kind.simpleString()}, pos int, mismatches int")
+
+
 def suffix_array_find(text: str, order: np.ndarray, pattern: str) -> list[int]:
     """Places (from 1) by binary search over the sorted suffixes; none if the pattern sorts past them all."""
     n = len(pattern)

@@ -220,7 +220,7 @@ def words(spark, d, n=6):
 
 @query("pm4_exact_matches", P.with_("dna", "nations", more=_WORDS + ", " + kmer_cte("k", "dna", "doc_id", 6)) + "SELECT doc_id, pattern, pos::INT AS pos FROM kk JOIN w ON kmer = pattern")
 def pm4(spark, d):
-    return patterns.exact_matches(P.documents(spark, d), words(spark, d), [6], ["doc_id"])
+    return patterns.exact_matches(P.documents(spark, d), words(spark, d), ["doc_id"])
 
 
 @query("pm5_suffix_array_matches", P.with_("items", more=_SUFFIX) + "SELECT item_id, pos + 1 AS pos FROM sa WHERE starts_with(suffix, 'ACG')")
@@ -234,10 +234,12 @@ def pm6(spark, d):
 
 
 @query("pm7_multi_pattern", P.with_("dna", "nations", more=words_cte("w6", 6) + ", " + words_cte("w8", 8) + ", w AS (SELECT pattern FROM w6 UNION SELECT pattern FROM w8 UNION SELECT seq FROM nations), " + kmer_cte("k", "dna", "doc_id", 6) + ", " + kmer_cte("l", "dna", "doc_id", 8)) + """SELECT pattern, count(doc_id) AS hits, coalesce(sum(pos), 0)::BIGINT AS places FROM w LEFT JOIN
-(SELECT doc_id, kmer, pos + 1 AS pos FROM kk UNION ALL SELECT doc_id, kmer, pos + 1 FROM lk) ON kmer = pattern AND length(pattern) IN (6, 8) GROUP BY pattern""")
+(SELECT doc_id, kmer AS found, pos + 1 AS pos FROM kk UNION ALL SELECT doc_id, kmer, pos + 1 FROM lk UNION ALL
+SELECT doc_id, w.pattern, pos + 1 FROM w JOIN lk ON left(w.pattern, 8) = kmer JOIN dna USING (doc_id) WHERE length(w.pattern) > 8 AND substr(dna.seq, pos + 1, length(w.pattern)) = w.pattern) ON found = pattern GROUP BY pattern""")
 def pm7(spark, d):
+    """Patterns of all the lengths that there are."""
     p = words(spark, d).union(words(spark, d, 8)).union(P.nations(spark, d).select("seq"))
-    hits = patterns.exact_matches(P.documents(spark, d), p, [6, 8], ["doc_id"], base=1, keep_zero=True)
+    hits = patterns.exact_matches(P.documents(spark, d), p, ["doc_id"], base=1, keep_zero=True)
     return hits.groupBy("pattern").agg(F.count("doc_id").alias("hits"), F.coalesce(F.sum("pos"), F.lit(0)).cast("long").alias("places"))
 
 

@@ -55,7 +55,7 @@ def test_matches_sent_and_joined(spark, monkeypatch, limit):
     texts = ["".join(r.choice("ACé") for _ in range(r.randrange(0, 60))) for _ in range(25)]
     words = ["AC", "CAA", "éC", "AAAA", "CCé", "xyz", "CACAC", "AéAéA"]
     df, p = sequences(spark, texts), spark.createDataFrame([(w,) for w in words], "pattern string")
-    got = patterns.exact_matches(df, p, [2, 3, 5], ["id"], keep_zero=True).collect()
+    got = patterns.exact_matches(df, p, ["id"], [2, 3, 5], keep_zero=True).collect()
     want = [(i, w, a) for i, t in enumerate(texts) for w in words if len(w) != 4 for a in range(len(t)) if t.startswith(w, a)]
     hit = {w for _, w, _ in want}
     assert Counter((x["id"], x["pattern"], x["pos"]) for x in got) == Counter(want + [(None, w, None) for w in words if w not in hit])
@@ -141,3 +141,37 @@ def test_trim_of_a_whole_table(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate([5, 9, 7, 7, 3, 7, 9])], "id long, score int")
     assert sorted(x["id"] for x in spectra.trim(df, 3).collect()) == [1, 2, 3, 5, 6]
     assert sorted(x["id"] for x in spectra.trim(df, 99).collect()) == list(range(7)) and spectra.trim(df.limit(0), 2).count() == 0
+
+
+def test_automaton_against_search():
+    from helixframe.operators import automaton
+
+    r = random.Random(6)
+    for _ in range(60):
+        letters = r.choice(["ab", "ACGT", "aé日"])
+        word = lambda n: "".join(r.choice(letters) for _ in range(n))
+        words = sorted({word(r.randint(1, 9)) for _ in range(r.randint(0, 40))} | {word(40)})
+        texts = [word(r.choice([0, 1, 5, 60])) + r.choice(["", "x", "ab"]) for _ in range(8)] + [words[0] * 3]
+        row, p, place = automaton.Automaton(words).find(texts)
+        got = [(i, words[k], a) for i, k, a in zip(row.tolist(), p.tolist(), place.tolist())]
+        assert sorted(got) == sorted((i, w, a) for i, t in enumerate(texts) for w in words for a in range(len(t)) if t.startswith(w, a))
+
+
+def test_automaton_across_rows(monkeypatch):
+    from helixframe.operators import automaton
+
+    monkeypatch.setattr(automaton, "CHUNK", 16)
+    monkeypatch.setattr(automaton, "ROWS", 3)
+    r = random.Random(8)
+    texts = ["".join(r.choice("ab") for _ in range(n)) for n in (0, 15, 16, 17, 100, 333)]
+    words = ["a", "ab", "bba", texts[5][10:60], texts[4][:33]]
+    row, p, place = automaton.Automaton(words).find(texts)
+    assert list(zip(row.tolist(), p.tolist(), place.tolist())) == sorted(((i, k, a) for i, t in enumerate(texts) for k, w in enumerate(words) for a in range(len(t)) if t.startswith(w, a)), key=lambda x: (x[0], x[2], x[1]))
+    assert [len(x) for x in automaton.Automaton([]).find(texts)] == [0, 0, 0]
+
+
+def test_matches_of_any_lengths(spark):
+    df = sequences(spark, ODD)
+    p = spark.createDataFrame([("A",), ("ACGT",), ("é",), ("",), (None,), ("AAAA\nAAAC",), ("ACGT" * 30,)], "pattern string")
+    got = {(x["id"], x["pattern"], x["pos"]) for x in patterns.exact_matches(df, p, ["id"]).collect()}
+    assert got == {(i, w, a) for i, t in enumerate(ODD) if t for w in ("A", "ACGT", "é", "AAAA\nAAAC", "ACGT" * 30) for a in range(len(t)) if t.startswith(w, a)}
