@@ -16,45 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .automaton import Automaton
+from .index import Suffixes, Tree
 from .kmers import hamming, kmers
 from .lineage import checkpoint, stored
 
 
 def suffix_order(text: str) -> np.ndarray:
-    """Start places of the suffixes in order, by prefix doubling."""
-    n = len(text)
-    if n == 0:
-        return np.empty(0, np.int64)
-    rank = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True)[1].astype(np.int64)
-    k = 1
-    while True:
-        second = np.full(n, -1, np.int64)
-        second[: n - k] = rank[k:] if k < n else []
-        order = np.lexsort((second, rank))
-        a, b = rank[order], second[order]
-        new = np.concatenate(([0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
-        k *= 2
-
-
-def neighbour_prefixes(text: str, order: np.ndarray) -> np.ndarray:
-    """Each suffix's common prefix with the one before it in order (Kasai)."""
-    n = len(order)
-    rank, out, h = np.empty(n, np.int64), np.zeros(n, np.int64), 0
-    rank[order] = np.arange(n)
-    for i in range(n):
-        if rank[i]:
-            j = int(order[rank[i] - 1])
-            while i + h < n and j + h < n and text[i + h] == text[j + h]:
-                h += 1
-            out[rank[i]] = h
-            h = max(h - 1, 0)
-        else:
-            h = 0
-    return out
+    """Start places of the suffixes in order."""
+    return Suffixes([text]).order[1:]
 
 
 def _udf(f, kind: str):
@@ -125,12 +94,6 @@ def inverse_bwt(last: str) -> str:
     return "".join(out[1:] + out[:1])
 
 
-def occurrence_counts(df: DataFrame, by: list[str], bwt_col: str = "bwt") -> DataFrame:
-    """by, rank, ch, occ: how often the letter stands in the transform up to and with this place."""
-    cells = df.select(*by, F.posexplode(F.filter(F.split(bwt_col, ""), lambda c: c != "")).alias("rank", "ch"))
-    return cells.withColumn("occ", F.count(F.lit(1)).over(Window.partitionBy(*by, "ch").orderBy("rank")))
-
-
 PATTERNS = 100_000  # patterns that are sent to executors; more are joined
 CELLS = 1 << 23  # of the automaton that is sent, 32 MB
 
@@ -352,39 +315,23 @@ def approximate_matches(texts: DataFrame, patterns: DataFrame, length: int, d: i
 
 
 def longest_repeat(text: str) -> str:
-    """The longest substring that occurs twice; of several, the one a depth-first walk of the suffix trie meets first, its children in
-    order of insertion, suffixes inserted from the longest on."""
-    order = suffix_order(text)
-    lcp = neighbour_prefixes(text, order)
-    best = int(lcp.max(initial=0))
-    if not best:
-        return ""
-    found = {text[order[i] : order[i] + best] for i in np.flatnonzero(lcp == best)}
-    return min(found, key=lambda s: [text.find(s[: k + 1]) for k in range(len(s))])
+    """The longest substring that occurs twice: the deepest inner node of the suffix tree; of several, the one a depth-first walk of the suffix trie meets first,
+    its children in order of insertion, suffixes inserted from the longest on."""
+    found = {text[a : a + n] for _, a, n in Tree([text]).deepest()}
+    return min(found, key=lambda s: [text.find(s[: k + 1]) for k in range(len(s))], default="")
 
 
 def longest_shared(a: str, b: str) -> str:
     """The longest substring of both, ties as above with the first text inserted first."""
-    text = a + "\x01" + b + "\x00"
-    order = suffix_order(text)
-    lcp = neighbour_prefixes(text, order)
-    side = order > len(a)
-    cross = np.concatenate(([False], side[1:] != side[:-1]))
-    best = int(lcp[cross].max(initial=0))
-    if not best:
-        return ""
-    found = {text[order[i] : order[i] + best] for i in np.flatnonzero(cross & (lcp == best))}
-    return min(found, key=lambda s: [a.find(s[: k + 1]) for k in range(len(s))])
+    texts = [a, b]
+    found = {texts[t][i : i + n] for t, i, n in Tree(texts).deepest(shared=True)}
+    return min(found, key=lambda s: [a.find(s[: k + 1]) for k in range(len(s))], default="")
 
 
 def shortest_unshared(a: str, b: str) -> str | None:
     """The shortest substring of a that isn't in b; ties to the earliest."""
-    for k in range(1, len(a) + 1):
-        own = {b[i : i + k] for i in range(len(b) - k + 1)}
-        for i in range(len(a) - k + 1):
-            if a[i : i + k] not in own:
-                return a[i : i + k]
-    return None
+    found = Tree([a, b]).unshared(0)
+    return a[found[1] : found[1] + found[2]] if found else None
 
 
 def repeats(df: DataFrame, seq: str = "seq") -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import projections as P
-from ..operators import assembly, kmers, motifs, patterns
+from ..operators import assembly, index, kmers, motifs, patterns
+from ..operators.lineage import stored
 from ..operators.pairs import all_pairs
 from .registry import query
 
@@ -202,8 +203,8 @@ _BWT = "r AS (SELECT item_id, seq || '$' AS seq, unnest(range(0, length(seq) + 1
 
 @query("pm3_occurrences", P.with_("items", more=_BWT) + "SELECT item_id, rank::INT AS rank, ch, count(*) OVER (PARTITION BY item_id, ch ORDER BY rank) AS occ FROM s")
 def pm3(spark, d):
-    t = P.items(spark, d).withColumn("seq", F.concat("seq", F.lit("$")))
-    return patterns.occurrence_counts(patterns.burrows_wheeler(t), ["item_id"])
+    """Each text is indexed by itself; counts come from the checkpoints."""
+    return index.occurrences(index.fm_index(P.items(spark, d), ["item_id"], block=0))
 
 
 def words_cte(name: str, n: int) -> str:
@@ -220,7 +221,8 @@ def words(spark, d, n=6):
 
 @query("pm4_exact_matches", P.with_("dna", "nations", more=_WORDS + ", " + kmer_cte("k", "dna", "doc_id", 6)) + "SELECT doc_id, pattern, pos::INT AS pos FROM kk JOIN w ON kmer = pattern")
 def pm4(spark, d):
-    return patterns.exact_matches(P.documents(spark, d), words(spark, d), ["doc_id"])
+    """Backward search over an index of all documents."""
+    return index.fm_search(stored(index.fm_index(P.documents(spark, d), ["doc_id"])), words(spark, d))
 
 
 @query("pm5_suffix_array_matches", P.with_("items", more=_SUFFIX) + "SELECT item_id, pos + 1 AS pos FROM sa WHERE starts_with(suffix, 'ACG')")
@@ -264,6 +266,25 @@ def pm9_text(spark, d):
     return patterns.repeats(P.items(spark, d)).select("item_id", "repeat")
 
 
+_TREE = """t AS (SELECT item_id, 1 AS source, seq FROM items UNION ALL SELECT a.item_id, 2, b.seq FROM items a JOIN items b ON b.item_id = a.item_id + 1),
+f AS (SELECT item_id, source, seq, unnest(range(1, length(seq) + 1)) AS i FROM t), u AS (SELECT item_id, source, seq, i, unnest(range(1, length(seq) - i + 2)) AS n FROM f),
+v AS (SELECT item_id, source, substr(seq, i, n) AS label, CASE WHEN i + n <= length(seq) THEN seq[i + n] ELSE source::VARCHAR END AS next FROM u UNION ALL SELECT item_id, source, '', seq[i] FROM f),
+nd AS (SELECT item_id, label, count(*) AS leaves, min(source) AS a, max(source) AS b FROM v GROUP BY item_id, label HAVING count(DISTINCT next) > 1 OR label = ''),
+ev AS (SELECT item_id, false AS leaf, label, leaves, a, b, label AS upper FROM nd UNION ALL SELECT item_id, true, substr(seq, i), 1, source, source, substr(seq, i) || '.' FROM f),
+pf AS (SELECT *, unnest(range(0, greatest(length(upper), 1))) AS k FROM ev)"""
+
+
+@query("pm10_suffix_tree", P.with_("items", more=_TREE) + """SELECT pf.item_id, leaf, pf.label, max(CASE WHEN nd.label IS NULL THEN 0 ELSE k END)::BIGINT AS parent_depth, any_value(pf.leaves) AS leaves,
+any_value(CASE WHEN pf.a <> pf.b THEN 'purple' WHEN pf.a = 1 THEN 'blue' ELSE 'red' END) AS colour, pf.a AS of FROM pf LEFT JOIN nd ON nd.item_id = pf.item_id AND nd.label = left(upper, k) GROUP BY pf.item_id, leaf, pf.label, pf.a""")
+def pm10(spark, d):
+    """The tree of each item and the next: inner nodes and leaves with where they hang, and whose suffixes are below."""
+    items = P.items(spark, d)
+    after = items.select((F.col("item_id") - 1).alias("item_id"), F.lit(2).alias("source"), "seq").join(items.select("item_id"), "item_id")
+    found = index.suffix_tree(items.select("item_id", F.lit(1).alias("source"), "seq").union(after), ["item_id"], labels=True)
+    colour = F.when(F.col("source_min") != F.col("source_max"), "purple").when(F.col("source_min") == 1, "blue").otherwise("red")
+    return found.select("item_id", "leaf", "label", "parent_depth", "leaves", colour.alias("colour"), F.col("source_min").cast("int").alias("of"))
+
+
 @query("pm11_prefix_colours", P.with_("nations", more="g AS (SELECT region, id % 2 + 1 AS source, seq, unnest(range(1, length(seq) - 2)) AS i FROM nations), k AS (SELECT region, source, substr(seq, i, 4) AS kmer FROM g WHERE i <= length(seq) - 3)") + "SELECT region, kmer, CASE WHEN min(source) <> max(source) THEN 'purple' WHEN min(source) = 1 THEN 'blue' ELSE 'red' END AS colour FROM k GROUP BY ALL")
 def pm11(spark, d):
     n = P.nations(spark, d).withColumn("source", F.col("id") % 2 + 1)

@@ -175,3 +175,91 @@ def test_matches_of_any_lengths(spark):
     p = spark.createDataFrame([("A",), ("ACGT",), ("é",), ("",), (None,), ("AAAA\nAAAC",), ("ACGT" * 30,)], "pattern string")
     got = {(x["id"], x["pattern"], x["pos"]) for x in patterns.exact_matches(df, p, ["id"]).collect()}
     assert got == {(i, w, a) for i, t in enumerate(ODD) if t for w in ("A", "ACGT", "é", "AAAA\nAAAC", "ACGT" * 30) for a in range(len(t)) if t.startswith(w, a)}
+
+
+def some_texts(r):
+    letters = r.choice(["ab", "ACGT", "aé日🙂", "a"])
+    texts = ["".join(r.choice(letters) for _ in range(r.choice([0, 1, 2, 9, 40]))) for _ in range(r.randint(1, 5))]
+    return texts + r.choice([[], texts[:1], [texts[0] * 3], ["a" * 150], ["ab" * 70]])
+
+
+def test_suffixes_of_many_texts():
+    from helixframe.operators import index
+
+    r = random.Random(12)
+    for _ in range(80):
+        texts = some_texts(r)
+        s = index.Suffixes(texts)
+        whole = [(t[i:], n, 0, int(s.starts[n]) + i) for n, t in enumerate(texts) for i in range(len(t) + 1)]
+        whole = sorted(whole, key=lambda w: ([ord(c) for c in w[0]], w[1]))
+        assert s.order.tolist() == [w[3] for w in whole]
+        same = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert s.common().tolist() == [0, *(same(a[0], b[0]) for a, b in zip(whole, whole[1:]))]
+
+
+def test_backward_search_against_find():
+    from helixframe.operators import index
+
+    r = random.Random(13)
+    for _ in range(60):
+        texts = some_texts(r)
+        words = ["a", "ab", "xyz", "ACG", texts[-1][:20] or "q", "日", "", "ba" * 9]
+        fm = index.FMIndex.build(texts)
+        lo, hi = fm.search(words)
+        for w, x, y in zip(words, lo.tolist(), hi.tolist()):
+            text, place = fm.locate(np.arange(x, y))
+            assert sorted(zip(text.tolist(), place.tolist())) == [(n, i) for n, t in enumerate(texts) for i in range(len(t)) if w and t.startswith(w, i)]
+
+
+@pytest.mark.parametrize("block, at_once", [(0, 100), (50, 2), (1 << 20, 3)])
+def test_index_of_a_table(spark, block, at_once):
+    from helixframe.operators import index
+
+    df = sequences(spark, ODD).repartition(2)
+    p = spark.createDataFrame([("A",), ("ACGT",), ("CGTA",), ("",), (None,), ("日",), ("zz",)], "pattern string")
+    got = index.fm_search(index.fm_index(df, ["id"], block=block), p, at_once=at_once, hits=3).collect()
+    assert sorted((x["id"], x["pattern"], x["pos"]) for x in got) == sorted((i, w, a) for i, t in enumerate(ODD) if t for w in ("A", "ACGT", "CGTA", "日") for a in range(len(t)) if t.startswith(w, a))
+
+
+def plain_tree(texts):
+    """Inner nodes: strings that go on in more than one way, ends of texts being ways of their own; and the deepest of them above each suffix."""
+    ways, below = {}, {}
+    for n, t in enumerate(texts):
+        for i in range(len(t)):
+            for j in range(i, len(t) + 1):
+                ways.setdefault(t[i:j], set()).add(t[j] if j < len(t) else n)
+                below.setdefault(t[i:j], []).append(n)
+    inner = {s for s, w in ways.items() if len(w) > 1} | {""}
+    above = lambda s, proper: max((len(p) for p in inner if s.startswith(p) and (not proper or p != s)), default=0)
+    rows = [(False, s, above(s, True), len(below.get(s, [])), min(below.get(s, [0])), max(below.get(s, [0]))) for s in inner]
+    return sorted(rows + [(True, t[i:], above(t[i:], False), 1, n, n) for n, t in enumerate(texts) for i in range(len(t))])
+
+
+def test_suffix_tree_against_all_substrings(spark):
+    from helixframe.operators import index
+
+    r = random.Random(14)
+    for _ in range(60):
+        texts = [t[:30] for t in some_texts(r)]
+        tree = index.Tree(texts)
+        rows = []
+        for v in range(len(tree.depth)):
+            a, n = int(tree.start[v]), int(tree.depth[v])
+            up = int(tree.depth[tree.parent[v]]) if v else 0
+            rows.append((v >= tree.inner, texts[int(tree.text[v])][a : a + n], up, int(tree.leaves[v]), int(tree.least[v]), int(tree.most[v])))
+        assert sorted(rows) == plain_tree(texts)
+    df = spark.createDataFrame([("x", 1, "banana"), ("x", 2, "ananas"), ("y", 1, ""), ("y", 2, None), ("z", 7, "aaa")], "g string, source int, seq string")
+    got = index.suffix_tree(df, ["g"], labels=True).collect()
+    assert {(x["label"], x["leaves"]) for x in got if x["g"] == "x" and not x["leaf"]} == {("", 12), ("a", 6), ("ana", 4), ("anana", 2), ("na", 4), ("nana", 2)}
+    assert [(x["node"], x["depth"], x["leaves"]) for x in got if x["g"] == "y"] == [(0, 0, 0)]
+    assert {x["source_min"] for x in got if x["g"] == "z"} == {7}
+
+
+def test_shared_and_unshared_against_all_substrings():
+    r = random.Random(15)
+    for _ in range(150):
+        a, b = ("".join(r.choice("ab") for _ in range(r.randrange(0, 14))) for _ in range(2))
+        subs = lambda t: {t[i:j] for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+        assert len(patterns.longest_shared(a, b)) == max(map(len, subs(a) & subs(b)), default=0) and patterns.longest_shared(a, b) in b
+        own = sorted(subs(a) - subs(b), key=lambda s: (len(s), a.find(s)))
+        assert patterns.shortest_unshared(a, b) == (own[0] if own else None)
