@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import checkpoint
+from .euler import walked
+from .lineage import stored
 
 
 def path_to_genome(nodes: Column) -> Column:
@@ -105,8 +106,8 @@ def paired_genome(pairs: DataFrame, by: list[str], k: int, gap: int) -> DataFram
 def contigs(kmers: DataFrame, by: list[str], cycle_per_node: bool = False) -> DataFrame:
     """Maximal non-branching paths as (by, contig, n_edges).
 
-    Edges are linked to the next edge through nodes with one edge in and one out, and paths are spelled by pointer doubling:
-    each round every edge takes over what its successor has reached, so log2(longest path) rounds do. Isolated cycles are spelled from
+    Edges are linked to the next edge through nodes with one edge in and one out. Where an edge lies on its path comes from pointer doubling over numbers, log2 of
+    the longest path's edges in rounds; each path is spelled once, at the end. Isolated cycles are what the doubling finds to go round; they are spelled from
     their smallest node, once, or once for each of their nodes with cycle_per_node.
     """
     own = [f"_by{i}" for i in range(len(by))]  # apart from the names used here
@@ -115,48 +116,29 @@ def contigs(kmers: DataFrame, by: list[str], cycle_per_node: bool = False) -> Da
 
 
 def _contigs(kmers: DataFrame, by: list[str], cycle_per_node: bool) -> DataFrame:
-    e = edges(kmers).select(*by, "src", "dst").withColumn("id", F.struct("src", "dst", F.row_number().over(_each(by))))
-    inner = degrees(e, by).where("in_degree = 1 AND out_degree = 1").select(*by, F.col("node"))
-    e = checkpoint(e)
-    follow = e.select(*by, F.col("src").alias("node"), F.col("id").alias("next")).join(inner, [*by, "node"])
-    head = e.join(inner.withColumn("inside", F.lit(True)), [*(e[c] == inner[c] for c in by), e["src"] == inner["node"]], "left").select(*[e[c] for c in by], "id", e["src"], e["dst"], F.col("inside").isNull().alias("heads"))
-    step = head.join(follow.withColumnRenamed("node", "dst"), [*by, "dst"], "left")
-    walk = checkpoint(step.select(*by, "id", "heads", "src", F.right("dst", F.lit(1)).alias("tail"), "next", F.lit(1).alias("n"), F.struct("src", "id").alias("low")))
-    while not walk.where("heads AND next IS NOT NULL").isEmpty():
-        ahead = walk.select(*by, F.col("id").alias("next"), F.col("tail").alias("t2"), F.col("next").alias("n2"), F.col("n").alias("c2"))
-        walk = checkpoint(
-            walk.join(ahead, [*by, "next"], "left").select(*by, "id", "heads", "src", F.concat("tail", F.coalesce("t2", F.lit(""))).alias("tail"), F.col("n2").alias("next"), (F.col("n") + F.coalesce("c2", F.lit(0))).alias("n"), "low")
-        )
-    found = walk.where("heads").select(*by, F.concat("src", "tail").alias("contig"), F.col("n").alias("n_edges"))
-    return found.union(_cycles(step, by, cycle_per_node))
-
-
-def _each(by: list[str]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*by, "src", "dst").orderBy("src")
-
-
-def _cycles(step: DataFrame, by: list[str], per_node: bool) -> DataFrame:
-    """Edges that lie on no path from a head are isolated cycles."""
-    kinds = ", ".join(f"{c} {step.schema[c].dataType.simpleString()}" for c in by)
-
-    def spell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        nxt = dict(zip(pdf["src"], pdf["dst"]))
-        left, out = set(nxt), []
-        for s in sorted(nxt):
-            if s not in left:
-                continue
-            nodes, v = [s], nxt[s]
-            while v in nxt and v != s and v in left and v not in nodes[:1]:
-                nodes.append(v)
-                v = nxt[v]
-            left -= set(nodes)
-            if v == s:
-                for i in range(len(nodes) if per_node else 1):
-                    turn = nodes[i:] + nodes[:i] + [nodes[i]]
-                    out.append((*key, turn[0] + "".join(n[-1] for n in turn[1:]), len(nodes)))
-        return pd.DataFrame(out, columns=[*by, "contig", "n_edges"])
-
-    lone = step.where("NOT heads AND next IS NOT NULL")
-    return lone.groupBy(*by).applyInPandas(spell, f"{kinds}, contig string, n_edges int")
+    e = stored(edges(kmers).select(*by, "src", "dst").withColumn("e", F.monotonically_increasing_id()))
+    inner = degrees(e, by).where("in_degree = 1 AND out_degree = 1").select(*by, F.col("node").alias("dst"))
+    follow = e.select(*by, F.col("src").alias("dst"), F.col("e").alias("next")).join(inner, [*by, "dst"])
+    follow = stored(e.join(follow, [*by, "dst"], "left").select("e", "next"))
+    walk = walked(follow)
+    path = e.join(walk.where("done").select("e", F.col("far").alias("trail"), "left"), "e")
+    found = _spelled(path, by)
+    rings = stored(e.join(walk.where("NOT done").select("e", F.col("low").alias("trail")), "e"), small=True)
+    if rings.isEmpty():
+        return found.select(*by, "contig", "n_edges")
+    first = rings.groupBy("trail").agg(F.min_by("e", "src").alias("next")).select("next", F.lit(True).alias("cuts"))
+    line = rings.select("e", "trail").join(follow, "e").join(first, "next", "left").select("e", "trail", F.when(F.col("cuts"), None).otherwise(F.col("next")).alias("next"))
+    turn = rings.drop("trail").join(walked(line.select("e", "next")).select("e", F.col("far").alias("trail"), "left"), "e")
+    ring = _spelled(turn, by)
+    if cycle_per_node:
+        size = F.length("contig") - F.col("n_edges")  # letters of a node
+        whole = F.concat(F.col("contig"), F.substring("contig", size + 1, F.col("n_edges")))
+        ring = ring.withColumn("at", F.explode(F.sequence(F.lit(1), F.col("n_edges")))).withColumn("contig", F.substring(whole, F.col("at"), F.length("contig")))
+    return found.unionByName(ring, allowMissingColumns=True).select(*by, "contig", "n_edges")
+
+
+def _spelled(edge_rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, contig, n_edges of edges with their trail and how many edges are left after each."""
+    last = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("at"), F.right("dst", F.lit(1)).alias("c")))), lambda x: x["c"])
+    rows = edge_rows.groupBy(*by, "trail").agg(F.max_by("src", "left").alias("src"), F.array_join(last, "").alias("tail"), F.count(F.lit(1)).cast("int").alias("n_edges"))
+    return rows.select(*by, F.concat("src", "tail").alias("contig"), "n_edges")

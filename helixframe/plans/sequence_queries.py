@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import projections as P
-from ..operators import assembly, index, kmers, motifs, patterns
+from ..operators import assembly, euler, index, kmers, motifs, patterns
 from ..operators.lineage import stored
 from ..operators.pairs import all_pairs
 from .registry import query
@@ -137,6 +137,15 @@ def gs5(spark, d):
     return kmers.kmers(found, 12, "genome", ["item_id"]).select("item_id", "kmer")
 
 
+@query("gs5_table_paths", P.with_("items", more=kmer_cte("k", "items", "item_id", 12)) + "SELECT kmer, count(*) AS n, true AS joined FROM kk GROUP BY kmer")
+def gs5_table(spark, d):
+    """The paths of one graph of all items: each k-mer as often as it is read, each overlapping the one before it on its path."""
+    found = stored(euler.kmer_paths(kmers.kmer_totals(P.items(spark, d), 12)))
+    before = found.select("path", (F.col("pos") + 1).alias("pos"), F.col("kmer").alias("earlier"))
+    fits = F.coalesce(F.left("kmer", F.lit(11)) == F.right("earlier", F.lit(11)), F.col("pos") == 0)
+    return found.join(before, ["path", "pos"], "left").groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.bool_and(fits).alias("joined"))
+
+
 _PAIRS = "p AS (SELECT item_id, seq, unnest(range(0, length(seq) - 39)) AS pos FROM items), q AS (SELECT item_id, substr(seq, pos + 1, 10) AS a, substr(seq, pos + 31, 10) AS b FROM p)"
 
 
@@ -162,6 +171,16 @@ def gs8(spark, d):
     return kmers.read_pairs(found.select("item_id", F.col("genome").alias("seq")), 10, 20).select("item_id", "a", "b")
 
 
+@query("gs8_table_paths", P.with_("items", more=_PAIRS) + "SELECT a, b, count(*) AS n, true AS joined FROM q GROUP BY a, b")
+def gs8_table(spark, d):
+    """The same for read pairs of all items."""
+    found = stored(euler.paired_paths(kmers.read_pairs(P.items(spark, d), 10, 20).select("a", "b")))
+    before = found.select("path", (F.col("pos") + 1).alias("pos"), F.col("a").alias("a0"), F.col("b").alias("b0"))
+    end = lambda x, y: F.left(x, F.lit(9)) == F.right(y, F.lit(9))
+    fits = F.coalesce(end("a", "a0") & end("b", "b0"), F.col("pos") == 0)
+    return found.join(before, ["path", "pos"], "left").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.bool_and(fits).alias("joined"))
+
+
 @query("gs9_contigs", P.with_("items", more=kmer_cte("k", "items", "item_id", 8) + """, e AS (SELECT item_id AS g, left(kmer, 7) AS src, right(kmer, 7) AS dst FROM kk),
 dg AS (SELECT g, node, sum(o) AS o, sum(i) AS i FROM (SELECT g, src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT g, dst, 0, 1 FROM e) GROUP BY ALL), inn AS (SELECT g, node FROM dg WHERE o = 1 AND i = 1),
 w AS (SELECT e.g, e.dst, e.src || right(e.dst, 1) AS contig, 1 AS n FROM e ANTI JOIN inn ON inn.g = e.g AND inn.node = e.src UNION ALL
