@@ -13,13 +13,17 @@ never seen) and counts as no symbol.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import stored
+
 FLOOR = 1e-12
 
 
@@ -257,23 +261,107 @@ def _maximised(T: np.ndarray, E: np.ndarray, m: Model) -> Model:
     return Model(m.states, share(T), share(E), m.alphabet)
 
 
+def _lse(v: np.ndarray, axis: int) -> np.ndarray:
+    top = v.max(axis, keepdims=True)
+    return np.log(np.exp(v - top).sum(axis)) + top.squeeze(axis)
+
+
+def _batches(texts: list[str], m: Model, cells: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in texts, their letters (text x place, the longest text first) and lengths, of texts of like length together."""
+    size = np.array([len(t) for t in texts], np.int64)
+    order = np.argsort(-size, kind="stable")
+    order = order[size[order] > 0]
+    while len(order):
+        n = max(1, int(cells // (size[order[0]] * len(m.states))))
+        part, order = order[:n], order[n:]
+        o = np.full((len(part), int(size[part[0]])), len(m.alphabet), np.int64)
+        for row, i in zip(o, part.tolist()):
+            row[: size[i]] = coded(texts[i], m)
+        yield part, o, size[part]
+
+
+def _live(size: np.ndarray, t: int) -> int:
+    """How many texts are longer than t, the longest coming first."""
+    return int(np.searchsorted(-size, -t, "left"))
+
+
+def _forward(o: np.ndarray, size: np.ndarray, logt: np.ndarray, loge: np.ndarray) -> np.ndarray:
+    """text x place x state. logt, loge: of each text, or one for all."""
+    a = np.zeros((*o.shape, logt.shape[-1]))
+    at = np.arange(len(o))
+    own = lambda x, n: x[:n] if len(x) > 1 else x
+    emit = lambda t, n: loge[at[:n] if len(loge) > 1 else 0, :, o[:n, t]]
+    a[:, 0] = emit(0, len(o)) - np.log(a.shape[2])
+    for t in range(1, o.shape[1]):
+        n = _live(size, t)
+        a[:n, t] = emit(t, n) + _lse(a[:n, t - 1, :, None] + own(logt, n), 1)
+    return a
+
+
+def batch_counts(o: np.ndarray, size: np.ndarray, logt: np.ndarray, loge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Baum-Welch's sums of each text, all texts a place at a time: text x state x state, text x state x letter."""
+    a = _forward(o, size, logt, loge)
+    count, long, states = a.shape
+    at = np.arange(count)
+    own = lambda x, n: x[:n] if len(x) > 1 else x
+    b = np.zeros_like(a)
+    T, E = np.zeros((count, states, states)), np.zeros((count, states, loge.shape[2]))
+    for t in range(long - 2, -1, -1):
+        n = _live(size, t + 1)
+        ahead = loge[at[:n] if len(loge) > 1 else 0, :, o[:n, t + 1]] + b[:n, t + 1]
+        xi = own(logt, n) + ahead[:, None, :]
+        b[:n, t] = _lse(xi, 2)
+        xi = a[:n, t, :, None] + xi
+        xi = np.exp(xi - xi.max((1, 2), keepdims=True))
+        T[:n] += xi / xi.sum((1, 2), keepdims=True)
+    total = _lse(a[at, size - 1], 1)
+    for t in range(long):
+        n = _live(size, t)
+        E[at[:n], :, o[:n, t]] += np.exp(a[:n, t] + b[:n, t] - total[:n, None])
+    return T, E[:, :, :-1]
+
+
 def train_one(x: str, m: Model, iterations: int = 5, hard: bool = False) -> Model:
     for _ in range(iterations):
         m = _maximised(*(path_counts if hard else expected_counts)(x, m), m)
     return m
 
 
+def own_likelihoods(texts: list[str], m: Model, iterations: int = 5) -> np.ndarray:
+    """Each text's log-likelihood under the model trained on it alone; texts of like length are trained together."""
+    out = np.zeros(len(texts))
+    share = lambda x: np.divide(x, x.sum(-1, keepdims=True), out=np.zeros_like(x), where=x.sum(-1, keepdims=True) > 0)
+    for part, o, size in _batches(texts, m):
+        logt, loge = (x[None] for x in logs(m))
+        for _ in range(iterations):
+            T, E = batch_counts(o, size, logt, loge)
+            logt = np.log(share(T) + FLOOR)
+            loge = np.log(np.concatenate((share(E), np.zeros((*E.shape[:2], 1))), axis=2) + FLOOR)
+        out[part] = _lse(_forward(o, size, logt, loge)[np.arange(len(o)), size - 1], 1)
+    return out
+
+
 def train(seqs: DataFrame, m: Model, iterations: int = 5, hard: bool = False, seq: str = "seq") -> Model:
-    """Rounds over all sequences: counts are made where the sequences are and added by groupBy; the driver gets one number a cell."""
-    count = path_counts if hard else expected_counts
+    """Rounds over all sequences, which are stored once: a task adds up the counts of its sequences, and the driver gets one number a cell."""
+    rows = stored(seqs.select(F.col(seq).alias("seq")))
     for _ in range(iterations):
         now = m
 
-        def run(s: pd.Series) -> pd.Series:
-            return s.map(lambda x: np.concatenate([c.ravel() for c in count(x or "", now)]))
-
-        run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-        cells = seqs.select(F.posexplode(F.pandas_udf(run, "array<double>")(seq)).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            flat = np.zeros(now.transition.size + now.emission.size)
+            logt, loge = (x[None] for x in logs(now))
+            for b in batches:
+                texts = [x or "" for x in b.column("seq").to_pylist()]
+                if hard:
+                    for x in texts:
+                        flat += np.concatenate([c.ravel() for c in path_counts(x, now)])
+                else:
+                    for _, o, size in _batches(texts, now):
+                        T, E = batch_counts(o, size, logt, loge)
+                        flat += np.concatenate((T.sum(0).ravel(), E.sum(0).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["i", "v"])
+
+        cells = rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
         flat = np.zeros(m.transition.size + m.emission.size)
         for r in cells:
             flat[r["i"]] = r["v"]
@@ -302,14 +390,17 @@ def decode(seqs: DataFrame, m: Model, kind: str = "profile", seq: str = "seq") -
 
 
 def most_divergent(seqs: DataFrame, m: Model, iterations: int = 5, order: str = "ordinal", seq: str = "seq") -> DataFrame:
-    """The sequence whose own trained model gives it the least likelihood, ties to the first. One row a sequence, all in parallel."""
+    """The sequence whose own trained model gives it the least likelihood, ties to the first; null ones have none."""
 
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else forward(x, train_one(x, m, iterations)))
+        out = pd.Series(own_likelihoods([x or "" for x in s], m, iterations))
+        return out.where(s.notna().to_numpy(), None)
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    scored = seqs.withColumn("_p", F.pandas_udf(run, "double")(seq))
-    return scored.where("_p IS NOT NULL").agg(F.min(F.struct("_p", order)).alias("m")).select(F.col(f"m.{order}").alias(order), F.col("m._p").alias("log_likelihood"))
+    scored = seqs.select(order, F.pandas_udf(run, "double")(seq).alias("_p"))
+    # a filter on the result would be pushed below it, and run it twice
+    least = F.min(F.when(F.col("_p").isNotNull(), F.struct("_p", order))).alias("m")
+    return scored.agg(least).select(F.col(f"m.{order}").alias(order), F.col("m._p").alias("log_likelihood"))
 
 
 def model_rows(spark, m: Model) -> tuple[DataFrame, DataFrame]:

@@ -173,7 +173,9 @@ def search(df: DataFrame, k: int, by: list[str], method: str = "greedy", order:
 
     run.__annotations__ = {"s": pd.Series, "r": pd.Series, "return": pd.DataFrame}
     made = F.pandas_udf(run, "struct<score:int,at:int,motifs:array<string>>")("_s", "_run")
-    return rows.select(*by, made.alias("m")).where("m.score IS NOT NULL").groupBy(*by).agg(F.min("m").alias("m")).select(*by, "m.score", "m.motifs")
+    # a filter on the result would be pushed below it, and run it twice
+    best = F.min(F.when(F.col("m.score").isNotNull(), F.col("m"))).alias("m")
+    return rows.select(*by, made.alias("m")).groupBy(*by).agg(best).where("m IS NOT NULL").select(*by, "m.score", "m.motifs")
 
 
 def profile_random(df: DataFrame, profile_rows: DataFrame, k: int, by: list[str], seed: int, seq: str = "seq") -> DataFrame:

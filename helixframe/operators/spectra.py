@@ -54,6 +54,13 @@ def cyclic_spectrum(df: DataFrame, pep: str = "pep", masses: dict[str, int] = DE
     rounding) goes, chosen by a hash with the seed."""
     d = df.withColumn("_p", prefix_masses(F.col(pep), masses))
     n, total = F.size("_p") - 1, F.element_at("_p", -1)
+    if not drop_share:  # two ends at a time, straight from the prefix masses
+        first = d.where(n > 0).withColumn("_i", F.explode(F.sequence(F.lit(0), n - 1)))
+        both = first.select("*", F.posexplode(F.slice("_p", F.col("_i") + 2, F.size("_p"))).alias("_k", "_y"))
+        part = F.col("_y") - F.element_at("_p", F.col("_i") + 1)
+        inside = (F.col("_i") > 0) & (F.col("_i") + F.col("_k") + 1 < n)
+        parts = both.withColumn("mass", F.explode(F.when(inside, F.array(part, total - part)).otherwise(F.array(part))))
+        return parts.select(*df.columns, "mass").union(df.where(F.col(pep).isNotNull()).select(*df.columns, F.lit(0).alias("mass")))
     inner = F.slice("_p", 2, F.greatest(n - 1, F.lit(0)))
     rest = F.transform(_differences(inner), lambda x: total - x)
     d = d.withColumn("_m", F.array_sort(F.concat(F.array(F.lit(0)), _differences(F.col("_p")), rest)))

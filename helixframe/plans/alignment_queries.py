@@ -10,6 +10,7 @@ from ..functions import projections as P
 from ..operators import align as A
 from ..operators import cluster as C
 from ..operators import hmm as H
+from ..operators import kmers as K
 from ..operators import phylo as T
 from ..operators.pairs import all_pairs
 from .registry import query
@@ -34,9 +35,11 @@ def scores(spark, d, kind, **options):
 _GLOBAL = dp("-1.0 * j", "-1.0 * (i + 1)")
 
 
-@query("sa1_score_matrix", "WITH l AS (SELECT unnest(['A','C','G','T','-']) AS a) SELECT l.a, m.a AS b, CASE WHEN l.a = '-' OR m.a = '-' THEN -1.0 WHEN l.a = m.a THEN 1.0 ELSE -1.0 END::DOUBLE AS score FROM l, l m")
+@query("sa1_score_matrix", P.with_("items", more="w AS (SELECT seq, unnest(range(1, length(seq))) AS i FROM items), nb AS (SELECT seq[i] AS a, seq[i + 1] AS b, count(*) AS n FROM w GROUP BY ALL), l AS (SELECT unnest(['A','C','G','T','-']) AS a)") + "SELECT l.a, m.a AS b, CASE WHEN l.a = '-' OR m.a = '-' THEN -1.0 WHEN l.a = m.a THEN 1.0 ELSE -1.0 END::DOUBLE AS score, coalesce(n, 0) AS n FROM l CROSS JOIN l m LEFT JOIN nb ON nb.a = l.a AND nb.b = m.a")
 def sa1(spark, d):
-    return A.score_matrix(spark)
+    """The scores of letter pairs, and how often each pair stands side by side in the items."""
+    seen = K.kmer_totals(P.items(spark, d), 2).select(F.left("kmer", F.lit(1)).alias("a"), F.right("kmer", F.lit(1)).alias("b"), "n")
+    return A.score_matrix(spark).join(seen, ["a", "b"], "left").select("a", "b", "score", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("sa3_needleman_wunsch", P.with_("nations", more=PAIRS + ", " + _GLOBAL) + "SELECT id, id2, r[-1] AS score FROM t WHERE i = length(v)")
@@ -464,9 +467,11 @@ def hm7(spark, d):
     return m.select("region", "kind", F.col("src").cast("int").alias("src"), F.col("to").cast("int").alias("dst"), F.round("p", 6).alias("p"))
 
 
-@query("hm5_state_names", "SELECT i::INT AS idx, n AS name FROM (SELECT unnest(range(0, 9)) AS i, unnest(['S','I0','M1','D1','I1','M2','D2','I2','E']) AS n)")
+@query("hm5_state_names", P.with_("nations", more="k AS (SELECT region, count(*) AS k FROM nations GROUP BY region), n AS (SELECT region, ['S', 'I0'] || flatten([['M' || i, 'D' || i, 'I' || i] FOR i IN range(1, k + 1)]) || ['E'] AS n FROM k)") + "SELECT region, unnest(range(0, len(n)))::INT AS idx, unnest(n) AS name FROM n")
 def hm5(spark, d):
-    return spark.createDataFrame(list(enumerate(H.state_names(2))), "idx int, name string")
+    """The states of a model with a level for each sequence of a region."""
+    levels = P.nations(spark, d).groupBy("region").count().collect()  # five regions at every scale
+    return spark.createDataFrame([(r["region"], i, name) for r in levels for i, name in enumerate(H.state_names(r["count"]))], "region int, idx int, name string")
 
 
 @query("hm8_profile_path", P.with_("nations") + "SELECT id, length(seq) AS emitted, true AS in_order FROM nations")
@@ -583,9 +588,16 @@ def cl4(spark, d):
     return C.format_clusters(C.nearest(P.points(spark, d), centres), centres)
 
 
-@query("hm2_model_text", "SELECT 'States:' || chr(10) || 'A B' || chr(10) || chr(10) || 'Transition Matrix:' || chr(10) || '0.8 0.2' || chr(10) || '0.3 0.7' || chr(10) || chr(10) || 'Emission Matrix:' || chr(10) || '0.4 0.3 0.2 0.1' || chr(10) || '0.1 0.2 0.3 0.4' || chr(10) AS text")
+@query("hm2_model_text", P.with_("items", more="""l AS (SELECT item_id % 2 AS state, unnest(string_split(seq, '')) AS c FROM items), c4 AS (SELECT unnest(['A', 'C', 'G', 'T']) AS c),
+n AS (SELECT s.state, c4.c, (SELECT count(*) FROM l WHERE l.state = s.state AND l.c = c4.c) + 1 AS n FROM (VALUES (0), (1)) s(state), c4), sh AS (SELECT state, c, round(n / sum(n) OVER (PARTITION BY state), 3) AS p FROM n),
+ln AS (SELECT state, string_agg(p::VARCHAR, ' ' ORDER BY c) AS e FROM sh GROUP BY state)""") + """SELECT 'States:' || chr(10) || 'A B' || chr(10) || chr(10) || 'Transition Matrix:' || chr(10) || '0.8 0.2' || chr(10) || '0.3 0.7' || chr(10) || chr(10) || 'Emission Matrix:' || chr(10) || string_agg(e || chr(10), '' ORDER BY state) AS text FROM ln""")
 def hm2(spark, d):
-    return spark.createDataFrame([(H.model_text(MODEL),)], "text string")
+    """A model whose states emit the letters of the even and of the odd items, as text."""
+    seen = P.items(spark, d).select((F.col("item_id") % 2).alias("state"), F.explode(K.letters(F.col("seq"))).alias("c")).groupBy("state", "c").count().collect()
+    n = {(r["state"], r["c"]): r["count"] for r in seen}
+    counts = np.array([[n.get((s, c), 0) + 1 for c in "ACGT"] for s in (0, 1)])
+    own = H.Model(MODEL.states, MODEL.transition, np.round(counts / counts.sum(1, keepdims=True), 3), "ACGT")
+    return spark.createDataFrame([(H.model_text(own),)], "text string")
 
 
 @query("hm10_expected_transitions", P.with_("items", more=", ".join([_ALL, _sums(0, "hm0")])) + "SELECT item_id, (s - 1)::INT AS src, (j - 1)::INT AS dst, round(n, 6) AS n FROM xi0")

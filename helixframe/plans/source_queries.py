@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import projections as P
@@ -75,12 +76,19 @@ def io8(spark, d):
     return pairs.select("item_id", F.inline(assembly.parse_pairs(F.col("t"))))
 
 
-@query("io9_substitution_matrix", "SELECT * FROM (VALUES ('A', 'A', 2.0::DOUBLE), ('A', 'R', -2.0), ('R', 'A', -2.0), ('R', 'R', 6.0)) t(a, b, score)")
+_NEIGHBOURS = "w AS (SELECT seq, unnest(range(1, length(seq))) AS i FROM items), nb AS (SELECT seq[i] AS a, seq[i + 1] AS b, count(*)::DOUBLE AS score FROM w GROUP BY ALL)"
+
+
+@query("io9_substitution_matrix", P.with_("items", more=_NEIGHBOURS) + "SELECT a, b, score FROM nb")
 def io9(spark, d):
+    """A matrix of how often letters follow one another in the items, written as text and parsed."""
     from ..operators.align import parse_matrix
 
-    found = parse_matrix("# a comment\n   A  R\nA  2 -2\nR -2  6\n")
-    return spark.createDataFrame([(k[0], k[1], x) for k, x in found.items()], "a string, b string, score double")
+    pairs = kmers.kmer_totals(P.items(spark, d), 2).collect()  # one for each pair of letters
+    n, used = {(r["kmer"][0], r["kmer"][1]): r["n"] for r in pairs}, sorted({c for r in pairs for c in r["kmer"]})
+    lines = ["# follows", "   " + "  ".join(used), *(f"{a}  " + " ".join(str(n.get((a, b), 0)) for b in used) for a in used)]
+    found = parse_matrix("\n".join(lines) + "\n")
+    return spark.createDataFrame([(k[0], k[1], x) for k, x in found.items() if x], "a string, b string, score double")
 
 
 @query("io11_report", P.with_("items") + "SELECT item_id, seq FROM items")
@@ -100,13 +108,22 @@ def io12(spark, d):
     return one.union(spark.read.parquet(f"{path}/pairs").select(F.lit("pair"), "item_id", "a", "b"))
 
 
-@query("io13_model_sink", """SELECT m AS model, k AS kind, r::INT AS row, c AS col, p FROM (VALUES ('one'), ('two')) a(m),
-(VALUES ('T', 0, '0', 0.8::DOUBLE), ('T', 0, '1', 0.2), ('T', 1, '0', 0.3), ('T', 1, '1', 0.7), ('E', 0, 'A', 0.4), ('E', 0, 'C', 0.3), ('E', 0, 'G', 0.2), ('E', 0, 'T', 0.1),
-('E', 1, 'A', 0.1), ('E', 1, 'C', 0.2), ('E', 1, 'G', 0.3), ('E', 1, 'T', 0.4)) b(k, r, c, p)""")
+_SHARES = """l AS (SELECT region, id % 2 AS state, unnest(string_split(seq, '')) AS c FROM nations), c4 AS (SELECT unnest(['A', 'C', 'G', 'T']) AS c), st AS (SELECT DISTINCT region, state FROM l),
+ct AS (SELECT st.region, st.state, c4.c, (SELECT count(*) FROM l WHERE l.region = st.region AND l.state = st.state AND l.c = c4.c) + 1 AS n FROM st, c4),
+sh AS (SELECT region, state, c, round(n / sum(n) OVER (PARTITION BY region, state), 6) AS p FROM ct)"""
+
+
+@query("io13_model_sink", P.with_("nations", more=_SHARES) + """SELECT region::VARCHAR AS model, 'E' AS kind, state AS row, c AS col, p FROM sh UNION ALL
+SELECT DISTINCT region::VARCHAR, 'T', r::INT, c, p FROM nations, (VALUES (0, '0', 0.8::DOUBLE), (0, '1', 0.2), (1, '0', 0.3), (1, '1', 0.7)) b(r, c, p)""")
 def io13(spark, d):
-    """Two models, one of them written twice."""
+    """A model for each region, with the letters of its even and odd sequences as emissions; one is written twice."""
     path = scratch(spark)
-    for name in ("one", "two", "one"):
-        fasta.append_model(*hmm.model_rows(spark, MODEL), path, name)
-    t, e = spark.read.parquet(f"{path}/transition"), spark.read.parquet(f"{path}/emission")
+    seen = P.nations(spark, d).select("region", (F.col("id") % 2).alias("state"), F.explode(kmers.letters(F.col("seq"))).alias("c")).groupBy("region", "state", "c").count().collect()
+    n = {(r["region"], r["state"], r["c"]): r["count"] for r in seen}  # five regions at every scale
+    regions = sorted({k[0] for k in n})
+    for g in [*regions, regions[0]]:
+        counts = np.array([[n.get((g, s, c), 0) + 1 for c in "ACGT"] for s in (0, 1)])
+        own = hmm.Model(MODEL.states, MODEL.transition, np.round(counts / counts.sum(1, keepdims=True), 6), "ACGT")
+        fasta.append_model(*hmm.model_rows(spark, own), path, str(g))
+    t, e = (spark.read.schema(f"{c}, p double, model string").parquet(f"{path}/{x}") for x, c in (("transition", "`from` int, `to` int"), ("emission", "state int, sym string")))
     return t.select("model", F.lit("T").alias("kind"), F.col("from").alias("row"), F.col("to").cast("string").alias("col"), "p").union(e.select("model", F.lit("E"), "state", "sym", "p"))

@@ -26,9 +26,11 @@ _CYC = """cyc AS (SELECT ordinal, 0 AS mass FROM peptides UNION ALL SELECT ordin
 SELECT a.ordinal, (t.s - (b.s - a.s))::INT FROM pm a JOIN pm b ON a.ordinal = b.ordinal AND a.i < b.i AND a.i > 0 AND b.i < length(b.pep) JOIN pm t ON t.ordinal = a.ordinal AND t.i = length(t.pep))"""
 
 
-@query("ps1_mass_table", "WITH " + _DECI + " SELECT aa, o::INT AS ord, (m // 10)::INT AS mass_int, m AS mass_decida FROM mass")
+@query("ps1_mass_table", P.with_("peptides", more=_DECI + ", rs AS (SELECT unnest(string_split(pep, '')) AS aa FROM peptides)") + "SELECT aa, o::INT AS ord, (m // 10)::INT AS mass_int, m AS mass_decida, count(rs.aa) AS n FROM mass LEFT JOIN rs USING (aa) GROUP BY ALL")
 def ps1(spark, d):
-    return S.mass_table(spark)
+    """The residues, and how often each is in the peptides."""
+    seen = P.peptides(spark, d).select(F.explode(F.split("pep", "")).alias("aa")).where("aa <> ''").groupBy("aa").agg(F.count(F.lit(1)).alias("n"))
+    return S.mass_table(spark).join(seen, "aa", "left").select("aa", "ord", "mass_int", "mass_decida", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("ps2_cyclic_spectrum", P.with_("peptides", more=", ".join([_DECI, lin("peptides", "ordinal"), _CYC])) + "SELECT * FROM cyc")

@@ -263,3 +263,25 @@ def test_shared_and_unshared_against_all_substrings():
         assert len(patterns.longest_shared(a, b)) == max(map(len, subs(a) & subs(b)), default=0) and patterns.longest_shared(a, b) in b
         own = sorted(subs(a) - subs(b), key=lambda s: (len(s), a.find(s)))
         assert patterns.shortest_unshared(a, b) == (own[0] if own else None)
+
+
+def test_training_in_batches():
+    r = random.Random(31)
+    texts = ["", "A", "N"] + ["".join(r.choice("ACGTN") for _ in range(r.randrange(1, 40))) for _ in range(30)]
+    for cells in (1 << 21, 60):
+        for part, o, size in hmm._batches(texts, MODEL, cells):
+            T, E = hmm.batch_counts(o, size, *(x[None] for x in hmm.logs(MODEL)))
+            for k, i in enumerate(part.tolist()):
+                t, e = hmm.expected_counts(texts[i], MODEL)
+                assert np.allclose(T[k], t) and np.allclose(E[k], e)
+    want = [hmm.forward(x, hmm.train_one(x, MODEL, 3)) for x in texts]
+    assert np.allclose(hmm.own_likelihoods(texts, MODEL, 3), want)
+
+
+def test_kernels_are_run_once(spark):
+    from helixframe.operators import motifs
+
+    df = spark.createDataFrame([("g", 1, "ACGTACGT"), ("g", 2, "ACGTTT"), ("h", 1, None)], "g string, ordinal int, seq string")
+    for found in (motifs.search(df, 3, ["g"]), motifs.search(df, 3, ["g"], "gibbs"), hmm.most_divergent(df, MODEL, 1)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and found.count() == 1
