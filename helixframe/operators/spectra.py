@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .lineage import stored
+
 # Residues in their order, with decimasses.
 RESIDUES = {
     "G": 570, "A": 710, "S": 870, "P": 970, "V": 990, "T": 1011, "C": 1030, "I": 1131, "L": 1131, "N": 1141, "D": 1151,
@@ -103,6 +105,40 @@ def best_matches(spectra: DataFrame, peptides: DataFrame, order: DataFrame, thre
     return found.crossJoin(F.broadcast(earliest)).withColumn(pep, F.coalesce(pep, "_first")).drop("_first")
 
 
+def _winners(scored: DataFrame, order: DataFrame, spec: str, pep: str) -> DataFrame:
+    """The best-scored row of each spectrum, ties to the earliest peptide."""
+    best = scored.join(order, pep).groupBy(spec).agg(F.max(F.struct(F.col("score"), (-F.col("ordinal")).alias("o"), F.col(pep))).alias("b"))
+    return best.select(spec, F.col(f"b.{pep}").alias(pep), F.col("b.score").alias("score"))
+
+
+def candidates(spectra: DataFrame, peptides: DataFrame, order: DataFrame, threshold: int, spec: str = "spec_id", pep: str = "pep", rare: int = 2) -> DataFrame:
+    """spec, pep: the pairs that can be a spectrum's best with a score above the threshold; a spectrum meets only these.
+
+    A mass can add at most the smaller of its counts in the spectrum and in any peptide. First each spectrum meets the peptides that share one of its
+    `rare` rarest masses, and the whole score of the best of these is a score that the winner has at least. Its most common masses are then
+    set aside as long as they cannot add up to that score together: a peptide that shares none of the others cannot win, so only the
+    others, which few peptides have, are joined."""
+    stats = peptides.groupBy("mass").agg(F.count(F.lit(1)).alias("df"), F.max("n").alias("top"))
+    terms = stored(spectra.join(stats, "mass").select(spec, "mass", "n", "df", F.least("n", "top").alias("most")), small=True)
+    rarest = terms.withColumn("r", F.row_number().over(Window.partitionBy(spec).orderBy("df", "mass"))).where(F.col("r") <= rare)
+    first = _winners(match_scores(rarest.select(spec, "mass", "n"), peptides, spec, pep), order, spec, pep).select(spec, pep)
+    own = first.join(peptides.withColumnRenamed("n", "_m"), pep).join(spectra, [spec, "mass"]).groupBy(spec).agg(F.sum(F.least("n", "_m")).alias("_least"))
+    aside = F.sum("most").over(Window.partitionBy(spec).orderBy(F.desc("df"), "mass"))
+    need = F.greatest(F.coalesce("_least", F.lit(0)), F.lit(threshold + 1))
+    kept = terms.withColumn("_aside", aside).join(own, spec, "left").where(F.col("_aside") >= need)
+    return kept.select(spec, "mass").join(peptides.select(pep, "mass"), "mass").select(spec, pep).distinct()
+
+
+def best_matches_pruned(spectra: DataFrame, peptides: DataFrame, order: DataFrame, threshold: int, spec: str = "spec_id", pep: str = "pep", rare: int = 2) -> DataFrame:
+    """best_matches(), for thresholds of 0 or more, of `candidates` alone: scores are added up only for pairs that can win."""
+    if threshold < 0:
+        raise ValueError("a score of 0 needs all pairs: use best_matches")
+    pairs = candidates(spectra, peptides, order, threshold, spec, pep, rare)
+    scored = pairs.join(peptides.withColumnRenamed("n", "_m"), pep).join(spectra, [spec, "mass"]).groupBy(spec, pep).agg(F.sum(F.least("n", "_m")).alias("score"))
+    best = _winners(scored.where(F.col("score") > threshold), order, spec, pep)
+    return spectra.select(spec).distinct().join(best, spec, "left").select(spec, pep, F.coalesce("score", F.lit(0)).alias("score"))
+
+
 def consistent(peptides: DataFrame, spectrum: DataFrame, pep: str = "pep", masses: dict[str, int] = DECI) -> DataFrame:
     """The peptides whose linear masses, counted, all occur in the spectrum (mass, n)."""
     own = linear_spectrum(peptides.select(pep).distinct(), pep, masses).groupBy(pep, "mass").agg(F.count(F.lit(1)).alias("need"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment_queries, graph_queries, sequence_queries, source_queries, spectrum_queries  # noqa: F401
+from . import alignment_queries, graph_queries, sequence_queries, source_queries, spectrum_queries, sql_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 

@@ -171,6 +171,11 @@ def pv6(spark, d):
     return S.best_matches(*pv_tables(spark, d), 3)
 
 
+@query("pv6_pruned_search", P.with_("peptides", "segments", more=_PV) + "SELECT spec_id, best.pep, coalesce(score, 0)::BIGINT AS score FROM segments LEFT JOIN best USING (spec_id)")
+def pv6_pruned(spark, d):
+    return S.best_matches_pruned(*pv_tables(spark, d), 3)
+
+
 @query("pv5_best_peptide", P.with_("peptides", "segments", more=_PV.replace("score > 3", "score > -1")) + "SELECT spec_id, coalesce(best.pep, (SELECT pep FROM peptides ORDER BY ordinal LIMIT 1)) AS pep, coalesce(score, 0)::BIGINT AS score FROM segments LEFT JOIN best USING (spec_id)")
 def pv5(spark, d):
     return S.best_matches(*pv_tables(spark, d), -1)
