@@ -426,6 +426,32 @@ def cl9_single(spark, d):
     return eights(spark, d, "single")
 
 
+#: One dataset's clusters as sums of distances (m) and sizes (z); the merged cluster takes the place of the one with the smaller leaf.
+_WHOLE = """qn AS (SELECT list(i ORDER BY i) AS l, list(1::BIGINT) AS z FROM leaf), qa AS (SELECT i, j, d FROM pair UNION ALL SELECT j, i, d FROM pair UNION ALL SELECT i, i, 0.0 FROM leaf),
+qm AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(d ORDER BY j) AS r FROM qa GROUP BY i)), u AS (SELECT l, z, m, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS height FROM qn, qm UNION ALL
+SELECT [l[k] FOR k IN range(1, len(l) + 1) IF k <> y], [CASE WHEN k = x THEN z[x] + z[y] ELSE z[k] END FOR k IN range(1, len(l) + 1) IF k <> y],
+[[CASE WHEN k = x AND g = x THEN 0.0 WHEN k = x THEN m[x][g] + m[y][g] WHEN g = x THEN m[k][x] + m[k][y] ELSE m[k][g] END FOR g IN range(1, len(l) + 1) IF g <> y] FOR k IN range(1, len(l) + 1) IF k <> y], l[x], l[y], v FROM
+(SELECT l, z, m, pr.v AS v, pr.x AS x, pr.y AS y FROM (SELECT l, z, m, list_min(flatten([[{'v': round(m[x][y] / (z[x] * z[y]), 9), 'x': x, 'y': y} FOR y IN range(x + 1, len(l) + 1)] FOR x IN range(1, len(l))])) AS pr FROM u WHERE len(l) > 1)))"""
+_MERGES = "SELECT a, b, round(height, 6) + 0.0 AS height FROM u WHERE a IS NOT NULL"
+
+
+@query("cl9_table_average", P.with_("points", more="leaf AS (SELECT point_id AS i FROM points WHERE features IS NOT NULL), pair AS (SELECT a.point_id AS i, b.point_id AS j, list_distance(a.features, b.features) AS d FROM points a JOIN points b ON a.point_id < b.point_id AND len(a.features) = len(b.features)), " + _WHOLE) + _MERGES)
+def cl9_table(spark, d):
+    """All points as one dataset, by average linkage of their Euclidean distances."""
+    merged = agglomerate.agglomerate(C.distance_rows(P.points(spark, d)), finish=200)
+    return merged.select("a", "b", (F.round("height", 6) + 0.0).alias("height"))
+
+
+@query("ph7_table_upgma", P.with_("items", more="leaf AS (SELECT item_id AS i FROM items WHERE seq IS NOT NULL), pair AS (SELECT a.item_id AS i, b.item_id AS j, list_sum([CASE WHEN a.seq[x] <> b.seq[x] THEN 1.0 ELSE 0.0 END FOR x IN range(1, least(length(a.seq), length(b.seq)) + 1)])::DOUBLE AS d FROM items a JOIN items b ON a.item_id < b.item_id), " + _WHOLE + """,
+s AS (SELECT a, b, height / 2 AS age, len(l) AS left_over FROM u WHERE a IS NOT NULL), e AS (SELECT b, age, left_over, 0 AS child_ord, a AS side FROM s UNION ALL SELECT b, age, left_over, 1, b FROM s),
+f AS (SELECT e.b, e.age, e.child_ord, e.side, max_by(s.b, -s.left_over) AS inner_b, max_by(s.age, -s.left_over) AS inner_age FROM e LEFT JOIN s ON s.a = e.side AND s.left_over > e.left_over GROUP BY ALL)
+""") + "SELECT 'm' || b AS parent, CASE WHEN inner_b IS NULL THEN side::VARCHAR ELSE 'm' || inner_b END AS child, child_ord, round(age - coalesce(inner_age, 0), 6) + 0.0 AS length FROM f")
+def ph7_table(spark, d):
+    """All sequences as one dataset, by their Hamming distances."""
+    edges = agglomerate.tree(agglomerate.agglomerate(T.distances(P.items(spark, d), [], order="item_id"), finish=25))
+    return edges.select("parent", "child", "child_ord", (F.round("length", 6) + 0.0).alias("length"))
+
+
 @query("hm1_alphabet", P.with_("dna") + "SELECT doc_id, coalesce(string_agg(DISTINCT c, '' ORDER BY c), '') AS alphabet FROM (SELECT doc_id, unnest(CASE WHEN seq = '' THEN [NULL] ELSE string_split(seq, '') END) AS c FROM dna) GROUP BY doc_id")
 def hm1(spark, d):
     return P.documents(spark, d).select("doc_id", F.array_join(H.alphabet_of(F.col("seq")), "").alias("alphabet"))
