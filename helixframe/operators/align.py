@@ -270,56 +270,160 @@ def alignment_columns(rows: DataFrame, by: list[str], seq: str = "seq", order: s
     return cells.groupBy(*by, "col").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "ch"))), lambda x: x["ch"]).alias("chars"))
 
 
-def multiple(seqs: list[str], mode: str = "pairs", mismatch: float = 1.0, gap: float = 1.0, whole: bool = False, cells: int = 5_000_000) -> tuple[list[str], float]:
-    """The exact t-dimensional table. Moves are tried in lexicographic order, the first best wins."""
+def _suffix_best(v: np.ndarray, w: np.ndarray, sub: np.ndarray, gap: float) -> np.ndarray:
+    """The best score of the rest of v from i on and of w from j on, for every i and j."""
+    out = np.empty((len(v) + 1, len(w) + 1))
+    steps = gap * np.arange(len(w) + 1)
+    out[-1] = -steps[::-1]
+    for i in range(len(v) - 1, -1, -1):
+        here = out[i + 1] - gap
+        here[:-1] = np.maximum(here[:-1], out[i + 1, 1:] + sub[v[i], w])
+        out[i] = np.maximum.accumulate((here - steps)[::-1])[::-1] + steps
+    return out
+
+
+class _Columns:
+    """Scores of columns and bounds on what is left, for one group of sequences."""
+
+    def __init__(self, seqs: list[str], mode: str, mismatch: float, gap: float, whole: bool):
+        alphabet = sorted(set("".join(seqs)))
+        at = {c: k for k, c in enumerate(alphabet)}
+        self.codes = [np.array([at[c] for c in s], int) for s in seqs]
+        self.pairs = list(itertools.combinations(range(len(seqs)), 2)) if mode == "pairs" else []
+        self.mode, self.gap, self.whole, self.known = mode, gap, whole, {}
+        self.sub = np.where(np.eye(len(alphabet), dtype=bool), 1.0, -mismatch)
+        self.rest = {(p, q): _suffix_best(self.codes[p], self.codes[q], self.sub, gap) for p, q in self.pairs}
+        self.sizes = np.array([len(s) for s in seqs])
+
+    def scores(self, at: np.ndarray, move: tuple[int, ...]) -> np.ndarray:
+        """The columns that end at the cells `at`."""
+        if self.mode == "pairs":
+            s = np.zeros(len(at))
+            for p, q in self.pairs:
+                s += self.sub[self.codes[p][at[:, p] - 1], self.codes[q][at[:, q] - 1]] if move[p] and move[q] else -self.gap
+            return s
+        moved = [k for k, d in enumerate(move) if d]
+        chars, back = np.unique(np.stack([self.codes[k][at[:, k] - 1] for k in moved], 1), axis=0, return_inverse=True)
+        return np.array([self._bits(tuple(sorted(c)), len(move)) for c in chars.tolist()])[back.ravel()]
+
+    def _bits(self, chars: tuple[int, ...], n: int) -> float:
+        if (chars, n) not in self.known:
+            s = -(sum(-(chars.count(c) / n) * math.log2(chars.count(c) / n) for c in sorted(set(chars))) + self.gap * (n - len(chars)))
+            self.known[chars, n] = float(int(s)) if self.whole else s
+        return self.known[chars, n]
+
+    def left(self, at: np.ndarray) -> np.ndarray:
+        """No less than any alignment of what is left can score. A pair's columns in it are an alignment of the two, with columns of two gaps, which only
+        cost; under entropies, at least the gaps that even out the lengths are paid."""
+        if self.mode == "pairs":
+            return sum((self.rest[p, q][at[:, p], at[:, q]] for p, q in self.pairs), np.zeros(len(at)))
+        rest = self.sizes - at
+        return -(math.floor(self.gap) if self.whole else self.gap) * (rest.max(1) * len(self.sizes) - rest.sum(1)).astype(float)
+
+    def total(self, rows: list[str]) -> float:
+        at, s = np.zeros((1, len(rows)), int), 0.0
+        for column in zip(*rows):
+            move = tuple(int(c != "-") for c in column)
+            at = at + move
+            s += float(self.scores(at, move)[0])
+        return s
+
+
+def _search(seqs: list[str], columns: _Columns, least: float, cells: int) -> tuple[list[str], float] | int | None:
+    """The best alignment that scores `least` or more; None if there is none, the number of cells where more than `cells` would be kept.
+
+    Cells go by the sum of their places, as arrays; one is kept only if its score and the bound on the rest reach `least`."""
+    t, ends = len(seqs), columns.sizes
+    moves = [mv for mv in itertools.product((0, 1), repeat=t) if any(mv)]
+    strides = np.append(np.cumprod((ends + 1)[::-1])[::-1][1:], 1)
+    levels = [(np.zeros((1, t), int), np.zeros(1, int), np.zeros(1), np.zeros(1, int))]
+    kept = 1
+    for level in range(1, int(ends.sum()) + 1):
+        at, score, how = [], [], []
+        for k, mv in enumerate(moves):
+            if sum(mv) > level:
+                continue
+            was, _, had, _ = levels[level - sum(mv)]
+            to = was + mv
+            inside = (to <= ends).all(1)
+            if inside.any():
+                to = to[inside]
+                at.append(to)
+                score.append(had[inside] + columns.scores(to, mv))
+                how.append(np.full(len(to), k))
+        if at:
+            at, score, how = np.concatenate(at), np.concatenate(score), np.concatenate(how)
+            place = at @ strides
+            order = np.lexsort((how, -score, place))
+            order = order[np.append(True, np.diff(place[order]) > 0)]  # of a cell's best moves the first
+            order = order[score[order] + columns.left(at[order]) >= least - 1e-9]
+            levels.append((at[order], place[order], score[order], how[order]))
+        else:
+            levels.append((np.zeros((0, t), int), np.zeros(0, int), np.zeros(0), np.zeros(0, int)))
+        kept += len(levels[-1][0])
+        if kept > cells:
+            return kept
+    if not len(levels[-1][0]):
+        return None
+    place, out, level = int(ends @ strides), [[] for _ in seqs], len(levels) - 1
+    while level:
+        at, places, _, how = levels[level]
+        k = int(np.searchsorted(places, place))
+        mv = moves[how[k]]
+        for x, d in enumerate(mv):
+            out[x].append(seqs[x][at[k, x] - 1] if d else "-")
+        place, level = place - int(np.dot(mv, strides)), level - sum(mv)
+    return ["".join(reversed(o)) for o in out], float(levels[-1][2][0])
+
+
+def multiple_within(seqs: list[str], mode: str = "pairs", mismatch: float = 1.0, gap: float = 1.0, whole: bool = False, cells: int = 5_000_000) -> tuple[list[str] | None, float | None, float | None]:
+    """aligned, score and a bound that no alignment's score passes: the best alignment where both are equal.
+
+    Cells of the t-dimensional table are visited only where the score so far and the pairwise bounds of the rest (Carrillo and Lipman) reach a least
+    score. It starts next to the bound of all and comes down by steps that double, not below the score of a progressive alignment. Where that takes more than `cells`
+    cells, the progressive alignment is given, and the lowest score shown to be out of reach as the bound; without either where the pairwise tables alone
+    have more than 20 times `cells` cells. Moves are tried in lexicographic order, the first best wins."""
     sizes = [len(s) + 1 for s in seqs]
-    if math.prod(sizes) * 2 ** len(seqs) > cells * 8:
+    if not seqs:
+        return [], 0.0, 0.0
+    if sum(a * b for a, b in itertools.combinations(sizes, 2)) > 20 * cells:
+        return None, None, None
+    columns = _Columns(seqs, mode, mismatch, gap, whole)
+    rows = progressive(seqs, Scoring(mismatch=mismatch, gap=gap))
+    least = columns.total(rows)
+    upper = float(columns.left(np.zeros((1, len(seqs)), int))[0]) if gap >= 0 else math.inf
+    step = max(1.0, gap, mismatch)
+    while math.prod(sizes) < 2**62:
+        tried = max(least, upper - step) if gap >= 0 else -math.inf
+        found = _search(seqs, columns, tried, cells)
+        if isinstance(found, int):
+            break
+        if found is not None:
+            return *found, found[1]
+        upper, step = tried, 2 * step
+    return rows, least, upper
+
+
+def multiple(seqs: list[str], **options) -> tuple[list[str], float]:
+    """The best alignment and its score, as `multiple_within`; an error where it is out of reach."""
+    rows, score, upper = multiple_within(seqs, **options)
+    if score is None or score < upper:
         raise ValueError("the table is too large")
-    moves = [mv for mv in itertools.product((0, 1), repeat=len(seqs)) if any(mv)]
-
-    def column(chars: tuple[str, ...]) -> float:
-        if mode == "pairs":
-            return sum(-gap if "-" in (x, y) else 1.0 if x == y else -mismatch for x, y in itertools.combinations(chars, 2))
-        n, gaps = len(chars), chars.count("-")
-        s = -(sum(-(chars.count(c) / n) * math.log2(chars.count(c) / n) for c in sorted(set(chars) - {"-"})) + gap * gaps)
-        return float(int(s)) if whole else s
-
-    known: dict[tuple, float] = {}
-    best = {tuple([0] * len(seqs)): (0.0, None)}
-    for at in itertools.product(*(range(n) for n in sizes)):
-        if not any(at):
-            continue
-        top, how = -math.inf, None
-        for mv in moves:
-            was = tuple(i - d for i, d in zip(at, mv))
-            if min(was) < 0:
-                continue
-            chars = tuple(s[i - 1] if d else "-" for s, i, d in zip(seqs, at, mv))
-            if chars not in known:
-                known[chars] = column(chars)
-            x = best[was][0] + known[chars]
-            if x > top:
-                top, how = x, mv
-        best[at] = (top, how)
-    at, out = tuple(n - 1 for n in sizes), [[] for _ in seqs]
-    score = best[at][0]
-    while any(at):
-        mv = best[at][1]
-        for k, d in enumerate(mv):
-            out[k].append(seqs[k][at[k] - 1] if d else "-")
-        at = tuple(i - d for i, d in zip(at, mv))
-    return ["".join(reversed(o)) for o in out], score
+    return rows, score
 
 
 def multiple_alignment(rows: DataFrame, by: list[str], seq: str = "seq", order: str = "ordinal", **options) -> DataFrame:
-    """by, aligned (array, in order), score: each group's exact multiple alignment."""
+    """by, aligned (array, in order), score, upper, status: each group's multiple alignment by `multiple_within`. status is exact (score is upper), bounded
+    (an alignment, not shown to be the best) or refused (no alignment). A null sequence counts as empty."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        got, score = multiple(pdf.sort_values(order)[seq].tolist(), **options)
-        return pd.DataFrame({**{c: [k] for c, k in zip(by, key)}, "aligned": [got], "score": [score]})
+        seqs = ["" if s is None else s for s in pdf.sort_values(order)[seq]]
+        got, score, upper = multiple_within(seqs, **options)
+        status = "refused" if got is None else "exact" if score == upper else "bounded"
+        return pd.DataFrame({**{c: [k] for c, k in zip(by, key)}, "aligned": [got], "score": [score], "upper": [upper], "status": [status]})
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
-    return rows.groupBy(*by).applyInPandas(run, f"{kinds}, aligned array<string>, score double")
+    return rows.groupBy(*by).applyInPandas(run, f"{kinds}, aligned array<string>, score double, upper double, status string")
 
 
 def progressive(seqs: list[str], p: Scoring = Scoring()) -> list[str]:
