@@ -423,7 +423,9 @@ def multiple_alignment(rows: DataFrame, by: list[str], seq: str = "seq", order:
         return pd.DataFrame({**{c: [k] for c, k in zip(by, key)}, "aligned": [got], "score": [score], "upper": [upper], "status": [status]})
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
-    return rows.groupBy(*by).applyInPandas(run, f"{kinds}, aligned array<string>, score double, upper double, status string")
+    # dealt by number, as a group is much work in few bytes
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    return dealt.groupBy(*by).applyInPandas(run, f"{kinds}, aligned array<string>, score double, upper double, status string")
 
 
 def progressive(seqs: list[str], p: Scoring = Scoring()) -> list[str]:

@@ -13,6 +13,7 @@ from ..operators import cluster as C
 from ..operators import hmm as H
 from ..operators import kmers as K
 from ..operators import phylo as T
+from ..operators.lineage import stored
 from ..operators.pairs import all_pairs
 from .registry import query
 from .sequence_queries import PAIRS, nation_pairs
@@ -175,10 +176,35 @@ def ungapped(aligned, by):
     return aligned.select(*by, F.posexplode("aligned").alias("place", "x")).select(*by, "place", F.translate("x", "-", "").alias("seq"), (F.length("x") == F.max(F.length("x")).over(Window.partitionBy(*by))).alias("even"))
 
 
-@query("sa12_multiple_alignment", P.with_("nations") + "SELECT id // 3 AS g, (row_number() OVER (PARTITION BY id // 3 ORDER BY id) - 1)::INT AS place, seq, true AS even FROM nations")
+#: The best score of up to three sequences by every cell of their table, level by level; a working row is a cell of the last three levels.
+_THREE = """tri AS (SELECT g, count(*) AS n, list(seq ORDER BY id)[1] AS s1, coalesce(list(seq ORDER BY id)[2], '') AS s2, coalesce(list(seq ORDER BY id)[3], '') AS s3 FROM third GROUP BY g),
+mv AS (SELECT * FROM (VALUES (0, 0, 1), (0, 1, 0), (0, 1, 1), (1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 1, 1)) t(d1, d2, d3)),
+cell AS (SELECT g, 0 AS lv, 0 AS now, 0 AS i, 0 AS j, 0 AS k, 0.0::DOUBLE AS x FROM tri UNION ALL SELECT g, lv, now + 1, i, j, k, x FROM (
+SELECT c.g, c.lv, c.now, c.i, c.j, c.k, c.x FROM cell c JOIN tri USING (g) WHERE lv >= now - 1 AND now < length(s1) + length(s2) + length(s3) UNION ALL
+SELECT c.g, now + 1 AS lv, now, i + d1 AS i, j + d2 AS j, k + d3 AS k, max(x + CASE WHEN n < 2 THEN 0 WHEN d1 = 1 AND d2 = 1 AND s1[i + 1] = s2[j + 1] THEN 1 ELSE -1 END
++ CASE WHEN n < 3 THEN 0 WHEN d1 = 1 AND d3 = 1 AND s1[i + 1] = s3[k + 1] THEN 1 ELSE -1 END + CASE WHEN n < 3 THEN 0 WHEN d2 = 1 AND d3 = 1 AND s2[j + 1] = s3[k + 1] THEN 1 ELSE -1 END) AS x
+FROM cell c JOIN tri USING (g) JOIN mv ON lv + d1 + d2 + d3 = now + 1 AND i + d1 <= length(s1) AND j + d2 <= length(s2) AND k + d3 <= length(s3) GROUP BY ALL)),
+top AS (SELECT g, max(x) AS score FROM cell JOIN tri USING (g) WHERE lv = length(s1) + length(s2) + length(s3) GROUP BY g)"""
+_BEST = "SELECT g, (row_number() OVER (PARTITION BY g ORDER BY id) - 1)::INT AS place, seq, true AS even, score, score AS added, 'exact' AS status FROM third JOIN top USING (g)"
+
+
+def scored(rows):
+    """The rows of each group's best alignment, its score, and what its columns add up to."""
+    got = stored(A.multiple_alignment(rows, ["g"]), small=True)
+    columns = A.alignment_columns(got.select("g", F.posexplode("aligned").alias("ordinal", "seq")), ["g"])
+    added = columns.groupBy("g").agg(F.sum(A.pair_sum(F.col("chars"))).alias("added"))
+    return ungapped(got, ["g"]).join(got.select("g", "score", "status"), "g").join(added, "g")
+
+
+@query("sa12_multiple_alignment", P.with_("nations", more="third AS (SELECT id // 3 AS g, id, seq FROM nations), " + _THREE) + _BEST)
 def sa12(spark, d):
-    """The rows of each alignment are the sequences with gaps, all of one length."""
-    return ungapped(A.multiple_alignment(thirds(spark, d), ["g"]), ["g"])
+    return scored(thirds(spark, d))
+
+
+@query("sa12_peptides", P.with_("peptides", more="third AS (SELECT ordinal // 3 AS g, ordinal AS id, pep AS seq FROM peptides), " + _THREE) + _BEST)
+def sa12_peptides(spark, d):
+    """Peptides of all parts, by three of their numbers."""
+    return scored(P.peptides(spark, d).select(F.floor(F.col("ordinal") / 3).alias("g"), "ordinal", F.col("pep").alias("seq")))
 
 
 @query("ph1_drop_gap_columns", P.with_("nations", more=_GAPPED + ", " + _COLS + ", bad AS (SELECT DISTINCT region, col FROM c WHERE ch = '-')") + "SELECT id, coalesce(string_agg(ch, '' ORDER BY col) FILTER (WHERE bad.col IS NULL), '') AS seq FROM c LEFT JOIN bad USING (region, col) GROUP BY id")
