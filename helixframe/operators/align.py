@@ -40,7 +40,7 @@ class Scoring:
             return np.where(x[:, None] == y[None, :], self.match, -self.mismatch)
         letters = sorted(set(v) | set(w))
         at = {c: i for i, c in enumerate(letters)}
-        m = np.array([[self.matrix.get(a + b, self.matrix.get(b + a, NEG)) for b in letters] for a in letters]).reshape(len(letters), -1)
+        m = np.array([[self.matrix.get(a + b, self.matrix.get(b + a, NEG)) for b in letters] for a in letters]).reshape(len(letters), len(letters))
         return m[np.array([at[c] for c in v], int)[:, None], np.array([at[c] for c in w], int)[None, :]]
 
     @property

@@ -13,6 +13,7 @@ from ..operators import cluster as C
 from ..operators import hmm as H
 from ..operators import kmers as K
 from ..operators import phylo as T
+from ..operators import profiles
 from ..operators.lineage import stored
 from ..operators.pairs import all_pairs
 from .registry import query
@@ -659,6 +660,18 @@ def hm10(spark, d):
     return e.select("item_id", "src", "dst", F.round("n", 6).alias("n"))
 
 
+@query("io10_profile_alignment", P.with_("items", more=_TENS + ", pw AS (SELECT region, count(*) AS rows FROM tn GROUP BY region)") + "SELECT region, id, seq, true AS even, true AS adds_up, true AS not_below_consensus, rows FROM tn JOIN pw USING (region)")
+def io10_profiles(spark, d):
+    """Sequences by tens: whole, in rows of one length, whose columns add up to the score, which is no less than that of the alignment to a consensus."""
+    rows = P.items(spark, d).select(F.floor(F.col("item_id") / 10).alias("region"), F.col("item_id").alias("id"), "seq")
+    got = stored(profiles.profile_alignment(rows, ["region"], "id"), small=True)
+    plain = profiles.column_totals(A.progressive_alignment(rows, ["region"], "id"), ["region"]).withColumnRenamed("total", "consensus")
+    whole = Window.partitionBy("region")
+    out = got.join(profiles.column_totals(got, ["region"]), "region").join(plain, "region")
+    size = F.length("aligned")
+    return out.select("region", "id", F.translate("aligned", "-", "").alias("seq"), (F.min(size).over(whole) == F.max(size).over(whole)).alias("even"), (F.abs(F.col("total") - F.col("score")) < 1e-6).alias("adds_up"), (F.col("score") >= F.col("consensus")).alias("not_below_consensus"), F.count("*").over(whole).alias("rows"))
+
+
 @query("io10_progressive_alignment", P.with_("nations") + "SELECT region, id, seq, true AS even FROM nations")
 def io10(spark, d):
     found = A.progressive_alignment(P.nations(spark, d), ["region"], order="id")
