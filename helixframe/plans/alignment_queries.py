@@ -13,7 +13,7 @@ from ..operators import cluster as C
 from ..operators import hmm as H
 from ..operators import kmers as K
 from ..operators import phylo as T
-from ..operators import profiles
+from ..operators import profiles, tiles
 from ..operators.lineage import stored
 from ..operators.pairs import all_pairs
 from .registry import query
@@ -132,6 +132,12 @@ def sa5_items(spark, d):
     return A.align(next_items(spark, d), "affine").select("id", "id2", "alignment.score")
 
 
+@query("sa5_items_tiled", P.with_("items", more=_ITEM_PAIRS + ", few AS (SELECT * FROM pairs WHERE id2 = id + 1), " + _AFFINE.replace("FROM pairs UNION", "FROM few UNION")) + "SELECT id, id2, greatest(m[-1], x[-1], y[-1]) AS score FROM t WHERE i = length(v)")
+def sa5_tiled(spark, d):
+    """The same by tiles, as for sequences beyond one task; here of 64 letters, so that most pairs have several."""
+    return tiles.tiled_scores(next_items(spark, d), ["id", "id2"], "affine", size=64)
+
+
 @query("sa6_items_linear_space", P.with_("items", more=_ITEM_PAIRS + ", few AS (SELECT * FROM pairs WHERE id2 = id + 1), " + _GLOBAL.replace("FROM pairs UNION", "FROM few UNION")) + "SELECT id, id2, r[-1] AS score FROM t WHERE i = length(v)")
 def sa6_items(spark, d):
     return A.align(next_items(spark, d), "linear_space").select("id", "id2", "alignment.score")
