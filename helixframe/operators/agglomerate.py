@@ -114,7 +114,7 @@ def agglomerate(dist: DataFrame, by: list[str] = (), linkage: str = "avg", finis
 
     while True:
         best = stored(_nearest(state, linkage), small=True)
-        sizes = best.groupBy("_k").count()
+        sizes = stored(best.groupBy("_k").count(), small=True)  # its size is known, so a few datasets are broadcast: a large one is not moved by its key
         small, large = sizes.where(F.col("count") <= finish).select("_k"), sizes.where(F.col("count") > finish).select("_k")
         rows = state.join(small, "_k", "left_semi").select("_k.*", "i", "j", *(["s", "n"] if linkage == "avg" else ["e.v", "e.x", "e.y"]))
         done.append(rows.groupBy("_all", *by).applyInPandas(finisher(step), kinds + MERGES))

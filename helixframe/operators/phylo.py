@@ -62,7 +62,7 @@ def upgma(names: list, d: np.ndarray) -> list[tuple]:
     dist = {(a, b): float(d[a, b]) for a in range(n) for b in range(n) if a != b}
     edges, new, number = [], n, max((int(x) for x in names), default=-1) + 1
     while len(ids) > 1:
-        a, b = min(((x, y) for k, x in enumerate(ids) for y in ids[k + 1 :]), key=lambda p: (round(dist[p], 9), ids.index(p[0]), ids.index(p[1])))
+        a, b = min(((x, y) for k, x in enumerate(ids) for y in ids[k + 1 :]), key=lambda p: (round(dist[p], 9), p))
         age[new], label[new] = dist[a, b] / 2, str(number + new - n)
         edges += [(label[new], label[c], o, age[new] - age[c]) for o, c in enumerate((a, b))]
         ids = [x for x in ids if x not in (a, b)]
