@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,23 +56,40 @@ def linear_spectrum(df: DataFrame, pep: str = "pep", masses: dict[str, int] = DA
 def cyclic_spectrum(df: DataFrame, pep: str = "pep", masses: dict[str, int] = DECI, drop_share: float = 0.0, seed: int = 0, by: list[str] | None = None) -> DataFrame:
     """0, the linear parts, and the rest of the ring for each inner part. With drop_share, that share of the masses (by banker's
     rounding) goes, chosen by a hash with the seed."""
-    d = df.withColumn("_p", prefix_masses(F.col(pep), masses))
-    n, total = F.size("_p") - 1, F.element_at("_p", -1)
     if not drop_share:  # two ends at a time, straight from the prefix masses
+        d = df.withColumn("_p", prefix_masses(F.col(pep), masses))
+        n, total = F.size("_p") - 1, F.element_at("_p", -1)
         first = d.where(n > 0).withColumn("_i", F.explode(F.sequence(F.lit(0), n - 1)))
         both = first.select("*", F.posexplode(F.slice("_p", F.col("_i") + 2, F.size("_p"))).alias("_k", "_y"))
         part = F.col("_y") - F.element_at("_p", F.col("_i") + 1)
         inside = (F.col("_i") > 0) & (F.col("_i") + F.col("_k") + 1 < n)
         parts = both.withColumn("mass", F.explode(F.when(inside, F.array(part, total - part)).otherwise(F.array(part))))
         return parts.select(*df.columns, "mass").union(df.where(F.col(pep).isNotNull()).select(*df.columns, F.lit(0).alias("mass")))
-    inner = F.slice("_p", 2, F.greatest(n - 1, F.lit(0)))
-    rest = F.transform(_differences(inner), lambda x: total - x)
-    d = d.withColumn("_m", F.array_sort(F.concat(F.array(F.lit(0)), _differences(F.col("_p")), rest)))
-    if drop_share:
-        keep = F.size("_m") - F.bround(F.size("_m") * F.lit(drop_share)).cast("int")
-        draw = F.transform("_m", lambda x, i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(pep), i).cast("binary")).alias("h"), x.alias("x")))
-        d = d.withColumn("_m", F.array_sort(F.transform(F.slice(F.array_sort(draw), 1, keep), lambda s: s["x"])))
-    return d.withColumn("mass", F.explode("_m")).drop("_p", "_m")
+    dropped = _dropped(F.col(pep), masses, drop_share, seed)
+    deal = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a peptide is little to read and much to work out
+    return df.repartition(deal).withColumn("mass", F.explode(dropped))
+
+
+def _dropped(pep: Column, masses: dict[str, int], share: float, seed: int) -> Column:
+    """The masses of the cyclic spectrum that stay, in order, as an array; unknown ones, after a letter that is no residue, are null and come last. An Arrow
+    function: in SQL the masses, their hashes and both sorts are folds, interpreted mass by mass. A batch works out equal peptides once."""
+
+    def one(p: str) -> list[int | None]:
+        known = len(p) if all(c in masses for c in p) else next(i for i, c in enumerate(p) if c not in masses)
+        own = [masses[c] for c in p[:known]]
+        n = len(p)
+        size = 1 + n * (n + 1) // 2 + max(n - 1, 0) * max(n - 2, 0) // 2
+        m = _cyclic(own) if known == n else _linear(own)
+        m += [None] * (size - len(m))
+        draw = sorted(range(size), key=lambda i: hashlib.md5(f"{seed}:{p}:{i}".encode()).digest())
+        return [m[i] for i in sorted(draw[: size - round(size * share)])]
+
+    def run(peps: pa.Array) -> pa.Array:
+        found = peps.dictionary_encode()
+        made = [None if p is None else one(p) for p in found.dictionary.to_pylist()]
+        return pa.array(made, pa.list_(pa.int32())).take(found.indices)
+
+    return F.arrow_udf(run, "array<int>")(pep)
 
 
 def spectrum_vector(spectra: DataFrame, by: list[str], mass: str = "mass") -> DataFrame:
