@@ -410,7 +410,7 @@ def label_distances(spark, d, kind):
 @query("cl8_cast", P.with_("points") + "SELECT label, point_id, 1::BIGINT AS clusters FROM points")
 def cl8(spark, d):
     """Each point is in one cluster."""
-    found = C.cast(label_distances(spark, d, "euclidean"), ["label"], 0.3)
+    found = C.cast_points(P.points(spark, d), ["label"], 0.3)
     return found.groupBy("label", "point_id").agg(F.countDistinct("cluster").alias("clusters"))
 
 
