@@ -81,7 +81,9 @@ def _finished(reps: DataFrame) -> DataFrame:
         out = [(0, a, b) for a, b in new.items()] + [(1, x, find(x)) for x in list(top)]
         return pd.DataFrame(out, columns=["kind", "a", "b"])
 
-    return reps.groupBy(F.lit(0).alias("_one")).applyInPandas(run, "kind int, a long, b long")
+    # a node of several columns comes to pandas as a dict, which groups by nothing
+    named = reps.withColumn("node", F.to_json(F.struct("node")))
+    return named.groupBy(F.lit(0).alias("_one")).applyInPandas(run, "kind int, a long, b long")
 
 
 def merged(follow: DataFrame, walk: DataFrame, rest: int = REST) -> tuple[DataFrame, DataFrame]:
