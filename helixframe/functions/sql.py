@@ -10,7 +10,7 @@
 | hf_linear_spectrum(pep) | array of daltons of all linear parts, 0 among them |
 | hf_align(a, b, mode) | table (score, a, b): alignment with unit scores; mode global, local or fitting |
 
-hf_kmers is an Arrow function and hf_align a table function in Python, one call a row; the others are SQL functions, which Catalyst inlines. A wrong argument is an
+hf_align is a table function in Python, one call a row; the others are SQL functions, which Catalyst inlines. A wrong argument is an
 error that names it; null sequences give null, or no rows. Arrays are read by explode or inline once they are selected. For sequences of many
 megabytes `kmers.kmers` makes no array.
 """
@@ -19,11 +19,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import arrow_udf, udtf
+from pyspark.sql.functions import udtf
 
 from ..operators import align
+from ..operators.kmers import kmer_array
 from ..operators.spectra import DALTON
 from .projections import TO_BASE, UPPER
 
@@ -36,22 +36,10 @@ FUNCTIONS = {
     "hf_hamming(a STRING, b STRING) RETURNS INT": "aggregate(zip_with(split(left(a, least(length(a), length(b))), ''), split(left(b, least(length(a), length(b))), ''), (x, y) -> IF(x <> y, 1, 0)), 0, (s, x) -> s + x)",
     "hf_peptide_mass(pep STRING) RETURNS INT": f"aggregate(transform(filter(split(pep, ''), c -> c <> ''), c -> element_at({_MASS}, c)), 0, (s, x) -> s + x)",
     "hf_linear_spectrum(pep STRING) RETURNS ARRAY<INT>": f"""aggregate(array({_PREFIX}), CAST(array() AS ARRAY<INT>), (s, p) -> array(0) || flatten(transform(p, (x, i) -> transform(slice(p, i + 2, size(p)), y -> y - x))))""",
+    "hf_kmers(seq STRING, k INT) RETURNS ARRAY<STRUCT<pos: INT, kmer: STRING>>": f"IF(coalesce(k BETWEEN 1 AND 1000, false), {kmer_array('seq', 'k')}, raise_error('hf_kmers: k must be from 1 to 1000'))",
 }
 
 
-def _kmers(seq: pa.Array, k: pa.Array) -> pa.Array:
-    ends, at, parts = [0], [], []
-    for s, n in zip(seq.to_pylist(), k.to_pylist()):
-        if n is None or not 1 <= n <= 1000:
-            raise ValueError("hf_kmers: k must be from 1 to 1000")
-        own = range(len(s or "") - n + 1)
-        at.extend(own)
-        parts.extend([s[i : i + n] for i in own])
-        ends.append(len(at))
-    rows = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(parts, pa.string())], ["pos", "kmer"])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows, mask=seq.is_null())
-
-
 class _Align:
     def eval(self, a: str, b: str, mode: str) -> Iterator[tuple]:
         if mode not in MODES:
@@ -65,6 +53,5 @@ def register(spark: SparkSession) -> list[str]:
     """Makes the functions known to the session, in place of any of these names; returns the names."""
     for head, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
-    spark.udf.register("hf_kmers", arrow_udf(_kmers, "array<struct<pos:int,kmer:string>>"))
     spark.udtf.register("hf_align", udtf(_Align, returnType="score double, a string, b string"))
-    return [head.split("(")[0] for head in FUNCTIONS] + ["hf_kmers", "hf_align"]
+    return [head.split("(")[0] for head in FUNCTIONS] + ["hf_align"]

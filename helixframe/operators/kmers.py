@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -79,46 +79,86 @@ def window_numbers(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return number, odd[k:] == odd[:-k]
 
 
-def kmer_totals(df: DataFrame, k: int, seq: str = "seq", chunk: int = 1 << 20) -> DataFrame:
-    """kmer, n over the whole table, for k of at most 31.
+def _pieces(texts: Iterable[str], chunk: int) -> Iterator[np.ndarray]:
+    """Codes of the texts, joined by a mark until they have `chunk` letters. Other letters, of whatever width, are all one mark too."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t) + 1
+        if size >= chunk:
+            yield CODE[np.frombuffer("\n".join(part).encode("ascii", "replace"), np.uint8)]
+            part, size = [], 0
+    if part:
+        yield CODE[np.frombuffer("\n".join(part).encode("ascii", "replace"), np.uint8)]
 
-    A task counts its k-mers as base-4 numbers (windows with other letters as text) and sends each once a batch, so what is shuffled is
-    distinct k-mers. Sequences are joined, and cut into overlapping chunks, so one of any length takes bounded memory."""
 
-    def numbers(data: bytes) -> Iterator[np.ndarray]:
-        for at in range(0, max(1, len(data) - k + 1), chunk):
-            codes = CODE[np.frombuffer(data[at : at + chunk + k - 1], np.uint8)]
-            if len(codes) >= k:
-                number, whole = window_numbers(codes, k)
-                yield number[whole]
+def _spelled(number: np.ndarray, k: int) -> pa.Array:
+    text = np.frombuffer(BASES.encode(), np.uint8)[(number[:, None] >> np.arange(2 * (k - 1), -1, -2)) & 3]
+    return pa.Array.from_buffers(pa.string(), len(number), [None, pa.py_buffer(np.arange(0, k * len(number) + 1, k, dtype=np.int32).tobytes()), pa.py_buffer(text.tobytes())])
 
-    def spelled(number: np.ndarray) -> pa.Array:
-        text = np.frombuffer(BASES.encode(), np.uint8)[(number[:, None] >> np.arange(2 * (k - 1), -1, -2)) & 3]
-        return pa.Array.from_buffers(pa.string(), len(number), [None, pa.py_buffer(np.arange(0, k * len(number) + 1, k, dtype=np.int32).tobytes()), pa.py_buffer(text.tobytes())])
+
+def kmer_totals(df: DataFrame, k: int, seq: str = "seq", chunk: int = 1 << 20, by: list[str] = ()) -> DataFrame:
+    """by, kmer, n over the whole table, for k of at most 31.
+
+    A task counts its k-mers as base-4 numbers (windows with other letters as text) and sends each once a chunk, or once in all for short ones without groups, so
+    what is shuffled is distinct k-mers. Sequences are joined, and cut into overlapping chunks, so one of any length takes bounded memory."""
+
+    def numbers(texts: list[str]) -> Iterator[np.ndarray]:
+        for codes in _pieces(texts, chunk):
+            for at in range(0, max(1, len(codes) - k + 1), chunk):
+                part = codes[at : at + chunk + k - 1]
+                if len(part) >= k:
+                    number, whole = window_numbers(part, k)
+                    yield number[whole]
+
+    def groups(b: pa.RecordBatch) -> dict[tuple, list[str]]:
+        texts = [t or "" for t in b.column("seq").to_pylist()]
+        if not by:
+            return {(): texts}
+        found: dict[tuple, list[str]] = {}
+        for key, t in zip(zip(*[b.column(c).to_pylist() for c in own]), texts):
+            found.setdefault(key, []).append(t)
+        return found
+
+    def rows(key: tuple, kmer: pa.Array, n: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.array([x] * len(n), kind) for x, kind in zip(key, kinds)], kmer, n], [*own, "kmer", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros(4**k, np.int64) if k <= 11 else None
+        dense = np.zeros(4**k, np.int64) if k <= 11 and not by else None
         for b in batches:
-            texts = [t or "" for t in b.column("seq").to_pylist()]
-            odd = Counter(t[i : i + k] for t in texts if t.strip(BASES) for i in range(len(t) - k + 1) if t[i : i + k].strip(BASES))
-            if odd:
-                yield pa.RecordBatch.from_arrays([pa.array(odd.keys(), pa.string()), pa.array(odd.values(), pa.int64())], ["kmer", "n"])
-            # other letters, of whatever width, are all one mark; a mark also parts the sequences
-            found = list(numbers("\n".join(texts).encode("ascii", "replace")))
-            if dense is not None:
-                for x in found:
-                    dense += np.bincount(x, minlength=4**k)
-            elif found:
-                at, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([spelled(at), pa.array(n)], ["kmer", "n"])
+            kinds[:] = [b.schema.field(c).type for c in own]
+            for key, texts in groups(b).items():
+                odd = Counter(t[i : i + k] for t in texts if t.strip(BASES) for i in range(len(t) - k + 1) if t[i : i + k].strip(BASES))
+                if odd:
+                    yield rows(key, pa.array(odd.keys(), pa.string()), pa.array(odd.values(), pa.int64()))
+                for x in numbers(texts):
+                    if dense is not None:
+                        dense += np.bincount(x, minlength=4**k)
+                    else:
+                        at, n = np.unique(x, return_counts=True)
+                        yield rows(key, _spelled(at, k), pa.array(n))
         if dense is not None:
             at = np.flatnonzero(dense)
             for i in range(0, len(at), 100_000):
-                yield pa.RecordBatch.from_arrays([spelled(at[i : i + 100_000]), pa.array(dense[at[i : i + 100_000]])], ["kmer", "n"])
+                yield rows((), _spelled(at[i : i + 100_000], k), pa.array(dense[at[i : i + 100_000]]))
 
     if not 0 < k < 32:
         raise ValueError("k must be in 1..31")
-    return df.select(F.col(seq).alias("seq")).mapInArrow(run, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
+    own, kinds = [f"_by{i}" for i in range(len(by))], []
+    shape = "".join(f"{o} {df.schema[c].dataType.simpleString()}, " for o, c in zip(own, by)) + "kmer string, n long"
+    counted = df.select(*[F.col(c).alias(o) for o, c in zip(own, by)], F.col(seq).alias("seq")).mapInArrow(run, shape)
+    return counted.groupBy(*own, "kmer").agg(F.sum("n").alias("n")).select(*[F.col(o).alias(c) for o, c in zip(own, by)], "kmer", "n")
+
+
+def kmer_array(seq: str, k: int) -> str:
+    """The k-mers of one sequence in order, as an SQL text of an array of (pos, kmer). The bytes (or, with wide letters, the letters) are at hand as
+    the variable of a fold of one step, so that each k-mer is cut without counting from the start."""
+    made = "array()"
+    places = f"IF(length({seq}) >= {k}, sequence(0, length({seq}) - {k}), CAST({made} AS ARRAY<INT>))"
+    none = f"CAST({made} AS ARRAY<STRUCT<pos: INT, kmer: STRING>>)"
+    plain = f"aggregate(array(CAST({seq} AS BINARY)), {none}, (s, x) -> transform({places}, i -> named_struct('pos', i, 'kmer', CAST(substring(x, i + 1, {k}) AS STRING))))"
+    wide = f"aggregate(array(filter(split({seq}, ''), c -> c <> '')), {none}, (s, x) -> transform({places}, i -> named_struct('pos', i, 'kmer', array_join(slice(x, i + 1, {k}), ''))))"
+    return f"CASE WHEN octet_length({seq}) = length({seq}) THEN {plain} WHEN {seq} IS NOT NULL THEN {wide} END"
 
 
 def _skew_minimum(text: str | None, chunk: int = 1 << 20) -> int:
