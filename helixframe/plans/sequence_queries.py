@@ -110,7 +110,7 @@ def of_origin(spark, d):
 @query("gs1_path_to_genome", P.with_("dna") + "SELECT doc_id, seq AS genome FROM dna WHERE length(seq) >= 5")
 def gs1(spark, d):
     docs = P.documents(spark, d).where("length(seq) >= 5")
-    nodes = kmers.kmers(docs, 5).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "kmer"))), lambda x: x["kmer"]).alias("nodes"))
+    nodes = docs.withColumn("nodes", F.transform(F.expr(kmers.kmer_array("seq", 5)), lambda x: x["kmer"]))
     return nodes.select("doc_id", assembly.path_to_genome(F.col("nodes")).alias("genome"))
 
 
