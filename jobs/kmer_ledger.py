@@ -31,7 +31,7 @@ DEFAULTS = {"k": 7, "files_per_batch": 1000}
 def counts(documents: DataFrame, k: int) -> DataFrame:
     """source, kmer, n: counted by the task first, and both strands put together where few rows are left."""
     seq = documents.select("source", dna(F.col("text")).alias("seq"))
-    each = kmers.kmer_counts(seq, k, ["source"]).select("source", "kmer", "n")
+    each = kmers.kmer_totals(seq, k, by=["source"])
     one = F.least("kmer", kmers.reverse_complement(F.col("kmer")))
     return each.groupBy("source", one.alias("kmer")).agg(F.sum("n").alias("n"))
 
