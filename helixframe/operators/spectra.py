@@ -297,7 +297,9 @@ def sequence_spectra(spectra: DataFrame, spec: str = "spec_id", mass: str = "mas
         pep, score = (branch_and_bound(s, **options), None) if method == "branch_and_bound" else leaderboard(s, **options)
         return pd.DataFrame({spec: [key[0]], "pep": [pep], "score": pd.array([score], "Int32")})
 
-    return spectra.groupBy(spec).applyInPandas(run, f"{spec} {spectra.schema[spec].dataType.simpleString()}, pep string, score int")
+    # dealt by number, as a spectrum is much work in few bytes
+    dealt = spectra.repartition(int(spectra.sparkSession.conf.get("spark.sql.shuffle.partitions")), spec)
+    return dealt.groupBy(spec).applyInPandas(run, f"{spec} {spectra.schema[spec].dataType.simpleString()}, pep string, score int")
 
 
 def _dense(masses: list[int]) -> np.ndarray:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import projections as P
 from ..operators import spectra as S
+from ..operators.lineage import stored
 from ..operators.pairs import all_pairs
 from .registry import query
 
@@ -127,8 +128,8 @@ def ps11(spark, d):
 @query("ps12_leaderboard", P.with_("segments") + "SELECT spec_id, true AS near, true AS counted FROM segments")
 def ps12(spark, d):
     """The peptide found weighs what the spectrum says, within the tolerance, and its score is what matching the two spectra gives."""
-    noisy = S.cyclic_spectrum(P.segments(spark, d), drop_share=0.1, seed=3)
-    found = S.sequence_spectra(noisy, method="leaderboard", top=10, m=20)
+    noisy = stored(S.cyclic_spectrum(P.segments(spark, d), drop_share=0.1, seed=3), small=True)
+    found = stored(S.sequence_spectra(noisy, method="leaderboard", top=10, m=20), small=True)  # else searched anew for each part of its spectrum
     lists = noisy.groupBy("spec_id").agg(F.array_sort(F.collect_list("mass")).alias("b"))
     own = S.cyclic_spectrum(found).groupBy("spec_id", "pep", "score").agg(F.array_sort(F.collect_list("mass")).alias("a"))
     return own.join(lists, "spec_id").select("spec_id", (F.abs(S.peptide_mass(F.col("pep"), S.DECI) - F.array_max("b")) <= 5).alias("near"), (S.tolerant_score(F.col("a"), F.col("b"), 5) == F.col("score")).alias("counted"))
