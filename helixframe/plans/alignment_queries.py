@@ -472,7 +472,7 @@ _MERGES = "SELECT a, b, round(height, 6) + 0.0 AS height FROM u WHERE a IS NOT N
 @query("cl9_table_average", P.with_("points", more="leaf AS (SELECT point_id AS i FROM points WHERE features IS NOT NULL), pair AS (SELECT a.point_id AS i, b.point_id AS j, list_distance(a.features, b.features) AS d FROM points a JOIN points b ON a.point_id < b.point_id AND len(a.features) = len(b.features)), " + _WHOLE) + _MERGES)
 def cl9_table(spark, d):
     """All points as one dataset, by average linkage of their Euclidean distances."""
-    merged = agglomerate.agglomerate(C.distance_rows(P.points(spark, d)))
+    merged = agglomerate.agglomerate_points(P.points(spark, d))
     return merged.select("a", "b", (F.round("height", 6) + 0.0).alias("height"))
 
 
