@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -265,3 +266,59 @@ def read_pairs(df: DataFrame, k: int, gap: int, seq: str = "seq") -> DataFrame:
     keep = [c for c in df.columns if c != seq]
     pos = F.col("pos")
     return _windows(df, 2 * k + gap, seq, keep).select(*keep, "pos", _letters_at(pos, k).alias("a"), _letters_at(pos + k + gap, k).alias("b"))
+
+
+def _pair_numbers(codes: np.ndarray, k: int, gap: int, joined: bool) -> np.ndarray:
+    """Both k-mers of each pair as one number in base 4. joined: the codes are of several sequences, and no pair reaches across a mark."""
+    m = len(codes) - 2 * k - gap + 1
+    number, whole = window_numbers(codes, k)
+    keep = whole[:m] & whole[k + gap :]
+    if joined:
+        marks = np.concatenate(([0], np.cumsum(codes > 3)))
+        keep &= marks[2 * k + gap :] == marks[:m]
+    return ((number[:m] << 2 * k) | number[k + gap :])[keep]
+
+
+def _spelled_column(number: Column, k: int) -> Column:
+    """The letters of a number in base 4, five at a time out of a table."""
+    parts, left = [], k
+    while left:
+        n = min(5, left)
+        left -= n
+        words = ",".join(map("".join, itertools.product(BASES, repeat=n)))
+        parts.append(F.get(F.split(F.lit(words), ","), F.shiftright(number, 2 * left).bitwiseAND(F.lit(4**n - 1)).cast("int")))
+    return F.concat(*parts)
+
+
+def read_pair_totals(df: DataFrame, k: int, gap: int, seq: str = "seq", chunk: int = 1 << 20) -> DataFrame:
+    """a, b, n: how often each of `read_pairs` stands in the whole table, for k of at most 15.
+
+    Sequences are dealt out, as a few bytes make many pairs; a task counts its pairs as numbers (those with other letters as text), and what is shuffled is a number and a count. A
+    sequence of any length takes bounded memory beside its own."""
+    span = 2 * k + gap
+
+    def numbers(texts: list[str], joined: bool) -> Iterator[np.ndarray]:
+        for codes in _pieces(texts, chunk):
+            for at in range(0, len(codes) - span + 1, chunk):
+                yield _pair_numbers(codes[at : at + chunk + span - 1], k, gap, joined)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t for t in b.column("seq").to_pylist() if t and len(t) >= span]
+            odd = [t for t in texts if t.strip(BASES)]
+            found = itertools.chain(numbers([t for t in texts if not t.strip(BASES)], True), *(numbers([t], False) for t in odd))
+            for x in found:
+                at, n = np.unique(x, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.nulls(len(at), pa.string()), pa.array(n)], ["p", "o", "n"])
+            for t in odd:
+                for at in range(0, len(t) - span + 1, chunk):
+                    both = (t[i : i + k] + t[i + k + gap : i + span] for i in range(at, min(at + chunk, len(t) - span + 1)))
+                    own = Counter(x for x in both if x.strip(BASES))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], ["p", "o", "n"])
+
+    if not 0 < k < 16 or gap < 0:
+        raise ValueError("k must be in 1..15, and gap no less than 0")
+    dealt = df.select(F.col(seq).alias("seq")).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    totals = dealt.mapInArrow(run, "p long, o string, n long").groupBy("p", "o").agg(F.sum("n").alias("n"))
+    half = lambda number, text: F.when(F.col("o").isNull(), _spelled_column(number, k)).otherwise(text)
+    return totals.select(half(F.shiftright("p", 2 * k), F.left("o", F.lit(k))).alias("a"), half(F.col("p").bitwiseAND(F.lit(4**k - 1)), F.right("o", F.lit(k))).alias("b"), "n")
