@@ -198,9 +198,10 @@ _BEST = "SELECT g, (row_number() OVER (PARTITION BY g ORDER BY id) - 1)::INT AS
 def scored(rows):
     """The rows of each group's best alignment, its score, and what its columns add up to."""
     got = stored(A.multiple_alignment(rows, ["g"]), small=True)
-    columns = A.alignment_columns(got.select("g", F.posexplode("aligned").alias("ordinal", "seq")), ["g"])
-    added = columns.groupBy("g").agg(F.sum(A.pair_sum(F.col("chars"))).alias("added"))
-    return ungapped(got, ["g"]).join(got.select("g", "score", "status"), "g").join(added, "g")
+    shapes = got.select("aligned").distinct()
+    columns = A.alignment_columns(shapes.select("aligned", F.posexplode("aligned").alias("ordinal", "seq")), ["aligned"])
+    added = columns.groupBy("aligned").agg(F.sum(A.pair_sum(F.col("chars"))).alias("added"))
+    return ungapped(got.join(added, "aligned"), ["g", "score", "added", "status"]).select("g", "place", "seq", "even", "score", "added", "status")
 
 
 @query("sa12_multiple_alignment", P.with_("nations", more="third AS (SELECT id // 3 AS g, id, seq FROM nations), " + _THREE) + _BEST)

@@ -86,3 +86,20 @@ def test_refusals_are_rows(spark):
     assert got["long"].status == "refused" and got["long"].aligned is None
     with pytest.raises(ValueError):
         align.multiple([s for g, _, s in data if g == "far"], cells=2000)
+
+
+def test_equal_groups_are_aligned_once(spark, tmp_path, monkeypatch):
+    kinds = [["ACGT", "AGT", "ACT"], ["AGT", "ACGT", "ACT"], ["AC", None], ["TTT"]]
+    rows = [(g, place, s) for g in range(40) for place, s in enumerate(kinds[g % 4])]
+    plain = align.multiple_within
+
+    def noted(seqs, **options):
+        (tmp_path / f"{random.getrandbits(64)}").touch()
+        return plain(seqs, **options)
+
+    monkeypatch.setattr(align, "multiple_within", noted)
+    got = align.multiple_alignment(spark.createDataFrame(rows, "g int, ordinal int, seq string"), ["g"])
+    want = [plain([s or "" for s in k]) for k in kinds]
+    assert {r["g"]: (r["aligned"], r["score"], r["status"]) for r in got.collect()} == {g: (want[g % 4][0], want[g % 4][1], "exact") for g in range(40)}
+    assert len(list(tmp_path.iterdir())) <= len(kinds)  # none where workers have their own copy of the module
+    assert got.columns == ["g", "aligned", "score", "upper", "status"]
