@@ -482,8 +482,11 @@ s AS (SELECT a, b, height / 2 AS age, len(l) AS left_over FROM u WHERE a IS NOT
 f AS (SELECT e.b, e.age, e.child_ord, e.side, max_by(s.b, -s.left_over) AS inner_b, max_by(s.age, -s.left_over) AS inner_age FROM e LEFT JOIN s ON s.a = e.side AND s.left_over > e.left_over GROUP BY ALL)
 """) + "SELECT 'm' || b AS parent, CASE WHEN inner_b IS NULL THEN side::VARCHAR ELSE 'm' || inner_b END AS child, child_ord, round(age - coalesce(inner_age, 0), 6) + 0.0 AS length FROM f")
 def ph7_table(spark, d):
-    """All sequences as one dataset, by their Hamming distances."""
-    edges = agglomerate.tree(agglomerate.agglomerate(T.distances(P.items(spark, d), [], order="item_id"), finish=25))
+    """All sequences as one dataset, by their Hamming distances. Empty ones have none: they join last, without a height."""
+    rows = P.items(spark, d).where("seq IS NOT NULL")
+    apart = rows.groupBy(F.when(F.col("seq") == "", F.col("item_id")).alias("_e")).agg(F.min("item_id").alias("b"))
+    late = apart.crossJoin(F.broadcast(apart.agg(F.min("b").alias("a")))).where("a < b").select("a", "b", F.lit(None).cast("double").alias("height"), F.lit(2**31 - 1).alias("round"))
+    edges = agglomerate.tree(agglomerate.agglomerate_points(rows, "item_id", "seq").unionByName(late))
     return edges.select("parent", "child", "child_ord", (F.round("length", 6) + 0.0).alias("length"))
 
 
