@@ -22,6 +22,10 @@ def dna(text):
     return F.translate(F.upper(F.regexp_replace(text, "[^A-Za-z]", "")), UPPER, TO_BASE)
 
 
+#: `dna` of UTF-8 bytes, as arguments of bytes.translate: every byte of another character than A to Z and a to z is left out.
+DNA_BYTES = bytes.maketrans((UPPER + UPPER.lower()).encode(), (TO_BASE * 2).encode()), bytes(x for x in range(256) if not chr(x).isascii() or not chr(x).isalpha())
+
+
 def dna_sql(text: str) -> str:
     return f"translate(upper(regexp_replace({text}, '[^A-Za-z]', '', 'g')), '{UPPER}', '{TO_BASE}')"
 

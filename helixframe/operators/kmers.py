@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -93,8 +94,13 @@ def _pieces(texts: Iterable[str], chunk: int) -> Iterator[np.ndarray]:
         yield CODE[np.frombuffer("\n".join(part).encode("ascii", "replace"), np.uint8)]
 
 
+#: All words of five bases in order.
+WORDS = np.frombuffer("".join(map("".join, itertools.product(BASES, repeat=5))).encode(), "V5")
+
+
 def _spelled(number: np.ndarray, k: int) -> pa.Array:
-    text = np.frombuffer(BASES.encode(), np.uint8)[(number[:, None] >> np.arange(2 * (k - 1), -1, -2)) & 3]
+    words = -(-k // 5)
+    text = WORDS.take((number[:, None] >> np.arange(10 * (words - 1), -1, -10)) & 1023).view(np.uint8).reshape(len(number), 5 * words)[:, 5 * words - k :]
     return pa.Array.from_buffers(pa.string(), len(number), [None, pa.py_buffer(np.arange(0, k * len(number) + 1, k, dtype=np.int32).tobytes()), pa.py_buffer(text.tobytes())])
 
 
@@ -268,57 +274,167 @@ def read_pairs(df: DataFrame, k: int, gap: int, seq: str = "seq") -> DataFrame:
     return _windows(df, 2 * k + gap, seq, keep).select(*keep, "pos", _letters_at(pos, k).alias("a"), _letters_at(pos + k + gap, k).alias("b"))
 
 
-def _pair_numbers(codes: np.ndarray, k: int, gap: int, joined: bool) -> np.ndarray:
-    """Both k-mers of each pair as one number in base 4. joined: the codes are of several sequences, and no pair reaches across a mark."""
+def _pair_numbers(codes: np.ndarray, k: int, gap: int) -> np.ndarray:
+    """Both k-mers of each pair as one number in base 4."""
     m = len(codes) - 2 * k - gap + 1
     number, whole = window_numbers(codes, k)
-    keep = whole[:m] & whole[k + gap :]
-    if joined:
-        marks = np.concatenate(([0], np.cumsum(codes > 3)))
-        keep &= marks[2 * k + gap :] == marks[:m]
-    return ((number[:m] << 2 * k) | number[k + gap :])[keep]
-
-
-def _spelled_column(number: Column, k: int) -> Column:
-    """The letters of a number in base 4, five at a time out of a table."""
-    parts, left = [], k
-    while left:
-        n = min(5, left)
-        left -= n
-        words = ",".join(map("".join, itertools.product(BASES, repeat=n)))
-        parts.append(F.get(F.split(F.lit(words), ","), F.shiftright(number, 2 * left).bitwiseAND(F.lit(4**n - 1)).cast("int")))
-    return F.concat(*parts)
-
-
-def read_pair_totals(df: DataFrame, k: int, gap: int, seq: str = "seq", chunk: int = 1 << 20) -> DataFrame:
+    return ((number[:m] << 2 * k) | number[k + gap :])[whole[:m] & whole[k + gap :]]
+
+
+#: Bits of the number of a bucket of pairs.
+BUCKET = 10
+
+
+def _mixed(number: np.ndarray, k: int, back: bool = False) -> np.ndarray:
+    """Pairs with their first k-mer multiplied by an odd number, so that its upper bits are as good as random; back undoes it."""
+    low = 4**k - 1
+    factor = 0x9E3779B1 & low | 1
+    return (((number >> 2 * k) * (pow(factor, -1, 4**k) if back else factor) & low) << 2 * k) | (number & low)
+
+
+def _packed_pairs(number: np.ndarray, k: int) -> Iterator[tuple[int, bytes]]:
+    """Buckets of pairs, by the upper bits of their mixed numbers: how many there are and how often each stands, in bytes. In order a pair is a small step from the
+    one before it. The lower bytes of steps are as good as random and stay as they are; the upper ones, those of a place together, and the counts pack well."""
+    number = np.sort(_mixed(number, k))
+    first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+    number, n = number[first], np.diff(np.append(first, len(number)))
+    shift = 4 * k - min(BUCKET, 2 * k)
+    starts = np.searchsorted(number, np.arange(2 ** (4 * k - shift) + 1) << shift)
+    steps = np.diff(number, prepend=0)
+    at = np.flatnonzero(np.diff(starts))
+    steps[starts[at]] = number[starts[at]] - (at << shift)
+    width = (shift + 7) // 8
+    for b in at.tolist():
+        own, times = steps[starts[b] : starts[b + 1]], n[starts[b] : starts[b + 1]]
+        few, plain = int(times.max() < 256), len(own) * min(width, int(own.sum() // len(own)).bit_length() // 8)
+        cells = np.ascontiguousarray(own.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes() + times.astype(np.uint8 if few else np.int64).tobytes()
+        yield b, b"".join((len(own).to_bytes(8, "little"), plain.to_bytes(8, "little"), bytes([few]), cells[:plain], pa.compress(cells[plain:], "zstd", asbytes=True)))
+
+
+def _unpacked_pairs(b: int, cells: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The mixed numbers of `_packed_pairs`, in order, and how often each stands."""
+    size, plain, few = int.from_bytes(cells[:8], "little"), int.from_bytes(cells[8:16], "little"), cells[16]
+    shift = 4 * k - min(BUCKET, 2 * k)
+    width = (shift + 7) // 8
+    cells = np.frombuffer(cells[17 : 17 + plain] + pa.decompress(cells[17 + plain :], size * (width + (1 if few else 8)) - plain, "zstd", asbytes=True), np.uint8)
+    steps = np.zeros((size, 8), np.uint8)
+    steps[:, :width] = cells[: size * width].reshape(width, size).T
+    return np.cumsum(steps.view(np.int64).ravel()) + (b << shift), cells[size * width :].view(np.uint8 if few else np.int64).astype(np.int64)
+
+
+def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each number of the parts once, in order, and the sum of its counts."""
+    if len(parts) == 1:
+        return parts[0]
+    number, n = (np.concatenate(x) for x in zip(*parts))
+    more = np.flatnonzero(n > 1)
+    extra = number[more], n[more] - 1
+    number.sort()
+    first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+    number, n = number[first], np.diff(np.append(first, len(number)))
+    np.add.at(n, np.searchsorted(number, extra[0]), extra[1])
+    return number, n
+
+
+def read_pair_totals(df: DataFrame, k: int, gap: int, seq: str = "seq", chunk: int = 1 << 18, held: int = 1 << 22, letters: tuple[bytes, bytes] | None = None) -> DataFrame:
     """a, b, n: how often each of `read_pairs` stands in the whole table, for k of at most 15.
 
-    Sequences are dealt out, as a few bytes make many pairs; a task counts its pairs as numbers (those with other letters as text), and what is shuffled is a number and a count. A
-    sequence of any length takes bounded memory beside its own."""
-    span = 2 * k + gap
-
-    def numbers(texts: list[str], joined: bool) -> Iterator[np.ndarray]:
-        for codes in _pieces(texts, chunk):
-            for at in range(0, len(codes) - span + 1, chunk):
-                yield _pair_numbers(codes[at : at + chunk + span - 1], k, gap, joined)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t for t in b.column("seq").to_pylist() if t and len(t) >= span]
-            odd = [t for t in texts if t.strip(BASES)]
-            found = itertools.chain(numbers([t for t in texts if not t.strip(BASES)], True), *(numbers([t], False) for t in odd))
-            for x in found:
-                at, n = np.unique(x, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.nulls(len(at), pa.string()), pa.array(n)], ["p", "o", "n"])
-            for t in odd:
+    Sequences are dealt out, a letter in two bits, as a few bytes make many pairs. A task counts `held` pairs at a time as numbers (those with other letters as text); what is
+    shuffled of them is the steps between them in order, one or two bytes each, in buckets by their first k-mer. A task that adds up holds a bucket's pairs, each
+    once, and as many more. A sequence of any length takes bounded memory beside its own. letters: of texts that become sequences in the task, what each byte
+    becomes and which bytes are left out, as `bytes.translate` takes them."""
+    span, low = 2 * k + gap, 4**k - 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(part: list[bytes]) -> pa.RecordBatch:
+            codes = CODE[np.frombuffer(b"".join(part), np.uint8)]
+            c = np.concatenate((codes, np.zeros(-len(codes) % 4, np.uint8))).reshape(-1, 4)
+            c = c[:, 0] << 6 | c[:, 1] << 4 | c[:, 2] << 2 | c[:, 3]
+            return pa.RecordBatch.from_arrays([pa.array([c.tobytes()]), pa.array([np.array([len(t) for t in part], np.int64).tobytes()]), pa.nulls(1, pa.string())], ["c", "m", "t"])
+
+        part, size = [], 0
+        for batch in batches:
+            texts = [t.encode() for t in batch["seq"].to_pylist() if t]
+            texts = [t.translate(*letters) for t in texts] if letters else texts
+            odd = [t.decode() for t in texts if t.translate(None, BASES.encode())]
+            odd = [t for t in odd if len(t) >= span]
+            if odd:
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(odd), pa.binary()), pa.nulls(len(odd), pa.binary()), pa.array(odd)], ["c", "m", "t"])
+            for t in texts:
+                if t.translate(None, BASES.encode()):
+                    continue
                 for at in range(0, len(t) - span + 1, chunk):
-                    both = (t[i : i + k] + t[i + k + gap : i + span] for i in range(at, min(at + chunk, len(t) - span + 1)))
-                    own = Counter(x for x in both if x.strip(BASES))
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], ["p", "o", "n"])
+                    part.append(t[at : at + chunk + span - 1])
+                    size += len(part[-1])
+                    if size >= chunk:
+                        yield row(part)
+                        part, size = [], 0
+        if part:
+            yield row(part)
+
+    def numbers(c: pa.BinaryScalar, m: pa.BinaryScalar, t: pa.StringScalar) -> Iterator[np.ndarray]:
+        if not t.is_valid:
+            codes = ((np.frombuffer(c.as_buffer(), np.uint8)[:, None] >> np.array([6, 4, 2, 0], np.uint8)) & 3).ravel()
+            number, at = window_numbers(codes, k)[0], 0
+            for n in np.frombuffer(m.as_buffer(), np.int64).tolist():
+                yield (number[at : at + n - span + 1] << 2 * k) | number[at + k + gap : at + n - k + 1]
+                at += n
+            return
+        codes = CODE[np.frombuffer(t.as_py().encode("ascii", "replace"), np.uint8)]
+        for at in range(0, len(codes) - span + 1, chunk):
+            yield _pair_numbers(codes[at : at + chunk + span - 1], k, gap)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> Iterator[pa.RecordBatch]:
+            x = np.concatenate(found)
+            found.clear()
+            if len(x):
+                b, cells = zip(*_packed_pairs(x, k))
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(cells, pa.binary()), pa.nulls(len(b), pa.string()), pa.nulls(len(b), pa.int64())], ["b", "p", "o", "n"])
+
+        found, size = [], 0
+        for batch in batches:
+            for c, m, t in zip(batch["c"], batch["m"], batch["t"]):
+                for x in numbers(c, m, t):
+                    found.append(x)
+                    size += len(x)
+                    if size >= held:
+                        yield from flush()
+                        size = 0
+                if t.is_valid:
+                    t = t.as_py()
+                    for at in range(0, len(t) - span + 1, chunk):
+                        both = (t[i : i + k] + t[i + k + gap : i + span] for i in range(at, min(at + chunk, len(t) - span + 1)))
+                        own = Counter(x for x in both if x.strip(BASES))
+                        b = [zlib.crc32(x.encode()) % 2 ** min(BUCKET, 2 * k) for x in own]
+                        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.nulls(len(own), pa.binary()), pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], ["b", "p", "o", "n"])
+        if found:
+            yield from flush()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, more, size, odd = [], [], 0, Counter()
+        for batch in batches:
+            for b, p, o, n in zip(batch["b"], batch["p"], batch["o"], batch["n"]):
+                if o.is_valid:
+                    odd[o.as_py()] += n.as_py()
+                    continue
+                more.append(_unpacked_pairs(b.as_py(), p.as_buffer().to_pybytes(), k))
+                size += len(more[-1][0])
+                if size >= max(held, len(parts[0][0]) if parts else 0):
+                    parts, more, size = [_counted(parts + more)], [], 0
+        if more:
+            parts = [_counted(parts + more)]
+        for number, n in parts:
+            for at in range(0, len(number), 100_000):
+                x = _mixed(number[at : at + 100_000], k, True)
+                yield pa.RecordBatch.from_arrays([_spelled(x >> 2 * k, k), _spelled(x & low, k), pa.array(n[at : at + 100_000])], ["a", "b", "n"])
+        if odd:
+            yield pa.RecordBatch.from_arrays([pa.array([x[:k] for x in odd]), pa.array([x[k:] for x in odd]), pa.array(odd.values(), pa.int64())], ["a", "b", "n"])
 
     if not 0 < k < 16 or gap < 0:
         raise ValueError("k must be in 1..15, and gap no less than 0")
-    dealt = df.select(F.col(seq).alias("seq")).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    totals = dealt.mapInArrow(run, "p long, o string, n long").groupBy("p", "o").agg(F.sum("n").alias("n"))
-    half = lambda number, text: F.when(F.col("o").isNull(), _spelled_column(number, k)).otherwise(text)
-    return totals.select(half(F.shiftright("p", 2 * k), F.left("o", F.lit(k))).alias("a"), half(F.col("p").bitwiseAND(F.lit(4**k - 1)), F.right("o", F.lit(k))).alias("b"), "n")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(F.col(seq).alias("seq")).mapInArrow(deal, "c binary, m binary, t string").repartition(tasks)
+    # a bucket is a few rows, of as many bytes as the pairs of all tasks ask for
+    buckets = dealt.mapInArrow(pack, "b int, p binary, o string, n long").repartition(max(tasks, 64), "b")
+    return buckets.groupBy("b").applyInArrow(add, "a string, b string, n long")

@@ -121,7 +121,7 @@ def gs2(spark, d):
 
 @query("gs3_read_pairs", P.with_("dna", more="p AS (SELECT doc_id, seq, unnest(range(0, length(seq) - 69)) AS pos FROM dna)") + "SELECT substr(seq, pos + 1, 10) AS a, substr(seq, pos + 61, 10) AS b, count(*) AS n FROM p GROUP BY ALL")
 def gs3(spark, d):
-    return kmers.read_pair_totals(P.documents(spark, d), 10, 50)
+    return kmers.read_pair_totals(P.table(spark, d, "documents"), 10, 50, "text", letters=P.DNA_BYTES)
 
 
 @query("gs4_degrees", P.with_("dna", more=kmer_cte("k", "dna", "doc_id", 10) + ", e AS (SELECT left(kmer, 9) AS src, right(kmer, 9) AS dst FROM kk)") + """SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM
